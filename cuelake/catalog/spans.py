@@ -119,10 +119,10 @@ def _intersection(d: Inputs):
     , g AS (SELECT *, row_number() OVER () AS rid FROM gt_raw)
     SELECT any_value(g.video_id) AS video_id, any_value(g.start_ms) AS start_ms, any_value(g.end_ms) AS end_ms,
       any_value(g.votes) AS votes,
-      CAST(coalesce(sum(greatest(0, least(g.end_ms, d.end_ms) - greatest(g.start_ms, d.start_ms))), 0) AS BIGINT) AS overlap_ms,
-      round(coalesce(sum(greatest(0, least(g.end_ms, d.end_ms) - greatest(g.start_ms, d.start_ms))), 0)
+      CAST(coalesce(sum(CASE WHEN d.start_ms IS NOT NULL THEN least(g.end_ms, d.end_ms) - greatest(g.start_ms, d.start_ms) END), 0) AS BIGINT) AS overlap_ms,
+      round(coalesce(sum(CASE WHEN d.start_ms IS NOT NULL THEN least(g.end_ms, d.end_ms) - greatest(g.start_ms, d.start_ms) END), 0)
         / CAST(any_value(g.end_ms - g.start_ms) AS DOUBLE), 6) AS coverage,
-      2 * coalesce(sum(greatest(0, least(g.end_ms, d.end_ms) - greatest(g.start_ms, d.start_ms))), 0)
+      2 * coalesce(sum(CASE WHEN d.start_ms IS NOT NULL THEN least(g.end_ms, d.end_ms) - greatest(g.start_ms, d.start_ms) END), 0)
         >= any_value(g.end_ms - g.start_ms) AS covered
     FROM g LEFT JOIN det_raw d ON d.video_id = g.video_id AND d.end_ms > g.start_ms AND d.start_ms < g.end_ms
     GROUP BY rid""")
@@ -361,7 +361,7 @@ def _flagged(d: Inputs):
 
 
 @query("detection_summary", "gt_raw det_raw cache", SWEEP.rstrip() + METRICS + """
-    , cov AS (SELECT g.video_id, g.rid, 2 * coalesce(sum(greatest(0, least(g.end_ms, d.end_ms) - greatest(g.start_ms, d.start_ms))), 0)
+    , cov AS (SELECT g.video_id, g.rid, 2 * coalesce(sum(CASE WHEN d.start_ms IS NOT NULL THEN least(g.end_ms, d.end_ms) - greatest(g.start_ms, d.start_ms) END), 0)
         >= any_value(g.end_ms - g.start_ms) AS covered
       FROM (SELECT *, row_number() OVER () AS rid FROM gt_raw) g LEFT JOIN det_raw d ON d.video_id = g.video_id
         AND d.end_ms > g.start_ms AND d.start_ms < g.end_ms GROUP BY 1, 2),

@@ -127,8 +127,8 @@ def padded_rows(windows: DataFrame, batch_size: int, vectors: Sequence[str] = ()
     real = windows.join(plan, "video_id")
     sizes = {v: windows.agg(F.max(F.size(v)).alias("_n")) for v in vectors}
     padding = plan.filter("length < pad_to").withColumn(
-        "window_idx", F.explode(F.sequence(F.col("length"), F.col("pad_to") - 1)).cast("int")
-    ).withColumn("label", F.lit(-1)).withColumn("vote_weight", F.lit(0.0))
+        "window_idx", F.explode(F.sequence(F.col("length"), F.col("pad_to") - 1))
+    ).withColumn("window_idx", F.col("window_idx").cast("int")).withColumn("label", F.lit(-1)).withColumn("vote_weight", F.lit(0.0))
     for v, n in sizes.items():
         padding = with_one_row(padding, n).withColumn(
             v, F.array_repeat(F.lit(0.0), F.col("_n"))

@@ -284,10 +284,9 @@ def av_baseline(windows: DataFrame, n: int = 12) -> DataFrame:
         lambda v, i: upper_median(F.transform(past, lambda r: F.get(r["hist"], i)), 0.0),
     )
     out = local.withColumn("base_hist", hist)
+    # A field of an array of structs is the array of that field.
     for name, empty in (("low", 0.0), ("high", 0.0), ("ratio", 0.5)):
-        out = out.withColumn(
-            f"base_{name}", upper_median(F.transform(past, lambda r, f=name: r[f]), empty)
-        )
+        out = out.withColumn(f"base_{name}", upper_median(past[name], empty))
     return out.drop("_held")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cuelake import vocab
 from cuelake.functions.text import (
-    clean_caption, keyword_vector, masks_to_vector, matches_any, one_line, score_cue, score_text,
+    bound, clean_caption, keyword_vector, masks_to_vector, matches_any, one_line, score_cue, score_text,
     strip_tags, vector_to_masks,
 )
 from cuelake.operators.windows import cluster_hits
@@ -89,18 +89,15 @@ def cues_from_vtt(df: DataFrame, payload: str = "payload", variant: str = "pipel
         ok = (cue["sides"] == 2) & cue["start_ms"].isNotNull() & cue["dur_ms"].isNotNull()
         return ok & (cue["text"] != "") & (cue["dur_ms"] > 0)
 
-    cued = df.withColumn("_cues", F.filter(F.transform(blocks, to_cue), usable))
-    if pipeline:
+    def without_repeats(cues: Column) -> Column:
         # Runs of equal text collapse to their first cue, so comparing with the
         # preceding candidate equals comparing with the preceding kept cue.
-        cued = cued.withColumn("_texts", F.transform("_cues", lambda c: c["text"]))
-        cued = cued.withColumn(
-            "_cues",
-            F.filter(
-                "_cues",
-                lambda c, i: (i == 0) | (F.get(F.col("_texts"), i - 1) != c["text"]),
-            ),
+        return F.filter(
+            cues, lambda c, i: (i == 0) | (F.get(cues, i - 1)["text"] != c["text"])
         )
+
+    cues = F.filter(F.transform(blocks, to_cue), usable)
+    cued = df.withColumn("_cues", bound(cues, without_repeats) if pipeline else cues)
     flat = cued.select("video_id", F.posexplode("_cues").alias("cue_idx", "c"))
     return flat.select("video_id", "cue_idx", "c.start_ms", "c.dur_ms", "c.text")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cuelake.operators.text import tag_cues
@@ -57,6 +60,13 @@ def stream_cue_tagging(cues: DataFrame) -> DataFrame:
     return tag_cues(cues)
 
 
+def has_files(spark: SparkSession, path: str) -> bool:
+    try:
+        return bool(spark.read.parquet(path).columns)
+    except AnalysisException:
+        return False
+
+
 def run_append(stream: DataFrame, path: str | None = None) -> DataFrame:
     """Run to the end of the available input in append mode; read the written table."""
     spark = stream.sparkSession
@@ -87,23 +97,22 @@ def run_complete(stream: DataFrame) -> DataFrame:
 def stream_feature_upsert(features: DataFrame, store: str, key: str = "video_id") -> None:
     """Append the windows of videos that the store does not hold yet.
 
-    Each micro-batch owns a directory named by its id, so a replayed batch rewrites
-    itself; membership is decided against the other batches' directories only.
+    Each run and micro-batch owns a directory, so a replayed batch rewrites itself;
+    membership is decided against the other directories only.
     """
-    spark: SparkSession = features.sparkSession
+    run = uuid.uuid4().hex
 
     def insert(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        own = f"{store}/batch={batch_id:06d}"
-        earlier = [f"{store}/batch={i:06d}" for i in range(batch_id)]
-        if earlier:
-            known = session.read.parquet(*earlier).select(key).distinct()
-            batch = batch.join(known, key, "left_anti")
-        batch.write.mode("overwrite").parquet(own)
+        own = f"{run}-{batch_id:06d}"
+        spark = batch.sparkSession
+        if has_files(spark, store):
+            held = spark.read.parquet(store).filter(F.col("insert") != own)
+            batch = batch.join(held.select(key).distinct(), key, "left_anti")
+        batch.write.mode("overwrite").parquet(f"{store}/insert={own}")
 
     query = (
         features.writeStream.foreachBatch(insert)
-        .option("checkpointLocation", new_shared_path(spark, "upsert-state"))
+        .option("checkpointLocation", new_shared_path(features.sparkSession, "upsert-state"))
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()

@@ -22,47 +22,58 @@ MAX_COUNT = 10
 # ---------------------------------------------------------------------------
 
 
-def counter_step(count, inside, above, low, min_consec: int = 2):
-    """One tick of the clamped counter; works on numbers and on numpy arrays."""
-    count = np.where(above, np.minimum(count + 1, MAX_COUNT), np.maximum(0, count - 1))
-    enter = (count >= min_consec) & (inside == 0)
-    leave = low & (count == 0) & (inside == 1)
-    inside = np.where(enter, 1, np.where(leave, 0, inside))
-    return count, inside
+N_STATES = 2 * (MAX_COUNT + 1)
 
 
 class CounterFold(ChunkFold):
-    """State code = 2 * count + inside: 22 states, so a chunk is a 22-entry table."""
+    """State code = 2 * count + inside: 22 states, so a tick is one of few 22-entry tables.
+
+    Ticks are classified (above the entry threshold?, below the exit one?), each class
+    is a transition table, and a chunk is the composition of its ticks' tables.
+    """
 
     initial = [0]
 
     def __init__(self, exit_below: float, min_consec: int):
-        self.exit_below, self.min_consec = exit_below, min_consec
-
-    def _run(self, rows: pd.DataFrame, count: np.ndarray, inside: np.ndarray) -> Iterator[tuple]:
-        for score, enter_at in zip(rows["score"].to_numpy(), rows["enter_at"].to_numpy()):
-            count, inside = counter_step(
-                count, inside, score >= enter_at, score < self.exit_below, self.min_consec
-            )
-            yield count, inside
+        self.exit_below = exit_below
+        self.tables = np.array([
+            [self._step(code, bool(kind & 2), bool(kind & 1), min_consec) for code in range(N_STATES)]
+            for kind in range(4)
+        ])
+
+    @staticmethod
+    def _step(code: int, above: bool, low: bool, min_consec: int) -> int:
+        count, inside = divmod(code, 2)
+        count = min(count + 1, MAX_COUNT) if above else max(0, count - 1)
+        if count >= min_consec:
+            inside = 1
+        elif low and count == 0:
+            inside = 0
+        return 2 * count + inside
+
+    def _kinds(self, rows: pd.DataFrame) -> np.ndarray:
+        score = rows["score"].to_numpy()
+        above, low = score >= rows["enter_at"].to_numpy(), score < self.exit_below
+        return 2 * above.astype(np.int64) + low.astype(np.int64)
 
     def summarize(self, rows: pd.DataFrame) -> list[int]:
-        codes = np.arange(2 * (MAX_COUNT + 1))
-        count, inside = codes // 2, codes % 2
-        for count, inside in self._run(rows, count, inside):
-            pass
-        return [int(v) for v in 2 * count + inside]
+        maps = self.tables[self._kinds(rows)]
+        while len(maps) > 1:  # compose neighbours pairwise, in order
+            odd = maps[-1:] if len(maps) % 2 else maps[:0]
+            first, second = maps[0 : len(maps) - len(odd) : 2], maps[1 : len(maps) : 2]
+            maps = np.concatenate([np.take_along_axis(second, first, axis=1), odd])
+        return [int(v) for v in maps[0]]
 
     def advance(self, state: list[int], summary: list[int]) -> list[int]:
         return [summary[state[0]]]
 
     def replay(self, rows: pd.DataFrame, state: list[int]) -> pd.DataFrame:
-        counts, insides = [], []
-        count, inside = np.array(state[0] // 2), np.array(state[0] % 2)
-        for count, inside in self._run(rows, count, inside):
-            counts.append(int(count))
-            insides.append(bool(inside))
-        return rows.assign(consecutive=np.array(counts, dtype=np.int32), inside=insides)
+        tables, code, codes = self.tables.tolist(), state[0], []
+        for kind in self._kinds(rows).tolist():
+            code = tables[kind][code]
+            codes.append(code)
+        codes = np.array(codes, dtype=np.int32)
+        return rows.assign(consecutive=codes // 2, inside=codes % 2 == 1)
 
 
 COUNTER_COLUMNS = T.StructType([
