@@ -40,34 +40,40 @@ class Inputs:
 
     # -- transcripts ---------------------------------------------------------
 
-    def doc_lines(self) -> DataFrame:
-        """(doc_id, lines): ASCII lines of English documents with injected phrases."""
+    def english(self) -> DataFrame:
+        return self.table("documents").filter("lang = 'en'").select("doc_id", "text")
+
+    @staticmethod
+    def _lines() -> Column:
+        """ASCII lines of a document with injected phrases, as (pos, text) structs."""
         doc = F.col("doc_id")
+        residues = F.create_map(*[F.lit(x) for pair in INJECTED.items() for x in pair])
 
         def with_phrase(line: Column, pos: Column) -> Column:
-            residue = (doc * 31 + pos * 17) % 293
-            phrase = F.lit("")
-            for r, p in reversed(INJECTED.items()):
-                phrase = F.when(residue == r, F.lit(p)).otherwise(phrase)
+            phrase = F.coalesce(
+                F.try_element_at(residues, ((doc * 31 + pos * 17) % 293).cast("int")), F.lit("")
+            )
             return F.struct(
                 pos.cast("bigint").alias("pos"),
                 F.trim(F.concat(line, F.lit(" "), phrase)).alias("text"),
-                line.rlike(r"[^\x00-\x7F]").alias("wide"),
             )
 
-        lines = F.transform(F.split("text", "\n"), with_phrase)
-        return (
-            self.table("documents")
-            .filter("lang = 'en'")
-            .select("doc_id", F.filter(lines, lambda x: ~x["wide"]).alias("lines"))
-        )
+        lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+        ascii_only = F.filter(lines, lambda s: ~s["x"].rlike(r"[^\x00-\x7F]"))
+        return F.transform(ascii_only, lambda s: with_phrase(s["x"], s["i"]))
+
+    def doc_lines(self) -> DataFrame:
+        """(doc_id, lines): see :meth:`_lines`."""
+        return self.english().select("doc_id", self._lines().alias("lines"))
 
     def cues(self) -> DataFrame:
         """Twenty documents make a video; the line rank within it is the cue index."""
-        docs = self.doc_lines().withColumn("vid", F.expr("doc_id div 20"))
-        # At most twenty rows per group by construction, so a plain window is bounded.
+        # Shuffle the documents first: the line work then runs in all tasks, and the
+        # window below needs no further exchange.  At most twenty rows per group.
+        docs = self.english().withColumn("vid", F.expr("doc_id div 20")).repartition("vid")
+        lines = docs.select("doc_id", "vid", self._lines().alias("lines"))
         along = Window.partitionBy("vid").orderBy("doc_id")
-        placed = docs.withColumn("upto", F.sum(F.size("lines")).over(along))
+        placed = lines.withColumn("upto", F.sum(F.size("lines")).over(along))
         flat = placed.select(
             "doc_id",
             F.concat(F.lit("v"), F.col("vid").cast("string")).alias("video_id"),

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from cuelake.functions.let import bound
+
 
 def sigmoid(x: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
@@ -52,9 +54,16 @@ def dot(a: Column, b: Column) -> Column:
 
 def cosine_distance(a: Column, b: Column) -> Column:
     """(1 - cos)/2 in [0, 1]; 0 where a vector has no length."""
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    cos = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / norm))
-    return F.when(norm == 0, F.lit(0.0)).otherwise((F.lit(1.0) - cos) / 2)
+
+    def distance(v: Column) -> Column:
+        cos = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v["ab"] / v["norm"]))
+        return F.when(v["norm"] == 0, F.lit(0.0)).otherwise((F.lit(1.0) - cos) / 2)
+
+    def parts(v: Column) -> Column:
+        norm = F.sqrt(dot(v["a"], v["a"])) * F.sqrt(dot(v["b"], v["b"]))
+        return F.struct(dot(v["a"], v["b"]).alias("ab"), norm.alias("norm"))
+
+    return bound(bound(F.struct(a.alias("a"), b.alias("b")), parts), distance)
 
 
 def chi_squared(a: Column, b: Column) -> Column:

@@ -10,6 +10,7 @@ from re import _parser as regex_parser
 from pyspark.sql import Column, functions as F
 
 from cuelake import vocab
+from cuelake.functions.let import bound
 
 CASELESS = "(?i)"
 
@@ -34,15 +35,6 @@ def required_literal(pattern: str) -> str:
     return max(best, run, key=len)
 
 
-def bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` computed once per row.
-
-    Optimizer rules that move filters and projections copy an expression to each of
-    its uses; a lambda variable is immune to that.
-    """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _with_lowered(text: Column, body: Callable[[Column, Column], Column]) -> Column:
     pair = bound(text, lambda t: F.struct(t.alias("t"), F.lower(t).alias("l")))
     return bound(pair, lambda p: body(p["t"], p["l"]))
@@ -146,10 +138,13 @@ def group_sum(vec: Column, group: int) -> Column:
 
 def keyword_score(vec: Column, groups: int = 8) -> Column:
     """Group-weighted sum over the first ``groups`` groups of 16 dimensions."""
-    total = F.lit(0.0)
-    for g in range(groups):
-        total = total + group_sum(vec, g) * F.lit(vocab.GROUP_WEIGHTS[g])
-    return total
+    def weighted(v: Column) -> Column:
+        total = F.lit(0.0)
+        for g in range(groups):
+            total = total + group_sum(v, g) * F.lit(vocab.GROUP_WEIGHTS[g])
+        return total
+
+    return bound(vec, weighted)
 
 
 def keyword_count(vec: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.ml.classification import LogisticRegression, LogisticRegressionMode
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cuelake.functions.let import bound
 from cuelake.functions.math import array_sum, relu, sigmoid
 from cuelake.functions.text import group_sum
 from cuelake.operators.evaluate import best_threshold, threshold_curve
@@ -199,19 +200,26 @@ def context_features(
 
 def heuristic_score(vec: Column, mean_mfcc: Column) -> Column:
     """The hand-weighted scorer in closed form over group sums and audio means."""
-    g = [group_sum(vec, i).cast("double") for i in range(8)]
-    low = array_sum(F.slice(mean_mfcc, 1, 6))
-    high = array_sum(F.slice(mean_mfcc, 7, 7))
-    intro = relu(g[0] * 0.8 + g[4] * 0.6 - 0.5)
-    action = relu(g[1] * 0.65 + g[5] * 0.5 - 0.5)
-    offer = relu(g[2] * 0.65 + g[6] * 0.5 - 0.5)
-    product = relu(g[3] * 0.45 + g[7] * 0.35 - 0.8)
-    audio = relu(low * 0.7 + high * 0.25 + g[0] * 0.15 - 0.8)
-    z1 = relu(intro * 9.6 - 0.3)
-    z2 = relu(action * 6.4 + offer * 6.4 - 1.1)
-    z3 = relu(audio * 4.0 - 0.3)
-    z4 = relu(audio * 2.8 + product * 1.2 - 1.5)
-    return sigmoid(z1 * 8.0 + z2 * 6.4 + z3 * 3.6 + z4 * 5.2 - 1.6)
+
+    def sums(v: Column) -> Column:
+        low, high = F.slice(v["m"], 1, 6), F.slice(v["m"], 7, 7)
+        groups = [group_sum(v["k"], i).cast("double").alias(f"g{i}") for i in range(8)]
+        return F.struct(*groups, array_sum(low).alias("low"), array_sum(high).alias("high"))
+
+    def score(v: Column) -> Column:
+        g = [v[f"g{i}"] for i in range(8)]
+        intro = relu(g[0] * 0.8 + g[4] * 0.6 - 0.5)
+        action = relu(g[1] * 0.65 + g[5] * 0.5 - 0.5)
+        offer = relu(g[2] * 0.65 + g[6] * 0.5 - 0.5)
+        product = relu(g[3] * 0.45 + g[7] * 0.35 - 0.8)
+        audio = relu(v["low"] * 0.7 + v["high"] * 0.25 + g[0] * 0.15 - 0.8)
+        z1 = relu(intro * 9.6 - 0.3)
+        z2 = relu(action * 6.4 + offer * 6.4 - 1.1)
+        z3 = relu(audio * 4.0 - 0.3)
+        z4 = relu(audio * 2.8 + product * 1.2 - 1.5)
+        return sigmoid(z1 * 8.0 + z2 * 6.4 + z3 * 3.6 + z4 * 5.2 - 1.6)
+
+    return bound(bound(F.struct(vec.alias("k"), mean_mfcc.alias("m")), sums), score)
 
 
 def blended_score(

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cuelake.functions.let import bound
 from cuelake.functions.math import array_sum, chi_squared, cosine_distance
 from cuelake.operators.windows import greedy_anchors
 from cuelake.plans.ordered import CHUNK, INDEX_CHUNK, halo, own_rows
@@ -57,18 +58,27 @@ def frame_buffer(windows: DataFrame, frames: DataFrame, n: int = N_FRAMES) -> Da
 
 def mean_pool(buffer: Column, size: int = N_COEFFS) -> Column:
     """Mean over the frames of a buffer; zeros for an empty one."""
-    total = F.aggregate(
-        buffer, F.array_repeat(F.lit(0.0), size), lambda acc, f: F.zip_with(acc, f, lambda a, b: a + b)
-    )
-    return F.when(F.size(buffer) == 0, F.array_repeat(F.lit(0.0), size)).otherwise(
-        F.transform(total, lambda x: x / F.size(buffer))
-    )
+    zeros = F.array_repeat(F.lit(0.0), size)
+
+    def pooled(frames: Column) -> Column:
+        total = F.aggregate(
+            frames, zeros, lambda acc, f: F.zip_with(acc, f, lambda a, b: a + b)
+        )
+        mean = F.transform(total, lambda x: x / F.size(frames))
+        return F.when(F.size(frames) == 0, zeros).otherwise(mean)
+
+    return bound(buffer, pooled)
 
 
 def pad_trim(flat: Column, size: int = N_FRAMES * N_COEFFS) -> Column:
     """The newest ``size`` values, zero-padded in front."""
-    kept = F.slice(flat, F.greatest(F.lit(1), F.size(flat) - size + 1), size)
-    return F.concat(F.array_repeat(F.lit(0.0), F.lit(size) - F.size(kept)), kept)
+
+    def fitted(values: Column) -> Column:
+        kept = F.slice(values, F.greatest(F.lit(1), F.size(values) - size + 1), size)
+        missing = F.greatest(F.lit(0), F.lit(size) - F.size(values))
+        return F.concat(F.array_repeat(F.lit(0.0), missing), kept)
+
+    return bound(flat, fitted)
 
 
 # ---------------------------------------------------------------------------
@@ -107,25 +117,28 @@ def mfcc_from_spectrum(
     by_filter: dict[int, list[tuple[int, float]]] = {m: [] for m in range(N_MEL)}
     for m, k, weight in mel_filterbank(n_bins, sample_rate):
         by_filter[m].append((k, weight))
-    power = frames.withColumn(
-        "_power", F.transform("spectrum", lambda db: F.pow(F.lit(10.0), db.cast("double") / 10))
-    )
+    power = F.transform("spectrum", lambda db: F.pow(F.lit(10.0), db.cast("double") / 10))
+
+    def log_energies(p: Column) -> Column:
+        def energy(parts: list[tuple[int, float]]) -> Column:
+            total = F.lit(0.0)
+            for k, weight in parts:
+                total = total + F.coalesce(F.get(p, F.lit(k)), F.lit(0.0)) * F.lit(weight)
+            return F.ln(F.greatest(total, F.lit(1e-10)))
 
-    def energy(parts: list[tuple[int, float]]) -> Column:
-        total = F.lit(0.0)
-        for k, weight in parts:
-            total = total + F.coalesce(F.get("_power", F.lit(k)), F.lit(0.0)) * F.lit(weight)
-        return F.ln(F.greatest(total, F.lit(1e-10)))
+        return F.array(*[energy(by_filter[m]) for m in range(N_MEL)])
 
-    logs = power.withColumn("_mel", F.array(*[energy(by_filter[m]) for m in range(N_MEL)]))
     cosines = F.array(*[
         F.array(*[F.lit(math.cos(math.pi * n * (2 * m + 1) / (2 * N_MEL))) for m in range(N_MEL)])
         for n in range(n_coeffs)
     ])
-    mfcc = F.transform(
-        cosines, lambda row: array_sum(F.zip_with(F.col("_mel"), row, lambda e, c: e * c))
-    )
-    return logs.withColumn("mfcc", mfcc).drop("_power", "_mel")
+
+    def cepstrum(mel: Column) -> Column:
+        return F.transform(
+            cosines, lambda row: array_sum(F.zip_with(mel, row, lambda e, c: e * c))
+        )
+
+    return frames.withColumn("mfcc", bound(bound(power, log_energies), cepstrum))
 
 
 class DeltaHistory:

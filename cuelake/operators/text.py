@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cuelake import vocab
+from cuelake.functions.let import bound
 from cuelake.functions.text import (
-    bound, clean_caption, keyword_vector, masks_to_vector, matches_any, one_line, score_cue, score_text,
+    clean_caption, keyword_vector, masks_to_vector, matches_any, one_line, score_cue, score_text,
     strip_tags, vector_to_masks,
 )
 from cuelake.operators.windows import cluster_hits
@@ -22,17 +23,18 @@ from cuelake.schema import to_ms
 
 def _clock_ms(stamp: Column) -> Column:
     """HH:MM:SS.mmm, MM:SS.mmm or seconds; null where a part is not a number."""
-    parts = F.split(stamp, ":")
 
-    def part(i: int) -> Column:
-        return F.get(parts, F.lit(i)).try_cast("double")
+    def seconds(parts: Column) -> Column:
+        def part(i: int) -> Column:
+            return F.get(parts, F.lit(i)).try_cast("double")
 
-    seconds = (
-        F.when(F.size(parts) == 3, part(0) * 3600 + part(1) * 60 + part(2))
-        .when(F.size(parts) == 2, part(0) * 60 + part(1))
-        .when(F.size(parts) == 1, part(0))
-    )
-    return to_ms(seconds)
+        return (
+            F.when(F.size(parts) == 3, part(0) * 3600 + part(1) * 60 + part(2))
+            .when(F.size(parts) == 2, part(0) * 60 + part(1))
+            .when(F.size(parts) == 1, part(0))
+        )
+
+    return to_ms(bound(F.split(stamp, ":"), seconds))
 
 
 def _strip(text: Column) -> Column:
@@ -66,28 +68,36 @@ def cues_from_vtt(df: DataFrame, payload: str = "payload", variant: str = "pipel
         F.regexp_extract_all(text, F.lit(pattern), 2).alias("body"),
     )
 
-    def to_cue(block: Column) -> Column:
+    def read(block: Column) -> Column:
         sides = F.split(block["timing"], "-->")
-        left, right = F.get(sides, F.lit(0)), F.get(sides, F.lit(1))
-        end = _clock_ms(F.regexp_extract(right, r"^\s*(\S+)", 1))
+
+        def times(s: Column) -> Column:
+            left, right = F.get(s, F.lit(0)), F.get(s, F.lit(1))
+            first = _strip(left) if pipeline else F.regexp_extract(left, r"^\s*(\S+)", 1)
+            last = F.regexp_extract(right, r"^\s*(\S+)", 1)
+            ok = F.size(s) == 2
+            return F.struct(
+                F.when(ok, _clock_ms(first)).alias("start"), F.when(ok, _clock_ms(last)).alias("end")
+            )
+
         lines = F.filter(F.transform(F.split(block["body"], "\n"), _strip), lambda x: x != "")
         if pipeline:
-            start = _clock_ms(_strip(left))
-            joined = _strip(clean_caption(F.array_join(lines, " ")))
-            dur = end - start
+            text = _strip(clean_caption(F.array_join(lines, " ")))
         else:
-            start = _clock_ms(F.regexp_extract(left, r"^\s*(\S+)", 1))
             cleaned = F.transform(lines, lambda x: _strip(strip_tags(x)))
-            joined = F.array_join(F.filter(cleaned, lambda x: x != ""), " ")
-            dur = F.greatest(end - start, F.lit(1))
+            text = F.array_join(F.filter(cleaned, lambda x: x != ""), " ")
+        return F.struct(bound(sides, times).alias("at"), text.alias("text"))
+
+    def to_cue(block: Column) -> Column:
+        start, dur = block["at"]["start"], block["at"]["end"] - block["at"]["start"]
+        if not pipeline:
+            dur = F.greatest(dur, F.when(dur.isNotNull(), F.lit(1)))
         return F.struct(
-            F.size(sides).alias("sides"), start.alias("start_ms"),
-            dur.cast("bigint").alias("dur_ms"), joined.alias("text"),
+            start.alias("start_ms"), dur.cast("bigint").alias("dur_ms"), block["text"].alias("text")
         )
 
     def usable(cue: Column) -> Column:
-        ok = (cue["sides"] == 2) & cue["start_ms"].isNotNull() & cue["dur_ms"].isNotNull()
-        return ok & (cue["text"] != "") & (cue["dur_ms"] > 0)
+        return (cue["text"] != "") & F.coalesce(cue["dur_ms"] > 0, F.lit(False))
 
     def without_repeats(cues: Column) -> Column:
         # Runs of equal text collapse to their first cue, so comparing with the
@@ -96,7 +106,7 @@ def cues_from_vtt(df: DataFrame, payload: str = "payload", variant: str = "pipel
             cues, lambda c, i: (i == 0) | (F.get(cues, i - 1)["text"] != c["text"])
         )
 
-    cues = F.filter(F.transform(blocks, to_cue), usable)
+    cues = F.filter(F.transform(F.transform(blocks, read), to_cue), usable)
     cued = df.withColumn("_cues", bound(cues, without_repeats) if pipeline else cues)
     flat = cued.select("video_id", F.posexplode("_cues").alias("cue_idx", "c"))
     return flat.select("video_id", "cue_idx", "c.start_ms", "c.dur_ms", "c.text")
