@@ -260,7 +260,7 @@ class Streamed(Inputs):
         schema = self.spark.read.parquet(f"{self.directory}/{name}.parquet").schema
         return (
             self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-            .parquet(self.directory)
+            .option("maxFilesPerTrigger", 64).parquet(self.directory)
         )
 
 

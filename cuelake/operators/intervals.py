@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cuelake.plans.ordered import (
     CHUNK, TIME_CHUNK_MS, Scan, carry_scan, chunk_of, merge_runs,
 )
-from cuelake.plans.spans import BUCKET, bucket_of, over_buckets, overlap_ms
+from cuelake.plans.spans import BUCKET, bucket_of, clip_ends, over_buckets, overlap_ms
 from cuelake.schema import GRID_MS
 
 
@@ -113,8 +113,9 @@ def vote_weights(
 
 def cues_in_window(windows: DataFrame, cues: DataFrame, width_ms: int = GRID_MS) -> DataFrame:
     """Adds ``text``: cues overlapping the window, in cue order, joined by one space."""
+    ended = cues.withColumn("_end", F.col("start_ms") + F.col("dur_ms"))
     spread = over_buckets(
-        cues.withColumn("_end", F.col("start_ms") + F.col("dur_ms")),
+        clip_ends(ended, "_end", windows, F.col("t_end_ms")),
         F.greatest(F.col("start_ms"), F.lit(0)),
         F.greatest(F.col("start_ms"), F.col("_end") - 1), width_ms,
     ).select("video_id", F.col(BUCKET).cast("int").alias("window_idx"),
@@ -139,7 +140,8 @@ def active_cues(ticks: DataFrame, cues: DataFrame, ahead_ms: int = 5000) -> Data
     reach = cues.withColumn("_lo", F.col("start_ms") - ahead_ms).withColumn(
         "_hi", F.col("start_ms") + F.col("dur_ms")
     )
-    spread = over_buckets(reach, F.col("_lo"), F.col("_hi"), width)
+    near = clip_ends(reach, "_hi", ticks, F.col("t_ms"))
+    spread = over_buckets(near, F.col("_lo"), F.col("_hi"), width)
     return (
         ticks.withColumn(BUCKET, bucket_of(F.col("t_ms"), width))
         .join(spread, ["video_id", BUCKET])
@@ -173,8 +175,9 @@ def first_match_pieces(segments: DataFrame) -> DataFrame:
 def point_in_segments(ticks: DataFrame, segments: DataFrame) -> DataFrame:
     """Adds ``in_segment`` and the first matching segment; at most one match per tick."""
     width = 10_000
+    reach = first_match_pieces(segments).withColumn("_to", F.col("seg_end_ms"))
     pieces = over_buckets(
-        first_match_pieces(segments), F.col("piece_ms"), F.col("seg_end_ms"), width
+        clip_ends(reach, "_to", ticks, F.col("t_ms")), F.col("piece_ms"), F.col("_to"), width
     )
     placed = ticks.withColumn(BUCKET, bucket_of(F.col("t_ms"), width))
     inside = (
@@ -197,16 +200,24 @@ def point_in_segments(ticks: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def interval_intersection(gt: DataFrame, det: DataFrame) -> DataFrame:
-    """Per video: measure of union(gt) n union(det), by a sweep inside time chunks.
+    """Measure of union(gt) n union(det) for every video of either side."""
+    ids = gt.select("video_id").union(det.select("video_id")).distinct()
+    return ids.join(_common_ms(gt, det), "video_id", "left").na.fill(0, ["inter_ms"])
+
+
+def _common_ms(gt: DataFrame, det: DataFrame) -> DataFrame:
+    """The measure for videos present on both sides, by a sweep inside time chunks.
 
     Intervals are cut at chunk borders, so each (video, chunk) sweep stands alone,
     and equal event times collapse before the shuffle.
     """
 
     def events(df: DataFrame, side: str) -> DataFrame:
+        other = det if side == "g" else gt
+        distinct = df.filter("end_ms > start_ms").select("video_id", "start_ms", "end_ms").distinct()
         cut = (
-            df.filter("end_ms > start_ms")
-            .groupBy("video_id", "start_ms", "end_ms").agg(F.lit(1).alias("_one"))
+            clip_ends(distinct, "end_ms", other, F.col("end_ms"))
+            .filter("end_ms > start_ms")
             .withColumn(
                 CHUNK,
                 F.explode(F.sequence(
@@ -240,7 +251,6 @@ def interval_intersection(gt: DataFrame, det: DataFrame) -> DataFrame:
     return (
         swept.groupBy("video_id")
         .agg(F.sum(F.when(F.col("_both"), F.col("_len")).otherwise(0)).alias("inter_ms"))
-        .withColumn("inter_ms", F.coalesce("inter_ms", F.lit(0)))
     )
 
 
@@ -300,7 +310,7 @@ def segment_metrics(det: DataFrame, gt: DataFrame, videos: DataFrame | None = No
     sides = totals(gt, "gt").join(totals(det, "det"), "video_id", "full_outer")
     if videos is not None:
         sides = videos.select("video_id").join(sides, "video_id", "left")
-    table = sides.join(interval_intersection(gt, det), "video_id", "left").na.fill(
+    table = sides.join(_common_ms(gt, det), "video_id", "left").na.fill(
         0, ["gt_ms", "det_ms", "n_gt", "n_det", "inter_ms"]
     )
     inter, no_gt, no_det = F.col("inter_ms"), F.col("n_gt") == 0, F.col("n_det") == 0

@@ -155,9 +155,9 @@ def assemble_sequences(
     )
     return grouped.select(
         "batch", "video_id", "block", "length", "pad_to",
-        F.transform("_h", lambda x: x["label"]).alias("labels"),
-        F.transform("_h", lambda x: x["vote_weight"]).alias("weights"),
-        *[F.transform("_h", lambda x, v=v: x[v]).alias(v) for v in vectors],
+        # A field of an array of structs is the array of that field.
+        F.col("_h.label").alias("labels"), F.col("_h.vote_weight").alias("weights"),
+        *[F.col(f"_h.{v}").alias(v) for v in vectors],
     )
 
 

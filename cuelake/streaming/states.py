@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from cuelake.operators.intervals import first_match_pieces, point_in_segments
 from cuelake.operators.signal import N_COEFFS, DeltaHistory
 from cuelake.plans.ordered import ChunkFold, Scan, carry_scan, chunk_fold
-from cuelake.plans.spans import BUCKET, bucket_of, over_buckets
+from cuelake.plans.spans import BUCKET, level_width, over_levelled_buckets
 
 MAX_COUNT = 10
 
@@ -195,18 +195,33 @@ def segment_transitions(
 
 
 def stream_segment_membership(ticks: DataFrame, segments: DataFrame) -> DataFrame:
-    """Stream-static join of ticks with the static first-match pieces (equi on buckets)."""
+    """Stream-static join of ticks with the static first-match pieces (equi on buckets).
+
+    The stream has no last tick to cut the pieces at, so long pieces go to coarser
+    bucket levels; a tick is looked up on the levels in use (seven at most, usually
+    one), which are asked for once when the stream is set up.
+    """
     width = 10_000
-    pieces = over_buckets(
+    pieces = over_levelled_buckets(
         first_match_pieces(segments), F.col("piece_ms"), F.col("seg_end_ms"), width
-    ).withColumnRenamed("video_id", "_vid").withColumnRenamed(BUCKET, "_pb")
-    placed = ticks.withColumn(BUCKET, bucket_of(F.col("t_ms"), width))
-    cond = (
-        (F.col("video_id") == F.col("_vid")) & (F.col(BUCKET) == F.col("_pb"))
-        & (F.col("t_ms") >= F.col("piece_ms")) & (F.col("t_ms") <= F.col("seg_end_ms"))
-    )
-    return placed.join(pieces, cond, "left").select(
-        *ticks.columns, F.col("seg_end_ms").isNotNull().alias("in_segment"), "seg_end_ms"
+    ).withColumnsRenamed({"video_id": "_vid", BUCKET: "_pb", "_level": "_pl"})
+    levels = sorted(r[0] for r in pieces.select("_pl").distinct().collect())
+    found, ends = ticks, []
+    for level in levels:
+        side = pieces.filter(F.col("_pl") == level).select(
+            "_vid", "_pb", "piece_ms", F.col("seg_end_ms").alias(f"_end{level}")
+        )
+        here = F.floor(F.col("t_ms") / level_width(F.lit(level), width)).cast("bigint")
+        cond = (
+            (F.col("video_id") == F.col("_vid")) & (here == F.col("_pb"))
+            & (F.col("t_ms") >= F.col("piece_ms")) & (F.col("t_ms") <= F.col(f"_end{level}"))
+        )
+        found = found.join(side, cond, "left").drop("_vid", "_pb", "piece_ms")
+        ends.append(F.col(f"_end{level}"))
+    # Pieces are disjoint, so a tick matches on one level at most.
+    end = F.coalesce(*ends) if ends else F.lit(None).cast("bigint")
+    return found.select(
+        *ticks.columns, end.isNotNull().alias("in_segment"), end.alias("seg_end_ms")
     )
 
 
