@@ -10,7 +10,7 @@ from cuelake.catalog.spans import labelled
 from cuelake.fixtures import Inputs
 from cuelake.functions import text as X
 from cuelake.operators import cleaning, evaluate, intervals, text as T, windows as W
-from cuelake.session import new_shared_path
+from cuelake.session import materialize, new_shared_path
 
 # -- SQL pieces ------------------------------------------------------------------
 
@@ -429,14 +429,16 @@ BENCH = DETECTED.rstrip() + """,
 
 @query("detection_benchmark", "cues cue_segments", BENCH)
 def _benchmark(d: Inputs):
-    truth = intervals.merge_intervals(d.cue_segments())
-    return rounded(intervals.segment_metrics(T.detect_segments(d.cues()), truth))
+    truth = materialize(intervals.merge_intervals(d.cue_segments()), "truth")
+    found = materialize(T.detect_segments(d.cues()), "detections")
+    return rounded(intervals.segment_metrics(found, truth))
 
 
 @query("detection_benchmark_summary")
 def _benchmark_summary(d: Inputs):
-    cues, truth = d.cues(), intervals.merge_intervals(d.cue_segments())
-    found = T.detect_segments(cues)
+    cues = d.cues()
+    truth = materialize(intervals.merge_intervals(d.cue_segments()), "truth")
+    found = materialize(T.detect_segments(cues), "detections")
     videos = d.videos().select("video_id")
     both = truth.select("video_id").union(found.select("video_id"))
     status = cleaning.detection_status(videos, cues, both)

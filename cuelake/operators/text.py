@@ -213,21 +213,25 @@ def cue_breaks(cues: DataFrame, silence_ms: int = 1500) -> DataFrame:
 
     Neighbours are the cues with the adjacent ``cue_idx``.
     """
-    flagged = (
-        cues.withColumn("end_ms", F.col("start_ms") + F.col("dur_ms"))
-        .withColumn("_intro", matches_any(F.col("text"), vocab.INTRO_PHRASES))
-        .withColumn("_return", matches_any(F.col("text"), vocab.RETURN_PHRASES))
-    )
-    spread = halo(flagged, "cue_idx", INDEX_CHUNK, before=1, after=1)
+    # The phrase tests come after the exchange: the detector needs the start breaks in
+    # one branch and the end breaks in another, and both then read the same exchange.
+    ended = cues.withColumn("end_ms", F.col("start_ms") + F.col("dur_ms"))
+    spread = halo(ended, "cue_idx", INDEX_CHUNK, before=1, after=1)
     w = Window.partitionBy("video_id", CHUNK).orderBy("cue_idx")
     no = F.lit(False)
-    silent_before = F.coalesce(F.col("start_ms") - F.lag("end_ms").over(w) > silence_ms, no)
-    silent_after = F.coalesce(F.lead("start_ms").over(w) - F.col("end_ms") > silence_ms, no)
-    returns = F.coalesce(F.lead("_return").over(w), no)
-    out = spread.withColumn("stop_back", silent_before | F.col("_intro")).withColumn(
-        "stop_fwd", silent_after | returns
+    placed = own_rows(
+        spread.withColumn("_prev_end", F.lag("end_ms").over(w))
+        .withColumn("_next_start", F.lead("start_ms").over(w))
+        .withColumn("_next_text", F.lead("text").over(w))
+    )
+    silent_before = F.coalesce(F.col("start_ms") - F.col("_prev_end") > silence_ms, no)
+    silent_after = F.coalesce(F.col("_next_start") - F.col("end_ms") > silence_ms, no)
+    returns = F.coalesce(matches_any(F.col("_next_text"), vocab.RETURN_PHRASES), no)
+    return (
+        placed.withColumn("stop_back", silent_before | matches_any(F.col("text"), vocab.INTRO_PHRASES))
+        .withColumn("stop_fwd", silent_after | returns)
+        .drop("_prev_end", "_next_start", "_next_text")
     )
-    return own_rows(out).drop("_intro", "_return")
 
 
 def context_score(

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", app: str = "cuelake", **conf: str) -> SparkSession:
@@ -47,3 +47,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_shared_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write an intermediate result once to the shared folder and read it back.
+
+    For results that several branches use and that are costly to compute but small,
+    such as detections; the written table survives the loss of executors.
+    """
+    path = new_shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
