@@ -17,7 +17,7 @@ NOW = "2024-01-20 00:00:00"
 
 
 @query("read_segments_csv", "segments_raw", """
-    SELECT category, "hidden", actionType, count(*) AS n, sum(CAST(votes AS BIGINT)) AS votes,
+    SELECT category, "hidden", actionType, count(*) AS n, CAST(sum(CAST(votes AS BIGINT)) AS BIGINT) AS votes,
       sum(CASE WHEN shadow IS NULL AND svc IS NULL THEN 1 ELSE 0 END)::BIGINT AS n_absent
     FROM (SELECT *, NULL AS shadow, NULL AS svc FROM segments_raw) GROUP BY ALL""")
 def _read_csv(d: Inputs):

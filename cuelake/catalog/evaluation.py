@@ -8,6 +8,9 @@ from cuelake.catalog.registry import query, rounded
 from cuelake.fixtures import Inputs
 from cuelake.functions.math import sigmoid
 from cuelake.operators import evaluate as E, mldata as M, windows as W
+from cuelake.plans.ordered import INDEX_CHUNK, chunk_of
+from cuelake.session import new_shared_path
+from cuelake.sources.logs import read_run_logs, read_trials, write_report
 
 
 @query("error_types", "predictions", """
@@ -233,6 +236,41 @@ def _new_best(d: Inputs):
     return E.new_best_trials(d.trials())
 
 
+# -- logs and reports through files ------------------------------------------------------
+
+
+@query("read_run_logs", "epoch_log", "SELECT 'run-' || CAST(run_id AS VARCHAR) AS phase, epoch, val_f1 FROM epoch_log")
+def _run_logs(d: Inputs):
+    path = new_shared_path(d.spark, "run-logs")
+    # A log per run and block of epochs: no list grows with the run.
+    logs = d.epoch_log().groupBy(
+        F.concat(F.lit("run-"), F.col("run_id").cast("string")).alias("phase"),
+        chunk_of(F.col("epoch"), INDEX_CHUNK).alias("block"),
+    ).agg(F.collect_list(F.struct("epoch", "val_f1")).alias("epochs"))
+    logs.write.json(path)
+    return read_run_logs(d.spark, path, multi_line=False).select("phase", "epoch", "val_f1")
+
+
+@query("read_trials", "trials", "SELECT CAST(trial AS INT) AS trial, state, val_f1, round(trial % 7 / 10.0::DOUBLE, 6) AS lr FROM trials")
+def _trials(d: Inputs):
+    path = new_shared_path(d.spark, "trials")
+    params = F.create_map(F.lit("lr"), F.col("trial") % 7 / 10.0)
+    d.trials().withColumn("params", params).write.json(path)
+    back = read_trials(d.spark, path, multi_line=False)
+    return rounded(back.select("trial", "state", "val_f1", F.col("params")["lr"].alias("lr")))
+
+
+@query("write_report", "predictions", TYPED + """
+    SELECT error_type, count(*) AS n, round(avg(prob), 6) AS mean_prob FROM typed GROUP BY 1""")
+def _write_report(d: Inputs):
+    path = new_shared_path(d.spark, "errors")
+    write_report(typed(d), path, "csv")
+    back = d.spark.read.csv(path, header=True)
+    return rounded(back.groupBy("error_type").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.col("prob").cast("double")).alias("mean_prob")
+    ))
+
+
 # -- training data -------------------------------------------------------------------
 
 

@@ -89,9 +89,26 @@ def _mfcc(d: Inputs):
     )
 
 
-@query("delta_mfcc")
+MEAN = "list_avg(list_transform(st.hist[1:greatest(1, len(st.hist) - 2)], lambda h: h[i]))"
+DELTAS = f"""
+    , st(video_id, frame_idx, delta, hist) AS (
+      SELECT video_id, CAST(-1 AS INT), CAST(NULL AS DOUBLE[]), CAST([] AS DOUBLE[][]) FROM (SELECT DISTINCT video_id FROM frames)
+      UNION ALL SELECT f.video_id, f.frame_idx, x.d, list_append(st.hist, x.d)[greatest(1, len(st.hist) - 58):]
+      FROM st JOIN frames f ON f.video_id = st.video_id AND f.frame_idx = st.frame_idx + 1,
+        LATERAL (SELECT CASE WHEN len(st.hist) < 5 THEN f.coeffs ELSE list_transform(range(1, 14),
+          lambda i: (f.coeffs[i] - {MEAN}) / (abs({MEAN}) + 1)) END AS d) x),
+    ag AS (SELECT video_id, frame_idx, delta, len(hist) AS n,
+        list_transform(range(1, 14), lambda i: list_avg(list_transform(hist[greatest(1, len(hist) - 4):], lambda h: h[i]))) AS a,
+        list_transform(range(1, 14), lambda i: list_avg(list_transform(hist[1:len(hist) - 5], lambda h: h[i]))) AS b
+      FROM st WHERE frame_idx >= 0)
+    SELECT video_id, frame_idx, CASE WHEN n < 8 THEN 0.0::DOUBLE ELSE round((1 - greatest(-1, least(1, list_dot_product(a, b)
+        / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b)))))) / 2, 6) END AS anomaly,
+      {", ".join(f"round(delta[{i + 1}], 6) AS d{i}" for i in range(13))} FROM ag"""
+
+
+@query("delta_mfcc", "frames", DELTAS, recursive=True)
 def _delta(d: Inputs):
-    return wide(S.delta_mfcc(d.frames()), "delta", 13, "d")
+    return rounded(wide(S.delta_mfcc(d.frames()), "delta", 13, "d"))
 
 
 RECENT = ", ".join(f"avg(coeffs[{i + 1}]) OVER r AS n{i}, avg(coeffs[{i + 1}]) OVER o AS b{i}" for i in range(13))
@@ -292,10 +309,10 @@ def _stream_sliding(d: Inputs):
     return out.select("video_id", F.unix_seconds("window_start").alias("start_s"), "max_score", "n")
 
 
-@query("stream_delta_mfcc")
+@query("stream_delta_mfcc", "frames", DELTAS, recursive=True)
 def _stream_delta(d: Inputs):
     frames = streamed(d).frames().select("video_id", "frame_idx", "coeffs")
-    return wide(online.run_append(states.stream_delta_mfcc(frames)), "delta", 13, "d")
+    return rounded(wide(online.run_append(states.stream_delta_mfcc(frames)), "delta", 13, "d"))
 
 
 def armed(ticks: DataFrame) -> DataFrame:
@@ -306,7 +323,7 @@ def tick_day():
     return F.floor(F.unix_micros("ts") / DAY_US).cast("bigint")
 
 
-@query("hysteresis_segments", "ticks", """
+COUNTER = """
     , o AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY ts, event_id) AS rn,
       CASE WHEN event_id % 3 = 0 THEN 0.4 ELSE 0.5 END AS enter_at FROM ticks),
     st(video_id, rn, event_id, c, inside) AS (
@@ -315,7 +332,10 @@ def tick_day():
         CASE WHEN NOT st.inside AND k.c >= 2 THEN true WHEN st.inside AND o.score < 0.5 AND k.c = 0 THEN false ELSE st.inside END
       FROM st JOIN o ON o.video_id = st.video_id AND o.rn = st.rn + 1,
         LATERAL (SELECT CASE WHEN o.score >= o.enter_at THEN least(st.c + 1, 10) ELSE greatest(0, st.c - 1) END AS c) k)
-    SELECT video_id, event_id, CAST(c AS INT) AS consecutive, inside FROM st WHERE rn > 0""", recursive=True)
+    SELECT video_id, event_id, CAST(c AS INT) AS consecutive, inside FROM st WHERE rn > 0"""
+
+
+@query("hysteresis_segments", "ticks", COUNTER, recursive=True)
 def _hysteresis(d: Inputs):
     # Ticks are sparse here: a chunk of ten days holds few dozen rows per video.
     chunk = F.floor(tick_day() / 10)
@@ -323,7 +343,7 @@ def _hysteresis(d: Inputs):
     return out.select("video_id", "event_id", "consecutive", "inside")
 
 
-@query("stream_hysteresis")
+@query("stream_hysteresis", "ticks", COUNTER, recursive=True)
 def _stream_hysteresis(d: Inputs):
     ticks = armed(streamed(d).ticks()).select("video_id", "event_id", "score", "enter_at")
     return online.run_append(states.stream_hysteresis(ticks)).drop("score")

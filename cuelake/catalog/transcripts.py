@@ -10,7 +10,8 @@ from cuelake.catalog.spans import labelled
 from cuelake.fixtures import Inputs
 from cuelake.functions import text as X
 from cuelake.operators import cleaning, evaluate, intervals, text as T, windows as W
-from cuelake.session import materialize, new_shared_path
+from cuelake.session import materialize
+from cuelake.sources.captions import parse_payloads
 
 # -- SQL pieces ------------------------------------------------------------------
 
@@ -215,20 +216,26 @@ def _xml(d: Inputs):
     return T.cues_from_xml(xml_payloads(d))
 
 
-@query("read_captions", "doc_lines", DOC_CUES + """
-    SELECT 'cap' AS source, count(*) AS n, CAST(sum(CASE WHEN i % 3 <> 0 THEN 3000 ELSE 2000 END) AS BIGINT) AS total_ms,
-      CAST(sum(length(trim(text))) AS BIGINT) AS chars FROM dc WHERE trim(text) <> ''""")
+@query("read_captions", "doc_lines", DOC_CUES + r"""
+    , n AS (SELECT *, CAST(substr(video_id, 2) AS BIGINT) % 4 AS kind FROM dc),
+    c AS (SELECT video_id, kind, i, CASE WHEN kind = 0 THEN greatest(CASE WHEN i % 7 = 5 THEN 0 ELSE 3000 END, 1)
+        WHEN i % 3 <> 0 THEN 3000 ELSE 2000 END AS dur,
+      trim(CASE WHEN kind = 2 THEN regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g') ELSE text END) AS text FROM n)
+    SELECT video_id, count(*) AS n_cues, CAST(sum(dur) AS BIGINT) AS total_ms, CAST(max(i) * 4000 AS BIGINT) AS last_ms
+    FROM c WHERE text <> '' OR (kind = 0 AND i % 5 IN (1, 2, 3)) GROUP BY 1""")
 def _captions(d: Inputs):
-    path = new_shared_path(d.spark, "captions")
-    # One directory per document; every file holds one payload.
-    json3_payloads(d).select("payload", F.concat(F.col("video_id"), F.lit(".json3")).alias("f")).write.partitionBy("f").text(path)
-    payloads = d.spark.read.text(path, wholetext=True).select(
-        F.element_at(F.split("f", r"\."), 1).alias("video_id"), F.col("value").alias("payload")
+    """Payloads of all formats, routed by extension as the file reader does."""
+
+    def part(payloads, kind: int, ext: str):
+        n = F.substring("video_id", 2, 18).cast("bigint") % 4
+        return payloads.filter(n == kind).select("video_id", F.lit(ext).alias("ext"), "payload")
+
+    payloads = (
+        part(vtt_payloads(d), 0, "vtt").unionByName(part(json3_payloads(d), 1, "json3"))
+        .unionByName(part(xml_payloads(d), 2, "xml")).unionByName(part(json3_payloads(d), 3, "ttml"))
     )
-    cues = T.cues_from_json3(payloads)
-    return cues.agg(
-        F.lit("cap").alias("source"), F.count(F.lit(1)).alias("n"), F.sum("dur_ms").alias("total_ms"),
-        F.sum(F.length("text")).alias("chars"),
+    return parse_payloads(payloads).groupBy("video_id").agg(
+        F.count(F.lit(1)).alias("n_cues"), F.sum("dur_ms").alias("total_ms"), F.max("start_ms").alias("last_ms")
     )
 
 
@@ -434,7 +441,21 @@ def _benchmark(d: Inputs):
     return rounded(intervals.segment_metrics(found, truth))
 
 
-@query("detection_benchmark_summary")
+SUMMARY = BENCH.rstrip().replace("    SELECT video_id, gt.n AS n_gt", "    , met AS (SELECT video_id, gt.n AS n_gt", 1) + """),
+    cov AS (SELECT g.video_id, g.start_ms, 2 * coalesce(sum(CASE WHEN d.start_ms IS NOT NULL THEN least(g.end_ms, d.end_ms)
+        - greatest(g.start_ms, d.start_ms) END), 0) >= any_value(g.end_ms - g.start_ms) AS covered FROM cue_segments g
+      LEFT JOIN detected d ON d.video_id = g.video_id AND d.end_ms > g.start_ms AND d.start_ms < g.end_ms GROUP BY 1, 2),
+    av AS (SELECT count(*) AS n, avg("precision") AS p, avg(recall) AS r, avg(iou) AS iou, sum(n_gt) AS n_gt FROM met)
+    SELECT av.n AS n_total, CAST(0 AS BIGINT) AS n_errors, CAST(0 AS BIGINT) AS n_no_captions, CAST(0 AS BIGINT) AS n_true_negative,
+      av.n AS n_with_segments, round(p, 5) AS avg_precision, round(r, 5) AS avg_recall, round(iou, 5) AS avg_iou,
+      CAST(n_gt AS BIGINT) AS n_gt, CAST(0 AS BIGINT) AS n_false_pos, (SELECT count_if(covered)::BIGINT FROM cov) AS n_covered,
+      round((SELECT count_if(covered) FROM cov) * 100.0::DOUBLE / n_gt, 5) AS covered_pct,
+      CASE WHEN r < 0.3 THEN 'low' WHEN r < 0.5 THEN 'moderate' ELSE 'ok' END AS recall_level,
+      CASE WHEN p < 0.3 THEN 'low' WHEN p < 0.5 THEN 'moderate' ELSE 'ok' END AS precision_level, iou >= 0.4 AS decent_iou FROM av"""
+
+
+# Every video has captions and truth here, so the status counts are known.
+@query("detection_benchmark_summary", "cues cue_segments", SUMMARY)
 def _benchmark_summary(d: Inputs):
     cues = d.cues()
     truth = materialize(intervals.merge_intervals(d.cue_segments()), "truth")
@@ -442,7 +463,7 @@ def _benchmark_summary(d: Inputs):
     videos = d.videos().select("video_id")
     both = truth.select("video_id").union(found.select("video_id"))
     status = cleaning.detection_status(videos, cues, both)
-    return rounded(evaluate.detection_summary(status, found, truth))
+    return rounded(evaluate.detection_summary(status, found, truth), 5)
 
 
 # -- baselines over built windows ---------------------------------------------------------

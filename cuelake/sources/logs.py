@@ -12,9 +12,12 @@ RUN_LOG_SCHEMA = """
 TRIALS_SCHEMA = "trial INT, state STRING, val_f1 DOUBLE, params MAP<STRING,DOUBLE>"
 
 
-def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
-    """One row per (run, epoch); the run is named by its file."""
-    raw = spark.read.json(path, schema=RUN_LOG_SCHEMA, multiLine=True)
+def read_run_logs(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """One row per (run, epoch); the run is named by its file.
+
+    ``multi_line=False`` reads many logs per file, one per line, which splits better.
+    """
+    raw = spark.read.json(path, schema=RUN_LOG_SCHEMA, multiLine=multi_line)
     run = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
     return raw.select(
         F.regexp_replace(run, r"\.json$", "").alias("run_id"), "phase",
@@ -22,8 +25,8 @@ def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
     ).select("run_id", "phase", "e.*")
 
 
-def read_trials(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.json(path, schema=TRIALS_SCHEMA, multiLine=True)
+def read_trials(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    return spark.read.json(path, schema=TRIALS_SCHEMA, multiLine=multi_line)
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "json", mode: str = "overwrite") -> None:
