@@ -267,7 +267,7 @@ def label_runs(windows: DataFrame) -> DataFrame:
             "video_id", F.col("window_idx").cast("bigint").alias("start_idx"),
             F.col("window_idx").cast("bigint").alias("end_idx"),
         ),
-        ["video_id"], "start_idx", "end_idx", ["start_idx"], 1, widths=(INDEX_CHUNK,),
+        ["video_id"], "start_idx", "end_idx", ["start_idx"], 1, width=INDEX_CHUNK,
     )
     return runs.withColumn("length", F.col("end_idx") - F.col("start_idx") + 1)
 

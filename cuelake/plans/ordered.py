@@ -203,63 +203,86 @@ def merge_runs(
     gap: int,
     extra: dict[str, tuple[str, str]] | None = None,
     reach: str = "previous",
-    widths: Sequence[int] = (TIME_CHUNK_MS,),
+    width: int = TIME_CHUNK_MS,
 ) -> DataFrame:
     """Merge rows per key into runs; a new run opens when ``start - reach > gap``.
 
     ``reach`` is the end of the preceding row (``"previous"``) or the largest end
-    so far (``"furthest"``).  The run's start is the first row's; its end is the
-    last row's for ``previous`` and the largest for ``furthest``.  ``extra`` maps
-    output names to ``(min|max|sum|count|first|last, column)``.
-
-    The merge runs per ``(key, chunk)`` for each width and finally per key; each
-    pass reads only the partial runs of the one before.
+    so far (``"furthest"``); rows must not end before they start in the former case.
+    The run's start is the first row's; its end is the last row's for ``previous`` and
+    the largest for ``furthest``.  ``extra`` maps output names to
+    ``(min|max|sum|count|first|last, column)``.
+
+    First pass: per ``(key, chunk)``.  Only the first and the last run of a chunk can
+    continue in another one, so the second pass puts just these edge runs (two per
+    chunk) together by key; all inner runs stay with their chunk.
     """
     extra = extra or {}
+    keys = list(keys)
+    position = F.struct(*[F.col(c) for c in order])
     current = df.select(
-        *keys,
-        F.col(start).alias("_s"),
-        F.col(end).alias("_e"),
-        F.struct(*[F.col(c) for c in order]).alias("_first"),
-        F.struct(*[F.col(c) for c in order]).alias("_last"),
+        *keys, F.col(start).alias("_s"), F.col(end).alias("_e"),
+        chunk_of(F.col(start), width).alias(CHUNK),
+        position.alias("_first"), position.alias("_last"),
         *[
             (F.lit(1).cast("bigint") if fn == "count" else F.col(col)).alias(name)
             for name, (fn, col) in extra.items()
         ],
     )
-    for width in [*widths, None]:
-        part = [*keys]
-        if width is not None:
-            current = current.withColumn(CHUNK, chunk_of(F.col("_s"), width))
-            part.append(CHUNK)
-        w = Window.partitionBy(*part).orderBy("_first")
-        upto_prev = w.rowsBetween(Window.unboundedPreceding, -1)
-        behind = F.max("_e").over(upto_prev) if reach == "furthest" else F.lag("_e").over(w)
-        opened = current.withColumn(
-            "_new", F.when(F.col("_s") - behind <= F.lit(gap), F.lit(0)).otherwise(F.lit(1))
-        )
-        grouped = opened.withColumn(
-            "_grp", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        )
-        last_end = F.max("_e") if reach == "furthest" else F.max_by("_e", "_last")
-        aggs = [
-            F.min("_s").alias("_s"),
-            last_end.alias("_e"),
-            F.min("_first").alias("_first"),
-            F.max("_last").alias("_last2"),
-        ]
-        for name, (fn, _) in extra.items():
-            if fn == "first":
-                aggs.append(F.min_by(name, "_first").alias(name))
-            elif fn == "last":
-                aggs.append(F.max_by(name, "_last").alias(name))
-            else:
-                aggs.append(_FINAL[fn](name).alias(name))
-        current = grouped.groupBy(*part, "_grp").agg(*aggs).drop("_grp", CHUNK)
-        current = current.withColumnRenamed("_last2", "_last")
-    return current.select(
-        *keys, F.col("_s").alias(start), F.col("_e").alias(end), *extra.keys()
+    furthest = reach == "furthest"
+    part = [*keys, CHUNK]
+    if furthest:
+        # Largest end of all earlier chunks: rows within its reach continue that run.
+        tops = df.groupBy(*keys, chunk_of(F.col(start), width).alias(CHUNK)).agg(F.max(end).alias("_top"))
+        earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+        carried = tops.select(*part, F.max("_top").over(earlier).alias("_carry"))
+        current = current.join(carried, part)
+    else:
+        current = current.withColumn("_carry", F.lit(None).cast("bigint"))
+    merged = _merge_pass(current, part, gap, extra, furthest)
+
+    # Group 0 continues an earlier run; without a carried reach the first run may.
+    w = Window.partitionBy(*part).orderBy("_first")
+    first = F.col("_grp") == 0 if furthest else F.lag("_s").over(w).isNull()
+    edge = first | F.lead("_s").over(w).isNull()
+    salted = merged.withColumn("_edge", edge).withColumn(
+        "_salt", F.when(F.col("_edge"), F.lit(None).cast("bigint")).otherwise(F.col(CHUNK))
+    )
+    final = _merge_pass(
+        salted.withColumn("_carry", F.lit(None).cast("bigint")), [*keys, "_salt"], gap, extra, furthest
+    )
+    return final.select(*keys, F.col("_s").alias(start), F.col("_e").alias(end), *extra.keys())
+
+
+def _merge_pass(
+    df: DataFrame, part: list[str], gap: int, extra: dict[str, tuple[str, str]], furthest: bool
+) -> DataFrame:
+    """Runs within each partition; ``_grp`` 0 holds the rows within the carried reach."""
+    w = Window.partitionBy(*part).orderBy("_first")
+    if furthest:
+        behind = F.greatest(F.max("_e").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("_carry"))
+    else:
+        behind = F.lag("_e").over(w)
+    opened = df.withColumn(
+        "_new", F.when(F.col("_s") - behind <= F.lit(gap), F.lit(0)).otherwise(F.lit(1))
+    )
+    grouped = opened.withColumn(
+        "_grp", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     )
+    aggs = [
+        F.min("_s").alias("_s"),
+        (F.max("_e") if furthest else F.max_by("_e", "_last")).alias("_e"),
+        F.min("_first").alias("_first"),
+    ]
+    for name, (fn, _) in extra.items():
+        if fn == "first":
+            aggs.append(F.min_by(name, "_first").alias(name))
+        elif fn == "last":
+            aggs.append(F.max_by(name, "_last").alias(name))
+        else:
+            aggs.append(_FINAL[fn](name).alias(name))
+    aggs.append(F.max("_last").alias("_last"))
+    return grouped.groupBy(*part, "_grp").agg(*aggs)
 
 
 # ---------------------------------------------------------------------------

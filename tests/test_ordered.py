@@ -52,8 +52,9 @@ def test_ordered_index_is_dense(spark, skewed):
     assert {(r["k"], r["i"], r["n"]) for r in out.collect()} == {(k, i, i) for k, i, *_ in skewed}
 
 
+@pytest.mark.parametrize("width", [50, 700])
 @pytest.mark.parametrize("reach", ["previous", "furthest"])
-def test_merge_runs_equals_a_loop(spark, reach):
+def test_merge_runs_equals_a_loop(spark, reach, width):
     rng = random.Random(2)
     data = []
     for key, n in (("hot", 300), ("a", 20), ("b", 1)):
@@ -61,7 +62,7 @@ def test_merge_runs_equals_a_loop(spark, reach):
     data = sorted(set(data))
     df = spark.createDataFrame(data, "k STRING, s LONG, e LONG")
     got = rows(merge_runs(df, ["k"], "s", "e", ["s", "e"], 10, {"n": ("count", "s"), "top": ("max", "e"), "head": ("first", "e")},
-                          reach, widths=(50, 500)))
+                          reach, width=width))
     want = []
     for key in {k for k, *_ in data}:
         run = None
