@@ -108,11 +108,14 @@ class Inputs:
     # -- crowd intervals -----------------------------------------------------
 
     def segments_raw(self) -> DataFrame:
+        return self._segments().drop("n")
+
+    def _segments(self) -> DataFrame:
         li = self.table("lineitem")
         video = F.concat(F.lit("o"), (F.col("l_orderkey") % 2000).cast("string"))
         s = F.col("l_partkey") % 600
         return li.select(
-            video.alias("videoID"),
+            (F.col("l_orderkey") % 2000).alias("n"), video.alias("videoID"),
             s.cast("string").alias("startTime"),
             (s + F.col("l_quantity").cast("int")).cast("string").alias("endTime"),
             (F.col("l_suppkey") % 23 - 2).cast("string").alias("votes"),
@@ -126,11 +129,10 @@ class Inputs:
 
     def segments_long_ids(self) -> DataFrame:
         """``segments_raw`` with 11-character ids, float votes, service and shadow flags."""
-        raw = self.segments_raw()
-        n = F.substring("videoID", 2, 10).cast("bigint")
+        raw, n = self._segments(), F.col("n")
         return raw.select(
             F.when(n % 50 == 7, F.col("videoID"))
-            .otherwise(F.concat(F.lit("id"), F.lpad(F.substring("videoID", 2, 10), 9, "0")))
+            .otherwise(F.concat(F.lit("id"), F.lpad(n.cast("string"), 9, "0")))
             .alias("videoID"),
             "startTime", "endTime",
             F.when(n % 9 == 0, F.concat(F.col("votes"), F.lit(".7")))

@@ -8,14 +8,16 @@ from cuelake.schema import to_ms
 
 
 def _number(name: str) -> Column:
-    """Column parsed as a finite double, null where it is not one."""
-    value = F.trim(F.col(name)).try_cast("double")
-    finite = ~F.isnan(value) & (F.abs(value) != float("inf"))
-    return F.when(finite, value)
+    """Column parsed as a finite double, null where it is not one.
+
+    Casting ignores blanks around the number; NaN sorts above infinity.
+    """
+    value = F.col(name).try_cast("double")
+    return F.when(F.abs(value) < float("inf"), value)
 
 
 def _whole(name: str) -> Column:
-    return F.trim(F.col(name)).try_cast("int")
+    return F.col(name).try_cast("int")
 
 
 def _text(df: DataFrame, name: str, default: str = "") -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cuelake.plans.ordered import (
-    CHUNK, TIME_CHUNK_MS, Scan, carry_scan, chunk_of, merge_runs,
+    CHUNK, TIME_CHUNK_MS, Scan, by_chunk, carry_scan, chunk_of, merge_runs,
 )
 from cuelake.plans.spans import BUCKET, bucket_of, clip_ends, over_buckets, overlap_ms
 from cuelake.schema import GRID_MS
@@ -53,7 +53,7 @@ def _grid_hits(
     # The last window may be shorter: its length is decided by the window row, so
     # keep the raw overlap and test it after the join.
     return (
-        touched.withColumn("_ov", covered)
+        by_chunk(touched, "video_id", BUCKET).withColumn("_ov", covered)
         .filter(F.col("_ov") > 0)
         .groupBy("video_id", F.col(BUCKET).cast("int").alias("window_idx"))
         .agg(
@@ -120,7 +120,8 @@ def cues_in_window(windows: DataFrame, cues: DataFrame, width_ms: int = GRID_MS)
         F.greatest(F.col("start_ms"), F.col("_end") - 1), width_ms,
     ).select("video_id", F.col(BUCKET).cast("int").alias("window_idx"),
              "cue_idx", "start_ms", "_end", F.col("text").alias("_text"))
-    pairs = windows.join(spread, ["video_id", "window_idx"], "left")
+    placed = by_chunk(windows, "video_id", "window_idx")
+    pairs = placed.join(spread, ["video_id", "window_idx"], "left")
     inside = (F.col("_end") > F.col("t_start_ms")) & (F.col("start_ms") < F.col("t_end_ms"))
     held = F.collect_list(F.when(inside, F.struct("cue_idx", F.col("_text").alias("t"))))
     keep = [c for c in windows.columns if c not in ("video_id", "window_idx")]
@@ -241,7 +242,7 @@ def _common_ms(gt: DataFrame, det: DataFrame) -> DataFrame:
         )
 
     points = (
-        events(gt, "g").unionByName(events(det, "d"))
+        by_chunk(events(gt, "g").unionByName(events(det, "d")), "video_id", CHUNK)
         .groupBy("video_id", CHUNK, "t").agg(F.sum("dg").alias("dg"), F.sum("dd").alias("dd"))
     )
     w = Window.partitionBy("video_id", CHUNK).orderBy("t")

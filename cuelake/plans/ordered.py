@@ -42,7 +42,19 @@ def chunk_of(position: Column, width: int) -> Column:
 # ---------------------------------------------------------------------------
 
 
-def halo(df: DataFrame, position: str, width: int, before: int = 0, after: int = 0) -> DataFrame:
+def by_chunk(df: DataFrame, *columns: str) -> DataFrame:
+    """Spread rows by all of ``columns``.
+
+    Spark regards data already partitioned by the key alone as good enough for a window
+    or aggregate over (key, chunk), and would leave a hot key in one task; the explicit
+    exchange prevents that.  Where one is needed anyway it takes its place.
+    """
+    return df.repartition(*columns)
+
+
+def halo(
+    df: DataFrame, position: str, width: int, before: int = 0, after: int = 0, key: str = "video_id"
+) -> DataFrame:
     """Add ``_chunk`` and ``_own``; a row also appears in each chunk it is near to.
 
     A chunk sees all rows from ``before`` units ahead of its start to ``after``
@@ -52,9 +64,10 @@ def halo(df: DataFrame, position: str, width: int, before: int = 0, after: int =
     pos = F.col(position)
     first = chunk_of(pos - F.lit(after), width)
     last = chunk_of(pos + F.lit(before), width)
-    return df.withColumn(CHUNK, F.explode(F.sequence(first, last))).withColumn(
+    spread = df.withColumn(CHUNK, F.explode(F.sequence(first, last))).withColumn(
         "_own", F.col(CHUNK) == chunk_of(pos, width)
     )
+    return by_chunk(spread, key, CHUNK)
 
 
 def own_rows(df: DataFrame) -> DataFrame:
@@ -160,7 +173,8 @@ def carry_scan(
         else:
             c = F.lead(F.struct(v.alias("v"))).over(inside)
         local.append(c.alias(f"_l_{s.name}"))
-    joined = rows.select("*", *local).join(carry, [*keys, CHUNK], "left")
+    placed = by_chunk(rows, *keys, CHUNK)
+    joined = placed.select("*", *local).join(carry, [*keys, CHUNK], "left")
 
     out = []
     for s in scans:
@@ -239,7 +253,7 @@ def merge_runs(
         current = current.join(carried, part)
     else:
         current = current.withColumn("_carry", F.lit(None).cast("bigint"))
-    merged = _merge_pass(current, part, gap, extra, furthest)
+    merged = _merge_pass(by_chunk(current, *part), part, gap, extra, furthest)
 
     # Group 0 continues an earlier run; without a carried reach the first run may.
     w = Window.partitionBy(*part).orderBy("_first")
@@ -248,9 +262,8 @@ def merge_runs(
     salted = merged.withColumn("_edge", edge).withColumn(
         "_salt", F.when(F.col("_edge"), F.lit(None).cast("bigint")).otherwise(F.col(CHUNK))
     )
-    final = _merge_pass(
-        salted.withColumn("_carry", F.lit(None).cast("bigint")), [*keys, "_salt"], gap, extra, furthest
-    )
+    regrouped = by_chunk(salted.withColumn("_carry", F.lit(None).cast("bigint")), *keys, "_salt")
+    final = _merge_pass(regrouped, [*keys, "_salt"], gap, extra, furthest)
     return final.select(*keys, F.col("_s").alias(start), F.col("_e").alias(end), *extra.keys())
 
 
