@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,18 +36,43 @@ def local_session(cores: str = "8", app: str = "cuelake", **conf: str) -> SparkS
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Where the session names none (tests on one machine) a fresh local folder is
-    made and recorded in the session, so later calls agree.
+    Where the session names none, a fresh local folder is made and recorded in the
+    session, so later calls agree; with executors elsewhere that would lose rows
+    silently, so it is an error there.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.conf.get("cuelake.shared.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("cuelake.shared.dir", root)
     return root
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the executors, once per Spark context.
+
+    Functions that run in Python workers are pickled by module name, so the workers
+    must be able to import the package wherever the driver was started.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_cuelake_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="spark-"), "cuelake.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.relpath(full, os.path.dirname(package)))
+    context.addPyFile(archive)
+    context._cuelake_shipped = True
+
+
 def new_shared_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
 
