@@ -66,18 +66,17 @@ def shallow_fills(classes: list[int], full: int) -> list[tuple[int, ...]]:
 
 def least_squares(matrix: np.ndarray, target: np.ndarray, rounds: int = 600) -> np.ndarray:
     """x >= 0 that minimises |matrix x - target|, by an active set that grows by the steepest column."""
-    gram, moment = matrix.T @ matrix, matrix.T @ target
     x, active = np.zeros(matrix.shape[1]), []
     for _ in range(rounds):
-        slope = moment - gram @ x
+        slope = matrix.T @ (target - matrix @ x)
         slope[active] = -np.inf
         best = int(np.argmax(slope))
         if slope[best] <= 1e-6 * max(1.0, float(target.max(initial=0))):
             break
         active.append(best)
         while True:
-            part = gram[np.ix_(active, active)] + 1e-9 * np.eye(len(active))
-            wanted = np.linalg.solve(part, moment[active])
+            used = matrix[:, active]
+            wanted = np.linalg.solve(used.T @ used + 1e-9 * np.eye(len(active)), used.T @ target)
             if (wanted > 0).all():
                 x[:] = 0
                 x[active] = wanted
@@ -145,7 +144,7 @@ def slots(made: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int,
     return out
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, window: int = 4096, unit: int = 32) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, window: int = 4096, unit: int = 16) -> DataFrame:
     """Pieces of all documents with their sequence and offset.
 
     A null text is empty (one piece: the end id); ids of documents may be null or
