@@ -13,10 +13,10 @@ from cuelake.session import new_shared_path
 SEGMENT = 1 << 20
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, executors may go."""
     path = new_shared_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.parquet(path, **options)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
