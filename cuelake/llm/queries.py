@@ -12,6 +12,7 @@ from cuelake.llm.bpe import encode_decode
 from cuelake.llm.common import tokenizer_path
 from cuelake.llm.langid import languages
 from cuelake.llm.packing import pack
+from cuelake.llm.pii import find_spans
 from cuelake.llm.quality import quality_rules
 from cuelake.llm.simhash import near_duplicates
 from cuelake.llm.tokenfile import token_file_round_trip
@@ -73,6 +74,11 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
 
+@registered
+def op5_personal_data(spark, sf_dir):
+    return find_spans(table(spark, sf_dir, "documents"))
+
+
 @registered
 def op6_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE), END_ID)
