@@ -84,10 +84,10 @@ def _shards(d: Inputs):
     return shard_plan(names, "pages")
 
 
-@query("write_sharded", "", "SELECT doc_id, n_chars FROM documents")
+@query("write_sharded", "", "SELECT * FROM documents")
 def _write_sharded(d: Inputs):
     path = new_shared_path(d.spark, "shards")
-    write_sharded(d.table("documents").select("doc_id", "n_chars"), "doc_id", path)
+    write_sharded(d.table("documents"), "doc_id", path)
     return d.spark.read.parquet(path)
 
 
@@ -314,7 +314,7 @@ def _lookup_memory(d: Inputs):
 
 
 @query("job_status", "job_events", """
-    SELECT job_id, video_id, status, right(error, 500) AS error FROM (
+    SELECT job_id, video_id, status, error, right(error, 500) AS error_tail FROM (
       SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) AS rn FROM job_events)
     WHERE rn = 1""")
 def _jobs(d: Inputs):

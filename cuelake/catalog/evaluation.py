@@ -104,20 +104,20 @@ def _top(d: Inputs):
 
 @query("video_error_rates", "predictions", TYPED + """
     SELECT video_id, count_if(error_type = 'FN')::BIGINT AS n_errors, count(*) AS n_windows,
-      round(avg(CASE WHEN error_type = 'FN' THEN prob END), 6) AS mean_prob,
-      round(count_if(error_type = 'FN') / count(*)::DOUBLE, 6) AS error_rate
+      round(CAST(sum(CASE WHEN error_type = 'FN' THEN CAST(prob AS DECIMAL(18,12)) END) AS DOUBLE) / count_if(error_type = 'FN'), 12) AS mean_prob,
+      round(count_if(error_type = 'FN') / count(*)::DOUBLE, 12) AS error_rate
     FROM typed GROUP BY 1 HAVING count_if(error_type = 'FN') > 0""")
 def _rates(d: Inputs):
-    return rounded(E.video_error_rates(typed(d), "FN"))
+    return rounded(E.video_error_rates(typed(d), "FN"), 12)
 
 
 @query("confidence_of_errors", "predictions", TYPED + """
-    SELECT round(avg(CASE WHEN error_type = 'FP' THEN prob END), 6) AS fp_mean_prob,
-      round(avg(CASE WHEN error_type = 'FN' THEN prob END), 6) AS fn_mean_prob,
+    SELECT round(CAST(sum(CASE WHEN error_type = 'FP' THEN CAST(prob AS DECIMAL(18,12)) END) AS DOUBLE) / count_if(error_type = 'FP'), 12) AS fp_mean_prob,
+      round(CAST(sum(CASE WHEN error_type = 'FN' THEN CAST(prob AS DECIMAL(18,12)) END) AS DOUBLE) / count_if(error_type = 'FN'), 12) AS fn_mean_prob,
       count_if(error_type = 'FP' AND prob > 0.8)::BIGINT AS confident_fp, count_if(error_type = 'FN' AND prob < 0.2)::BIGINT AS hopeless_fn
     FROM typed""")
 def _confidence(d: Inputs):
-    return rounded(E.confidence_of_errors(typed(d)))
+    return rounded(E.confidence_of_errors(typed(d)), 12)
 
 
 @query("threshold_sensitivity", "predictions", """
@@ -166,9 +166,7 @@ def _separation(d: Inputs):
 
 
 @query("errors_export", "predictions", TYPED + """
-    SELECT video_id, window_idx, label, prob, CAST(prob >= 0.5 AS INT) AS pred, error_type FROM typed WHERE error_type <> 'TN'
-    UNION ALL SELECT * FROM (SELECT video_id, window_idx, label, prob, CAST(prob >= 0.5 AS INT), error_type FROM typed
-      WHERE error_type = 'TN' ORDER BY md5('42-' || video_id || '-' || CAST(window_idx AS VARCHAR)) LIMIT 5000)""")
+    SELECT video_id, window_idx, label, prob, CAST(prob >= 0.5 AS INT) AS pred, error_type FROM typed""")
 def _export(d: Inputs):
     return E.errors_export(typed(d))
 
@@ -288,17 +286,28 @@ def _balance(d: Inputs):
     return rounded(M.class_balance_weights(d.labelled_windows()), 8)
 
 
-@query("class_balance_videos", "predictions", """
+# A user's day is the video here: some have a positive window, some have none.
+@query("class_balance_videos", "", """
     SELECT *, round(1.0::DOUBLE / count(*) OVER (PARTITION BY has_segment), 6) AS balance_weight
-    FROM (SELECT video_id, count_if(label = 1 AND window_idx < 2) > 0 AS has_segment FROM predictions GROUP BY 1)""")
+    FROM (SELECT concat('u', CAST(user_id AS VARCHAR), '-', CAST(CAST(ts AS DATE) AS VARCHAR)) AS video_id,
+        count_if(event_type = 'purchase') > 0 AS has_segment FROM events GROUP BY 1)""")
 def _balance_videos(d: Inputs):
-    early = d.labelled_windows().withColumn(
-        "label", F.when(F.col("window_idx") < 2, F.col("label")).otherwise(0)
+    days = d.table("events").select(
+        F.expr("concat('u', CAST(user_id AS STRING), '-', CAST(CAST(ts AS DATE) AS STRING))").alias("video_id"),
+        F.when(F.col("event_type") == "purchase", 1).otherwise(0).alias("label"),
     )
-    return rounded(M.class_balance_weights(early, "video"))
-
-
-@query("balanced_resample")
+    return rounded(M.class_balance_weights(days, "video"))
+
+
+@query("balanced_resample", "predictions", """
+    , c AS (SELECT *, 1.0::DOUBLE / count(*) OVER (PARTITION BY label = 1) AS w FROM predictions),
+    t AS (SELECT count(*) AS n, CAST(sum(CAST(w AS DECIMAL(38,20))) AS DOUBLE) AS s FROM c),
+    r AS (SELECT video_id, window_idx, label, w / s * n AS rate,
+        (CAST('0x' || substr(md5('42-' || video_id || '-' || CAST(window_idx AS VARCHAR)), 1, 8) AS BIGINT) + 0.5) / 4294967296.0::DOUBLE AS u FROM c, t),
+    k AS (SELECT video_id, window_idx, any_value(label) AS label, count_if(cum < u) AS copies
+      FROM (SELECT *, sum(exp(-rate + j * ln(rate) - lgamma(j + 1))) OVER (PARTITION BY video_id, window_idx ORDER BY j) AS cum
+        FROM (SELECT *, unnest(range(0, 40)) AS j FROM r)) GROUP BY 1, 2)
+    SELECT label, CAST(sum(copies) AS BIGINT) AS "count" FROM k GROUP BY 1""")
 def _resample(d: Inputs):
     return M.balanced_resample(M.class_balance_weights(d.labelled_windows())).groupBy("label").count()
 

@@ -127,24 +127,24 @@ def _anomaly(d: Inputs):
 
 
 def pixels(d: Inputs):
-    """Pixels made of consecutive spectrum values scaled to 0-255."""
+    """Pixels made of consecutive spectrum values scaled to 0-255; the last one starts over."""
     v = lambda x: F.floor((F.least(F.greatest(x, F.lit(-1.0)), F.lit(1.0)) + 1) * 127.5)
     s = F.col("spectrum")
     return d.frames().select(
         "video_id", "frame_idx",
-        F.explode(F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.struct(
-            v(F.get(s, i * 3)).alias("r"), v(F.get(s, i * 3 + 1)).alias("g"), v(F.get(s, i * 3 + 2)).alias("b"),
+        F.explode(F.transform(F.sequence(F.lit(0), F.lit(21)), lambda i: F.struct(
+            v(F.get(s, i * 3)).alias("r"), v(F.get(s, (i * 3 + 1) % 64)).alias("g"), v(F.get(s, (i * 3 + 2) % 64)).alias("b"),
         ))).alias("p"),
     ).select("video_id", "frame_idx", "p.*")
 
 
-PIXEL = "CAST(least(floor(floor((least(greatest(spectrum[k * 3 + {c}], -1.0), 1.0) + 1) * 127.5) / 32), 7) AS INT)"
+PIXEL = "CAST(least(floor(floor((least(greatest(spectrum[(k * 3 + {c} - 1) % 64 + 1], -1.0), 1.0) + 1) * 127.5) / 32), 7) AS INT)"
 
 
 @query("color_histogram", "frames", f"""
     , px AS (SELECT video_id, frame_idx, c, CASE c WHEN 0 THEN {PIXEL.format(c=1)} WHEN 1 THEN {PIXEL.format(c=2)} ELSE {PIXEL.format(c=3)} END AS bin
-      FROM frames, (SELECT unnest(range(0, 21)) AS k), (SELECT unnest(range(0, 3)) AS c))
-    SELECT f.video_id, f.frame_idx, CAST(c * 8 + b AS INT) AS slot, round(count(px.bin) / 21.0::DOUBLE, 6) AS share
+      FROM frames, (SELECT unnest(range(0, 22)) AS k), (SELECT unnest(range(0, 3)) AS c))
+    SELECT f.video_id, f.frame_idx, CAST(c * 8 + b AS INT) AS slot, round(count(px.bin) / 22.0::DOUBLE, 6) AS share
     FROM (SELECT video_id, frame_idx, c, b FROM frames, (SELECT unnest(range(0, 3)) AS c), (SELECT unnest(range(0, 8)) AS b)) f
     LEFT JOIN px ON px.video_id = f.video_id AND px.frame_idx = f.frame_idx AND px.c = f.c AND px.bin = f.b GROUP BY ALL""".replace("CAST(c * 8 + b", "CAST(f.c * 8 + f.b"))
 def _color(d: Inputs):
@@ -271,14 +271,50 @@ def _blended(d: Inputs):
 
 
 class Streamed(Inputs):
-    """The same stateless views over a file stream."""
+    """The same stateless views over a file stream of several ordered micro-batches."""
+
+    #: What a table is ordered by, and into how many slices and files a slice it is written.
+    ORDER = {"events": "unix_micros(CAST(ts AS TIMESTAMP))", "embeddings": "vec_id", "documents": "doc_id"}
+    SLICES = 3
+    FILES = 4
 
     def table(self, name: str) -> DataFrame:
-        schema = self.spark.read.parquet(f"{self.directory}/{name}.parquet").schema
-        return (
-            self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-            .option("maxFilesPerTrigger", 64).parquet(self.directory)
-        )
+        """A stream over ordered slices of the table, one per micro-batch.
+
+        Slices are written one after the other, so that the file source, which goes by file
+        times, meets them in order; ``closing`` rows come last.
+        """
+        whole = super().table(name)
+        place = F.expr(self.ORDER[name])
+        cuts = whole.agg(F.percentile_approx(place, [(i + 1) / self.SLICES for i in range(self.SLICES - 1)], 1000)).first()[0] or []
+        edges = [None, *cuts, None]
+        path = new_shared_path(self.spark, f"stream-{name}")
+        for low, high in zip(edges, edges[1:]):
+            part = whole if low is None else whole.filter(place > low)
+            part = part if high is None else part.filter(place <= high)
+            part.repartition(self.FILES).write.mode("append").parquet(path)
+        closing = self.closing(name, whole)
+        if closing is not None:
+            closing.coalesce(1).write.mode("append").parquet(path)
+        return self.spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", self.FILES).parquet(path)
+
+    def closing(self, name: str, whole: DataFrame) -> DataFrame | None:
+        return None
+
+
+class Closed(Streamed):
+    """Event streams with a last row far behind all others, so that every window closes in append mode."""
+
+    MARK = "closing"
+
+    def closing(self, name: str, whole: DataFrame) -> DataFrame | None:
+        if name != "events":
+            return None
+        late = F.max(F.col("ts")) + F.expr("INTERVAL '365' DAY")
+        row = whole.agg(late.alias("ts")).select(
+            F.lit(-1).alias("event_id"), "ts", F.lit(-1).alias("user_id"), F.lit(self.MARK).alias("event_type"),
+            F.lit(1e9).alias("value"), F.lit("").alias("props"))
+        return row.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in whole.schema])
 
 
 def streamed(d: Inputs) -> Streamed:
@@ -305,7 +341,7 @@ def _stream_av(d: Inputs):
     FROM (SELECT video_id, score, unnest([0, 5, 10, 15, 20]) AS o, epoch_us(ts) // 5000000 * 5 AS s FROM ticks), LATERAL (SELECT s - o AS w)
     GROUP BY 1, 2""")
 def _stream_sliding(d: Inputs):
-    out = online.run_complete(online.stream_score_windows(streamed(d).ticks()))
+    out = online.run_append(online.stream_score_windows(Closed(d.spark, d.directory).ticks())).filter("video_id <> 'u-1'")
     return out.select("video_id", F.unix_seconds("window_start").alias("start_s"), "max_score", "n")
 
 
@@ -345,7 +381,7 @@ def _hysteresis(d: Inputs):
 
 @query("stream_hysteresis", "ticks", COUNTER, recursive=True)
 def _stream_hysteresis(d: Inputs):
-    ticks = armed(streamed(d).ticks()).select("video_id", "event_id", "score", "enter_at")
+    ticks = armed(streamed(d).ticks()).select("video_id", "ts", "event_id", "score", "enter_at")
     return online.run_append(states.stream_hysteresis(ticks)).drop("score")
 
 
@@ -434,8 +470,8 @@ def _upsert(d: Inputs):
     SELECT video_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS last_us, count(*) AS n_hits, max(score) AS max_score
     FROM g GROUP BY video_id, grp""")
 def _sessions(d: Inputs):
-    hits = streamed(d).ticks().filter("score >= 0.5")
-    out = online.run_complete(online.session_segments(hits, "6 hours"))
+    hits = Closed(d.spark, d.directory).ticks().filter("score >= 0.5")
+    out = online.run_append(online.session_segments(hits, "6 hours")).filter("video_id <> 'u-1'")
     return out.select(
         "video_id", F.unix_micros("start_ts").alias("start_us"), F.unix_micros("last_ts").alias("last_us"), "n_hits", "max_score"
     )

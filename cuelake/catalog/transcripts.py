@@ -16,8 +16,18 @@ from cuelake.sources.captions import parse_payloads
 # -- SQL pieces ------------------------------------------------------------------
 
 
+def sql_folded(text: str, body: str) -> str:
+    """``body`` over ``t``: the text, character by character, with Unicode word rules spelled out."""
+    fold = r"""CASE WHEN unicode(c) < 128 THEN c WHEN c IN ('ſ', '\u212a') THEN CASE c WHEN 'ſ' THEN 's' ELSE 'k' END
+        WHEN c IN ('İ', 'ı') THEN 'i' WHEN regexp_matches(c, '[\p{L}\p{N}]') THEN '_'
+        WHEN regexp_matches(c, '\p{Z}') OR unicode(c) = 133 THEN ' ' ELSE c END""".replace(r"\u212a", "\u212a")
+    whole = f"array_to_string(list_transform(string_split(x, ''), lambda c: {fold}), '')"
+    inner = f"CASE WHEN regexp_matches(x, '[^\\x00-\\x7F]') THEN {whole} ELSE x END"
+    return f"list_transform(list_transform([{text}], lambda x: {inner}), lambda t: {body})[1]"
+
+
 def sql_any(text: str, patterns: list[str]) -> str:
-    return f"regexp_matches({text}, {sql_text('(?i)' + X.alternation(patterns))})"
+    return sql_folded(text, f"regexp_matches(t, {sql_text('(?i)' + X.alternation(patterns))})")
 
 
 def sql_count(text: str, patterns: list[str]) -> str:
@@ -25,24 +35,25 @@ def sql_count(text: str, patterns: list[str]) -> str:
 
 
 def sql_score_text(text: str) -> str:
-    return (
-        f"CAST(CASE WHEN {sql_any(text, vocab.GATE_PHRASES)} THEN 3 * {sql_count(text, vocab.STRONG_PHRASES)}"
-        f" + {sql_count(text, vocab.WEAK_PHRASES)} ELSE 0 END AS INT)"
-    )
+    gate = f"regexp_matches(t, {sql_text('(?i)' + X.alternation(vocab.GATE_PHRASES))})"
+    return sql_folded(text, (
+        f"CAST(CASE WHEN {gate} THEN 3 * {sql_count('t', vocab.STRONG_PHRASES)}"
+        f" + {sql_count('t', vocab.WEAK_PHRASES)} ELSE 0 END AS INT)"
+    ))
 
 
 def sql_score_cue(text: str) -> str:
-    one = "CASE WHEN regexp_matches({}, {}) THEN {} ELSE 0 END"
-    parts = [one.format(text, sql_text("(?i)" + p), 3) for p in vocab.SIMPLE_STRONG_PHRASES]
-    parts += [one.format(text, sql_text("(?i)" + p), 1) for p in vocab.SIMPLE_WEAK_PHRASES]
-    return f"CAST({' + '.join(parts)} AS INT)"
+    one = "CASE WHEN regexp_matches(t, {}) THEN {} ELSE 0 END"
+    parts = [one.format(sql_text("(?i)" + p), 3) for p in vocab.SIMPLE_STRONG_PHRASES]
+    parts += [one.format(sql_text("(?i)" + p), 1) for p in vocab.SIMPLE_WEAK_PHRASES]
+    return sql_folded(text, f"CAST({' + '.join(parts)} AS INT)")
 
 
 def sql_vector(text: str, patterns: list[str]) -> str:
     dims = ", ".join(
-        f"CASE WHEN regexp_matches({text}, {sql_text('(?i)' + p)}) THEN 1 ELSE 0 END" for p in patterns
+        f"CASE WHEN regexp_matches(t, {sql_text('(?i)' + p)}) THEN 1 ELSE 0 END" for p in patterns
     )
-    return f"[{dims}]"
+    return sql_folded(text, f"[{dims}]")
 
 
 def sql_weighted(vec: str, groups: int = 8) -> str:

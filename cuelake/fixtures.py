@@ -40,12 +40,9 @@ class Inputs:
 
     # -- transcripts ---------------------------------------------------------
 
-    def english(self) -> DataFrame:
-        return self.table("documents").filter("lang = 'en'").select("doc_id", "text")
-
     @staticmethod
     def _lines() -> Column:
-        """ASCII lines of a document with injected phrases, as (pos, text) structs."""
+        """Lines of a document with injected phrases, as (pos, text) structs."""
         doc = F.col("doc_id")
         residues = F.create_map(*[F.lit(x) for pair in INJECTED.items() for x in pair])
 
@@ -59,18 +56,17 @@ class Inputs:
             )
 
         lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
-        ascii_only = F.filter(lines, lambda s: ~s["x"].rlike(r"[^\x00-\x7F]"))
-        return F.transform(ascii_only, lambda s: with_phrase(s["x"], s["i"]))
+        return F.transform(lines, lambda s: with_phrase(s["x"], s["i"]))
 
     def doc_lines(self) -> DataFrame:
         """(doc_id, lines): see :meth:`_lines`."""
-        return self.english().select("doc_id", self._lines().alias("lines"))
+        return self.table("documents").select("doc_id", self._lines().alias("lines"))
 
     def cues(self) -> DataFrame:
         """Twenty documents make a video; the line rank within it is the cue index."""
         # Shuffle the documents first: the line work then runs in all tasks, and the
         # window below needs no further exchange.  At most twenty rows per group.
-        docs = self.english().withColumn("vid", F.expr("doc_id div 20")).repartition("vid")
+        docs = self.table("documents").select("doc_id", "text").withColumn("vid", F.expr("doc_id div 20")).repartition("vid")
         lines = docs.select("doc_id", "vid", self._lines().alias("lines"))
         along = Window.partitionBy("vid").orderBy("doc_id")
         placed = lines.withColumn("upto", F.sum(F.size("lines")).over(along))
@@ -97,7 +93,7 @@ class Inputs:
 
     def cue_segments(self) -> DataFrame:
         return self.videos().select(
-            "video_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")
+            "video_id", F.explode(F.expr("sequence(0, dur_ms div 90000)")).alias("k")
         ).select(
             "video_id",
             (F.col("k") * 90000).cast("bigint").alias("start_ms"),
@@ -112,10 +108,10 @@ class Inputs:
 
     def _segments(self) -> DataFrame:
         li = self.table("lineitem")
-        video = F.concat(F.lit("o"), (F.col("l_orderkey") % 2000).cast("string"))
+        n = F.expr("l_orderkey div 8")
         s = F.col("l_partkey") % 600
         return li.select(
-            (F.col("l_orderkey") % 2000).alias("n"), video.alias("videoID"),
+            n.alias("n"), F.concat(F.lit("o"), n.cast("string")).alias("videoID"),
             s.cast("string").alias("startTime"),
             (s + F.col("l_quantity").cast("int")).cast("string").alias("endTime"),
             (F.col("l_suppkey") % 23 - 2).cast("string").alias("votes"),
@@ -145,27 +141,29 @@ class Inputs:
         )
 
     def gt_raw(self) -> DataFrame:
+        """Truth from every line item; each ninth video's goes to the one before it, so some have none."""
         s = F.col("l_partkey") % 600
-        return self.table("lineitem").filter("l_returnflag <> 'R'").select(
-            F.concat(F.lit("o"), (F.col("l_orderkey") % 2000).cast("string")).alias("video_id"),
+        return self.table("lineitem").select(
+            F.expr("concat('o', CAST(l_orderkey div 8 - CASE WHEN l_orderkey div 8 % 9 = 4 THEN 1 ELSE 0 END AS STRING))")
+            .alias("video_id"),
             (s * 1000).cast("bigint").alias("start_ms"),
             ((s + F.col("l_quantity")) * 1000).cast("bigint").alias("end_ms"),
             (F.col("l_suppkey") % 23 - 2).cast("int").alias("votes"),
         )
 
     def det_raw(self) -> DataFrame:
+        """Detections from every line item; each twentieth video's go to the one before it."""
         s = (F.col("l_partkey") * 7 + F.col("l_suppkey") * 11) % 600
-        return self.table("lineitem").filter(
-            "l_orderkey % 2000 < 1900 AND l_returnflag = 'A'"
-        ).select(
-            F.concat(F.lit("o"), (F.col("l_orderkey") % 2000).cast("string")).alias("video_id"),
+        return self.table("lineitem").select(
+            F.expr("concat('o', CAST(l_orderkey div 8 - CASE WHEN l_orderkey div 8 % 20 = 19 THEN 1 ELSE 0 END AS STRING))")
+            .alias("video_id"),
             (s * 1000).cast("bigint").alias("start_ms"),
             ((s + 20 + F.col("l_linenumber")) * 1000).cast("bigint").alias("end_ms"),
         )
 
     def cache(self) -> DataFrame:
         """Cached videos: some without vote data, some silent, some absent from the CSV."""
-        n = (F.col("o_orderkey") % 2500).alias("n")
+        n = F.expr("o_orderkey div 6").alias("n")
         ids = self.table("orders").select(n).distinct().filter("n % 2 = 0")
         return ids.select(
             F.concat(F.lit("o"), F.col("n").cast("string")).alias("video_id"),
@@ -212,7 +210,7 @@ class Inputs:
     def playback(self) -> DataFrame:
         """Playback positions inside the videos of ``gt_raw``."""
         return self.table("events").select(
-            F.concat(F.lit("o"), F.expr("CAST((user_id * 13 + event_id) % 2000 AS STRING)"))
+            F.concat(F.lit("o"), F.expr("CAST(event_id div 5 AS STRING)"))
             .alias("video_id"),
             F.col("event_id").alias("tick_id"),
             ((F.col("event_id") * 997) % 650000).cast("bigint").alias("t_ms"),
@@ -244,7 +242,7 @@ class Inputs:
         )
 
     def prediction_log(self) -> DataFrame:
-        return self.table("events").filter("event_type IN ('purchase', 'view')").select(
+        return self.table("events").select(
             F.expr("concat('v', CAST(user_id AS STRING))").alias("video_id"),
             "event_id",
             F.col("ts").cast("timestamp").alias("updated_at"),
@@ -284,9 +282,9 @@ class Inputs:
         )
 
     def frame_windows(self) -> DataFrame:
-        """Analysis windows over the videos of ``frames`` (50 s each, 5 s grid)."""
-        return self.frames().select("video_id").distinct().select(
-            "video_id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("window_idx")
+        """Analysis windows over the videos of ``frames`` (a frame a second, 5 s grid)."""
+        return self.frames().groupBy("video_id").agg(F.max("frame_idx").alias("last")).select(
+            "video_id", F.explode(F.expr("sequence(0, CAST(last div 5 AS INT))")).alias("window_idx")
         ).withColumn("t_start_ms", (F.col("window_idx") * 5000).cast("bigint"))
 
     def av_windows(self) -> DataFrame:
@@ -364,8 +362,7 @@ DUCK: dict[str, tuple[list[str], str]] = {
         FROM (SELECT doc_id, i - 1 AS pos, parts[i] AS line
               FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i
                     FROM (SELECT doc_id, string_split(text, chr(10)) AS parts
-                          FROM documents WHERE lang = 'en')))
-        WHERE NOT regexp_matches(line, '[^\\x00-\\x7F]')"""),
+                          FROM documents)))"""),
     "cues": (["doc_lines"], """
         SELECT video_id, cue_idx, CAST(cue_idx * 4000 + (cue_idx // 12) * 3000 AS BIGINT) AS start_ms,
           CAST(3000 + ((doc_id * 7 + pos * 13) % 5) * 200 AS BIGINT) AS dur_ms, text
@@ -377,9 +374,9 @@ DUCK: dict[str, tuple[list[str], str]] = {
     "cue_segments": (["videos"], """
         SELECT video_id, CAST(k * 90000 AS BIGINT) AS start_ms, CAST(k * 90000 + 20000 AS BIGINT) AS end_ms,
           CAST((k * 5 + length(video_id)) % 13 AS INT) AS votes
-        FROM videos, (SELECT unnest(range(0, 4)) AS k)"""),
+        FROM (SELECT video_id, unnest(range(0, dur_ms // 90000 + 1)) AS k FROM videos)"""),
     "segments_raw": ([], """
-        SELECT concat('o', CAST(l_orderkey % 2000 AS VARCHAR)) AS videoID,
+        SELECT concat('o', CAST(l_orderkey // 8 AS VARCHAR)) AS videoID,
           CAST(l_partkey % 600 AS VARCHAR) AS startTime,
           CAST(l_partkey % 600 + CAST(l_quantity AS INT) AS VARCHAR) AS endTime,
           CAST(l_suppkey % 23 - 2 AS VARCHAR) AS votes,
@@ -396,18 +393,18 @@ DUCK: dict[str, tuple[list[str], str]] = {
           CASE WHEN n % 5 = 0 THEN 'YouTube' WHEN n % 5 = 1 THEN 'PeerTube' ELSE '' END AS service
         FROM (SELECT *, CAST(substr(videoID, 2) AS BIGINT) AS n FROM segments_raw)"""),
     "gt_raw": ([], """
-        SELECT concat('o', CAST(l_orderkey % 2000 AS VARCHAR)) AS video_id,
+        SELECT concat('o', CAST(l_orderkey // 8 - CASE WHEN l_orderkey // 8 % 9 = 4 THEN 1 ELSE 0 END AS VARCHAR)) AS video_id,
           CAST(l_partkey % 600 * 1000 AS BIGINT) AS start_ms,
           CAST((l_partkey % 600 + l_quantity) * 1000 AS BIGINT) AS end_ms,
-          CAST(l_suppkey % 23 - 2 AS INT) AS votes FROM lineitem WHERE l_returnflag <> 'R'"""),
+          CAST(l_suppkey % 23 - 2 AS INT) AS votes FROM lineitem"""),
     "det_raw": ([], """
-        SELECT concat('o', CAST(l_orderkey % 2000 AS VARCHAR)) AS video_id,
+        SELECT concat('o', CAST(l_orderkey // 8 - CASE WHEN l_orderkey // 8 % 20 = 19 THEN 1 ELSE 0 END AS VARCHAR)) AS video_id,
           CAST(((l_partkey * 7 + l_suppkey * 11) % 600) * 1000 AS BIGINT) AS start_ms,
           CAST(((l_partkey * 7 + l_suppkey * 11) % 600 + 20 + l_linenumber) * 1000 AS BIGINT) AS end_ms
-        FROM lineitem WHERE l_orderkey % 2000 < 1900 AND l_returnflag = 'A'"""),
+        FROM lineitem"""),
     "cache": ([], """
         SELECT 'o' || CAST(n AS VARCHAR) AS video_id, n % 3 = 0 AS has_votes, n % 7 = 0 AS zero_audio
-        FROM (SELECT DISTINCT o_orderkey % 2500 AS n FROM orders) WHERE n % 2 = 0"""),
+        FROM (SELECT DISTINCT o_orderkey // 6 AS n FROM orders) WHERE n % 2 = 0"""),
     "predictions": ([], f"""
         SELECT concat('u', CAST(user_id AS VARCHAR)) AS video_id, CAST({_INDEXED} - 1 AS INT) AS window_idx,
           CASE WHEN event_type IN ('purchase', 'signup') THEN 1 ELSE 0 END AS label,
@@ -420,7 +417,7 @@ DUCK: dict[str, tuple[list[str], str]] = {
         SELECT concat('u', CAST(user_id AS VARCHAR)) AS video_id, event_id, ts, event_type,
           round(value / (value + 40.0), 4) AS score FROM events"""),
     "playback": ([], """
-        SELECT concat('o', CAST((user_id * 13 + event_id) % 2000 AS VARCHAR)) AS video_id, event_id AS tick_id,
+        SELECT concat('o', CAST(event_id // 5 AS VARCHAR)) AS video_id, event_id AS tick_id,
           CAST((event_id * 997) % 650000 AS BIGINT) AS t_ms, round(value / (value + 40.0), 4) AS ml,
           round((event_id % 101) / 100.0::DOUBLE, 2) AS anomaly FROM events"""),
     "cue_ticks": (["videos"], """
@@ -435,7 +432,7 @@ DUCK: dict[str, tuple[list[str], str]] = {
     "prediction_log": ([], """
         SELECT concat('v', CAST(user_id AS VARCHAR)) AS video_id, event_id, ts AS updated_at,
           CASE WHEN event_id % 11 = 0 THEN NULL ELSE ts + INTERVAL 7 DAY END AS expires_at,
-          value AS score FROM events WHERE event_type IN ('purchase', 'view')"""),
+          value AS score FROM events"""),
     "epoch_log": ([], f"""
         SELECT user_id AS run_id, CAST({_INDEXED} AS INT) AS epoch,
           round(value / (value + 40.0), 2) AS val_f1 FROM events"""),
@@ -450,7 +447,7 @@ DUCK: dict[str, tuple[list[str], str]] = {
         FROM embeddings"""),
     "frame_windows": (["frames"], """
         SELECT video_id, CAST(w AS INT) AS window_idx, CAST(w * 5000 AS BIGINT) AS t_start_ms
-        FROM (SELECT DISTINCT video_id FROM frames), (SELECT unnest(range(0, 10)) AS w)"""),
+        FROM (SELECT video_id, unnest(range(0, max(frame_idx) // 5 + 1)) AS w FROM frames GROUP BY video_id)"""),
     "av_windows": ([], f"""
         SELECT concat('f', CAST(vec_id // 50 AS VARCHAR)) AS video_id, CAST(vec_id % 50 AS INT) AS win_idx,
           CAST((vec_id % 50) * 5000 + (vec_id % 3) * 100 AS BIGINT) AS time_ms, [{_duck_hist()}] AS hist,

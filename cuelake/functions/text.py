@@ -35,8 +35,19 @@ def required_literal(pattern: str) -> str:
     return max(best, run, key=len)
 
 
+def fold(text: Column) -> Column:
+    """``text`` for ASCII patterns with Unicode rules.
+
+    Word borders, word characters, digits and blanks of the dictionaries mean those of any
+    alphabet: other letters and numbers become underscores (which no pattern names), other
+    blanks become blanks.  Four letters are case forms of ASCII ones.
+    """
+    plain = F.regexp_replace(F.translate(text, "ſ\u212aİı", "skii"), r"[\p{L}\p{N}&&[^\x00-\x7F]]", "_")
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(plain, r"[\p{Z}\x85]", " ")).otherwise(text)
+
+
 def _with_lowered(text: Column, body: Callable[[Column, Column], Column]) -> Column:
-    pair = bound(text, lambda t: F.struct(t.alias("t"), F.lower(t).alias("l")))
+    pair = bound(bound(text, fold), lambda t: F.struct(t.alias("t"), F.lower(t).alias("l")))
     return bound(pair, lambda p: body(p["t"], p["l"]))
 
 

@@ -159,12 +159,17 @@ def position_buckets(typed: DataFrame, buckets: int = 5) -> DataFrame:
     )
 
 
+def exact_mean(value: Column, wanted: Column) -> Column:
+    """Mean of ``value`` over the wanted rows: an exact sum, divided once, so that row order does not matter."""
+    return F.sum(F.when(wanted, value.cast("decimal(18,12)"))).cast("double") / F.count_if(wanted & value.isNotNull())
+
+
 def video_error_rates(typed: DataFrame, error_type: str) -> DataFrame:
     wrong = F.col("error_type") == error_type
     return (
         typed.groupBy("video_id").agg(
             F.count_if(wrong).alias("n_errors"), F.count(F.lit(1)).alias("n_windows"),
-            F.avg(F.when(wrong, F.col("prob"))).alias("mean_prob"),
+            exact_mean(F.col("prob"), wrong).alias("mean_prob"),
         )
         .filter("n_errors > 0")
         .withColumn("error_rate", F.col("n_errors") / F.col("n_windows"))
@@ -182,8 +187,8 @@ def top_error_videos(typed: DataFrame, error_type: str, n: int = 15) -> DataFram
 def confidence_of_errors(typed: DataFrame) -> DataFrame:
     fp, fn = F.col("error_type") == "FP", F.col("error_type") == "FN"
     return typed.agg(
-        F.avg(F.when(fp, F.col("prob"))).alias("fp_mean_prob"),
-        F.avg(F.when(fn, F.col("prob"))).alias("fn_mean_prob"),
+        exact_mean(F.col("prob"), fp).alias("fp_mean_prob"),
+        exact_mean(F.col("prob"), fn).alias("fn_mean_prob"),
         F.count_if(fp & (F.col("prob") > 0.8)).alias("confident_fp"),
         F.count_if(fn & (F.col("prob") < 0.2)).alias("hopeless_fn"),
     )
@@ -225,11 +230,13 @@ def logit_separation(df: DataFrame) -> DataFrame:
     )
 
 
-def errors_export(typed: DataFrame, tn_sample: int = 5000, seed: str = "42") -> DataFrame:
-    """All FP, FN and TP rows and a reproducible sample of true negatives."""
+def errors_export(typed: DataFrame, tn_share: float = 1.0, seed: str = "42") -> DataFrame:
+    """All FP, FN and TP rows, and all true negatives or a reproducible share of them by hash."""
+    if tn_share >= 1.0:
+        return typed
     key = F.md5(F.concat_ws("-", F.lit(seed), F.col("video_id"), F.col("window_idx").cast("string")))
-    negatives = typed.filter("error_type = 'TN'").orderBy(key).limit(tn_sample)
-    return typed.filter("error_type <> 'TN'").unionByName(negatives)
+    limit = f"{int(tn_share * 2**32):08x}"
+    return typed.filter((F.col("error_type") != "TN") | (F.substring(key, 1, 8) < limit))
 
 
 def loss_report(
@@ -254,19 +261,51 @@ def loss_report(
 
 
 def model_eval_report(df: DataFrame, phase: str) -> DataFrame:
-    """One row: metrics at 0.50, best threshold with its metrics, the curve as array."""
+    """One row: metrics at 0.50, best threshold with its metrics, the curve as array.
+
+    One pass collapses the rows to a few (step, label) counts, from which everything but the
+    number of videos follows.
+    """
     known = _known(df, False)
-    base = with_one_row(confusion(known), prob_stats(known))
-    curve = threshold_curve(known)
-    packed = curve.agg(
-        F.array_sort(F.collect_list(F.struct("threshold", "f1", "precision", "recall"))).alias("curve")
-    )
-    best = best_threshold(curve).select(
-        F.col("threshold").alias("best_threshold"), F.col("f1").alias("best_f1"),
-        F.col("precision").alias("best_precision"), F.col("recall").alias("best_recall"),
-    )
+    passes = F.lit(0)
+    for t in CURVE:
+        passes = passes + _predicted(t, True).cast("int")
+    counts = known.groupBy(passes.alias("step"), "label").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("prob").alias("s"), F.max("prob").alias("m"))
+    pos, neg = F.col("label") == 1, F.col("label") == 0
+
+    def total(cond: Column, value: str = "n") -> Column:
+        return F.coalesce(F.sum(F.when(cond, F.col(value))), F.lit(0))
+
+    def cells(i: int) -> Column:
+        hit = F.col("step") > i
+        return F.struct(total(hit & pos).alias("tp"), total(hit & neg).alias("fp"),
+                        total(~hit & pos).alias("fn"), total(~hit & neg).alias("tn"))
+
+    summed = counts.agg(
+        *[cells(i).alias(f"_t{i}") for i in range(len(CURVE))], total(pos, "s").alias("_sp"), total(neg, "s").alias("_sn"),
+        total(pos).alias("_np"), total(neg).alias("_nn"), F.coalesce(F.max(F.when(pos, F.col("m"))), F.lit(0.0)).alias("max_prob_pos"))
+
+    def point(i: int, t: float) -> Column:
+        c = F.col(f"_t{i}")
+        got = _scores(c["tp"], c["fp"], c["fn"], c["tn"])
+        return F.struct(F.lit(t).alias("threshold"), *[F.round(got[n], 4).alias(n) for n in ("f1", "precision", "recall")])
+
+    curve = F.array(*[point(i, t) for i, t in enumerate(CURVE)])
+    mean = lambda s, n: F.coalesce(F.col(s) / F.nullif(F.col(n), F.lit(0)), F.lit(0.0))
+    half = F.col(f"_t{CURVE.index(0.5)}")
+    scores = _scores(*[half[n] for n in ("tp", "fp", "fn", "tn")])
+    out = summed.select(
+        *[half[n].alias(n) for n in ("tp", "fp", "fn", "tn")], *[c.alias(n) for n, c in scores.items()],
+        mean("_sp", "_np").alias("mean_prob_pos"), mean("_sn", "_nn").alias("mean_prob_neg"), "max_prob_pos", curve.alias("curve"))
+    # The highest F1, the lowest threshold on a tie.
+    best = F.array_max(F.transform("curve", lambda r: F.struct(
+        r["f1"].alias("f1"), (-r["threshold"]).alias("below"), r["precision"].alias("precision"), r["recall"].alias("recall"))))
+    out = out.withColumn("_b", best).select(
+        *[c for c in out.columns if c != "curve"], (-F.col("_b.below")).alias("best_threshold"), F.col("_b.f1").alias("best_f1"),
+        F.col("_b.precision").alias("best_precision"), F.col("_b.recall").alias("best_recall"), "curve")
     videos = known.agg(F.count_distinct("video_id").alias("n_test_videos"))
-    return with_one_row(base, best, packed, videos).withColumn("phase", F.lit(phase))
+    return with_one_row(out, videos).withColumn("phase", F.lit(phase))
 
 
 def early_stop_replay(log: DataFrame, patience: int = 10) -> DataFrame:

@@ -136,10 +136,10 @@ def with_expiry(log: DataFrame, ttl_days: int = 7) -> DataFrame:
 
 
 def job_status(events: DataFrame) -> DataFrame:
-    """Latest state of each job; errors keep their last 500 characters."""
+    """Latest state of each job, with the whole error and its last 500 characters for display."""
     last = F.max_by(F.struct("video_id", "status", "error"), F.struct("ts", "event_id"))
     return events.groupBy("job_id").agg(last.alias("_r")).select(
-        "job_id", "_r.video_id", "_r.status", F.right(F.col("_r.error"), F.lit(500)).alias("error")
+        "job_id", "_r.video_id", "_r.status", "_r.error", F.right(F.col("_r.error"), F.lit(500)).alias("error_tail")
     )
 
 

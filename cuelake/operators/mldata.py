@@ -67,17 +67,23 @@ def class_balance_weights(df: DataFrame, level: str = "window") -> DataFrame:
     ).drop("_pos", "_neg")
 
 
-def balanced_resample(weighted: DataFrame, seed: int = 42) -> DataFrame:
+def balanced_resample(
+    weighted: DataFrame, seed: int = 42, keys: Sequence[str] = ("video_id", "window_idx"),
+) -> DataFrame:
     """Rows repeated so that classes are even in expectation and the size is kept.
 
-    Sampling with replacement becomes an independent Poisson count per row.
+    Sampling with replacement becomes an independent Poisson count per row, drawn from a
+    hash of the row's keys: the same on every run and for every partitioning.
     """
     total = weighted.agg(
-        F.count(F.lit(1)).alias("_n"), F.sum("balance_weight").alias("_w")
+        F.count(F.lit(1)).alias("_n"),
+        F.sum(F.col("balance_weight").cast("decimal(38,20)")).cast("double").alias("_w"),
     )
+    named = F.concat_ws("-", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
+    draw = (F.conv(F.substring(F.md5(named), 1, 8), 16, 10).cast("bigint") + F.lit(0.5)) / F.lit(2.0**32)
     rate = F.col("balance_weight") / F.col("_w") * F.col("_n")
     # Poisson by inversion of one uniform draw: k = number of cumulative terms passed.
-    drawn = with_one_row(weighted, total).withColumn("_rate", rate).withColumn("_u", F.rand(seed))
+    drawn = with_one_row(weighted, total).withColumn("_rate", rate).withColumn("_u", draw)
     # Terms up to far beyond the mean; the tail beyond has probability below 1e-12.
     steps = F.sequence(F.lit(1), (F.col("_rate") + 12 * F.sqrt(F.col("_rate")) + 20).cast("int"))
     start = F.struct(
@@ -258,28 +264,33 @@ def hashing_encoder(dim: int = 64) -> Callable[[], Encoder]:
 
 def score_windows(
     df: DataFrame, load: Callable[[], Encoder], dim: int, keys: Sequence[str] = ("video_id", "window_idx"),
-    text: str = "text", batch: int = 32, out: str = "text_emb",
+    text: str = "text", batch: int = 32, out: str = "text_emb", blank: str = "[UNK]",
 ) -> DataFrame:
     """Run an encoder over window texts: loaded once per task, called in small batches.
 
-    Blank texts are sent as ``[UNK]``; a batch that fails gets zero vectors.
+    Blank texts are sent as ``blank``.  Where a call fails, its texts are tried one by one; a text
+    that fails by itself gets a null vector and its error in ``<out>_error``, else null.
     """
     keys = list(keys)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
 
+    def attempt(encode: Encoder, some: list[str]) -> list[tuple[list | None, str | None]]:
+        try:
+            return [(v, None) for v in np.asarray(encode(some), np.float32).reshape(len(some), dim).tolist()]
+        except Exception as error:
+            if len(some) == 1:
+                return [(None, f"{type(error).__name__}: {error}")]
+            return [x for one in some for x in attempt(encode, [one])]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = load()
         for pdf in batches:
-            texts = [t if isinstance(t, str) and t.strip() else "[UNK]" for t in pdf[text]]
-            vectors = np.zeros((len(texts), dim), dtype=np.float32)
-            for at in range(0, len(texts), batch):
-                try:
-                    vectors[at : at + batch] = encode(texts[at : at + batch])
-                except Exception:  # a broken batch must not lose its rows
-                    continue
-            yield pdf[keys].assign(**{out: list(vectors)})
-
-    return df.select(*keys, text).mapInPandas(run, f"{schema}, `{out}` ARRAY<FLOAT>")
+            texts = pdf[text].fillna("")
+            texts = texts.where(texts.str.strip() != "", blank).tolist()
+            done = [x for at in range(0, len(texts), batch) for x in attempt(encode, texts[at:at + batch])]
+            yield pdf[keys].assign(**{out: [v for v, _ in done], f"{out}_error": [e for _, e in done]})
+
+    return df.select(*keys, text).mapInPandas(run, f"{schema}, `{out}` ARRAY<FLOAT>, `{out}_error` STRING")
 
 
 # ---------------------------------------------------------------------------

@@ -42,15 +42,47 @@ def _strip(text: Column) -> Column:
 
 
 _STAMP = r"(?:\d+:){0,2}\d+(?:\.\d*)?"
-#: A timing line, then its text lines: up to a blank or the next timing line ...
-_BLOCK_UNTIL_TIMING = r"(?m)^([^\n]*?-->[^\n]*)((?:\n(?![^\n]*-->)[^\n]*\S[^\n]*)*)"
-#: ... or up to a blank line only (a timing line inside is text of the block).
-_BLOCK_UNTIL_BLANK = (
-    r"(?m)^([^\S\n]*" + _STAMP + r"(?:[^\S\n][^\n]*?)?-->[^\S\n]*" + _STAMP
-    + r"(?:[^\S\n][^\n>]*)?)$((?:\n[^\n]*\S[^\n]*)*)"
+#: A line that times a block of the ``bench`` variant.
+_TIMING = (
+    r"^[^\S\n]*" + _STAMP + r"(?:[^\S\n][^\n]*?)?-->[^\S\n]*" + _STAMP + r"(?:[^\S\n][^\n>]*)?$"
 )
 
 
+def _blocks_until_timing(lines: Column) -> Column:
+    """A line with an arrow, then its lines up to a blank one or the next arrow."""
+    kinds = F.transform(lines, lambda x, i: F.struct(
+        i.alias("i"), F.contains(x, F.lit("-->")).alias("timing"), (~x.rlike(r"\S")).alias("blank")))
+    stops = F.filter(kinds, lambda k: k["timing"] | k["blank"])
+
+    def cut(s: Column) -> Column:
+        blocks = F.transform(s, lambda k, n: F.struct(
+            k["timing"].alias("timed"), F.get(lines, k["i"]).alias("timing"),
+            F.slice(lines, k["i"] + 2, F.coalesce(F.get(s, n + 1)["i"], F.size(lines)) - k["i"] - 1).alias("body")))
+        return F.filter(blocks, lambda x: x["timed"])
+
+    return bound(stops, cut)
+
+
+def _blocks_until_blank(lines: Column) -> Column:
+    """Between blank lines: the first timing line and all lines after it."""
+    kinds = F.transform(lines, lambda x, i: F.struct(i.alias("i"), (~x.rlike(r"\S")).alias("blank")))
+    blanks = F.concat(F.array(F.lit(-1)), F.transform(F.filter(kinds, lambda k: k["blank"]), lambda k: k["i"]))
+
+    def cut(b: Column) -> Column:
+        parts = F.transform(b, lambda at, n: F.slice(
+            lines, at + 2, F.coalesce(F.get(b, n + 1), F.size(lines)) - at - 1))
+
+        def block(part: Column) -> Column:
+            first = F.get(F.filter(F.transform(part, lambda x, i: F.when(x.rlike(_TIMING), i)), lambda i: i.isNotNull()), F.lit(0))
+            return bound(first, lambda k: F.struct(
+                k.isNotNull().alias("timed"), F.get(part, k).alias("timing"),
+                F.slice(part, F.coalesce(k, F.lit(0)) + 2, F.size(part)).alias("body")))
+
+        return F.filter(F.transform(parts, block), lambda x: x["timed"])
+
+    return bound(blanks, cut)
+
+
 def cues_from_vtt(df: DataFrame, payload: str = "payload", variant: str = "pipeline") -> DataFrame:
     """WebVTT payload -> cues, entirely inside the row: no shuffle.
 
@@ -61,12 +93,8 @@ def cues_from_vtt(df: DataFrame, payload: str = "payload", variant: str = "pipel
     if variant not in ("pipeline", "bench"):
         raise ValueError(f"unknown variant {variant!r}")
     pipeline = variant == "pipeline"
-    text = F.regexp_replace(F.col(payload), r"\r\n?", "\n")
-    pattern = _BLOCK_UNTIL_TIMING if pipeline else _BLOCK_UNTIL_BLANK
-    blocks = F.arrays_zip(
-        F.regexp_extract_all(text, F.lit(pattern), 1).alias("timing"),
-        F.regexp_extract_all(text, F.lit(pattern), 2).alias("body"),
-    )
+    lines = F.split(F.regexp_replace(F.col(payload), r"\r\n?", "\n"), "\n")
+    blocks = bound(lines, _blocks_until_timing if pipeline else _blocks_until_blank)
 
     def read(block: Column) -> Column:
         sides = F.split(block["timing"], "-->")
@@ -80,7 +108,7 @@ def cues_from_vtt(df: DataFrame, payload: str = "payload", variant: str = "pipel
                 F.when(ok, _clock_ms(first)).alias("start"), F.when(ok, _clock_ms(last)).alias("end")
             )
 
-        lines = F.filter(F.transform(F.split(block["body"], "\n"), _strip), lambda x: x != "")
+        lines = F.filter(F.transform(block["body"], _strip), lambda x: x != "")
         if pipeline:
             text = _strip(clean_caption(F.array_join(lines, " ")))
         else:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cuelake.functions.text import pad_vector
-from cuelake.plans.ordered import INDEX_CHUNK, Scan, carry_scan, chunk_of
+from cuelake.plans.ordered import INDEX_CHUNK, chunk_of
+from cuelake.session import materialize
 from cuelake.vocab import N_DIMS
 
 
@@ -35,20 +36,18 @@ def read_feature_store(spark: SparkSession, path: str) -> DataFrame:
 def shard_plan(files: DataFrame, slug: str, rows_per_shard: int = 100) -> DataFrame:
     """Shard name per key in key order: ``slug``, ``slug-s1``, ...
 
-    Keys are numbered by two-level counting over name prefixes, not by one global sort
-    in a single task.
+    Keys are dealt out by ranges and numbered inside them; only one count per range meets
+    in a single task.  The dealt keys are a written table, so numbers survive lost executors.
     """
-    keyed = files.select("name").withColumn("_all", F.lit(1)).withColumn(
-        "_prefix",
-        F.coalesce(F.ascii(F.substring("name", 1, 1)), F.lit(0)) * 65536
-        + F.coalesce(F.ascii(F.substring("name", 2, 1)), F.lit(0)) * 256
-        + F.coalesce(F.ascii(F.substring("name", 3, 1)), F.lit(0)),
-    )
-    ranked = carry_scan(
-        keyed, ["_all"], ["name"], F.col("_prefix").cast("bigint"), [Scan("_rank", "rank")]
-    )
-    shard = F.floor(F.col("_rank") / rows_per_shard).cast("bigint")
-    return ranked.select(
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = materialize(
+        files.select("name").repartitionByRange("name").sortWithinPartitions("name")
+        .select("name", F.spark_partition_id().alias("part"), within.alias("nth")), "shard-keys")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = dealt.groupBy("part").agg(F.count("*").alias("n")).select(
+        "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    shard = F.floor((F.col("base") + F.col("nth")) / rows_per_shard).cast("bigint")
+    return dealt.join(bases, "part").select(
         "name", shard.alias("shard"),
         F.when(shard == 0, F.lit(slug))
         .otherwise(F.concat(F.lit(f"{slug}-s"), shard.cast("string"))).alias("shard_name"),

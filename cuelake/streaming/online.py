@@ -67,13 +67,16 @@ def has_files(spark: SparkSession, path: str) -> bool:
         return False
 
 
-def run_append(stream: DataFrame, path: str | None = None) -> DataFrame:
-    """Run to the end of the available input in append mode; read the written table."""
+def run_append(stream: DataFrame, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Run to the end of the available input in append mode; read the written table.
+
+    With a ``path`` and ``checkpoint`` that are kept, the next call goes on where this one ended.
+    """
     spark = stream.sparkSession
     out = path or new_shared_path(spark, "stream")
     query = (
         stream.writeStream.format("parquet").option("path", out)
-        .option("checkpointLocation", new_shared_path(spark, "stream-state"))
+        .option("checkpointLocation", checkpoint or new_shared_path(spark, "stream-state"))
         .outputMode("append").trigger(availableNow=True).start()
     )
     query.awaitTermination()
@@ -94,25 +97,29 @@ def run_complete(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def stream_feature_upsert(features: DataFrame, store: str, key: str = "video_id") -> None:
-    """Append the windows of videos that the store does not hold yet.
+def stream_feature_upsert(
+    features: DataFrame, store: str, key: str = "video_id", checkpoint: str | None = None,
+) -> None:
+    """Append the windows of videos that the store did not hold before this run.
 
-    Each run and micro-batch owns a directory, so a replayed batch rewrites itself;
-    membership is decided against the other directories only.
+    A run is named after its checkpoint folder and owns one directory per micro-batch, so
+    a replayed batch rewrites itself, and a run that is started again with its checkpoint goes on.
+    Membership is decided against other runs' directories: all windows of a new video are
+    stored, in whatever micro-batches they arrive.
     """
-    run = uuid.uuid4().hex
+    checkpoint = checkpoint or new_shared_path(features.sparkSession, "upsert-state")
+    run = uuid.uuid5(uuid.NAMESPACE_URL, checkpoint).hex
 
     def insert(batch: DataFrame, batch_id: int) -> None:
-        own = f"{run}-{batch_id:06d}"
         spark = batch.sparkSession
         if has_files(spark, store):
-            held = spark.read.parquet(store).filter(F.col("insert") != own)
+            held = spark.read.parquet(store).filter(~F.col("insert").startswith(run))
             batch = batch.join(held.select(key).distinct(), key, "left_anti")
-        batch.write.mode("overwrite").parquet(f"{store}/insert={own}")
+        batch.write.mode("overwrite").parquet(f"{store}/insert={run}-{batch_id:06d}")
 
     query = (
         features.writeStream.foreachBatch(insert)
-        .option("checkpointLocation", new_shared_path(features.sparkSession, "upsert-state"))
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()

@@ -96,10 +96,10 @@ def hysteresis_segments(
 
 
 def stream_hysteresis(ticks: DataFrame, exit_below: float = 0.50, min_consec: int = 2) -> DataFrame:
-    """Streaming S3: (video_id, event_id, score, enter_at) in, counter and flag out."""
+    """Streaming S3: (video_id, ts, event_id, score, enter_at) in, counter and flag out, in order of time."""
 
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("event_id")
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         start = list(state.get) if state.exists else [0]
         fold = CounterFold(exit_below, min_consec)
         out = fold.replay(rows, [int(start[0])])
@@ -249,18 +249,34 @@ def count_since_reset(
     ).drop("_total", "_base")
 
 
-def stream_count_since_reset(events: DataFrame, counted: str, resets: list[str]) -> DataFrame:
+def stream_count_since_reset(
+    events: DataFrame, counted: str, resets: list[str], ends: list[str] = (), idle_ms: int | None = None,
+) -> DataFrame:
+    """Streaming S6.  An event of ``ends`` counts as a reset and removes the key's state if it is the
+    key's last; with ``idle_ms`` a key that has been idle for so long loses its state too.
+    """
+    resets = [*resets, *ends]
+
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         count = int(state.get[0]) if state.exists else 0
         counts = []
         for kind in rows["event_type"]:
             count = 0 if kind in resets else count + (kind == counted)
             counts.append(count)
-        state.update((count,))
+        if rows["event_type"].iloc[-1] in ends:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((count,))
+            if idle_ms:
+                state.setTimeoutDuration(idle_ms)
         yield rows[["video_id", "event_id"]].assign(since_reset=np.array(counts, dtype=np.int64))
 
     return events.groupBy("video_id").applyInPandasWithState(
-        update, "video_id STRING, event_id LONG, since_reset LONG", "n LONG",
-        "append", GroupStateTimeout.NoTimeout,
+        update, "video_id STRING, event_id LONG, since_reset LONG", "n LONG", "append",
+        GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout,
     )

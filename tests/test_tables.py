@@ -234,7 +234,7 @@ def test_heuristic_score_equals_the_layered_scorer(spark):
     assert np.allclose([r["s"] for r in got], want)
 
 
-def test_score_windows_survives_a_failing_batch(spark):
+def test_score_windows_marks_what_fails(spark):
     import numpy as np
 
     def load():
@@ -245,8 +245,9 @@ def test_score_windows_survives_a_failing_batch(spark):
         return encode
 
     df = spark.createDataFrame([("a", 0, " "), ("a", 1, "four"), ("a", 2, "boom")], "video_id STRING, window_idx INT, text STRING").coalesce(1)
-    got = rows(D.score_windows(df, load, 1, batch=1).select("window_idx", F.col("text_emb")[0]))
-    assert got == [(0, 5.0), (1, 4.0), (2, 0.0)]
+    for batch in (1, 32):
+        got = rows(D.score_windows(df, load, 1, batch=batch).select("window_idx", F.get("text_emb", F.lit(0)), "text_emb_error"))
+        assert got == [(0, 5.0, None), (1, 4.0, None), (2, None, "RuntimeError: broken")]
 
 
 def test_classifier_learns_and_distills(spark):

@@ -155,3 +155,30 @@ def test_track_choice(spark):
     only = '"captionTracks":[{"languageCode":"fr","baseUrl":"f"}]'
     df = spark.createDataFrame([(html,), (only,), ("none",)], "html STRING")
     assert [r["track_url"] for r in T.caption_track_from_html(df).collect()] == ["e", "f", None]
+
+
+@pytest.mark.parametrize("lines", [1, 1_000, 100_000])
+def test_vtt_blocks_of_many_lines(spark, lines):
+    """No pattern is matched across lines, so a block may have any number of them."""
+    body = "\n".join(f"line {i}" for i in range(lines))
+    payload = f"WEBVTT\n\n00:01.000 --> 00:02.000\n{body}\n\n00:03.000 --> 00:04.000\nlast\n"
+    df = spark.createDataFrame([("v", payload)], "video_id STRING, payload STRING")
+    for variant in ("pipeline", "bench"):
+        got = T.cues_from_vtt(df, variant=variant).orderBy("cue_idx").collect()
+        assert [(r.start_ms, r.dur_ms) for r in got] == [(1000, 1000), (3000, 1000)]
+        assert got[0].text == body.replace("\n", " ") and got[1].text == "last"
+
+
+def test_patterns_follow_unicode_words(spark):
+    """Letters of any alphabet are word characters; curly quotes and special blanks are not."""
+    cases = {
+        "ésponsored by x": 0, "“sponsored by x”": 1, "sponsored by x": 1, "SPONſORED by x": 1,
+        "use my code été": 1, "épromo codeé": 0,
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "t STRING")
+    strong = X.matches_any(F.col("t"), [r"\bsponsored\s+by\b", r"\bmy\s+code\s+\w+", r"\bpromo\s+code\b"])
+    got = {r.t: int(r.hit) for r in df.select("t", strong.alias("hit")).collect()}
+    import re
+
+    want = {t: int(any(re.search(p, t, re.I) for p in (r"\bsponsored\s+by\b", r"\bmy\s+code\s+\w+", r"\bpromo\s+code\b"))) for t in cases}
+    assert got == want == cases
