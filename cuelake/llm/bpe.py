@@ -2,8 +2,8 @@
 
 Texts are split into pre-tokens.  A block of documents (one task's stream, cut at a bounded
 size) keeps its distinct pre-tokens once and the texts as positions into that list.  The
-lists are exploded and shuffled by word, each distinct word of the corpus is encoded once,
-and its ids go back to every list that has it.  The texts are put together by position
+lists are dealt out by word (in buckets of a word hash, packed), each distinct word of the
+corpus is encoded once, and its ids go back to every list that has it.  The texts are put together by position
 from their block's list, whose size is bounded, so the texts themselves never move.
 Decoding looks the ids up in the token-byte table, whose size the vocabulary bounds.
 """
@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,11 @@ from cuelake.session import new_shared_path
 RISKY = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000] ")
 BLOCK_CHARS = 32 << 20
 
-BLOCKS = "block long, doc_id long, first long, codes binary, words array<binary>"
-NAMES = ["block", "doc_id", "first", "codes", "words"]
+BUCKETS = 512
+
+BLOCKS = "block long, doc_id long, codes binary, bucket int, places binary, words binary"
+NAMES = ["block", "doc_id", "codes", "bucket", "places", "words"]
+PACKED = "block long, places binary, sizes binary, ids binary"
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -43,7 +47,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 def shrink(numbers: np.ndarray) -> bytes:
     """Numbers below 2**32 as byte planes, compressed."""
     planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T
-    return zstandard.ZstdCompressor(level=1, write_content_size=True).compress(np.ascontiguousarray(planes).tobytes())
+    return zstandard.ZstdCompressor(level=3, write_content_size=True).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def unshrink(raw: bytes) -> np.ndarray:
@@ -51,6 +55,19 @@ def unshrink(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
 
+def pack_words(words: list[bytes]) -> bytes:
+    """Lengths, then the words' bytes, compressed."""
+    raw = np.array([len(words)], "<u4").tobytes() + np.array([len(w) for w in words], "<u4").tobytes() + b"".join(words)
+    return zstandard.ZstdCompressor(level=3, write_content_size=True).compress(raw)
+
+
+def unpack_words(packed: bytes) -> list[bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    ends = (np.cumsum(np.frombuffer(raw, "<u4", n, 4), dtype=np.int64) + 4 + 4 * n).tolist()
+    return [raw[i:j] for i, j in zip([4 + 4 * n, *ends[:-1]], ends)]
+
+
 class Block:
     """Distinct pre-tokens of some texts by number, and the texts as such numbers."""
 
@@ -97,7 +114,8 @@ class Block:
 
 def spans(flat: np.ndarray, starts: np.ndarray, picked: np.ndarray) -> np.ndarray:
     """``flat[starts[k]:starts[k + 1]]`` for each k in turn, as one array."""
-    begin, sizes = starts[picked], starts[picked + np.uint32(1)] - starts[picked]
+    picked = picked.astype(np.int64)
+    begin, sizes = starts[picked], starts[picked + 1] - starts[picked]
     shift = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes)
     return flat[shift + np.arange(len(shift))]
 
@@ -116,13 +134,17 @@ def block_table(docs: DataFrame, pattern: str) -> DataFrame:
                 some = rows[lo:lo + 2000]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([block] * len(some), pa.int64()), pa.array([d for d, _ in some], pa.int64()),
-                    pa.nulls(len(some), pa.int64()), pa.array([c for _, c in some], pa.binary()),
-                    pa.nulls(len(some), pa.list_(pa.binary()))], names=NAMES)
+                    pa.array([c for _, c in some], pa.binary()), pa.nulls(len(some), pa.int32()),
+                    pa.nulls(len(some), pa.binary()), pa.nulls(len(some), pa.binary())], names=NAMES)
             words = [w.encode("utf-8", "surrogatepass") for w in held.words]
-            for lo in range(0, len(words), 20_000):
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([block], pa.int64()), pa.nulls(1, pa.int64()), pa.array([lo], pa.int64()),
-                    pa.nulls(1, pa.binary()), pa.array([words[lo:lo + 20_000]], pa.list_(pa.binary()))], names=NAMES)
+            bucket = np.array([zlib.crc32(w) % BUCKETS for w in words], np.int32)
+            order = np.argsort(bucket, kind="stable")
+            names, first = np.unique(bucket[order], return_index=True)
+            parts = np.split(order, first[1:]) if len(names) else []
+            yield pa.RecordBatch.from_arrays([
+                pa.array([block] * len(names), pa.int64()), pa.nulls(len(names), pa.int64()), pa.nulls(len(names), pa.binary()),
+                pa.array(names, pa.int32()), pa.array([shrink(p) for p in parts], pa.binary()),
+                pa.array([pack_words([words[k] for k in p.tolist()]) for p in parts], pa.binary())], names=NAMES)
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -137,29 +159,34 @@ def block_table(docs: DataFrame, pattern: str) -> DataFrame:
 
 
 def encode_words(listed: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """(block, k, ids) of rows (block, k, word): rows are dealt by word, each distinct word is encoded once.
+    """Rows (block, bucket, places, words) with the words' ids: dealt by bucket, so a word meets one task and is encoded once.
 
-    A word has at most one row per block, so one very frequent word is no heavy key.
+    A block has a word at most once, so one very frequent word is no heavy key.
     """
 
     def encode(batches):
         import tiktoken
 
         library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=read_ranks(ranks_path), special_tokens={})
-        known: dict[bytes, bytes] = {}
+        known: dict[bytes, list[int]] = {}
         for batch in batches:
-            out = []
-            for word in batch.column(2).to_pylist():
-                ids = known.get(word)
-                if ids is None:
-                    if len(known) > 1_000_000:  # a very large share of the words: forget, to bound memory
-                        known.clear()
-                    ids = known[word] = np.array(library._encode_single_piece(word), "<u4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["block", "k", "ids"])
+            for block, places, packed in zip(*(batch.column(c).to_pylist() for c in ("block", "places", "words"))):
+                found = []
+                for word in unpack_words(packed):
+                    ids = known.get(word)
+                    if ids is None:
+                        if len(known) > 500_000:  # a very large share of the words: forget, to bound memory
+                            known.clear()
+                        ids = known[word] = library._encode_single_piece(word)
+                    found.append(ids)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([block], pa.int64()), pa.array([places], pa.binary()),
+                    pa.array([shrink(np.array([len(i) for i in found], np.uint32))], pa.binary()),
+                    pa.array([shrink(np.array([k for i in found for k in i], np.uint32))], pa.binary())],
+                    names=["block", "places", "sizes", "ids"])
 
     tasks = int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return listed.repartition(tasks, "word").mapInArrow(encode, "block long, k long, ids binary")
+    return listed.repartition(tasks, "bucket").mapInArrow(encode, PACKED)
 
 
 def write_lists(encoded: DataFrame, folder: str) -> None:
@@ -169,23 +196,25 @@ def write_lists(encoded: DataFrame, folder: str) -> None:
         key, held = None, []
 
         def close():
-            sizes = np.array([len(i) // 4 for i in held], "<u4")
-            raw = np.array([len(sizes)], "<u8").tobytes() + sizes.tobytes() + b"".join(held)
-            write_file(list_path(folder, key), zstandard.ZstdCompressor(level=1).compress(raw))
+            places, sizes, ids = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(places)
+            ids = spans(ids, np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), order)
+            raw = np.array([len(sizes)], "<u8").tobytes() + sizes[order].astype("<u4").tobytes() + ids.astype("<u4").tobytes()
+            write_file(list_path(folder, key), zstandard.ZstdCompressor(level=3).compress(raw))
             return pa.RecordBatch.from_arrays([pa.array([key], pa.int64())], names=["block"])
 
         for batch in batches:
-            for block, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+            for block, *parts in zip(*(c.to_pylist() for c in batch.columns)):
                 if block != key and held:
                     yield close()
                     held = []
                 key = block
-                held.append(ids)
+                held.append([unshrink(p) for p in parts])
         if held:
             yield close()
 
     tasks = int(encoded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    stored(encoded.repartition(tasks, "block").sortWithinPartitions("block", "k").mapInArrow(write, "block long"), "bpe-lists")
+    stored(encoded.repartition(tasks, "block").sortWithinPartitions("block").mapInArrow(write, "block long"), "bpe-lists")
 
 
 def list_path(folder: str, block: int) -> str:
@@ -203,9 +232,9 @@ def read_list(folder: str, block: int) -> tuple[np.ndarray, np.ndarray]:
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> tuple[DataFrame, str]:
     """Texts as positions by block, and the folder of the blocks' ids."""
     blocks = stored(block_table(docs, pattern), "bpe-blocks", compression="zstd")
-    listed = blocks.where("words IS NOT NULL").select("block", "first", F.posexplode("words").alias("k", "word"))
+    listed = blocks.where("words IS NOT NULL").select("block", "bucket", "places", "words")
     folder = new_shared_path(docs.sparkSession, "bpe-ids")
-    write_lists(encode_words(listed.select("block", (F.col("first") + F.col("k")).alias("k"), "word"), ranks_path, pattern), folder)
+    write_lists(encode_words(listed, ranks_path, pattern), folder)
     return blocks.where("codes IS NOT NULL").select("block", "doc_id", "codes"), folder
 
 
