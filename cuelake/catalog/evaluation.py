@@ -10,7 +10,7 @@ from cuelake.functions.math import sigmoid
 from cuelake.operators import evaluate as E, mldata as M, windows as W
 from cuelake.plans.ordered import INDEX_CHUNK, chunk_of
 from cuelake.session import new_shared_path
-from cuelake.sources.logs import read_run_logs, read_trials, write_report
+from cuelake.sources.logs import read_run_logs, read_trials, write_error_videos, write_report
 
 
 @query("error_types", "predictions", """
@@ -269,6 +269,18 @@ def _write_report(d: Inputs):
     ))
 
 
+@query("error_video_reports", "predictions", TYPED + "".join(f"""
+    {join}SELECT '{kind}' AS kind, video_id, count_if(error_type = '{kind}')::BIGINT AS n_errors, count(*) AS n_windows,
+      round(CAST(sum(CASE WHEN error_type = '{kind}' THEN CAST(prob AS DECIMAL(18,12)) END) AS DOUBLE) / count_if(error_type = '{kind}'), 12) AS mean_prob
+    FROM typed GROUP BY video_id HAVING count_if(error_type = '{kind}') > 0""" for join, kind in (("", "FP"), ("UNION ALL ", "FN"))))
+def _error_videos(d: Inputs):
+    path = new_shared_path(d.spark, "error-videos")
+    write_error_videos(E.video_error_rates(typed(d), "FP"), E.video_error_rates(typed(d), "FN"), path)
+    schema = "video_id STRING, n_errors LONG, n_windows LONG, mean_prob DOUBLE, error_rate DOUBLE"
+    both = [d.spark.read.csv(f"{path}/{kind.lower()}_videos", schema=schema, header=True).withColumn("kind", F.lit(kind)) for kind in ("FP", "FN")]
+    return rounded(both[0].union(both[1]).select("kind", "video_id", "n_errors", "n_windows", "mean_prob"), 12)
+
+
 # -- training data -------------------------------------------------------------------
 
 

@@ -10,8 +10,9 @@ from cuelake.catalog.spans import labelled
 from cuelake.fixtures import Inputs
 from cuelake.functions import text as X
 from cuelake.operators import cleaning, evaluate, intervals, text as T, windows as W
-from cuelake.session import materialize
+from cuelake.session import materialize, new_shared_path
 from cuelake.sources.captions import parse_payloads
+from cuelake.sources.logs import write_detection_report
 
 # -- SQL pieces ------------------------------------------------------------------
 
@@ -477,6 +478,87 @@ def _benchmark_summary(d: Inputs):
     return rounded(evaluate.detection_summary(status, found, truth), 5)
 
 
+# -- the same over a cleaned crowd table, with every status ---------------------------------
+
+CLEANED = DETECTED.rstrip() + """,
+    name AS (SELECT video_id AS old, 'vid' || lpad(substr(video_id, 2), 8, '0') AS video_id, CAST(substr(video_id, 2) AS BIGINT) % 13 = 5 AS failed
+      FROM videos),
+    found AS (SELECT n.video_id, d.start_ms, d.end_ms FROM detected d JOIN name n ON n.old = d.video_id WHERE NOT failed),
+    clean AS (SELECT videoID AS video_id, CAST(startTime AS BIGINT) * 1000 AS start_ms, CAST(endTime AS BIGINT) * 1000 AS end_ms,
+        CAST(votes AS INT) AS votes FROM crowd_raw
+      WHERE category = 'sponsor' AND "hidden" <> '1' AND shadowHidden <> '1' AND service IN ('', 'YouTube') AND CAST(votes AS INT) >= 1
+        AND CAST(videoDuration AS INT) >= 60 AND length(videoID) = 11),
+    conf AS (SELECT * FROM clean WHERE video_id IN (SELECT video_id FROM clean GROUP BY 1 HAVING max(votes) >= 3)),
+    mo AS (SELECT *, max(end_ms) OVER (PARTITION BY video_id ORDER BY start_ms, end_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
+      FROM conf),
+    mn AS (SELECT *, sum(CASE WHEN start_ms - reach <= 2000 THEN 0 ELSE 1 END) OVER (PARTITION BY video_id ORDER BY start_ms, end_ms
+        ROWS UNBOUNDED PRECEDING) AS grp FROM mo),
+    truth AS (SELECT video_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM mn GROUP BY video_id, grp),
+    st AS (SELECT t.video_id, CASE WHEN coalesce(n.failed, false) THEN 'error' WHEN n.video_id IS NULL THEN 'no_captions'
+        WHEN s.video_id IS NULL THEN 'true_negative' ELSE 'with_segments' END AS status
+      FROM (SELECT video_id FROM name UNION SELECT video_id FROM truth) t LEFT JOIN name n USING (video_id)
+        LEFT JOIN (SELECT video_id FROM truth UNION SELECT video_id FROM found) s USING (video_id))
+"""
+CLEANED_SUMMARY = CLEANED.rstrip() + """,
+    sc AS (SELECT video_id FROM st WHERE status = 'with_segments'),
+    sg AS (SELECT * FROM truth WHERE video_id IN (FROM sc)),
+    sd AS (SELECT * FROM found WHERE video_id IN (FROM sc)),
+    ev AS (SELECT video_id, t, sum(g) AS g, sum(d) AS d FROM (
+      SELECT video_id, start_ms AS t, 1 AS g, 0 AS d FROM sg UNION ALL SELECT video_id, end_ms, -1, 0 FROM sg
+      UNION ALL SELECT video_id, start_ms, 0, 1 FROM sd UNION ALL SELECT video_id, end_ms, 0, -1 FROM sd) GROUP BY 1, 2),
+    sw AS (SELECT video_id, lead(t) OVER w - t AS len, sum(g) OVER w AS g, sum(d) OVER w AS d FROM ev WINDOW w AS (PARTITION BY video_id ORDER BY t)),
+    inter AS (SELECT video_id, sum(CASE WHEN g > 0 AND d > 0 THEN len ELSE 0 END) AS i FROM sw GROUP BY 1),
+    gt AS (SELECT video_id, sum(end_ms - start_ms) AS gms, count(*) AS n FROM sg GROUP BY 1),
+    dt AS (SELECT video_id, sum(end_ms - start_ms) AS dms, count(*) AS n FROM sd GROUP BY 1),
+    met AS (SELECT video_id, coalesce(gt.n, 0) AS n_gt, coalesce(dt.n, 0) AS n_det,
+        CASE WHEN dt.n IS NULL THEN 1.0 WHEN gt.n IS NULL THEN 0.0 ELSE i / dms::DOUBLE END::DOUBLE AS p,
+        CASE WHEN gt.n IS NULL THEN 1.0 WHEN dt.n IS NULL THEN 0.0 ELSE i / gms::DOUBLE END::DOUBLE AS r,
+        CASE WHEN dt.n IS NULL OR gt.n IS NULL THEN 0.0 ELSE i / (gms + dms - i)::DOUBLE END::DOUBLE AS iou
+      FROM sc LEFT JOIN gt USING (video_id) LEFT JOIN dt USING (video_id) LEFT JOIN inter USING (video_id)),
+    cov AS (SELECT g.video_id, g.start_ms, 2 * coalesce(sum(CASE WHEN d.start_ms IS NOT NULL THEN least(g.end_ms, d.end_ms)
+        - greatest(g.start_ms, d.start_ms) END), 0) >= any_value(g.end_ms - g.start_ms) AS covered FROM sg g
+      LEFT JOIN sd d ON d.video_id = g.video_id AND d.end_ms > g.start_ms AND d.start_ms < g.end_ms GROUP BY 1, 2),
+    av AS (SELECT avg(p) AS p, avg(r) AS r, avg(iou) AS iou, sum(n_gt) AS n_gt, sum(CASE WHEN n_gt = 0 THEN n_det ELSE 0 END) AS n_fp FROM met),
+    c AS (SELECT count(*) AS n_total, count_if(status = 'error')::BIGINT AS n_errors, count_if(status = 'no_captions')::BIGINT AS n_no_captions,
+      count_if(status = 'true_negative')::BIGINT AS n_true_negative, count_if(status = 'with_segments')::BIGINT AS n_with_segments FROM st)
+    SELECT c.*, round(p, 5) AS avg_precision, round(r, 5) AS avg_recall, round(iou, 5) AS avg_iou, CAST(n_gt AS BIGINT) AS n_gt,
+      CAST(n_fp AS BIGINT) AS n_false_pos, (SELECT count_if(covered)::BIGINT FROM cov) AS n_covered,
+      round((SELECT count_if(covered) FROM cov) * 100.0::DOUBLE / n_gt, 5) AS covered_pct,
+      CASE WHEN r < 0.3 THEN 'low' WHEN r < 0.5 THEN 'moderate' ELSE 'ok' END AS recall_level,
+      CASE WHEN p < 0.3 THEN 'low' WHEN p < 0.5 THEN 'moderate' ELSE 'ok' END AS precision_level, iou >= 0.4 AS decent_iou FROM c, av"""
+
+
+def cleaned_benchmark(d: Inputs):
+    """(status, found, truth) of the crowd videos: clean, keep confident videos, merge, detect."""
+    captioned = d.videos().withColumn("n", F.substring("video_id", 2, 20).cast("bigint")).select(
+        "video_id", F.concat(F.lit("vid"), F.lpad(F.col("n").cast("string"), 8, "0")).alias("name"), (F.col("n") % 13 == 5).alias("failed"))
+    captioned = materialize(captioned, "captioned")
+    kept = cleaning.videos_with_confident_segment(cleaning.clean_segments_bench(d.crowd_raw()), 3)
+    truth = materialize(intervals.merge_intervals(kept), "truth")
+    cues = d.cues().join(captioned.filter("NOT failed").drop("failed"), "video_id").drop("video_id").withColumnRenamed("name", "video_id")
+    found = materialize(T.detect_segments(cues), "detections")
+    named = captioned.select(F.col("name").alias("video_id"), "failed")
+    tested = named.select("video_id").union(truth.select("video_id")).distinct()
+    both = truth.select("video_id").union(found.select("video_id"))
+    status = cleaning.detection_status(tested, named, both, errors=named.filter("failed"))
+    return materialize(status, "status"), found, truth
+
+
+@query("detection_status_cleaned", "cues videos crowd_raw", CLEANED + "SELECT video_id, status FROM st")
+def _status_cleaned(d: Inputs):
+    return cleaned_benchmark(d)[0]
+
+
+@query("detection_summary_cleaned", "cues videos crowd_raw", CLEANED_SUMMARY)
+def _summary_cleaned(d: Inputs):
+    """B2, B4, E6, E8, G1, F12 in a row, through the JSON report."""
+    status, found, truth = cleaned_benchmark(d)
+    path = new_shared_path(d.spark, "report")
+    summary = rounded(evaluate.detection_summary(status, found, truth), 5)
+    write_detection_report(summary, intervals.segment_metrics(found, truth), path)
+    return d.spark.read.schema(summary.schema).json(f"{path}/summary")
+
+
 # -- baselines over built windows ---------------------------------------------------------
 
 FIRST64 = sql_weighted("vec", 4)

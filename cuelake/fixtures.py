@@ -101,6 +101,28 @@ class Inputs:
             ((F.col("k") * 5 + F.length("video_id")) % 13).cast("int").alias("votes"),
         )
 
+    def crowd_raw(self) -> DataFrame:
+        """Crowd-labelled rows for the cue videos (``vid...``) and for videos without captions (``nov...``).
+
+        Some rows are of another category, hidden or voted down, some overlap, and a sixth of the
+        videos has no row.
+        """
+        v = self.videos().select(F.expr("CAST(substr(video_id, 2) AS BIGINT)").alias("n"), "dur_ms")
+        named = v.select(F.lit("vid").alias("kind"), "n", "dur_ms").union(
+            v.filter("n % 4 = 1").select(F.lit("nov"), "n", "dur_ms"))
+        k = F.explode(F.expr("sequence(0, dur_ms div 45000)")).alias("k")
+        return named.filter("n % 6 <> 2").select("kind", "n", "dur_ms", k).selectExpr(
+            "concat(kind, lpad(CAST(n AS STRING), 8, '0')) AS videoID",
+            "CAST(k * 45 AS STRING) AS startTime",
+            "CAST(k * 45 + 20 + (n + k) % 3 * 13 AS STRING) AS endTime",
+            "CAST((k * 5 + n) % 7 - 1 AS STRING) AS votes",
+            "CASE WHEN (k + n) % 5 = 0 THEN 'intro' ELSE 'sponsor' END AS category",
+            "CASE WHEN (k + n) % 11 = 3 THEN '1' ELSE '0' END AS hidden",
+            "CASE WHEN (k * 3 + n) % 17 = 3 THEN '1' ELSE '0' END AS shadowHidden",
+            "'skip' AS actionType", "CAST(dur_ms div 1000 AS STRING) AS videoDuration",
+            "CASE WHEN n % 2 = 0 THEN 'YouTube' ELSE '' END AS service",
+        )
+
     # -- crowd intervals -----------------------------------------------------
 
     def segments_raw(self) -> DataFrame:
@@ -375,6 +397,16 @@ DUCK: dict[str, tuple[list[str], str]] = {
         SELECT video_id, CAST(k * 90000 AS BIGINT) AS start_ms, CAST(k * 90000 + 20000 AS BIGINT) AS end_ms,
           CAST((k * 5 + length(video_id)) % 13 AS INT) AS votes
         FROM (SELECT video_id, unnest(range(0, dur_ms // 90000 + 1)) AS k FROM videos)"""),
+    "crowd_raw": (["videos"], """
+        SELECT kind || lpad(CAST(n AS VARCHAR), 8, '0') AS videoID, CAST(k * 45 AS VARCHAR) AS startTime,
+          CAST(k * 45 + 20 + (n + k) % 3 * 13 AS VARCHAR) AS endTime, CAST((k * 5 + n) % 7 - 1 AS VARCHAR) AS votes,
+          CASE WHEN (k + n) % 5 = 0 THEN 'intro' ELSE 'sponsor' END AS category,
+          CASE WHEN (k + n) % 11 = 3 THEN '1' ELSE '0' END AS hidden,
+          CASE WHEN (k * 3 + n) % 17 = 3 THEN '1' ELSE '0' END AS shadowHidden, 'skip' AS actionType,
+          CAST(dur_ms // 1000 AS VARCHAR) AS videoDuration, CASE WHEN n % 2 = 0 THEN 'YouTube' ELSE '' END AS service
+        FROM (SELECT kind, n, dur_ms, unnest(range(0, dur_ms // 45000 + 1)) AS k
+              FROM (SELECT CAST(substr(video_id, 2) AS BIGINT) AS n, dur_ms, unnest(['vid', 'nov']) AS kind FROM videos)
+              WHERE n % 6 <> 2 AND (kind = 'vid' OR n % 4 = 1))"""),
     "segments_raw": ([], """
         SELECT concat('o', CAST(l_orderkey // 8 AS VARCHAR)) AS videoID,
           CAST(l_partkey % 600 AS VARCHAR) AS startTime,

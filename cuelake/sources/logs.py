@@ -42,3 +42,15 @@ def write_report(df: DataFrame, path: str, fmt: str = "json", mode: str = "overw
 def summary_json(summary: DataFrame) -> DataFrame:
     """A one-row summary as one JSON text."""
     return summary.select(F.to_json(F.struct("*")).alias("report"))
+
+
+def write_detection_report(summary: DataFrame, videos: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """JSON report of a benchmark: the one-row ``summary`` and the per-video rows, each in its own folder."""
+    write_report(summary, f"{path}/summary", "json", mode)
+    write_report(videos, f"{path}/videos", "json", mode)
+
+
+def write_error_videos(false_pos: DataFrame, false_neg: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Headed CSVs of the videos with false positives and with false negatives."""
+    write_report(false_pos, f"{path}/fp_videos", "csv", mode)
+    write_report(false_neg, f"{path}/fn_videos", "csv", mode)
