@@ -400,7 +400,15 @@ def _distill(d: Inputs):
     return E.threshold_curve(M.apply_classifier(model, data.filter("split <> 'train'"), FEATURES))
 
 
-@query("score_windows")
+@query("score_windows", "cues", r"""
+    , w AS (SELECT video_id, cue_idx, unnest(string_split_regex(CASE WHEN regexp_matches(text, '[^\s\p{Z}]') THEN lower(text) ELSE '[unk]' END,
+        '[\s\p{Z}]+')) AS word FROM cues),
+    h AS (SELECT video_id, cue_idx, CAST('0x' || substr(md5(word), 1, 8) AS BIGINT) AS h FROM w WHERE word <> ''),
+    s AS (SELECT video_id, cue_idx, h % 64 AS slot, CAST(sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS INT) AS n FROM h GROUP BY ALL),
+    g AS (SELECT c.video_id, c.cue_idx, k, coalesce(s.n, 0) AS n FROM cues c CROSS JOIN (SELECT unnest(range(0, 64)) AS k)
+      LEFT JOIN s ON s.video_id = c.video_id AND s.cue_idx = c.cue_idx AND s.slot = k)
+    SELECT video_id, cue_idx AS window_idx, string_agg(CAST(n AS VARCHAR), ',' ORDER BY k) AS text_emb FROM g GROUP BY 1, 2""")
 def _score(d: Inputs):
     cues = d.cues().select("video_id", F.col("cue_idx").alias("window_idx"), "text")
-    return M.score_windows(cues, M.hashing_encoder(64), 64)
+    scored = M.score_windows(cues, M.hashing_encoder(64), 64).filter("text_emb_error IS NULL")
+    return scored.select("video_id", "window_idx", F.array_join(F.transform("text_emb", lambda x: x.cast("int").cast("string")), ",").alias("text_emb"))

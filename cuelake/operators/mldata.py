@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -253,7 +253,7 @@ def hashing_encoder(dim: int = 64) -> Callable[[], Encoder]:
             out = np.zeros((len(texts), dim), dtype=np.float32)
             for row, text in enumerate(texts):
                 for word in text.lower().split():
-                    h = zlib.crc32(word.encode("utf-8"))
+                    h = int.from_bytes(hashlib.md5(word.encode("utf-8")).digest()[:4], "big")
                     out[row, h % dim] += 1.0 if h & 0x80000000 else -1.0
             return out
 
