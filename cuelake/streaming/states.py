@@ -253,7 +253,8 @@ def stream_count_since_reset(
     events: DataFrame, counted: str, resets: list[str], ends: list[str] = (), idle_ms: int | None = None,
 ) -> DataFrame:
     """Streaming S6.  An event of ``ends`` counts as a reset and removes the key's state if it is the
-    key's last; with ``idle_ms`` a key that has been idle for so long loses its state too.
+    key's last; with ``idle_ms`` a key that has been idle for so long loses its state too (for queries
+    with a processing-time trigger: one that ends with the available input would wait for time-outs).
     """
     resets = [*resets, *ends]
 
