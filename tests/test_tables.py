@@ -181,8 +181,10 @@ def test_balance(spark):
     assert got == {1: 1.0, 0: pytest.approx(0.2)}
     empty = D.class_balance_weights(windows(spark, {"a": [0]})).first()
     assert empty["balance_weight"] is None
-    big = spark.range(4000).select(F.lit("v").alias("video_id"), (F.col("id") % 10 == 0).cast("int").alias("label"))
-    counts = {r["label"]: r["count"] for r in D.balanced_resample(D.class_balance_weights(big)).groupBy("label").count().collect()}
+    big = spark.range(4000).select(F.lit("v").alias("video_id"), F.col("id").alias("window_idx"), (F.col("id") % 10 == 0).cast("int").alias("label"))
+    drawn = D.balanced_resample(D.class_balance_weights(big))
+    counts = {r["label"]: r["count"] for r in drawn.groupBy("label").count().collect()}
+    assert rows(drawn) == rows(D.balanced_resample(D.class_balance_weights(big.repartition(7))))  # drawn by key
     assert counts[0] == pytest.approx(2000, rel=0.1) and counts[1] == pytest.approx(2000, rel=0.1)
 
 
