@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import read_file, stored, write_file
+from cuelake.llm.common import claim_cache, read_file, stored, write_file
 from cuelake.session import new_shared_path
 
 #: White space before a blank: only there could a cut before the blank change the pre-tokens.
@@ -124,6 +124,7 @@ def block_table(docs: DataFrame, pattern: str) -> DataFrame:
     """Blocks of documents: a row per document with its positions, and rows with the block's words."""
 
     def split(batches):
+        claim_cache("bpe", _TABLES.clear)
         task, made, compiled = TaskContext.get().partitionId(), 0, regex.compile(pattern)
         held = Block(compiled)
 

@@ -40,6 +40,17 @@ def hash_share(key: str, wanted: int, total: int):
     return F.col(key).isNotNull() & (F.pmod(F.xxhash64(F.col(key), F.lit("share")), F.lit(grain)) < share)
 
 
+#: Caches that this Python worker keeps between tasks: how to empty each.
+_CACHES: dict = {}
+
+
+def claim_cache(name: str, empty) -> None:
+    """Keep the cache ``name`` and empty all others: a worker holds one operator's cache at a time."""
+    for other in [n for n in _CACHES if n != name]:
+        _CACHES.pop(other)()
+    _CACHES[name] = empty
+
+
 def segments(text: str, size: int = SEGMENT):
     """Cut a text at blanks into parts of about ``size`` characters, so that long ones stay cheap to hold."""
     start = 0

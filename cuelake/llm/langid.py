@@ -15,13 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import fresh, hash_share, segments
+from cuelake.llm.common import claim_cache, fresh, hash_share, segments
 
 #: Runs of letters: word characters of any alphabet without digits and the underscore.
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 4
 UNKNOWN = "und"
-HELD = 400_000
+HELD = 150_000
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -164,6 +164,7 @@ def predicted(docs: DataFrame, **options) -> tuple[DataFrame, str]:
     @F.arrow_udf("struct<lang:string,score:double>")
     def predict(texts: pa.Array) -> pa.Array:
         model = shared.value
+        claim_cache("langid", model.met.clear)
         found = [model.predict(t) for t in texts.to_pylist()]
         return pa.StructArray.from_arrays(
             [pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["lang", "score"])

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuelake.llm.common import fresh, hash_share
+from cuelake.llm.common import claim_cache, fresh, hash_share
 
 WINDOW = 8
 BLANK_BYTES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -85,6 +85,7 @@ STATISTICS = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS] + [T.
 
 
 def all_statistics(texts: pa.Array) -> pa.Array:
+    claim_cache("quality", lambda: None)
     found = [statistics(t) for t in texts.to_pylist()]
     counts = [pa.array([c[k] for c, _ in found], pa.int64()) for k in range(len(COUNTS))]
     x = pa.array([x for _, x in found], pa.list_(pa.float64()))

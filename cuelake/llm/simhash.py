@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuelake.llm.common import fresh, stored
+from cuelake.llm.common import claim_cache, fresh, stored
 
 SEED = 42
 LANES = np.uint64(0x0101010101010101)
@@ -60,6 +60,7 @@ def bit_totals(hashes: np.ndarray) -> np.ndarray:
 
 def fingerprints(texts: pa.Array) -> pa.Array:
     """:func:`fingerprint` of each text, as a signed long of the same bits."""
+    claim_cache("simhash", lambda: None)
     found = np.array([fingerprint(t) for t in texts.to_pylist()], np.uint64)
     return pa.array(found.view(np.int64))
 

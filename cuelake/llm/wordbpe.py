@@ -12,7 +12,7 @@ import re
 
 import numpy as np
 
-from cuelake.llm.common import segments
+from cuelake.llm.common import claim_cache, segments
 
 #: Letters of one alphabet block that need no normalisation but lower case, then ASCII signs
 #: without the apostrophe (contractions are split by rule): two pre-tokens of the library.
@@ -22,7 +22,7 @@ PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 class WordBpe:
     """Ids of texts as little-endian unsigned 32-bit bytes, equal to the library's own."""
 
-    def __init__(self, path: str, held: int = 600_000):
+    def __init__(self, path: str, held: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -50,7 +50,7 @@ class WordBpe:
     def _learn(self, new: set[str]) -> None:
         if len(self.pieces) + len(new) > self.held:  # forget, to bound memory
             self.pieces = {"": b""}
-            if len(self.words) > 2 * self.held:
+            if len(self.words) > self.held * 3 // 2:
                 self.words = {}
         plain = {p: m for p in new if (m := PLAIN.fullmatch(p))}
         self._learn_words({w for m in plain.values() if (w := m[1].lower()) not in self.words})
@@ -86,7 +86,8 @@ _OPEN: dict[str, WordBpe] = {}
 
 
 def opened(path: str) -> WordBpe:
-    """The worker's encoder for a vocabulary file, opened once per process."""
+    """The worker's encoder for a vocabulary file, kept until another operator's cache takes its place."""
+    claim_cache("wordbpe", _OPEN.clear)
     if path not in _OPEN:
         _OPEN[path] = WordBpe(path)
     return _OPEN[path]
