@@ -249,6 +249,16 @@ def test_base_spans(spark):
         assert r.spans.startswith(listed)
 
 
+def test_addresses_with_zero_parts(spark):
+    texts = ["10.0.0.1", "at 0.0.0.0, 192.168.1.0 and 1.2.3.000", "00.000.0000.1 0256.1.1.1 1.0.0.00300 " + "0" * 4000 + ".0.0.0", "0.0.0 0.0.0.256"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING")
+    for r in pii.find_spans(df).collect():
+        want = ",".join(f"{k}:{a}:{b}" for k, a, b in plain_spans(texts[r.doc_id]))
+        assert r.n_ip == want.count("ip:") == [1, 3, 2, 0][r.doc_id] and r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+    cleaned = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert cleaned[0] == "<IP>" and cleaned[1] == "at <IP>, <IP> and <IP>"
+
+
 def test_em_finds_the_reliable_labelers(spark):
     rng = random.Random(4)
     cells = Counter()
