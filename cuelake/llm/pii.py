@@ -34,7 +34,7 @@ OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 #: Kinds that only the method can add: credentials, national ids and bank accounts, local
 #: phone numbers.
 ADDED = {
-    "secret": r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,63}+[0-9])[A-Za-z0-9_-]{20,128}+(?![A-Za-z0-9_-])",
+    "secret": r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{20,}+",
     "idnum": r"(?<![A-Za-z0-9])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}+)(?![A-Za-z0-9])",
     "localphone": r"(?<![0-9A-Za-z+(])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.\x20-])[0-9]{3}[.\x20-][0-9]{4}(?![0-9A-Za-z])",
 }

@@ -259,6 +259,13 @@ def test_addresses_with_zero_parts(spark):
     assert cleaned[0] == "<IP>" and cleaned[1] == "at <IP>, <IP> and <IP>"
 
 
+def test_long_runs_are_candidates_for_secrets(spark):
+    runs = ["a1" * 100, "a" * 100 + "1", "x" * 70 + "9" + "-" * 5000, "a1" * 10, "a" * 300, "a1" * 9]
+    df = spark.createDataFrame([(i, f"key {t} end") for i, t in enumerate(runs)], "i INT, text STRING")
+    got = {r.i: [(c.start, c.end) for c in r.found if pii.KINDS[c.kind] == "secret"] for r in df.select("i", pii.candidates(F.col("text")).alias("found")).collect()}
+    assert got == {i: [(4, 4 + len(t))] if i < 4 else [] for i, t in enumerate(runs)}
+
+
 def test_em_finds_the_reliable_labelers(spark):
     rng = random.Random(4)
     cells = Counter()
