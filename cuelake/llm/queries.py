@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, with SQL where it can say the same."""
+"""The registered queries of the operators, with SQL where it can say the same."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm import urlfilter
+from cuelake.llm import audit, urlfilter
+from cuelake.llm.align import alignment_digests
 from cuelake.llm.bpe import encode_decode
 from cuelake.llm.common import tokenizer_path
 from cuelake.llm.langid import languages
@@ -21,6 +22,9 @@ from cuelake.llm.warc import warc_round_trip
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
 WORD_BPE = "word_bpe_49k.json"
+#: Ranks of the vocabulary of byte_bpe_50k.json: the same tokens and ids.
+ENGLISH_BPE = "byte_bpe_50k.tiktoken"
+PIECE_BPE = "piece_bpe_32k.model"
 END_ID = 2
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +130,18 @@ def op10_url_filter(spark, sf_dir):
 
 
 ORACLE["op10_url_filter"] = urlfilter.sql(URL_RULES)
+
+
+@registered
+def op12_token_alignment(spark, sf_dir):
+    import public_tokenizers
+
+    return alignment_digests(table(spark, sf_dir, "documents"), tokenizer_path(ENGLISH_BPE), tokenizer_path(PIECE_BPE), public_tokenizers.PATTERN)
+
+
+@registered
+def op13_filter_audit(spark, sf_dir):
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLE["op13_filter_audit"] = audit.SQL
