@@ -14,6 +14,7 @@ from cuelake.llm.common import tokenizer_path
 from cuelake.llm.langid import languages
 from cuelake.llm.packing import pack
 from cuelake.llm.pii import find_spans
+from cuelake.llm.pitman import score_texts
 from cuelake.llm.quality import quality_rules
 from cuelake.llm.simhash import near_duplicates
 from cuelake.llm.tokenfile import token_file_round_trip
@@ -132,6 +133,12 @@ def op10_url_filter(spark, sf_dir):
 ORACLE["op10_url_filter"] = urlfilter.sql(URL_RULES)
 
 
+@registered
+def op11_pitman_yor(spark, sf_dir):
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return score_texts(table(spark, sf_dir, "documents"), held_out)
+
+
 @registered
 def op12_token_alignment(spark, sf_dir):
     import public_tokenizers
