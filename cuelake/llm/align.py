@@ -29,7 +29,8 @@ PART = 1 << 18
 BLOCK = 1 << 20
 BYTE_PIECE = re.compile("<0x([0-9A-F]{2})>")
 
-ALIGNED = "doc_id long, a_ids array<int>, b_ids array<int>, group_a array<int>, group_b array<int>, n_overlaps long, n_shared long"
+#: Lists of numbers are little-endian unsigned 32-bit ones, one after the other.
+ALIGNED = "doc_id long, a_ids binary, b_ids binary, group_a binary, group_b binary, n_overlaps long, n_shared long"
 LONGS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "n_overlaps", "n_shared"]
 RESULT = "doc_id long, " + ", ".join(f"{c} long" for c in LONGS[:6]) + ", groups_sha256 string, n_overlaps long, n_shared long"
 
@@ -137,21 +138,22 @@ class Tokenizers:
                         for piece in map(self.b.id_to_piece, range(self.b.get_piece_size()))]
         self.a_sizes, self.b_sizes = (np.array([len(t) for t in table], np.int64) for table in (self.a_bytes, self.b_bytes))
 
-    def encode(self, text: str) -> tuple[list[int], list[int]] | None:
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of both sides for a blank and the text; none where a side does not give these bytes back."""
         a, b, start = [], [], 0
         while start < len(text):
             cut = CUT.search(text, start + PART)
             stop = cut.start() if cut else len(text)
             part = text[start:stop]
-            a += self.a.encode_ordinary(" " + part)
-            b += self.b.encode(part, num_threads=1)
-            start = stop + 1
-        line = (" " + text).encode("utf-8", "surrogatepass")
-        for ids, table in ((a, self.a_bytes), (b, self.b_bytes)):
-            if b"".join(map(table.__getitem__, ids)) != line:
+            line = " " + part
+            a.append(self.a.encode_to_numpy(line, disallowed_special=()).astype(np.int64))
+            ids = self.b.encode(part, num_threads=1)
+            line = line.encode("utf-8", "surrogatepass")
+            if b"".join(map(self.b_bytes.__getitem__, ids)) != line or self.a.decode_bytes(a[-1]) != line:
                 return None
-        return a, b
+            b.append(np.array(ids, np.int64))
+            start = stop + 1
+        return np.concatenate(a), np.concatenate(b)
 
 
 _OPEN: dict = {}
@@ -164,14 +166,23 @@ def opened(*paths: str) -> Tokenizers:
     return _OPEN[paths]
 
 
-def lists(rows: list) -> pa.Array:
-    ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-    flat = np.concatenate([np.asarray(r, np.int32) for r in rows]) if rows else np.zeros(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))
+def sliced(batches, rows: int = 128):
+    """Smaller batches: what is held per token is many times its text."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
+def packed(rows: list) -> pa.Array:
+    return pa.array([r.astype("<u4").tobytes() for r in rows], pa.binary())
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<u4").astype(np.int64)
 
 
 def alignments(docs: DataFrame, a_path: str, b_path: str, pattern: str) -> DataFrame:
-    """Per row of ``docs(doc_id, text)``: the ids of both sides and the tokens of each side in each group.
+    """Per row of ``docs(doc_id, text)``: the ids of both sides and the tokens of each side in each group, packed.
 
     The last tokens of a group are linked (:func:`end_links`).  ``n_overlaps`` and ``n_shared`` count
     the overlap and shared-group links.  Texts that are null, empty, or that a side cannot
@@ -179,11 +190,11 @@ def alignments(docs: DataFrame, a_path: str, b_path: str, pattern: str) -> DataF
     """
     def align(batches):
         both = opened(a_path, b_path, pattern)
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for text in batch.column(1).to_pylist():
                 found = both.encode(text) if text else None
-                a, b = (np.array(ids, np.int64) for ids in found or ([], []))
+                a, b = found or (np.zeros(0, np.int64),) * 2
                 sizes_a, sizes_b = both.a_sizes[a], both.b_sizes[b]
                 overlaps = overlap_links(sizes_a, sizes_b)
                 i, j = end_links(sizes_a, sizes_b, overlaps)
@@ -192,7 +203,7 @@ def alignments(docs: DataFrame, a_path: str, b_path: str, pattern: str) -> DataF
                 out.append((a, b, group_a, group_b, len(overlaps.indices), int(group_a @ group_b)))
             columns = list(zip(*out)) or [()] * 6
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[lists(c) for c in columns[:4]], *[pa.array(c, pa.int64()) for c in columns[4:]]],
+                [batch.column(0), *[packed(c) for c in columns[:4]], *[pa.array(c, pa.int64()) for c in columns[4:]]],
                 names=["doc_id", "a_ids", "b_ids", "group_a", "group_b", "n_overlaps", "n_shared"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(align, ALIGNED)
@@ -207,7 +218,8 @@ def links(aligned: DataFrame, a_path: str, b_path: str, pattern: str, kind: str
     def link(batches):
         both = opened(a_path, b_path, pattern)
         for batch in batches:
-            for doc, a, b, group_a, group_b in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "a_ids", "b_ids", "group_a", "group_b"))):
+            for doc, *raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "a_ids", "b_ids", "group_a", "group_b"))):
+                a, b, group_a, group_b = map(unpacked, raw)
                 ends_a, ends_b = np.cumsum(sizes_a := both.a_sizes[a]), np.cumsum(sizes_b := both.b_sizes[b])
                 if kind == "group":
                     factors = turned(runs_of(group_a, len(a))), runs_of(group_b, len(b))
@@ -223,9 +235,9 @@ def links(aligned: DataFrame, a_path: str, b_path: str, pattern: str, kind: str
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(all values, where each row's start) of a list column."""
-    ends = column.offsets.to_numpy().astype(np.int64)
-    return column.values.to_numpy(zero_copy_only=False)[ends[0]:ends[-1]].astype(np.int64), ends - ends[0]
+    """(all numbers, where each row's start) of a column of packed numbers."""
+    rows = column.to_pylist()
+    return unpacked(b"".join(rows)), np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows])]).astype(np.int64)
 
 
 def linked_pairs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -243,7 +255,7 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
 
     def count(batches):
         pairs, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
+        for batch in sliced(batches):
             found, n = np.unique(linked_pairs(batch)[0], return_counts=True)
             pairs, at = np.unique(np.concatenate([pairs, found]), return_inverse=True)
             counts = np.bincount(at, np.concatenate([counts, n]), len(pairs)).astype(np.int64)
@@ -289,7 +301,7 @@ def alignment_digests(docs: DataFrame, a_path: str, b_path: str, pattern: str) -
 
     def digest(batches):
         pair, n, best = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             links, starts = linked_pairs(batch)
             at = np.searchsorted(pair, links)
             sums, bests = (np.concatenate([[0], np.cumsum(x[at], dtype=np.int64)]) for x in (n, best))

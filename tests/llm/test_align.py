@@ -120,7 +120,7 @@ def test_long_texts_are_cut_without_a_trace(monkeypatch, odd_rows):
     text = odd_rows[4][1]
     want = both.encode(text[:40_000])
     monkeypatch.setattr(align, "PART", 1000)
-    assert both.encode(text[:40_000]) == want
+    assert all(np.array_equal(x, y) for x, y in zip(both.encode(text[:40_000]), want, strict=True))
 
 
 def test_link_tables(spark):
@@ -130,6 +130,6 @@ def test_link_tables(spark):
     by_kind = {k: align.links(aligned, *PLACES, kind=k).collect() for k in ("overlap", "end", "group")}
     assert len(by_kind["overlap"]) == row.n_overlaps and len(by_kind["group"]) == row.n_shared
     assert sum(r.weight for r in by_kind["overlap"]) == len(" unaligned tokenizations")
-    assert {(r.a, r.b) for r in by_kind["end"]} == set(zip((np.cumsum(row.group_a) - 1).tolist(), (np.cumsum(row.group_b) - 1).tolist()))
+    assert {(r.a, r.b) for r in by_kind["end"]} == set(zip((np.cumsum(align.unpacked(row.group_a)) - 1).tolist(), (np.cumsum(align.unpacked(row.group_b)) - 1).tolist()))
     assert {r.doc_id for k in by_kind for r in by_kind[k]} == {1}
     assert 0 < align.pair_counts(aligned).count() <= align.most_pairs(*PLACES)
