@@ -302,38 +302,55 @@ class Streamed(Inputs):
         return None
 
 
+def closed(d: Inputs) -> Closed:
+    return Closed(d.spark, d.directory)
+
+
 class Closed(Streamed):
-    """Event streams with a last row far behind all others, so that every window closes in append mode."""
+    """Streams with a last row far behind all others, so that every window closes in append mode."""
 
     MARK = "closing"
 
     def closing(self, name: str, whole: DataFrame) -> DataFrame | None:
-        if name != "events":
+        if name == "events":
+            row = whole.agg((F.max(F.col("ts")) + F.expr("INTERVAL '365' DAY")).alias("ts")).select(
+                F.lit(-1).alias("event_id"), "ts", F.lit(-1).alias("user_id"), F.lit(self.MARK).alias("event_type"),
+                F.lit(1e9).alias("value"), F.lit("").alias("props"))
+        elif name == "embeddings":
+            row = whole.agg((F.max("vec_id") + 50 * self.FAR).alias("vec_id"))
+        else:
             return None
-        late = F.max(F.col("ts")) + F.expr("INTERVAL '365' DAY")
-        row = whole.agg(late.alias("ts")).select(
-            F.lit(-1).alias("event_id"), "ts", F.lit(-1).alias("user_id"), F.lit(self.MARK).alias("event_type"),
-            F.lit(1e9).alias("value"), F.lit("").alias("props"))
-        return row.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in whole.schema])
+        return row.select(*[(F.col(f.name) if f.name in row.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in whole.schema])
+
+    #: By how many videos the closing row of ``embeddings`` is behind the last.
+    FAR = 100_000
+
+    @staticmethod
+    def own(results: DataFrame, videos: DataFrame) -> DataFrame:
+        """Results without the closing row's video."""
+        return results.join(videos.select("video_id").distinct(), "video_id", "left_semi")
 
 
 def streamed(d: Inputs) -> Streamed:
     return Streamed(d.spark, d.directory)
 
 
-def timed(df: DataFrame, ms: str) -> DataFrame:
-    """Media time as an event time."""
-    return df.withColumn("ts", F.timestamp_millis(F.col(ms)))
+def video_number():
+    return F.expr("CAST(substr(video_id, 2) AS BIGINT)")
+
 
+AV_BINS = 24
 
-@query("stream_av_windows", "av_windows", """
+
+@query("stream_av_windows", "av_windows", f"""
     SELECT video_id, (win_idx * 2000 + time_ms % 1000) // 5000 * 5000 AS start_ms, count(*) AS n_samples, round(avg(low), 6) AS low,
-      round(avg(high), 6) AS high, round(avg(ratio), 6) AS ratio FROM av_windows GROUP BY 1, 2""")
+      round(avg(high), 6) AS high, round(avg(ratio), 6) AS ratio, {", ".join(f"round(avg(hist[{i + 1}]), 6) AS h{i}" for i in range(AV_BINS))}
+    FROM av_windows GROUP BY 1, 2""")
 def _stream_av(d: Inputs):
-    out = online.run_complete(online.stream_av_windows(timed(samples(streamed(d)), "time_ms")))
-    return rounded(out.select(
-        "video_id", F.unix_millis("window_start").alias("start_ms"), "n_samples", "low", "high", "ratio"
-    ))
+    # One session per video; a video's session starts 100 s after that of the one before.
+    started = F.timestamp_seconds(video_number() * 100)
+    out = online.run_append(online.stream_av_windows(samples(closed(d)).withColumn("session_start", started)))
+    return rounded(wide(Closed.own(out, d.av_windows()).drop("session_start"), "hist", AV_BINS, "h"))
 
 
 @query("stream_score_windows", "ticks", """
@@ -341,20 +358,25 @@ def _stream_av(d: Inputs):
     FROM (SELECT video_id, score, unnest([0, 5, 10, 15, 20]) AS o, epoch_us(ts) // 5000000 * 5 AS s FROM ticks), LATERAL (SELECT s - o AS w)
     GROUP BY 1, 2""")
 def _stream_sliding(d: Inputs):
-    out = online.run_append(online.stream_score_windows(Closed(d.spark, d.directory).ticks())).filter("video_id <> 'u-1'")
+    out = online.run_append(online.stream_score_windows(closed(d).ticks())).filter("video_id <> 'u-1'")
     return out.select("video_id", F.unix_seconds("window_start").alias("start_s"), "max_score", "n")
 
 
 @query("stream_delta_mfcc", "frames", DELTAS, recursive=True)
 def _stream_delta(d: Inputs):
-    frames = streamed(d).frames().select("video_id", "frame_idx", "coeffs")
-    return rounded(wide(online.run_append(states.stream_delta_mfcc(frames)), "delta", 13, "d"))
+    frames = closed(d).frames().withColumn("captured_at", F.timestamp_seconds(86_400 + video_number() * 50 + F.col("frame_idx")))
+    out = online.run_append(states.stream_delta_mfcc(frames))
+    return rounded(wide(Closed.own(out, d.frames()), "delta", 13, "d"))
 
 
 def armed(ticks: DataFrame) -> DataFrame:
     return ticks.withColumn("enter_at", F.when(F.col("event_id") % 3 == 0, 0.4).otherwise(0.5))
 
 
+#: Ticks are sparse here: spans of ten days hold few dozen rows of a key, and no key is ever idle for good.
+SPARSE = {"wait_ms": 10 * 86_400_000, "idle_ms": 3650 * 86_400_000}
+
+
 def tick_day():
     return F.floor(F.unix_micros("ts") / DAY_US).cast("bigint")
 
@@ -381,8 +403,7 @@ def _hysteresis(d: Inputs):
 
 @query("stream_hysteresis", "ticks", COUNTER, recursive=True)
 def _stream_hysteresis(d: Inputs):
-    ticks = armed(streamed(d).ticks()).select("video_id", "ts", "event_id", "score", "enter_at")
-    return online.run_append(states.stream_hysteresis(ticks)).drop("score")
+    return online.run_append(states.stream_hysteresis(armed(closed(d).ticks()), **SPARSE)).drop("score")
 
 
 TWO_LEVEL = """SELECT video_id, event_id, coalesce(last_value(CASE WHEN score >= 0.45 THEN 1 WHEN score < 0.315 THEN 0 END IGNORE NULLS)
@@ -397,7 +418,7 @@ def _two_level(d: Inputs):
 
 @query("stream_hysteresis_two_level", "ticks", TWO_LEVEL)
 def _stream_two_level(d: Inputs):
-    return online.run_append(states.stream_hysteresis_two_level(streamed(d).ticks())).select(
+    return online.run_append(states.stream_hysteresis_two_level(closed(d).ticks(), **SPARSE)).select(
         "video_id", "event_id", "inside"
     )
 
@@ -438,7 +459,7 @@ def _since(d: Inputs):
 
 @query("stream_count_since_reset", "ticks", SINCE)
 def _stream_since(d: Inputs):
-    return online.run_append(states.stream_count_since_reset(streamed(d).ticks(), "click", ["error"]))
+    return online.run_append(states.stream_count_since_reset(closed(d).ticks(), "click", ["error"], **SPARSE))
 
 
 @query("stream_cue_tagging", "doc_lines", f"""
@@ -453,14 +474,17 @@ def _tagging(d: Inputs):
 
 
 @query("stream_feature_upsert", "window_features", """
-    SELECT video_id, CAST(count(*) AS BIGINT) AS n_windows FROM window_features GROUP BY 1""")
+    SELECT video_id, window_idx, label, round(list_sum(text_emb), 6) AS text_sum, round(text_emb[1], 6) AS first, round(text_emb[len(text_emb)], 6) AS last
+    FROM window_features""")
 def _upsert(d: Inputs):
     store = new_shared_path(d.spark, "upsert")
     columns = ["video_id", "window_idx", "label", "text_emb"]
     # The same stream twice: the second run finds every video present.
     for _ in range(2):
         online.stream_feature_upsert(streamed(d).window_features().select(*columns), store)
-    return d.spark.read.parquet(store).groupBy("video_id").agg(F.count(F.lit(1)).alias("n_windows"))
+    total = F.aggregate("text_emb", F.lit(0.0), lambda acc, x: acc + x)
+    return rounded(online.read_store(d.spark, store).select(
+        "video_id", "window_idx", "label", total.alias("text_sum"), F.element_at("text_emb", 1).alias("first"), F.element_at("text_emb", -1).alias("last")))
 
 
 @query("session_segments", "ticks", """
@@ -470,7 +494,7 @@ def _upsert(d: Inputs):
     SELECT video_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS last_us, count(*) AS n_hits, max(score) AS max_score
     FROM g GROUP BY video_id, grp""")
 def _sessions(d: Inputs):
-    hits = Closed(d.spark, d.directory).ticks().filter("score >= 0.5")
+    hits = closed(d).ticks().filter("score >= 0.5")
     out = online.run_append(online.session_segments(hits, "6 hours")).filter("video_id <> 'u-1'")
     return out.select(
         "video_id", F.unix_micros("start_ts").alias("start_us"), F.unix_micros("last_ts").alias("last_us"), "n_hits", "max_score"

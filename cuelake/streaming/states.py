@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from cuelake.operators.intervals import first_match_pieces, point_in_segments
 from cuelake.operators.signal import N_COEFFS, DeltaHistory
@@ -17,6 +17,117 @@ from cuelake.plans.spans import BUCKET, level_width, over_levelled_buckets
 MAX_COUNT = 10
 
 
+# ---------------------------------------------------------------------------
+# Keyed state on streams
+# ---------------------------------------------------------------------------
+
+
+class KeyFold:
+    """What a stream computes per key, row after row in order of time.
+
+    ``needs`` are the columns it is given (with their types), ``result`` what it returns, ``state`` the
+    type of the state's entries; a key's state is a short list of them.
+    """
+
+    needs: dict[str, str]
+    result: str
+    state: str
+
+    def advance(self, rows: pd.DataFrame, state: list[tuple]) -> tuple[pd.DataFrame, list[tuple]]:
+        """Results for ``rows``, and the state after them; the state of a new or ended key is empty."""
+        raise NotImplementedError
+
+
+class InOrder(StatefulProcessor):
+    """Runs a :class:`KeyFold` over each key's rows in order of event time, in whatever order they arrive.
+
+    Rows wait in state, as the Arrow batches that brought them, in spans of ``wait_ms`` of event time.
+    When the watermark has passed a span, its timer fires: the span's rows are sorted and folded.  So no
+    more than one span of one key is ever held in memory.  A second timer ends the state of a key
+    that had no row in the ``idle_ms`` after its last span; a row that comes later starts afresh.
+    Timers fire in order of time, so results do not depend on micro-batches.
+    """
+
+    def __init__(self, fold: KeyFold, wait_ms: int, idle_ms: int):
+        self.fold, self.wait_ms, self.idle_ms = fold, wait_ms, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getListState("state", self.fold.state)
+        self.idle_at = handle.getValueState("idle_at", "ms long")
+        self.batches = handle.getMapState("batches", "span_end long", "n long")
+        held = ", ".join(f"{c} array<{kind}>" for c, kind in {"at_ms": "long", **self.fold.needs}.items())
+        self.rows = handle.getMapState("rows", "span_end long, batch long", held)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        names = ["at_ms", *self.fold.needs]
+        for batch in rows:
+            ends = (batch["at_ms"] // self.wait_ms + 1) * self.wait_ms
+            for end, part in batch.groupby(ends):
+                end = int(end)
+                found = self.batches.getValue((end,))
+                n = found[0] if found else 0
+                # Lists, also of lists: state takes plain Python values.
+                self.rows.updateValue((end, n), tuple([plain(v) for v in part[c]] for c in names))
+                self.batches.updateValue((end,), (n + 1,))
+                if not n:
+                    self.handle.registerTimer(end)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        found = self.batches.getValue((now,))
+        if found:
+            yield self._fold_span(key, now, found[0])
+        elif self.idle_at.exists() and self.idle_at.get()[0] == now:
+            self.state.clear()
+            self.idle_at.clear()
+
+    def _fold_span(self, key, end: int, n: int) -> pd.DataFrame:
+        names = ["at_ms", *self.fold.needs]
+        parts = [self.rows.getValue((end, k)) for k in range(n)]
+        rows = pd.DataFrame({c: [v for p in parts for v in p[i]] for i, c in enumerate(names)})
+        order = ["at_ms", *list(self.fold.needs)[:1]]
+        before = list(self.state.get()) if self.state.exists() else []
+        out, after = self.fold.advance(rows.sort_values(order, ignore_index=True), before)
+        for k in range(n):
+            self.rows.removeKey((end, k))
+        self.batches.removeKey((end,))
+        if after:
+            self.state.put(after)
+            self.idle_at.update((end + self.idle_ms,))
+            self.handle.registerTimer(end + self.idle_ms)
+        else:
+            self.state.clear()
+            self.idle_at.clear()
+        out.insert(0, "video_id", key[0])
+        return out
+
+    def close(self) -> None:
+        pass
+
+
+def plain(value):
+    return value.tolist() if isinstance(value, (np.ndarray, np.generic)) else value
+
+
+def in_order(rows: DataFrame, fold: KeyFold, clock: str, late: str, wait_ms: int, idle_ms: int) -> DataFrame:
+    """``fold`` per ``video_id`` of a stream, by its event time ``clock``; rows behind the watermark are dropped.
+
+    Rows of one time go by the first column the fold needs.  Results come when the watermark has passed.
+    """
+    return (
+        rows.withWatermark(clock, late)
+        .select("video_id", clock, F.unix_millis(clock).alias("at_ms"), *[F.col(c).cast(kind).alias(c) for c, kind in fold.needs.items()])
+        .groupBy("video_id")
+        .transformWithStateInPandas(InOrder(fold, wait_ms, idle_ms), f"video_id STRING, {fold.result}", "append", "eventTime")
+    )
+
+
+#: How long rows may be late, how much of a key is folded at once, and when an idle key is forgotten.
+LATE, WAIT_MS, IDLE_MS = "30 seconds", 60_000, 6 * 3_600_000
+
+
 # ---------------------------------------------------------------------------
 # S3: consecutive-frame hysteresis
 # ---------------------------------------------------------------------------
@@ -95,23 +206,25 @@ def hysteresis_segments(
     )
 
 
-def stream_hysteresis(ticks: DataFrame, exit_below: float = 0.50, min_consec: int = 2) -> DataFrame:
-    """Streaming S3: (video_id, ts, event_id, score, enter_at) in, counter and flag out, in order of time."""
+class Hysteresis(KeyFold):
+    needs = {"event_id": "long", "score": "double", "enter_at": "double"}
+    result = "event_id LONG, score DOUBLE, consecutive INT, inside BOOLEAN"
+    state = "code int"
+
+    def __init__(self, exit_below: float, min_consec: int):
+        self.fold = CounterFold(exit_below, min_consec)
 
-    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        start = list(state.get) if state.exists else [0]
-        fold = CounterFold(exit_below, min_consec)
-        out = fold.replay(rows, [int(start[0])])
+    def advance(self, rows: pd.DataFrame, state: list[tuple]) -> tuple[pd.DataFrame, list[tuple]]:
+        out = self.fold.replay(rows, list(state[0]) if state else [0])
         last = out.iloc[-1]
-        state.update((int(2 * last["consecutive"] + int(last["inside"])),))
-        yield out[["video_id", "event_id", "score", "consecutive", "inside"]]
+        return out[["event_id", "score", "consecutive", "inside"]], [(int(2 * last["consecutive"] + int(last["inside"])),)]
 
-    return ticks.groupBy("video_id").applyInPandasWithState(
-        update,
-        "video_id STRING, event_id LONG, score DOUBLE, consecutive INT, inside BOOLEAN",
-        "code LONG", "append", GroupStateTimeout.NoTimeout,
-    )
+
+def stream_hysteresis(
+    ticks: DataFrame, exit_below: float = 0.50, min_consec: int = 2, late: str = LATE, wait_ms: int = WAIT_MS, idle_ms: int = IDLE_MS,
+) -> DataFrame:
+    """Streaming S3: (video_id, ts, event_id, score, enter_at) in, counter and flag out."""
+    return in_order(ticks, Hysteresis(exit_below, min_consec), "ts", late, wait_ms, idle_ms)
 
 
 # ---------------------------------------------------------------------------
@@ -119,30 +232,26 @@ def stream_hysteresis(ticks: DataFrame, exit_below: float = 0.50, min_consec: in
 # ---------------------------------------------------------------------------
 
 
-def stream_delta_mfcc(frames: DataFrame) -> DataFrame:
-    """Streaming twin of ``delta_mfcc``; the state is the ring of the last 60 deltas."""
+class Deltas(KeyFold):
+    """The state is the ring of the last 60 deltas."""
+
+    needs = {"frame_idx": "int", "coeffs": "array<double>"}
+    result = "frame_idx INT, delta ARRAY<DOUBLE>, anomaly DOUBLE"
+    state = "delta array<double>"
 
-    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("frame_idx")
-        past = None
-        if state.exists:
-            flat = np.asarray(state.get[0], dtype=np.float64)
-            past = flat.reshape(-1, N_COEFFS)
-        history = DeltaHistory(past)
+    def advance(self, rows: pd.DataFrame, state: list[tuple]) -> tuple[pd.DataFrame, list[tuple]]:
+        history = DeltaHistory(np.array([d for d, in state], dtype=np.float64) if state else None)
         deltas, scores = [], []
         for raw in rows["coeffs"]:
             deltas.append(history.step(np.asarray(raw, dtype=np.float64)))
             scores.append(history.anomaly())
-        state.update(([float(x) for d in history.deltas for x in d],))
-        yield pd.DataFrame({
-            "video_id": rows["video_id"], "frame_idx": rows["frame_idx"],
-            "delta": deltas, "anomaly": scores,
-        })
-
-    return frames.groupBy("video_id").applyInPandasWithState(
-        update, "video_id STRING, frame_idx INT, delta ARRAY<DOUBLE>, anomaly DOUBLE",
-        "ring ARRAY<DOUBLE>", "append", GroupStateTimeout.NoTimeout,
-    )
+        out = pd.DataFrame({"frame_idx": rows["frame_idx"], "delta": deltas, "anomaly": scores})
+        return out, [(d.tolist(),) for d in history.deltas]
+
+
+def stream_delta_mfcc(frames: DataFrame, clock: str = "captured_at", late: str = LATE, wait_ms: int = WAIT_MS, idle_ms: int = IDLE_MS) -> DataFrame:
+    """Streaming twin of ``delta_mfcc``: (video_id, frame_idx, coeffs) with the time of capture, which orders the frames."""
+    return in_order(frames, Deltas(), clock, late, wait_ms, idle_ms)
 
 
 # ---------------------------------------------------------------------------
@@ -159,20 +268,25 @@ def hysteresis_two_level(
     return scanned.withColumn("inside", F.coalesce(F.col("_mark"), F.lit(0)) == 1).drop("_mark")
 
 
-def stream_hysteresis_two_level(ticks: DataFrame, high: float = 0.45, low: float = 0.315) -> DataFrame:
-    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        start = float(state.get[0]) if state.exists else 0.0
+class TwoLevel(KeyFold):
+    needs = {"event_id": "long", "score": "double"}
+    result = "event_id LONG, score DOUBLE, inside BOOLEAN"
+    state = "inside int"
+
+    def __init__(self, high: float, low: float):
+        self.high, self.low = high, low
+
+    def advance(self, rows: pd.DataFrame, state: list[tuple]) -> tuple[pd.DataFrame, list[tuple]]:
         score = rows["score"].to_numpy()
-        mark = np.where(score >= high, 1.0, np.where(score < low, 0.0, np.nan))
-        inside = pd.Series(np.concatenate([[start], mark])).ffill().to_numpy()[1:]
-        state.update((int(inside[-1]),))
-        yield rows[["video_id", "event_id", "score"]].assign(inside=inside == 1)
-
-    return ticks.groupBy("video_id").applyInPandasWithState(
-        update, "video_id STRING, event_id LONG, score DOUBLE, inside BOOLEAN",
-        "inside INT", "append", GroupStateTimeout.NoTimeout,
-    )
+        mark = np.where(score >= self.high, 1.0, np.where(score < self.low, 0.0, np.nan))
+        inside = pd.Series(np.concatenate([[float(state[0][0]) if state else 0.0], mark])).ffill().to_numpy()[1:]
+        return rows[["event_id", "score"]].assign(inside=inside == 1), [(int(inside[-1]),)]
+
+
+def stream_hysteresis_two_level(
+    ticks: DataFrame, high: float = 0.45, low: float = 0.315, late: str = LATE, wait_ms: int = WAIT_MS, idle_ms: int = IDLE_MS,
+) -> DataFrame:
+    return in_order(ticks, TwoLevel(high, low), "ts", late, wait_ms, idle_ms)
 
 
 # ---------------------------------------------------------------------------
@@ -249,35 +363,27 @@ def count_since_reset(
     ).drop("_total", "_base")
 
 
+class SinceReset(KeyFold):
+    needs = {"event_id": "long", "event_type": "string"}
+    result = "event_id LONG, since_reset LONG"
+    state = "n long"
+
+    def __init__(self, counted: str, resets: list[str], ends: list[str]):
+        self.counted, self.resets, self.ends = counted, [*resets, *ends], ends
+
+    def advance(self, rows: pd.DataFrame, state: list[tuple]) -> tuple[pd.DataFrame, list[tuple]]:
+        kind = rows["event_type"]
+        hits = (kind == self.counted).to_numpy().astype(np.int64)
+        hits[kind.isin(self.resets).to_numpy()] = 0
+        total = np.cumsum(hits) + (int(state[0][0]) if state else 0)
+        # What had been counted at the last reset; before the first, nothing is taken off.
+        counts = total - np.maximum.accumulate(np.where(kind.isin(self.resets), total, 0))
+        ended = kind.iloc[-1] in self.ends
+        return rows[["event_id"]].assign(since_reset=counts), [] if ended else [(int(counts[-1]),)]
+
+
 def stream_count_since_reset(
-    events: DataFrame, counted: str, resets: list[str], ends: list[str] = (), idle_ms: int | None = None,
+    events: DataFrame, counted: str, resets: list[str], ends: list[str] = (), late: str = LATE, wait_ms: int = WAIT_MS, idle_ms: int = IDLE_MS,
 ) -> DataFrame:
-    """Streaming S6.  An event of ``ends`` counts as a reset and removes the key's state if it is the
-    key's last; with ``idle_ms`` a key that has been idle for so long loses its state too (for queries
-    with a processing-time trigger: one that ends with the available input would wait for time-outs).
-    """
-    resets = [*resets, *ends]
-
-    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        count = int(state.get[0]) if state.exists else 0
-        counts = []
-        for kind in rows["event_type"]:
-            count = 0 if kind in resets else count + (kind == counted)
-            counts.append(count)
-        if rows["event_type"].iloc[-1] in ends:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((count,))
-            if idle_ms:
-                state.setTimeoutDuration(idle_ms)
-        yield rows[["video_id", "event_id"]].assign(since_reset=np.array(counts, dtype=np.int64))
-
-    return events.groupBy("video_id").applyInPandasWithState(
-        update, "video_id STRING, event_id LONG, since_reset LONG", "n LONG", "append",
-        GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout,
-    )
+    """Streaming S6.  An event of ``ends`` counts as a reset, and ends the key's state if no other event follows it."""
+    return in_order(events, SinceReset(counted, resets, list(ends)), "ts", late, wait_ms, idle_ms)

@@ -10,7 +10,7 @@ from cuelake.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("8", "tests", **{"spark.sql.shuffle.partitions": "4"})
+    session = local_session(os.environ.get("CORES", "8"), "tests", **{"spark.sql.shuffle.partitions": "4"})
     session.sparkContext.setLogLevel("ERROR")
     return session
 
