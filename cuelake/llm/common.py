@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 
+import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelake.session import new_shared_path
@@ -16,7 +19,7 @@ SEGMENT = 1 << 20
 def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, executors may go."""
     path = new_shared_path(df.sparkSession, label)
-    df.write.parquet(path, **options)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -46,9 +49,52 @@ _CACHES: dict = {}
 
 def claim_cache(name: str, empty) -> None:
     """Keep the cache ``name`` and empty all others: a worker holds one operator's cache at a time."""
-    for other in [n for n in _CACHES if n != name]:
+    others = [n for n in _CACHES if n != name]
+    for other in others:
         _CACHES.pop(other)()
     _CACHES[name] = empty
+    if others:
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker that goes on with another operator keeps none of the last one's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
+class Hot:
+    """Keys that hold more than one row in ``share`` of a table (so at most ``share`` of them), and joins that split those.
+
+    The rows of a hot key are dealt over ``SALTS`` tasks, and the rows that join with them are repeated for each.
+    """
+
+    SALTS = 32
+
+    def __init__(self, rows: DataFrame, key: str, share: int = 1000, least: int = 1000):
+        counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+        total = F.lit(rows.count())
+        found = counts.where((F.col("n") >= least) & (F.col("n") * share > total)).select(key).collect()
+        self.key, self.values = key, [r[0] for r in found]
+
+    def join(self, many: DataFrame, few: DataFrame, by: str | Column, how: str = "inner") -> DataFrame:
+        """``many`` with ``few`` on the key; the ``many`` of a hot key are told apart by ``by``.
+
+        The same rows as a plain join that names the key; ``how`` is inner, left or left_semi.
+        """
+        if not self.values:
+            return many.join(few, self.key, how)
+        salt = fresh([*many.columns, *few.columns], "salt")
+        hot = F.col(self.key).isin(self.values)
+        spot = F.pmod(F.xxhash64(by, F.lit("salt")), F.lit(self.SALTS)).cast("int")
+        dealt = many.withColumn(salt, F.when(hot, spot).otherwise(0))
+        every = F.sequence(F.lit(0), F.lit(self.SALTS - 1))
+        copied = few.withColumn(salt, F.explode(F.when(hot, every).otherwise(F.array(F.lit(0)))))
+        return dealt.join(copied, [self.key, salt], how).drop(salt)
 
 
 def segments(text: str, size: int = SEGMENT):
