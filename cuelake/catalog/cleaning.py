@@ -4,27 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cuelake.catalog.registry import flat_vector, query
+from cuelake.catalog.registry import flat_vector, query, rounded
 from cuelake.fixtures import Inputs
 from cuelake.operators import audit, cleaning, intervals, maintain
 from cuelake.session import new_shared_path
 from cuelake.sources.segments import read_segments_csv, segments_from_api_json
 from cuelake.sources.store import (
-    normalize_features, read_feature_store, shard_plan, write_feature_store, write_sharded,
+    normalize_features, read_feature_store, read_planned_shards, shard_manifest, shard_plan, write_feature_store,
+    write_planned_shards, write_sharded,
 )
 
 NOW = "2024-01-20 00:00:00"
 
 
-@query("read_segments_csv", "segments_raw", """
-    SELECT category, "hidden", actionType, count(*) AS n, CAST(sum(CAST(votes AS BIGINT)) AS BIGINT) AS votes,
-      sum(CASE WHEN shadow IS NULL AND svc IS NULL THEN 1 ELSE 0 END)::BIGINT AS n_absent
-    FROM (SELECT *, NULL AS shadow, NULL AS svc FROM segments_raw) GROUP BY ALL""")
+#: Titles with quotes, commas and line breaks stand in for a category.
+TITLED = """, t AS (SELECT *, CASE CAST(startTime AS INT) % 5 WHEN 0 THEN 'a "quoted" ' || category WHEN 1 THEN category || E',\\n"two" lines\\n'
+      WHEN 2 THEN '"' WHEN 3 THEN E'x\\ny' ELSE category END AS title FROM segments_raw)"""
+
+
+@query("read_segments_csv", "segments_raw", TITLED + """
+    SELECT title, "hidden", actionType, startTime, count(*) AS n, CAST(sum(CAST(votes AS BIGINT)) AS BIGINT) AS votes, CAST(count(*) AS BIGINT) AS n_absent
+    FROM t GROUP BY 1, 2, 3, 4""")
 def _read_csv(d: Inputs):
     path = new_shared_path(d.spark, "segments-csv")
-    d.segments_raw().write.csv(path, header=True, quote='"', escape='"', emptyValue="")
+    kind = F.col("startTime").cast("int") % 5
+    title = (
+        F.when(kind == 0, F.concat(F.lit('a "quoted" '), "category")).when(kind == 1, F.concat("category", F.lit(',\n"two" lines\n')))
+        .when(kind == 2, '"').when(kind == 3, "x\ny").otherwise(F.col("category"))
+    )
+    # As the library writes it: fields with special characters in quotes, those doubled.
+    d.segments_raw().withColumn("category", title).write.csv(
+        path, header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     rows = read_segments_csv(d.spark, path)
-    return rows.groupBy("category", "hidden", F.coalesce("actionType", F.lit("")).alias("actionType")).agg(
+    return rows.groupBy(F.col("category").alias("title"), "hidden", F.coalesce("actionType", F.lit("")).alias("actionType"), "startTime").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("votes").cast("bigint")).alias("votes"),
         F.sum(F.when(F.col("shadowHidden").isNull() & F.col("service").isNull(), 1).otherwise(0)).alias("n_absent"),
     )
@@ -49,7 +61,8 @@ def _api_json(d: Inputs):
 @query("feature_store", "window_features", """
     SELECT video_id, window_idx, label,
       rpad(array_to_string(keyword_vec, ''), 128, '0') AS keyword_vec,
-      mfcc_mean IS NULL AS mfcc_zero
+      mfcc_mean IS NULL AS mfcc_zero, round(list_sum(text_emb), 6) AS text_sum, round(text_emb[1], 6) AS text_first, round(text_emb[32], 6) AS text_last,
+      round(list_sum(audio_emb), 6) AS audio_sum, round(audio_emb[1], 6) AS audio_first, round(audio_emb[32], 6) AS audio_last
     FROM window_features""")
 def _feature_store(d: Inputs):
     path = new_shared_path(d.spark, "features")
@@ -58,10 +71,13 @@ def _feature_store(d: Inputs):
     write_feature_store(features.filter("mfcc_mean IS NULL").drop("mfcc_mean"), path)
     write_feature_store(features.filter("mfcc_mean IS NOT NULL"), path)
     back = read_feature_store(d.spark, path)
-    return flat_vector(back, "keyword_vec").select(
+    vectors = [c for kind in ("text", "audio") for c in (
+        F.aggregate(f"{kind}_emb", F.lit(0.0), lambda acc, x: acc + x).alias(f"{kind}_sum"),
+        F.get(f"{kind}_emb", F.lit(0)).alias(f"{kind}_first"), F.get(f"{kind}_emb", F.lit(31)).alias(f"{kind}_last"))]
+    return rounded(flat_vector(back, "keyword_vec").select(
         "video_id", "window_idx", "label", "keyword_vec",
-        cleaning.all_zero(F.col("mfcc_mean")).alias("mfcc_zero"),
-    )
+        cleaning.all_zero(F.col("mfcc_mean")).alias("mfcc_zero"), *vectors,
+    ))
 
 
 @query("pad_keyword_vector", "window_features", """
@@ -84,6 +100,23 @@ def _shards(d: Inputs):
     return shard_plan(names, "pages")
 
 
+SHARDED = """, k AS (SELECT concat(source, '/', CAST(doc_id AS VARCHAR)) AS name, text FROM documents),
+    r AS (SELECT name, text, (dense_rank() OVER (ORDER BY encode(name)) - 1) // 100 AS nth FROM k),
+    s AS (SELECT *, CASE WHEN nth = 0 THEN 'texts' ELSE 'texts-s' || nth END AS shard FROM r)"""
+
+
+@query("planned_shards", "", SHARDED + """
+    SELECT shard, count(DISTINCT name) AS n_keys, count(*) AS n_rows, min(name) AS first_key, max(name) AS last_key,
+      CAST(sum(length(text)) AS BIGINT) AS n_chars FROM s GROUP BY 1""")
+def _planned_shards(d: Inputs):
+    """What the folders hold, next to what the manifest says."""
+    path = new_shared_path(d.spark, "planned")
+    named = d.table("documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("name"), "text")
+    write_planned_shards(named, "name", path, "texts")
+    held = read_planned_shards(d.spark, path).groupBy("shard").agg(F.sum(F.length("text")).alias("n_chars"))
+    return shard_manifest(d.spark, path).join(held, "shard").select("shard", "n_keys", "n_rows", "first_key", "last_key", "n_chars")
+
+
 @query("write_sharded", "", "SELECT * FROM documents")
 def _write_sharded(d: Inputs):
     path = new_shared_path(d.spark, "shards")

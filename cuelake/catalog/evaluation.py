@@ -10,7 +10,8 @@ from cuelake.functions.math import sigmoid
 from cuelake.operators import evaluate as E, mldata as M, windows as W
 from cuelake.plans.ordered import INDEX_CHUNK, chunk_of
 from cuelake.session import new_shared_path
-from cuelake.sources.logs import read_run_logs, read_trials, write_error_videos, write_report
+from cuelake.sources.files import write_named_files
+from cuelake.sources.logs import eval_curve, read_eval_report, read_logs, read_run_logs, read_trials, write_error_videos, write_report
 
 
 @query("error_types", "predictions", """
@@ -258,6 +259,63 @@ def _trials(d: Inputs):
     return rounded(back.select("trial", "state", "val_f1", F.col("params")["lr"].alias("lr")))
 
 
+#: A report per group of videos and threshold: counts of each outcome.
+OUTCOMES = """, g AS (SELECT video_id, label, prob, CAST(substr(video_id, 2) AS BIGINT) % 8 AS grp FROM predictions),
+    o AS (SELECT grp, t, CAST(sum(CASE WHEN prob >= t / 10.0::DOUBLE AND label = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS tp,
+      CAST(sum(CASE WHEN prob >= t / 10.0::DOUBLE THEN 1 ELSE 0 END) AS DOUBLE) AS flagged, CAST(sum(label) AS DOUBLE) AS pos
+      FROM g, (SELECT unnest(range(1, 10)) AS t) GROUP BY 1, 2),
+    m AS (SELECT grp, t, round(coalesce(tp / nullif(flagged, 0), 0), 6) AS p, round(coalesce(tp / nullif(pos, 0), 0), 6) AS r FROM o)"""
+
+
+def eval_logs(d: Inputs):
+    """Reports of eight groups in files of several shapes, beside other logs: no curve in group 6, text for a number in group 7."""
+    rows = d.predictions().withColumn("grp", F.substring("video_id", 2, 18).cast("bigint") % 8)
+    point = rows.withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(9)))).groupBy("grp", "t").agg(
+        F.sum(((F.col("prob") >= F.col("t") / 10.0) & (F.col("label") == 1)).cast("double")).alias("tp"),
+        F.sum((F.col("prob") >= F.col("t") / 10.0).cast("double")).alias("flagged"), F.sum("label").cast("double").alias("pos"))
+    share = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 6)
+    scored = point.select("grp", "t", share("tp", "flagged").alias("precision"), share("tp", "pos").alias("recall"))
+    curves = scored.groupBy("grp").agg(
+        F.array_sort(F.collect_list(F.struct((F.col("t") / 10.0).alias("threshold"), "precision", "recall"))).alias("threshold_curve"),
+        F.max(F.when(F.col("t") == 5, F.struct("precision", "recall"))).alias("metrics_at_0.50"))
+    tests = rows.groupBy("grp").agg(F.countDistinct("video_id").alias("n_test_videos"), F.round(F.avg("prob"), 6).alias("test_loss"))
+    whole = curves.join(tests, "grp").withColumn("phase", F.lit("teacher"))
+    names = ["phase", "n_test_videos", "metrics_at_0.50", "threshold_curve"]
+    usual = F.to_json(F.struct(*[f"`{n}`" for n in names], "test_loss"))
+    bare = F.to_json(F.struct(*[f"`{n}`" for n in names[:3]], "test_loss", F.array().cast("array<int>").alias("threshold_curve")))
+    text = F.to_json(F.struct(*[f"`{n}`" for n in names], F.lit("n/a").alias("test_loss")))
+    grp = F.col("grp")
+    reports = whole.select(F.format_string("eval-%d.json", "grp").alias("name"), F.when(grp == 6, bare).when(grp == 7, text).otherwise(usual).alias("content"))
+    others = d.epoch_log().select("run_id").distinct().select(
+        F.format_string("run-%s.json", F.col("run_id").cast("string")).alias("name"), F.lit('{"phase": "x", "epochs": [{"epoch": 1}]}').alias("content"))
+    broken = d.spark.createDataFrame([("trials.json", '[{"trial": 1}]'), ("cut.json", '{"phase": "tea')], "name STRING, content STRING")
+    path = new_shared_path(d.spark, "logs")
+    write_named_files(reports.unionByName(others).unionByName(broken), path)
+    return read_logs(d.spark, path)
+
+
+@query("read_eval_report", "predictions", OUTCOMES + """
+    , s AS (SELECT grp, count(DISTINCT video_id) AS n, round(avg(prob), 6) AS loss FROM g GROUP BY 1)
+    SELECT 'eval-' || s.grp AS log_id, 'teacher' AS phase, n AS n_test_videos, CASE WHEN s.grp <> 7 THEN loss END AS test_loss, m.p AS precision, m.r AS recall
+    FROM s JOIN m ON m.grp = s.grp AND t = 5""")
+def _eval_report(d: Inputs):
+    return read_eval_report(eval_logs(d)).select("log_id", "phase", "n_test_videos", "test_loss", "precision", "recall")
+
+
+@query("eval_curve", "predictions", OUTCOMES + """
+    SELECT 'eval-' || grp AS log_id, CAST(t - 1 AS INT) AS point, t / 10.0::DOUBLE AS threshold, p AS precision, r AS recall FROM m WHERE grp <> 6""")
+def _eval_curve(d: Inputs):
+    return eval_curve(read_eval_report(eval_logs(d))).select("log_id", "point", "threshold", "precision", "recall")
+
+
+@query("read_logs", "epoch_log predictions", """
+    SELECT kind, count(*) AS n FROM (SELECT DISTINCT 'epochs' AS kind, CAST(run_id AS VARCHAR) AS id FROM epoch_log
+      UNION ALL SELECT DISTINCT 'eval', CAST(CAST(substr(video_id, 2) AS BIGINT) % 8 AS VARCHAR) FROM predictions
+      UNION ALL SELECT 'trials', '' UNION ALL SELECT 'broken', '') GROUP BY 1""")
+def _logs(d: Inputs):
+    return eval_logs(d).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("write_report", "predictions", TYPED + """
     SELECT error_type, count(*) AS n, round(avg(prob), 6) AS mean_prob FROM typed GROUP BY 1""")
 def _write_report(d: Inputs):

@@ -11,7 +11,8 @@ from cuelake.fixtures import Inputs
 from cuelake.functions import text as X
 from cuelake.operators import cleaning, evaluate, intervals, text as T, windows as W
 from cuelake.session import materialize, new_shared_path
-from cuelake.sources.captions import parse_payloads
+from cuelake.sources.captions import caption_failures, read_captions
+from cuelake.sources.files import write_named_files
 from cuelake.sources.logs import write_detection_report
 
 # -- SQL pieces ------------------------------------------------------------------
@@ -236,21 +237,42 @@ def _xml(d: Inputs):
     SELECT video_id, count(*) AS n_cues, CAST(sum(dur) AS BIGINT) AS total_ms, CAST(max(i) * 4000 AS BIGINT) AS last_ms
     FROM c WHERE text <> '' OR (kind = 0 AND i % 5 IN (1, 2, 3)) GROUP BY 1""")
 def _captions(d: Inputs):
-    """Payloads of all formats, routed by extension as the file reader does."""
+    """Files of all formats, read by their names; those without a known extension hold XML, or JSON behind a mark or a blank line."""
 
-    def part(payloads, kind: int, ext: str):
+    def part(payloads, kind: int, ext: str, before=F.lit("")):
         n = F.substring("video_id", 2, 18).cast("bigint") % 4
-        return payloads.filter(n == kind).select("video_id", F.lit(ext).alias("ext"), "payload")
+        return payloads.filter(n == kind).select(F.concat("video_id", F.lit(f".{ext}")).alias("name"), F.concat(before, "payload").alias("content"))
 
-    payloads = (
-        part(vtt_payloads(d), 0, "vtt").unionByName(part(json3_payloads(d), 1, "json3"))
-        .unionByName(part(xml_payloads(d), 2, "xml")).unionByName(part(json3_payloads(d), 3, "ttml"))
+    odd = F.when(F.substring("video_id", 2, 18).cast("bigint") % 8 == 3, "\ufeff").otherwise("\n  ")
+    files = (
+        part(vtt_payloads(d), 0, "vtt").unionByName(part(json3_payloads(d), 1, "en.json3"))
+        .unionByName(part(xml_payloads(d), 2, "en.xml")).unionByName(part(json3_payloads(d), 3, "ttml", odd))
     )
-    return parse_payloads(payloads).groupBy("video_id").agg(
+    path = new_shared_path(d.spark, "captions")
+    write_named_files(files, path)
+    return read_captions(d.spark, path).groupBy("video_id").agg(
         F.count(F.lit(1)).alias("n_cues"), F.sum("dur_ms").alias("total_ms"), F.max("start_ms").alias("last_ms")
     )
 
 
+@query("caption_failures", "", """, k AS (SELECT 'd' || doc_id AS video_id, doc_id % 6 AS kind FROM documents)
+    SELECT video_id, CASE WHEN kind IN (3, 4) THEN 'vtt' ELSE 'ttml' END AS ext,
+      CASE kind WHEN 0 THEN 'corrupt' WHEN 1 THEN 'empty' WHEN 2 THEN 'no cues' WHEN 3 THEN 'no cues' ELSE 'corrupt' END AS reason
+    FROM k WHERE kind < 5""")
+def _failures(d: Inputs):
+    """Cut XML, nothing, an empty list of events, a header alone, prose as cues, and captions that are in order."""
+    kind, size = F.col("doc_id") % 6, F.col("n_chars").cast("string")
+    whole = F.concat(F.lit('<transcript><text start="1">'), size, F.lit("</text></transcript>"))
+    content = (
+        F.when(kind == 0, F.concat(F.lit('<transcript><text start="1">'), size)).when(kind == 1, " \n").when(kind == 2, '{"events": []}')
+        .when(kind == 3, "WEBVTT\n\n").when(kind == 4, F.concat(F.lit("prose of "), size, F.lit(" characters"))).otherwise(whole)
+    )
+    name = F.concat(F.lit("d"), F.col("doc_id"), F.when(kind.isin(3, 4), ".vtt").otherwise(".ttml"))
+    path = new_shared_path(d.spark, "captions")
+    write_named_files(d.table("documents").select(name.alias("name"), content.alias("content")), path)
+    return caption_failures(d.spark, path)
+
+
 @query("caption_track_from_html", "page_tracks", r"""
     , t AS (SELECT page_id, regexp_extract(html, '"captionTracks":\s*(\[.*?\])', 1) AS js FROM page_tracks),
     u AS (SELECT page_id, from_json(js, '[{"languageCode":"VARCHAR","baseUrl":"VARCHAR"}]') AS tr FROM t)

@@ -83,8 +83,8 @@ def _blocks_until_blank(lines: Column) -> Column:
     return bound(blanks, cut)
 
 
-def cues_from_vtt(df: DataFrame, payload: str = "payload", variant: str = "pipeline") -> DataFrame:
-    """WebVTT payload -> cues, entirely inside the row: no shuffle.
+def vtt_cues(payload: Column, variant: str = "pipeline") -> Column:
+    """Cues of a WebVTT payload, as an array.
 
     ``pipeline``: tags stripped and entities undone on the joined text, cues need
     ``end > start`` and must differ from the kept cue before them.
@@ -93,7 +93,7 @@ def cues_from_vtt(df: DataFrame, payload: str = "payload", variant: str = "pipel
     if variant not in ("pipeline", "bench"):
         raise ValueError(f"unknown variant {variant!r}")
     pipeline = variant == "pipeline"
-    lines = F.split(F.regexp_replace(F.col(payload), r"\r\n?", "\n"), "\n")
+    lines = F.split(F.regexp_replace(payload, r"\r\n?", "\n"), "\n")
     blocks = bound(lines, _blocks_until_timing if pipeline else _blocks_until_blank)
 
     def read(block: Column) -> Column:
@@ -135,51 +135,69 @@ def cues_from_vtt(df: DataFrame, payload: str = "payload", variant: str = "pipel
         )
 
     cues = F.filter(F.transform(F.transform(blocks, read), to_cue), usable)
-    cued = df.withColumn("_cues", bound(cues, without_repeats) if pipeline else cues)
-    flat = cued.select("video_id", F.posexplode("_cues").alias("cue_idx", "c"))
+    return bound(cues, without_repeats) if pipeline else cues
+
+
+def cues_from_vtt(df: DataFrame, payload: str = "payload", variant: str = "pipeline") -> DataFrame:
+    """WebVTT payload -> cues, entirely inside the row: no shuffle."""
+    flat = df.select("video_id", F.posexplode(vtt_cues(F.col(payload), variant)).alias("cue_idx", "c"))
     return flat.select("video_id", "cue_idx", "c.start_ms", "c.dur_ms", "c.text")
 
 
 XML_SCHEMA = "text ARRAY<STRUCT<_start: STRING, _dur: STRING, _VALUE: STRING>>"
 
 
-def cues_from_xml(df: DataFrame, payload: str = "payload", strip: bool = False) -> DataFrame:
-    """Timed-text XML -> cues; malformed payloads give none.  ``strip`` also drops tags."""
-    parsed = F.from_xml(F.col(payload), XML_SCHEMA, {"rowTag": "transcript"})
-    node = df.select("video_id", F.posexplode(parsed["text"]).alias("_pos", "_n"))
-    raw = F.coalesce(F.col("_n._VALUE"), F.lit(""))
-    text = F.trim(strip_tags(raw)) if strip else one_line(raw)
-    return (
-        node.select(
-            "video_id", "_pos",
-            to_ms(F.coalesce(F.col("_n._start"), F.lit("0")).try_cast("double")).alias("start_ms"),
-            to_ms(F.coalesce(F.col("_n._dur"), F.lit("2")).try_cast("double")).alias("dur_ms"),
-            text.alias("text"),
+def _exploded(df: DataFrame, cues: Column) -> DataFrame:
+    return df.select("video_id", F.explode(cues).alias("c")).select("video_id", "c.*")
+
+
+def xml_cues(payload: Column, strip: bool = False) -> Column:
+    """Cues of a timed-text XML payload, as an array; ``cue_idx`` is the place among all its nodes.  Null where it is not XML."""
+    parsed = F.from_xml(payload, XML_SCHEMA, {"rowTag": "transcript"})
+
+    def cue(node: Column, at: Column) -> Column:
+        raw = F.coalesce(node["_VALUE"], F.lit(""))
+        return F.struct(
+            at.cast("int").alias("cue_idx"),
+            to_ms(F.coalesce(node["_start"], F.lit("0")).try_cast("double")).alias("start_ms"),
+            to_ms(F.coalesce(node["_dur"], F.lit("2")).try_cast("double")).alias("dur_ms"),
+            (F.trim(strip_tags(raw)) if strip else one_line(raw)).alias("text"),
         )
-        .filter("text <> '' AND start_ms IS NOT NULL AND dur_ms IS NOT NULL")
-        .select("video_id", F.col("_pos").cast("int").alias("cue_idx"), "start_ms", "dur_ms", "text")
+
+    return F.filter(
+        F.transform(parsed["text"], cue), lambda c: (c["text"] != "") & c["start_ms"].isNotNull() & c["dur_ms"].isNotNull()
     )
 
 
+def cues_from_xml(df: DataFrame, payload: str = "payload", strip: bool = False) -> DataFrame:
+    """Timed-text XML -> cues; malformed payloads give none.  ``strip`` also drops tags."""
+    return _exploded(df, xml_cues(F.col(payload), strip))
+
+
 JSON3_SCHEMA = (
     "events ARRAY<STRUCT<tStartMs: DOUBLE, dDurationMs: DOUBLE, segs: ARRAY<STRUCT<utf8: STRING>>>>"
 )
 
 
-def cues_from_json3(df: DataFrame, payload: str = "payload") -> DataFrame:
-    """json3 events -> cues; segments concatenated, blank ones dropped, default 2 s."""
-    parsed = F.from_json(F.col(payload), JSON3_SCHEMA)
-    event = df.select("video_id", F.posexplode(parsed["events"]).alias("_pos", "_e"))
-    pieces = F.transform(F.col("_e.segs"), lambda s: F.coalesce(s["utf8"], F.lit("")))
-    return (
-        event.select(
-            "video_id", F.col("_pos").cast("int").alias("cue_idx"),
-            F.round(F.coalesce(F.col("_e.tStartMs"), F.lit(0.0))).cast("bigint").alias("start_ms"),
-            F.round(F.coalesce(F.col("_e.dDurationMs"), F.lit(2000.0))).cast("bigint").alias("dur_ms"),
+def json3_cues(payload: Column) -> Column:
+    """Cues of a json3 payload, as an array: segments concatenated, blank ones dropped, default 2 s.  Null where it is not JSON."""
+    parsed = F.from_json(payload, JSON3_SCHEMA)
+
+    def cue(event: Column, at: Column) -> Column:
+        pieces = F.transform(event["segs"], lambda s: F.coalesce(s["utf8"], F.lit("")))
+        return F.struct(
+            at.cast("int").alias("cue_idx"),
+            F.round(F.coalesce(event["tStartMs"], F.lit(0.0))).cast("bigint").alias("start_ms"),
+            F.round(F.coalesce(event["dDurationMs"], F.lit(2000.0))).cast("bigint").alias("dur_ms"),
             one_line(F.coalesce(F.array_join(pieces, ""), F.lit(""))).alias("text"),
         )
-        .filter("text <> ''")
-    )
+
+    return F.filter(F.transform(parsed["events"], cue), lambda c: c["text"] != "")
+
+
+def cues_from_json3(df: DataFrame, payload: str = "payload") -> DataFrame:
+    """json3 events -> cues."""
+    return _exploded(df, json3_cues(F.col(payload)))
 
 
 TRACK_SCHEMA = "ARRAY<STRUCT<languageCode: STRING, baseUrl: STRING>>"

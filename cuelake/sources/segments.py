@@ -15,12 +15,25 @@ def with_optional_columns(df: DataFrame) -> DataFrame:
     ])
 
 
-def read_segments_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header CSV, everything text; ``""`` escapes a quote; short rows become nulls.
+#: A quoted field, escaped quotes included, or a plain one, up to the next comma or the end of the line.
+WHOLE_LINE = r'^(?:"(?:[^"]|"")*+"|[^",][^,]*+|)(?:,(?:"(?:[^"]|"")*+"|[^",][^,]*+|))*+$'
 
-    No schema inference pass: one scan, and unused columns are never parsed.
+
+def torn_lines(spark: SparkSession, path: str) -> int:
+    """Lines that are no whole record: a line break inside quotes tears one into several."""
+    return spark.read.text(path).filter(F.contains("value", F.lit('"')) & ~F.col("value").rlike(WHOLE_LINE)).count()
+
+
+def read_segments_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
+    """Header CSV, everything text; ``""`` escapes a quote; short rows become nulls, line breaks inside quotes stay.
+
+    No schema inference pass, and unused columns are never parsed.  Files without torn lines are
+    split among tasks; if there is one, a file is read by one task as a whole.  Unless
+    ``multi_line`` says which, a pass over the lines finds out.
     """
-    raw = spark.read.csv(path, header=True, quote='"', escape='"', inferSchema=False, encoding="UTF-8")
+    if multi_line is None:
+        multi_line = torn_lines(spark, path) > 0
+    raw = spark.read.csv(path, header=True, quote='"', escape='"', inferSchema=False, encoding="UTF-8", multiLine=multi_line)
     return with_optional_columns(raw)
 
 

@@ -58,3 +58,44 @@ def write_sharded(df: DataFrame, key: str, path: str, rows_per_shard: int = 100,
     """Key-sorted files of at most ``rows_per_shard`` rows; read them back as a directory."""
     ordered = df.repartitionByRange(partitions, key) if partitions else df.repartitionByRange(key)
     ordered.sortWithinPartitions(key).write.option("maxRecordsPerFile", rows_per_shard).parquet(path)
+
+
+# ---------------------------------------------------------------------------
+# named shards
+# ---------------------------------------------------------------------------
+
+#: Folder of the table that says which shards a layout has; names with an underscore are not data.
+MANIFEST = "_shards"
+SHARD = "shard"
+
+
+def write_planned_shards(df: DataFrame, key: str, path: str, slug: str, keys_per_shard: int = 100) -> None:
+    """Folders ``shard=<slug>``, ``shard=<slug>-s1``, ... with the rows of at most ``keys_per_shard`` keys each, in key order.
+
+    The plan is a written table, joined by key, so no key list passes the driver.  Rows meet by shard
+    with a rebalancing exchange: small shards share tasks, one whose keys hold many rows becomes several files.
+    The manifest (name, keys, rows, first and last key of each shard) is written last, from the
+    files, and makes the layout valid; rows without a key belong to no shard and are an error.
+    """
+    spark = df.sparkSession
+    if not df.filter(F.col(key).isNull()).isEmpty():
+        raise ValueError(f"{key} is null in some rows, which no shard can hold")
+    plan = shard_plan(df.select(F.col(key).alias("name")).distinct(), slug, keys_per_shard)
+    named = df.join(plan.select(F.col("name").alias(key), F.col("shard_name").alias(SHARD)), key)
+    named.hint("rebalance", SHARD).sortWithinPartitions(SHARD, key).write.partitionBy(SHARD).parquet(path)
+    found = spark.read.parquet(path).groupBy(SHARD, key).agg(F.count("*").alias("rows")).groupBy(SHARD).agg(
+        F.count("*").alias("n_keys"), F.sum("rows").alias("n_rows"), F.min(key).alias("first_key"), F.max(key).alias("last_key"))
+    found.write.parquet(f"{path}/{MANIFEST}")
+
+
+def shard_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/{MANIFEST}")
+
+
+def read_planned_shards(spark: SparkSession, path: str, shards: DataFrame | None = None) -> DataFrame:
+    """The rows of all shards of the manifest, or of those of its rows given as ``shards``.
+
+    Folders that the manifest does not name are not read: the join prunes them.
+    """
+    wanted = shard_manifest(spark, path) if shards is None else shards
+    return spark.read.parquet(path).join(wanted.select(SHARD), SHARD, "left_semi")

@@ -7,9 +7,11 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from cuelake.operators import audit as A, cleaning as C, evaluate as E, maintain as M, mldata as D
-from cuelake.sources.logs import read_run_logs, read_trials, summary_json, write_report
-from cuelake.sources.segments import read_segments_csv, segments_from_api_json
-from cuelake.sources.store import read_feature_store, shard_plan, write_feature_store, write_sharded
+from cuelake.sources.logs import eval_curve, read_eval_report, read_logs, read_run_logs, read_trials, summary_json, write_report
+from cuelake.sources.segments import read_segments_csv, segments_from_api_json, torn_lines
+from cuelake.sources.store import (
+    read_feature_store, read_planned_shards, shard_manifest, shard_plan, write_feature_store, write_planned_shards, write_sharded,
+)
 
 CSV = '''videoID,startTime,endTime,votes,category,hidden,actionType,videoDuration
 abcdefghijk,10.5,20,3,sponsor,0,skip,100
@@ -37,6 +39,19 @@ def test_csv_reader(raw):
     assert raw.filter("category = 'intro'").first()["videoID"] == 'q"uote'
 
 
+def test_line_breaks_in_quotes_stay(spark, tmp_path):
+    head = "videoID,startTime,endTime,votes,category,hidden,actionType,videoDuration\n"
+    whole = 'a,1,2,3,"with, comma",0,"say ""hi""",100\nb,1,2,3,,0,"",100\n'
+    torn = 'c,1,2,3,"two\nlines, ""quoted""\n",0,skip,100\nd,1,2,3,sponsor,0,skip,100\n'
+    (tmp_path / "whole.csv").write_text(head + whole)
+    (tmp_path / "torn.csv").write_text(head + torn)
+    assert torn_lines(spark, str(tmp_path / "whole.csv")) == 0
+    assert torn_lines(spark, str(tmp_path / "torn.csv")) == 2
+    assert rows(read_segments_csv(spark, str(tmp_path)).select("videoID", "category", "videoDuration")) == [
+        ("a", "with, comma", "100"), ("b", None, "100"), ("c", 'two\nlines, "quoted"\n', "100"), ("d", "sponsor", "100")]
+    assert read_segments_csv(spark, str(tmp_path / "torn.csv"), multi_line=False).count() > 2
+
+
 def test_rule_sets_disagree_as_intended(raw):
     # votes "x" and "3.0" count as 0 here, so they fall below the default floor
     assert rows(C.clean_segments(raw)) == [("abcdefghijk", 10500, 20000, 3)]
@@ -282,6 +297,40 @@ def test_feature_store_and_shards(spark, tmp_path):
     assert per_file.agg(F.max("count"), F.sum("count")).first() == (100, 250)
 
 
+def test_planned_shards(spark, tmp_path):
+    path = str(tmp_path / "planned")
+    df = spark.range(257).select(F.format_string("%05d", F.col("id") % 250).alias("name"), "id").repartition(7)
+    write_planned_shards(df, "name", path, "data", 100)
+    assert sorted(p.name for p in (tmp_path / "planned").iterdir() if p.name.startswith("shard=")) == ["shard=data", "shard=data-s1", "shard=data-s2"]
+    assert rows(shard_manifest(spark, path)) == [
+        ("data", 100, 107, "00000", "00099"), ("data-s1", 100, 100, "00100", "00199"), ("data-s2", 50, 50, "00200", "00249")]
+    # A folder that no manifest names is not part of the layout.
+    df.limit(3).write.parquet(f"{path}/shard=stray")
+    assert rows(read_planned_shards(spark, path).select("name", "id")) == rows(df)
+    some = shard_manifest(spark, path).filter("first_key >= '00200'")
+    assert read_planned_shards(spark, path, some).agg(F.min("name"), F.count("*")).first() == ("00200", 50)
+    with pytest.raises(ValueError, match="null"):
+        write_planned_shards(df.withColumn("name", F.lit(None).cast("string")), "name", str(tmp_path / "none"), "data")
+
+
+def test_logs_of_mixed_shape(spark, tmp_path):
+    logs = {
+        "run": '{"phase": "student", "epochs": [{"epoch": 1}]}', "trials": '[{"trial": 0}]', "cut": '{"threshold_curve": [', "other": '{"a": 1}',
+        "one": '{"phase": "teacher", "n_test_videos": 3, "test_loss": 0.25, "metrics_at_0.50": {"precision": 0.5, "recall": 1, "f1": 0.66},'
+               ' "best_threshold": 0.4, "best_threshold_f1": 0.7, "threshold_curve": [{"threshold": 0.4, "f1": 0.7}, {"threshold": 0.1, "f1": 0.2}]}',
+        "two": '{"test_loss": "n/a", "threshold_curve": [], "metrics_at_0.50": []}',
+    }
+    for name, text in logs.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    found = read_logs(spark, str(tmp_path))
+    assert rows(found.select("log_id", "kind")) == [
+        ("cut", "broken"), ("one", "eval"), ("other", "other"), ("run", "epochs"), ("trials", "trials"), ("two", "eval")]
+    reports = read_eval_report(found)
+    assert rows(reports.drop("curve")) == [
+        ("one", "teacher", 3, 0.25, 0.5, 1.0, 0.66, 0.4, 0.7), ("two", None, None, None, None, None, None, None, None)]
+    assert rows(eval_curve(reports).select("log_id", "point", "threshold", "f1")) == [("one", 0, 0.4, 0.7), ("one", 1, 0.1, 0.2)]
+
+
 def test_run_logs_and_reports(spark, tmp_path):
     (tmp_path / "run1.json").write_text(
         '{"phase":"teacher","best_epoch":2,"epochs":[{"epoch":1,"val_f1":0.1},{"epoch":2,"val_f1":0.4,"val_loss":0.3}]}'

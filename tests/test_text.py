@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cuelake import vocab
 from cuelake.functions import text as X
 from cuelake.operators import text as T
-from cuelake.sources.captions import read_captions
+from cuelake.sources.captions import caption_failures, read_captions
 
 
 @pytest.fixture(scope="module")
@@ -150,6 +150,22 @@ def test_read_captions_routes_by_extension(spark, tmp_path):
     assert got == [("a", "from vtt"), ("b", "from json"), ("c", "from xml"), ("d", "fallback")]
 
 
+def test_fallback_goes_by_what_could_be_read(spark, tmp_path):
+    """XML is tried first, then JSON, whatever the first character is; the rest is told why it gave nothing."""
+    event = '{"events":[{"tStartMs":2000,"segs":[{"utf8":"%s"}]}]}'
+    files = {
+        "a.ttml": "\n\t " + event % "after a blank line", "b.ttml": "\ufeff" + event % "after a mark", "c": "  <transcript><text start='1'>xml</text></transcript>",
+        "d.ttml": "<transcript></transcript>", "e.ttml": "<transcript><text start='1'>cut", "f.ttml": "\n", "g.json3": "{", "h.vtt": "WEBVTT\n\n", "i.vtt": "prose",
+        "j.ttml": '{"events":[]}', "k.srv3": event % "by extension", "l.json3": "<transcript><text start='1'>not asked</text></transcript>",
+    }
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    assert rows(read_captions(spark, str(tmp_path)).select("video_id", "start_ms", "text")) == [
+        ("a", 2000, "after a blank line"), ("b", 2000, "after a mark"), ("c", 1000, "xml"), ("k", 2000, "by extension")]
+    assert [(r[0], r[2]) for r in rows(caption_failures(spark, str(tmp_path)))] == [
+        ("d", "no cues"), ("e", "corrupt"), ("f", "empty"), ("g", "corrupt"), ("h", "no cues"), ("i", "corrupt"), ("j", "no cues"), ("l", "corrupt")]
+
+
 def test_track_choice(spark):
     html = 'x "captionTracks": [{"languageCode":"fr","baseUrl":"f"},{"languageCode":"en-GB","baseUrl":"e"}], y'
     only = '"captionTracks":[{"languageCode":"fr","baseUrl":"f"}]'
