@@ -42,7 +42,8 @@ def clashing(odd):
     """The same rows with more columns, named like those the operators make inside."""
     from pyspark.sql import functions as F
 
-    names = ["fp", "row_no", "stats", "kept", "base_failed", "predicted", "found", "block", "part", "class", "label", "start", "PREDICTED2"]
+    names = ["fp", "row_no", "stats", "kept", "base_failed", "predicted", "found", "block", "part", "class", "label", "start", "PREDICTED2",
+             "k", "n", "h", "p", "same", "fifth", "sketch", "salt", "held", "packed", "mask", "a_ids", "pair", "tokens", "shard"]
     return odd.withColumns({n: F.lit(k) for k, n in enumerate(names)})
 
 
