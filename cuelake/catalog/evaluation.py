@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from cuelake.catalog.registry import query, rounded
 from cuelake.fixtures import Inputs
@@ -444,6 +444,48 @@ def _train(d: Inputs):
     return E.threshold_curve(M.apply_classifier(model, data.filter("split <> 'train'"), FEATURES))
 
 
+#: Two features of the windows, few enough for SQL to fit the model itself.
+PAIR = ["pair"]
+
+
+def _pairs(d: Inputs) -> DataFrame:
+    return _features(d).withColumn("pair", F.array(F.get("text_emb", F.lit(0)), F.get("audio_emb", F.lit(1))))
+
+
+def sql_logistic(rows: str, reg: float = 0.01, steps: int = 500) -> str:
+    """Coefficients of the weighted, penalised logistic model over ``rows`` (y, w, x0, x1): gradient descent on standardised features."""
+    score = "1 / (1 + exp(-(g.b + g.t0 * z0 + g.t1 * z1)))"
+    return f"""
+    , t AS MATERIALIZED ({rows}),
+    m AS (SELECT sum(w) AS sw, sum(w * w) AS sw2, sum(w * x0) / sum(w) AS m0, sum(w * x1) / sum(w) AS m1 FROM t),
+    v AS MATERIALIZED (SELECT any_value(m0) AS m0, any_value(m1) AS m1, any_value(sw) AS sw, sqrt(sum(w * (x0 - m0) ** 2) / any_value(sw - sw2 / sw)) AS s0,
+      sqrt(sum(w * (x1 - m1) ** 2) / any_value(sw - sw2 / sw)) AS s1 FROM t, m),
+    z AS MATERIALIZED (SELECT y, w / sw AS w, (x0 - m0) / s0 AS z0, (x1 - m1) / s1 AS z1 FROM t, v),
+    g(k, b, t0, t1) AS (
+      SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE
+      UNION ALL SELECT k + 1, b - sum(w * ({score} - y)), t0 - (sum(w * ({score} - y) * z0) + {reg} * t0), t1 - (sum(w * ({score} - y) * z1) + {reg} * t1)
+      FROM g, z WHERE k < {steps} GROUP BY k, b, t0, t1),
+    f AS (SELECT t0 / s0 AS c0, t1 / s1 AS c1, b - t0 * m0 / s0 - t1 * m1 / s1 AS c FROM g, v WHERE k = {steps})
+    SELECT 'x0' AS term, round(c0, 3) AS value FROM f UNION ALL SELECT 'x1', round(c1, 3) FROM f UNION ALL SELECT 'intercept', round(c, 3) FROM f"""
+
+
+@query("train_coefficients", "window_features", sql_logistic("""
+    SELECT label AS y, CASE WHEN label = 1 THEN 0.8 ELSE 1.0 END * n / (2.0 * (CASE WHEN label = 1 THEN pos ELSE n - pos END)) AS w, text_emb[1] AS x0, audio_emb[2] AS x1
+    FROM window_features, (SELECT count(*)::DOUBLE AS n, sum(label)::DOUBLE AS pos FROM window_features) WHERE label >= 0"""), recursive=True)
+def _train_coefficients(d: Inputs):
+    data = _pairs(d)
+    return rounded(M.coefficients(M.train_window_classifier(data, PAIR, max_iter=300, tol=1e-12), data), 3)
+
+
+@query("distill_coefficients", "window_features", sql_logistic("""
+    SELECT y, u * CASE WHEN y = 1 THEN q ELSE 1 - q END AS w, x0, x1
+    FROM (SELECT CASE WHEN label = 1 THEN 0.8 ELSE 1.0 END AS u, text_emb[1] AS x0, audio_emb[2] AS x1,
+      0.7 / (1 + exp(-(CASE WHEN label = 1 THEN 2.0 ELSE -2.0 END + text_emb[1]) / 4.0)) + 0.3 * label AS q FROM window_features), (SELECT unnest([0, 1]) AS y)"""), recursive=True)
+def _distill_coefficients(d: Inputs):
+    data = _pairs(d).withColumn("teacher_logit", F.when(F.col("label") == 1, 2.0).otherwise(-2.0) + F.col("text_emb")[0])
+    return rounded(M.coefficients(M.distill(data, PAIR, max_iter=300, tol=1e-12), data), 3)
+
+
 @query("tune_window_classifier")
 def _tune(d: Inputs):
     return E.trial_leaderboard(M.tune_window_classifier(_features(d), FEATURES, [(0.01, 0.0), (0.1, 0.5)]))

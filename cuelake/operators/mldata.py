@@ -316,13 +316,13 @@ def _training_weights(df: DataFrame) -> DataFrame:
 
 
 def train_window_classifier(
-    df: DataFrame, features: Sequence[str], reg: float = 0.01, elastic: float = 0.0, max_iter: int = 50
+    df: DataFrame, features: Sequence[str], reg: float = 0.01, elastic: float = 0.0, max_iter: int = 50, tol: float = 1e-6,
 ) -> LogisticRegressionModel:
     """Weighted logistic model on window features; ignored labels are left out."""
     data = _vectors(_training_weights(df), features)
     learner = LogisticRegression(
         featuresCol="_features", labelCol="label", weightCol="_w", regParam=reg,
-        elasticNetParam=elastic, maxIter=max_iter,
+        elasticNetParam=elastic, maxIter=max_iter, tol=tol,
     )
     return learner.fit(data.select("_features", F.col("label").cast("double").alias("label"), "_w"))
 
@@ -358,7 +358,7 @@ def tune_window_classifier(
 
 def distill(
     df: DataFrame, features: Sequence[str], temperature: float = 4.0, alpha: float = 0.7,
-    reg: float = 0.01, max_iter: int = 50,
+    reg: float = 0.01, max_iter: int = 50, tol: float = 1e-6,
 ) -> LogisticRegressionModel:
     """Fit on soft targets: each row counts as positive with weight q and negative with 1 - q."""
     soft = sigmoid(F.col("teacher_logit") / F.lit(temperature))
@@ -372,6 +372,12 @@ def distill(
         )).alias("t"),
     ).select("_features", F.col("t.y").alias("label"), F.col("t.w").alias("_w"))
     learner = LogisticRegression(
-        featuresCol="_features", labelCol="label", weightCol="_w", regParam=reg, maxIter=max_iter
+        featuresCol="_features", labelCol="label", weightCol="_w", regParam=reg, maxIter=max_iter, tol=tol
     )
     return learner.fit(data)
+
+
+def coefficients(model: LogisticRegressionModel, df: DataFrame) -> DataFrame:
+    """(term, value) of a fitted model in the session of ``df``: ``x0``, ``x1``, ... and ``intercept``."""
+    rows = [(f"x{k}", float(v)) for k, v in enumerate(model.coefficients)] + [("intercept", float(model.intercept))]
+    return df.sparkSession.createDataFrame(rows, "term STRING, value DOUBLE")
