@@ -127,7 +127,7 @@ URL_RULES = [
 
 @registered
 def op10_url_filter(spark, sf_dir):
-    return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+    return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES).drop("trust", "distrust")
 
 
 ORACLE["op10_url_filter"] = urlfilter.sql(URL_RULES)

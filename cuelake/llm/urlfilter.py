@@ -3,8 +3,9 @@
 Rules decide the urls they fit.  The hosts of allowed pages are trusted seeds, the hosts
 of blocked pages distrusted ones.  Personalised PageRank carries trust along host edges, and distrust
 against them (who links to a blocked host is suspect); a host whose distrust exceeds its
-trust is blocked.  Scores are integers (shares of a fixed mass, rounded down), so the
-result does not depend on the order of additions.  DataFrame functions only.
+trust is blocked.  Steps are taken until no score changes by more than a millionth of itself, so
+every host that a seed reaches has its score, however far it is and however small its share.
+DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -14,12 +15,18 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import stored
+from cuelake.llm.common import Hot, fresh, stored
 
-MASS = 10 ** 12
-DAMPING = 85  # per cent
-ROUNDS = 5
-MOST_RULES = 1000
+DAMPING = 0.85
+#: Scores are final when none changes by more than this share of itself; more rounds than the bound are an error.
+TOLERANCE = 1e-6
+MOST_ROUNDS = 2000
+#: Steps between two written tables.
+CHAIN = 6
+#: Distrust must exceed trust by this share: far more than what is left open, so that equal scores are equal.
+MARGIN = 1e-4
+#: As many rules become one expression; more are joined as a table.
+MOST_INLINE = 100
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Host of an absolute or scheme-relative link.
@@ -51,9 +58,7 @@ def fits(host: Column, path: Column, rule: Rule) -> Column:
 
 
 def by_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column]:
-    """(rule, verdict) of the longest rule that fits, else nulls."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"at most {MOST_RULES} rules fit one expression")
+    """(rule, verdict) of the longest rule that fits, else nulls, as one expression."""
     name = verdict = F.lit(None).cast("string")
     for rule in sorted(rules, key=lambda r: (len(r.name), r.name)):
         here = fits(host, path, rule)
@@ -62,6 +67,26 @@ def by_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Colu
     return name, verdict
 
 
+def with_rule(rows: DataFrame, rules: list[Rule], inline: int = MOST_INLINE) -> DataFrame:
+    """``rows(host, path, ...)`` with ``rule`` and ``ruled``: the longest rule that fits and its verdict, else nulls.
+
+    More than ``inline`` rules are a table that the host and the domains above it are joined with; a row
+    meets as many as its host has labels, and only the longest that fits is kept.
+    """
+    if len(rules) <= inline:
+        rule, ruled = by_rule(F.col("host"), F.col("path"), rules)
+        return rows.withColumns({"rule": rule, "ruled": ruled})
+    spark, key = rows.sparkSession, fresh(rows.columns, "row_no")
+    held = stored(rows.withColumn(key, F.monotonically_increasing_id()), "ruled-rows")
+    table = spark.createDataFrame([(r.host, r.path, r.verdict, r.name) for r in rules], "domain STRING, start STRING, ruled STRING, rule STRING")
+    labels = F.split("host", r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    asked = held.select(key, "path", F.explode(above).alias("domain"))
+    met = Hot(asked, "domain").join(asked, table, key).where(F.startswith("path", "start"))
+    best = met.groupBy(key).agg(F.max(F.struct(F.length("rule").alias("size"), "rule", "ruled")).alias("best"))
+    return held.join(best, key, "left").withColumns({"rule": F.col("best.rule"), "ruled": F.col("best.ruled")}).drop(key, "best")
+
+
 def parent(host: Column) -> Column:
     """The host without its first label, where at least two labels remain; else null."""
     return F.when(F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) >= 2, F.expr("substr(host, instr(host, '.') + 1)"))
@@ -77,54 +102,69 @@ def host_graph(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     return edges.where("src != dst AND src != '' AND dst != ''").distinct()
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(host, trust, distrust) after ``rounds`` steps of personalised PageRank from ``seeds(host, trust, distrust)``.
+def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(host, trust, distrust): personalised PageRank from ``seeds(host, trust, distrust)``, whose columns add up to one or to nothing.
 
     Trust goes from src to dst, distrust from dst to src, each an equal share to every neighbour.
+    A host that no seed reaches has no row.  A kind and a host are one key (``node``), and edges of a node that
+    holds many are dealt over tasks.
     """
-    ways = edges.select(F.lit("trust").alias("kind"), "src", "dst").union(
-        edges.select(F.lit("distrust"), F.col("dst"), F.col("src")))
-    fan = ways.groupBy("kind", "src").agg(F.count("*").alias("fan"))
-    ways = stored(ways.join(fan, ["kind", "src"]), "host-edges")
-    start = stored(seeds.select("host", F.explode(F.create_map(F.lit("trust"), F.col("trust"), F.lit("distrust"), F.col("distrust"))).alias("kind", "seed"))
-                   .where("seed > 0"), "host-seeds")
-    scores = start.select("kind", "host", F.col("seed").alias("score"))
-    for _ in range(rounds):
-        passed = (ways.join(scores, (ways.src == scores.host) & (ways.kind == scores.kind))
-                  .select(ways.kind, ways.dst.alias("host"), F.expr(f"score * {DAMPING} div (100 * fan)").alias("score")))
-        back = start.select("kind", "host", F.expr(f"seed * {100 - DAMPING} div 100").alias("score"))
-        scores = stored(passed.union(back).groupBy("kind", "host").agg(F.sum("score").alias("score")).where("score > 0"), "host-scores")
-    of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0))
-    return scores.groupBy("host").agg(of("trust").alias("trust"), of("distrust").alias("distrust"))
-
-
-def judge(pages: DataFrame, rules: list[Rule], rounds: int = ROUNDS) -> DataFrame:
+    node = lambda kind, host: F.concat(F.lit(f"{kind}:"), F.col(host))
+    ways = edges.select(node("trust", "src").alias("node"), node("trust", "dst").alias("dst")).union(
+        edges.select(node("distrust", "dst").alias("node"), node("distrust", "src").alias("dst")))
+    fan = ways.groupBy("node").agg(F.count("*").alias("fan"))
+    hot = Hot(ways, "node")
+    ways = stored(hot.join(ways, fan, "dst"), "host-edges")
+    start = stored(seeds.select(F.explode(F.array(F.struct(node("trust", "host").alias("node"), F.col("trust").alias("seed")),
+                                                  F.struct(node("distrust", "host").alias("node"), F.col("distrust").alias("seed")))).alias("s"))
+                   .select("s.*").where("seed > 0"), "host-seeds")
+    scores = start.select("node", F.col("seed").alias("score"))
+    for _ in range(0, MOST_ROUNDS, CHAIN):
+        before = None
+        for _ in range(CHAIN):
+            before = scores
+            passed = hot.join(ways, scores, "dst").select(F.col("dst").alias("node"), (DAMPING * F.col("score") / F.col("fan")).alias("score"), F.lit(0.0).alias("last"))
+            back = start.select("node", ((1 - DAMPING) * F.col("seed")).alias("score"), F.lit(0.0).alias("last"))
+            scores = passed.union(back).groupBy("node").agg(F.sum("score").alias("score"))
+        # The last step next to the one before it; a host that is reached anew had nothing.
+        change = F.abs(F.col("score") - F.coalesce("was", F.lit(0.0))) / F.col("score")
+        held = stored(scores.join(before.select("node", F.col("score").alias("was")), "node", "left").select("node", "score", change.alias("change")), "host-scores")
+        scores = held.select("node", "score")
+        if held.where(F.col("change") > TOLERANCE).isEmpty():
+            break
+    else:
+        raise RuntimeError(f"host scores still change after {MOST_ROUNDS} rounds")
+    host, kind = F.expr("substr(node, instr(node, ':') + 1)"), F.expr("substr(node, 1, instr(node, ':') - 1)")
+    of = lambda name: F.coalesce(F.sum(F.when(F.col("kind") == name, F.col("score"))), F.lit(0.0))
+    return scores.select(host.alias("host"), kind.alias("kind"), "score").groupBy("host").agg(of("trust").alias("trust"), of("distrust").alias("distrust"))
+
+
+def judge(pages: DataFrame, rules: list[Rule], inline: int = MOST_INLINE) -> DataFrame:
     """Per row of ``pages(page_id, url, html)``: page_id, host, path, rule, verdict, trust, distrust.
 
-    Without a rule a page is blocked where its host's distrust exceeds its trust, else
-    allowed; pages without a host, and hosts that no score reaches, are allowed.
+    Without a rule a page is blocked where its host's distrust exceeds its trust (by more than ``MARGIN`` of it), else
+    allowed; pages without a host, and hosts that no score reaches, are allowed.  A null url has
+    neither host nor path, a null html no links.  Repeated rows and ids stay rows of their own and count
+    as often as seeds; other columns are left alone; an empty table gives no row.
     """
     host, path = parts(F.col("url"))
     split = pages.select(F.col("page_id").cast("long").alias("page_id"), "html", host.alias("host"), path.alias("path"))
-    rule, ruled = by_rule(F.col("host"), F.col("path"), rules)
-    named = split.select("page_id", "host", "path", "html", rule.alias("rule"), ruled.alias("ruled"))
+    named = with_rule(split, rules, inline)
     hosts = stored(named.where("host != ''").groupBy("host").agg(
         F.count_if(F.col("ruled") == "allow").alias("allowed"), F.count_if(F.col("ruled") == "block").alias("blocked")), "hosts")
-    sums = hosts.agg(F.greatest(F.sum("allowed"), F.lit(1)).alias("allowed"), F.greatest(F.sum("blocked"), F.lit(1)).alias("blocked")).first()
-    whole = {k: (sums[k] or 1) for k in ("allowed", "blocked")}
-    # A seed's share of the mass; decimals, since mass times pages may pass 63 bits.
-    share = lambda c: F.floor(F.lit(MASS).cast("decimal(38,0)") * F.col(c) / F.lit(whole[c]).cast("decimal(18,0)")).cast("long")
+    sums = hosts.agg(F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked")).first()
+    share = lambda c: F.col(c) / F.lit(float(sums[c] or 1))
     seeds = hosts.select("host", share("allowed").alias("trust"), share("blocked").alias("distrust"))
-    scores = propagate(host_graph(named, hosts), seeds, rounds)
-    none = F.lit(0).cast("long")
-    return (named.drop("html").join(scores, "host", "left")
+    scores = propagate(host_graph(named, hosts), seeds)
+    rows, none = named.drop("html"), F.lit(0.0)
+    return (Hot(rows, "host").join(rows, scores, "page_id", "left")
             .select("page_id", "host", "path", "rule",
-                    F.coalesce("ruled", F.when(F.col("distrust") > F.col("trust"), "block").otherwise("allow")).alias("verdict"),
+                    F.coalesce("ruled", F.when(F.col("distrust") > F.col("trust") * (1 + MARGIN), "block").otherwise("allow")).alias("verdict"),
                     F.coalesce("trust", none).alias("trust"), F.coalesce("distrust", none).alias("distrust")))
 
 
-def sql(rules: list[Rule], rounds: int = ROUNDS) -> str:
-    """The same in DuckDB's SQL over the table ``pages``."""
+def sql(rules: list[Rule], rounds: int = 250) -> str:
+    """The same in DuckDB's SQL over the table ``pages``, without the scores: steps until what is left is beyond a double's digits."""
 
     def text(value: str) -> str:
         return "'" + value.replace("'", "''") + "'"
@@ -132,16 +172,12 @@ def sql(rules: list[Rule], rounds: int = ROUNDS) -> str:
     longest = sorted(rules, key=lambda r: (-len(r.name), r.name))
     fit = lambda r: f"((host = {text(r.host)} OR ends_with(host, {text('.' + r.host)})) AND starts_with(path, {text(r.path)}))"
     case = lambda f: "CASE " + " ".join(f"WHEN {fit(r)} THEN {text(f(r))}" for r in longest) + " END"
-    steps = "".join(f""",
-s{k} AS MATERIALIZED (SELECT kind, host, sum(score)::BIGINT AS score FROM (
-    SELECT w.kind, w.dst AS host, (s.score * {DAMPING}) // (100 * w.fan) AS score FROM ways w JOIN s{k - 1} s ON w.src = s.host AND w.kind = s.kind
-    UNION ALL SELECT kind, host, (score * {100 - DAMPING}) // 100 FROM s0) GROUP BY ALL HAVING sum(score) > 0)""" for k in range(1, rounds + 1))
     return f"""
-WITH cut AS (SELECT page_id, html, CASE WHEN contains(url, '://') THEN url[strpos(url, '://') + 3:] END AS rest FROM pages),
+WITH RECURSIVE cut AS (SELECT page_id, html, CASE WHEN contains(url, '://') THEN url[strpos(url, '://') + 3:] END AS rest FROM pages),
 split AS (SELECT page_id, html,
     coalesce(translate(regexp_extract(rest, '^[^/?#]*', 0), '{UPPER}', '{LOWER}'), '') AS host,
     coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM cut),
-named AS (SELECT *, {case(lambda r: r.name)} AS rule, {case(lambda r: r.verdict)} AS ruled FROM split),
+named AS MATERIALIZED (SELECT *, {case(lambda r: r.name)} AS rule, {case(lambda r: r.verdict)} AS ruled FROM split),
 hosts AS MATERIALIZED (SELECT host, count(*) FILTER (ruled = 'allow') AS allowed, count(*) FILTER (ruled = 'block') AS blocked
     FROM named WHERE host != '' GROUP BY host),
 up AS (SELECT host AS src, host[strpos(host, '.') + 1:] AS dst FROM hosts WHERE length(host) - length(replace(host, '.', '')) >= 2),
@@ -150,13 +186,16 @@ edges AS MATERIALIZED (SELECT DISTINCT src, dst FROM (
     UNION ALL SELECT src, dst FROM up UNION ALL SELECT dst, src FROM up) WHERE src != dst AND src != '' AND dst != ''),
 both_ways AS (SELECT 'trust' AS kind, src, dst FROM edges UNION ALL SELECT 'distrust', dst, src FROM edges),
 ways AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY kind, src) AS fan FROM both_ways),
-sums AS (SELECT greatest(sum(allowed), 1)::HUGEINT AS allowed, greatest(sum(blocked), 1)::HUGEINT AS blocked FROM hosts),
-s0 AS MATERIALIZED (SELECT * FROM (
-    SELECT 'trust' AS kind, host, ({MASS}::HUGEINT * h.allowed // sums.allowed)::BIGINT AS score FROM hosts h, sums
-    UNION ALL SELECT 'distrust', host, ({MASS}::HUGEINT * h.blocked // sums.blocked)::BIGINT FROM hosts h, sums) WHERE score > 0){steps},
-final AS (SELECT host, coalesce(sum(score) FILTER (kind = 'trust'), 0)::BIGINT AS trust,
-    coalesce(sum(score) FILTER (kind = 'distrust'), 0)::BIGINT AS distrust FROM s{rounds} GROUP BY host)
-SELECT page_id, n.host, path, rule,
-    coalesce(ruled, CASE WHEN distrust > trust THEN 'block' ELSE 'allow' END) AS verdict,
-    coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust
+sums AS (SELECT greatest(sum(allowed), 1)::DOUBLE AS allowed, greatest(sum(blocked), 1)::DOUBLE AS blocked FROM hosts),
+seeds AS MATERIALIZED (SELECT 'trust' AS kind, host, h.allowed / sums.allowed AS seed FROM hosts h, sums
+    UNION ALL SELECT 'distrust', host, h.blocked / sums.blocked FROM hosts h, sums),
+s(k, kind, host, score) AS (
+    SELECT 0, kind, host, seed::DOUBLE FROM seeds
+    UNION ALL
+    SELECT k, kind, host, sum(score) FROM (
+        SELECT s.k + 1 AS k, w.kind, w.dst AS host, {DAMPING} * s.score / w.fan AS score FROM s JOIN ways w ON w.src = s.host AND w.kind = s.kind WHERE s.k < {rounds}
+        UNION ALL SELECT l.k + 1, x.kind, x.host, {1 - DAMPING} * x.seed FROM (SELECT max(k) AS k FROM s HAVING max(k) < {rounds}) l, seeds x) GROUP BY ALL),
+final AS (SELECT host, coalesce(sum(score) FILTER (kind = 'trust'), 0) AS trust,
+    coalesce(sum(score) FILTER (kind = 'distrust'), 0) AS distrust FROM s WHERE k = {rounds} GROUP BY host)
+SELECT page_id, n.host, path, rule, coalesce(ruled, CASE WHEN distrust > trust * (1 + {MARGIN}) THEN 'block' ELSE 'allow' END) AS verdict
 FROM named n LEFT JOIN final f ON n.host = f.host"""

@@ -169,13 +169,66 @@ def test_distrust_goes_to_those_who_link_to_blocked_hosts(spark):
     assert got == {0: "block", 1: "block", 2: "allow", 3: "allow", 4: "allow"}
 
 
+def plain_scores(edges, seeds):
+    """Fixed point of personalised PageRank as a linear system."""
+    hosts = sorted({h for e in edges for h in e} | set(seeds))
+    at = {h: k for k, h in enumerate(hosts)}
+    step = np.zeros((len(hosts), len(hosts)))
+    for a, b in edges:
+        step[at[b], at[a]] = 1 / sum(x == a for x, _ in edges)
+    start = np.array([seeds.get(h, 0.0) for h in hosts])
+    found = np.linalg.solve(np.eye(len(hosts)) - urlfilter.DAMPING * step, (1 - urlfilter.DAMPING) * start)
+    return dict(zip(hosts, found))
+
+
+def test_scores_are_the_fixed_point(spark):
+    """A chain of ten hosts behind a seed, a ring, a host with many links, and one that no seed reaches."""
+    rng = random.Random(8)
+    edges = {(f"c{k}", f"c{k + 1}") for k in range(10)} | {(f"r{k}", f"r{(k + 1) % 5}") for k in range(5)} | {("c9", "r0"), ("lost", "c3")}
+    edges |= {("hub", f"r{rng.randrange(5)}") for _ in range(4)} | {("r2", "hub")}
+    seeds = [("c0", 0.5, 0.0), ("r1", 0.5, 0.25), ("hub", 0.0, 0.75), ("single", 0.0, 0.0)]
+    got = {r.host: r for r in urlfilter.propagate(spark.createDataFrame(sorted(edges), "src STRING, dst STRING"),
+                                                  spark.createDataFrame(seeds, "host STRING, trust DOUBLE, distrust DOUBLE")).collect()}
+    trust = plain_scores(edges, {h: t for h, t, _ in seeds})
+    distrust = plain_scores({(b, a) for a, b in edges}, {h: d for h, _, d in seeds})
+    assert got["c9"].trust > 0 and "single" not in got and got["lost"].trust == 0
+    for h in trust:
+        if h in got:
+            assert (got[h].trust, got[h].distrust) == pytest.approx((trust[h], distrust[h]), rel=1e-4)
+        else:
+            assert trust[h] == distrust[h] == 0
+
+
+def test_a_seed_ten_hosts_away_decides(spark):
+    links = [(k, f"http://h{k}.net/x", f'<a href="http://h{k + 1}.net/">') for k in range(9)] + [(9, "http://h9.net/x", '<a href="http://bad.com/">'), (10, "http://bad.com/de/1", "")]
+    rows = spark.createDataFrame(links, PAGES)
+    assert {r.verdict for r in urlfilter.judge(rows, URL_RULES).collect()} == {"block"}
+    # A thousand times the pages, elsewhere: the same hosts get the same verdicts.
+    more = rows.union(spark.range(1000).select(F.col("id") + 100, F.format_string("http://e%d.org/x", "id"), F.lit("")))
+    assert {r.verdict for r in urlfilter.judge(more, URL_RULES).where("page_id < 100").collect()} == {"block"}
+
+
+def test_many_rules_are_a_table(spark):
+    rng = random.Random(3)
+    labels = ["a", "b", "com", "org", "x"]
+    rules = {}
+    for _ in range(400):
+        r = urlfilter.Rule(".".join(rng.choices(labels, k=rng.randint(1, 4))), "/" + "/".join(rng.choices("pq", k=rng.randint(0, 3))), rng.choice(["allow", "block"]))
+        rules[r.name] = r
+    rows = [(k % 290, f"http://{'.'.join(rng.choices(labels, k=rng.randint(1, 5)))}/{'/'.join(rng.choices('pqr', k=3))}", None) for k in range(300)] + [(None, None, None)]
+    named = spark.createDataFrame(rows, PAGES).select("page_id", *[c.alias(n) for c, n in zip(urlfilter.parts(F.col("url")), ("host", "path"))])
+    want = Counter(map(tuple, urlfilter.with_rule(named, list(rules.values()), inline=10 ** 6).collect()))
+    assert Counter(map(tuple, urlfilter.with_rule(named, list(rules.values()), inline=0).collect())) == want
+    assert len({r[3] for r in want}) > 20
+
+
 # -- registered SQL -------------------------------------------------------------
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_registered_sql(spark, name):
     con = duckdb.connect()
-    for table in ("pages", "embeddings"):
+    for table in ("pages", "embeddings", "documents", "labels"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
     want = con.execute(ORACLE[name])
     names = [c[0] for c in want.description]
