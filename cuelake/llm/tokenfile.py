@@ -102,15 +102,16 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
     def compress(batches):
         encoder, packer = opened(vocabulary), compressor(dictionary)
         width = id_width(encoder.size)
+        end = np.array([end_id], width).tobytes()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
+            for lo in range(0, batch.num_rows, 4096):
+                part = batch.slice(lo, 4096)
                 keys = part.column(0)
                 counts, frames = [], []
-                for text in part.column(1).to_pylist():
-                    ids = encode_ids(text, vocabulary, end_id)
-                    counts.append(len(ids))
-                    frames.append(packer.compress(ids.astype(width).tobytes()))
+                for flat, starts in encoder.encode_many(part.column(1)):
+                    raw, size = flat.astype(width).tobytes(), np.dtype(width).itemsize
+                    counts += (np.diff(starts) + 1).tolist()
+                    frames += [packer.compress(raw[i:j] + end) for i, j in zip((starts[:-1] * size).tolist(), (starts[1:] * size).tolist())]
                 ranged = np.searchsorted(edges, keys.fill_null(0).to_numpy(zero_copy_only=False), side="left")
                 ranged[keys.is_null().to_numpy(zero_copy_only=False)] = len(edges) + 1
                 yield pa.RecordBatch.from_arrays(

@@ -7,11 +7,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from cuelake.llm import bpe, packing, tokenfile
+from cuelake.llm import bpe, packing, tokenfile, wordbpe
 from cuelake.llm.queries import BYTE_BPE, WORD_BPE
 from cuelake.llm.wordbpe import WordBpe
 
@@ -44,6 +45,17 @@ def test_word_encoder_equals_the_library():
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == encoder.library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("together", [1, 50_000, 8 << 20])
+def test_texts_encoded_together_equal_the_library(monkeypatch, odd_rows, word_ids, together):
+    monkeypatch.setattr(wordbpe, "TOGETHER", together)
+    texts = [r[1] for r in odd_rows] + ["Don't I'll", "a\tb\nc\rd", "x  y", " ", "café ÀÉÿ ß÷× naïve!?", "<|endoftext|> a", "́x y"]
+    got = [flat[starts[k]:starts[k + 1]].tolist() for flat, starts in WordBpe(WORDS).encode_many(pa.array(texts)) for k in range(len(starts) - 1)]
+    assert got == [word_ids(t)[:-1] for t in texts]
+    sliced = WordBpe(WORDS).encode_many(pa.array(["never", *texts, "never"]).slice(1, len(texts)))
+    assert [flat[starts[k]:starts[k + 1]].tolist() for flat, starts in sliced for k in range(len(starts) - 1)] == got
+    assert list(WordBpe(WORDS).encode_many(pa.array([], pa.string()))) == []
+
+
 def test_long_texts_are_encoded_in_parts(monkeypatch):
     from cuelake.llm import common
 
