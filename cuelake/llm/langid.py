@@ -3,6 +3,9 @@
 A word that the model knows is scored by its log frequency per language.  An unseen
 word is scored by its longest character n-grams; where one of those is unseen too, the
 n-grams one character shorter stand in for it, down to single characters.
+
+Words and n-grams are counted over the whole sample and kept by rank within each language, so a small
+language beside large ones keeps its own.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import claim_cache, fresh, hash_share, segments
+from cuelake.llm.common import claim_cache, fresh, hash_share, segments, stored
 
 #: Runs of letters: word characters of any alphabet without digits and the underscore.
 WORD = re.compile(r"[^\W\d_]+")
@@ -42,20 +45,22 @@ class Model:
 
     @classmethod
     def learn(cls, counts: list[tuple[str, str, int]]) -> Model:
-        """From (word, language, count); add-one smoothing against the languages' totals."""
+        """From (word, language, count) of all words."""
         languages = sorted({lang for _, lang, _ in counts})
-        at = {lang: k for k, lang in enumerate(languages)}
-        by_word: dict[str, np.ndarray] = {}
+        of_grams = Counter()
         for word, lang, n in counts:
-            by_word.setdefault(word, np.zeros(len(languages)))[at[lang]] += n
-        tables = []
-        for n in range(1, LONGEST + 1):
-            table: dict[str, np.ndarray] = {}
-            for word, row in by_word.items():
-                for g in grams(word, n):
-                    table[g] = table[g] + row if g in table else row
-            tables.append(smoothed(table))
-        return cls(languages, smoothed(by_word), tables)
+            for k in range(1, LONGEST + 1):
+                of_grams.update({(g, lang): n * m for g, m in Counter(grams(word, k)).items()})
+        return cls.of_counts(languages, counts, [(g, lang, n) for (g, lang), n in of_grams.items()])
+
+    @classmethod
+    def of_counts(cls, languages: list[str], words: list[tuple[str, str, int]], pieces: list[tuple[str, str, int]]) -> Model:
+        """From the counts of the words and of the n-grams that are kept."""
+        at = {lang: k for k, lang in enumerate(languages)}
+        tables: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
+        for table, name, lang, n in [*((0, *w) for w in words), *((len(g[0]), *g) for g in pieces)]:
+            tables[table].setdefault(name, np.zeros(len(languages)))[at[lang]] += n
+        return cls(languages, smoothed(tables[0]), [smoothed(t) for t in tables[1:]])
 
     def unseen_score(self, word: str) -> np.ndarray:
         row = self.met.get(word)
@@ -104,44 +109,80 @@ class Model:
 
 
 def smoothed(table: dict[str, np.ndarray]) -> Table:
-    """Log of add-one smoothed shares, less their mean over languages."""
+    """Log of smoothed shares, less their mean over languages.
+
+    One is added for the language with most counts, and as much less for the others as they have less: what
+    a language has not met is equally rare in all of them, whatever their sizes.
+    """
     if not table:
         return {}, np.zeros((0, 1), np.float32)
     rows = np.array(list(table.values()))
-    logs = np.log((rows + 1) / (rows.sum(axis=0) + len(rows)))
+    totals = np.maximum(rows.sum(axis=0), 1e-9)
+    one = totals / totals.max()
+    logs = np.log((rows + one) / (totals + one * len(rows)))
     logs -= logs.mean(axis=1, keepdims=True)
     return {name: k for k, name in enumerate(table)}, logs.astype(np.float32)
 
 
-def word_counts(labelled: DataFrame, most_words: int) -> list[tuple[str, str, int]]:
-    """Counts of the ``most_words`` most frequent words of ``labelled(text, lang)``, per language."""
+def counted(rows: DataFrame, names: list[str], count) -> DataFrame:
+    """(name, lang, n): what ``count`` adds to a Counter of (name, lang) for each row, summed up."""
 
-    def count(batches):
+    def add(batches):
         held: Counter = Counter()
 
         def flush():
-            rows = pa.RecordBatch.from_arrays(
+            out = pa.RecordBatch.from_arrays(
                 [pa.array([w for w, _ in held]), pa.array([g for _, g in held]), pa.array(list(held.values()), pa.int64())],
-                ["word", "lang", "n"])
+                ["name", "lang", "n"])
             held.clear()
-            return rows
+            return out
 
         for batch in batches:
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for part in segments(text or ""):
-                    for word, n in Counter(WORD.findall(part.lower())).items():
-                        if len(word) <= 40:
-                            held[word, lang] += n
+            for row in zip(*(batch.column(c).to_pylist() for c in names)):
+                count(held, *row)
                 if len(held) > 200_000:
                     yield flush()
         if held:
             yield flush()
 
-    counts = (labelled.mapInArrow(count, "word string, lang string, n long")
-              .groupBy("word", "lang").agg(F.sum("n").alias("n"))
-              .groupBy("word").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by")))
-    top = counts.orderBy(F.desc("total"), "word").limit(most_words).toArrow()
-    return [(w, b["lang"], b["n"]) for w, by in zip(top.column("word").to_pylist(), top.column("by").to_pylist()) for b in by]
+    return rows.mapInArrow(add, "name string, lang string, n long").groupBy("name", "lang").agg(F.sum("n").alias("n"))
+
+
+def count_words(held: Counter, text: str | None, lang: str) -> None:
+    for part in segments(text or ""):
+        for word, n in Counter(WORD.findall(part.lower())).items():
+            held[word, lang] += n
+
+
+def count_grams(held: Counter, word: str, lang: str, n: int) -> None:
+    for part in (word[i:i + 64] for i in range(0, len(word), 64)):
+        for k in range(1, LONGEST + 1):
+            for gram in grams(part, k):
+                held[gram, lang] += n
+
+
+def most_frequent(counts: DataFrame, most: int, size: Column) -> list[tuple[str, str, int]]:
+    """Counts, in all languages, of the names that are among the most frequent of a language; ``size`` tells kinds of names apart.
+
+    ``most`` names of a kind are shared out evenly; of names that are equally frequent at the end of a
+    language's share all go or all stay.
+    """
+    sized = stored(counts.withColumn("size", size.cast("int")), "lang-counts")
+    steps = sized.groupBy("size", "lang", "n").agg(F.count("*").alias("names")).collect()
+    share = max(1, most // max(1, len({r.lang for r in steps})))
+    least: dict = {}
+    taken: Counter = Counter()
+    for r in sorted(steps, key=lambda r: -r.n):
+        key = r["size"], r.lang
+        taken[key] += r.names
+        if taken[key] <= share or key not in least:
+            least[key] = r.n
+    if not least:
+        return []
+    bounds = counts.sparkSession.createDataFrame([(*k, n) for k, n in least.items()], "size INT, lang STRING, least LONG")
+    kept = sized.join(bounds, ["size", "lang"]).where("n >= least").select("name").distinct()
+    found = sized.join(kept, "name").select("name", "lang", "n").toArrow()
+    return sorted(zip(*(found.column(c).to_pylist() for c in ("name", "lang", "n"))))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -150,11 +191,17 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, most_docs: int = 20_000, most_words: int = 60_000) -> Model:
-    """Learn from about ``most_docs`` documents with a language, chosen by a hash of doc_id among those not held out."""
+    """Learn from about ``most_docs`` documents with a language, chosen by a hash of doc_id among those not held out.
+
+    All their words and n-grams are counted; of each kind (words, n-grams of one length) about ``most_words``
+    are kept, as many for each language.
+    """
     usable = docs.select("doc_id", "text", "lang").where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").where(~held_out(F.col("doc_id")))
     chosen = usable.where(hash_share("doc_id", most_docs, usable.select("doc_id").count()))
-    counts = word_counts(chosen.select("text", "lang"), most_words)
-    return Model.learn(counts)
+    words = stored(counted(chosen, ["text", "lang"], count_words), "lang-words")
+    pieces = counted(words, ["name", "lang", "n"], count_grams)
+    kept = most_frequent(words, most_words, F.lit(0))
+    return Model.of_counts(sorted({lang for _, lang, _ in kept}), kept, most_frequent(pieces, most_words, F.length("name")))
 
 
 def predicted(docs: DataFrame, **options) -> tuple[DataFrame, str]:
@@ -177,7 +224,8 @@ def languages(docs: DataFrame, **options) -> DataFrame:
     """Per row of ``docs(doc_id, text, lang)``: doc_id, held_out, lang_pred, score.
 
     Null and letterless texts are ``und`` with score 0, and so is every text where nothing could
-    be learned; repeated rows are predicted one by one.
+    be learned; repeated rows are predicted one by one.  Of equally likely languages the first by name is taken.
+    Texts of any length are read whole, in parts; an empty table gives no row.
     """
     out, name = predicted(docs.select("doc_id", "text", "lang"), **options)
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"),

@@ -327,6 +327,77 @@ def test_language_is_not_learned_from_held_out_rows(spark):
     assert {r.lang_pred for r in got.values()} == {"xx"}
 
 
+def plain_predictions(rows):
+    """Language and share of each text, from counts of all words and n-grams, one by one."""
+    counts, pieces = defaultdict(Counter), defaultdict(Counter)
+    found = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    for d, text, lang in rows:
+        if d is not None and text is not None and lang is not None and zlib.crc32(str(d).encode()) % 3 != 1:
+            for w in found(text):
+                counts[w][lang] += 1
+                for k in range(1, 5):
+                    for g in ([*w] if k == 1 else [f"^{w}$"[i:i + k] for i in range(len(w) + 3 - k)]):
+                        pieces[g][lang] += 1
+    langs = sorted({lang for c in counts.values() for lang in c})
+
+    def logs(table):
+        totals = {g: sum(c[g] for c in table.values()) for g in langs}
+        one = {g: totals[g] / max(totals.values()) for g in langs}
+        out = {}
+        for name, c in table.items():
+            row = np.array([np.log((c[g] + one[g]) / (totals[g] + one[g] * len(table))) for g in langs])
+            out[name] = row - row.mean()
+        return out
+
+    words, tables = logs(counts), [logs({g: c for g, c in pieces.items() if len(g) == k}) for k in range(1, 5)]
+
+    def gram(g):
+        if g in tables[len(g) - 1]:
+            return tables[len(g) - 1][g]
+        return np.zeros(len(langs)) if len(g) == 1 else (gram(g[:-1]) + gram(g[1:])) / 2
+
+    def unseen(w):
+        if len(w) > 64:
+            return np.mean([unseen(w[i:i + 64]) for i in range(0, len(w), 64)], axis=0)
+        k = min(4, len(w) + 2)
+        return np.mean([gram(g) for g in (f"^{w}$"[i:i + k] for i in range(len(w) + 3 - k))], axis=0)
+
+    out = []
+    for d, text, _ in rows:
+        met = found(text or "")
+        if not met or not langs:
+            out.append((d, "und", 0.0))
+            continue
+        total = sum(words[w] if w in words else unseen(w) for w in met)
+        best = int(np.argmax(total))
+        out.append((d, langs[best], float(1 / np.exp(total - total[best]).sum())))
+    return out
+
+
+def test_predictions_equal_a_plain_scorer(spark, odd_rows):
+    docs = [r for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    rows = [*map(tuple, docs), (9001, "q" * 50 + " unheardof", "en"), (9002, "q" * 50, "en"), (9003, None, "en"), (9004, "12 34", "de"), (None, "le chat", "fr")]
+    df = spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING")
+    got = sorted(((r.doc_id, r.lang_pred, r.score) for r in langid.languages(df, most_words=10 ** 9).collect()), key=repr)
+    want = sorted(plain_predictions(rows), key=repr)
+    same = [(g[0], w[1]) for g, w in zip(got, want) if g[1] != w[1]]
+    # Single precision may turn ties; nothing else differs.
+    assert [g[0] for g in got] == [w[0] for w in want] and len(same) <= len(rows) // 100
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=0.02)
+
+
+def test_a_small_language_keeps_its_words(spark):
+    """One row in a hundred is of a third language; few words are kept, and long ones count."""
+    rng = random.Random(5)
+    make = lambda letters: ["".join(rng.choices(letters, k=rng.randint(3, 9))) for _ in range(400)]
+    stems = {"en": make("abcdefgh"), "de": make("ijklmnop"), "zz": [*make("qrstuvwx")[:40], "q" * 45]}
+    rows = [(i, " ".join(rng.choices(stems[lang], k=30)), lang) for i in range(3000) for lang in ["zz" if i % 100 == 7 else "de" if i % 2 else "en"]]
+    got = {r.doc_id: r for r in langid.languages(spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING"), most_words=300).collect()}
+    assert all(got[i].lang_pred == lang for i, _, lang in rows if got[i].held_out)
+    only_long = langid.fit(spark.createDataFrame([(k, "q" * 45, "zz") for k in range(9)], "doc_id LONG, text STRING, lang STRING"))
+    assert "q" * 45 in only_long.words[0]
+
+
 def test_languages_of_odd_rows(odd, clashing, nothing):
     got = langid.languages(odd)
     assert got.count() == odd.count()
