@@ -62,8 +62,10 @@ def runs_of(sizes: np.ndarray, of: int) -> Csr:
 def turned(m: Csr) -> Csr:
     """The transpose."""
     row, col = m.pairs()
-    order = np.argsort(col, kind="stable")
     ends = np.concatenate([[0], np.cumsum(np.bincount(col, minlength=m.width))])
+    if len(col) < 2 or (col[1:] >= col[:-1]).all():
+        return Csr(ends, row, m.values, m.rows)
+    order = np.argsort(col, kind="stable")
     return Csr(ends, row[order], m.values[order], m.rows)
 
 
@@ -73,15 +75,20 @@ def product_blocks(a: Csr, b: Csr):
     Gives (first row, entries in each row, columns, values) for blocks of rows with about ``BLOCK``
     terms, so that no more of them are held at once (one row's terms at least).
     """
-    terms = np.concatenate([[0], np.cumsum(np.diff(b.indptr)[a.indices])])[a.indptr]  # before each row of A
+    widths = np.diff(b.indptr)
+    terms = np.concatenate([[0], np.cumsum(widths[a.indices])])[a.indptr]  # before each row of A
     lo = 0
     while lo < a.rows:
         hi = max(lo + 1, int(np.searchsorted(terms, terms[lo] + BLOCK, "right")) - 1)
         at = a.indices[a.indptr[lo]:a.indptr[hi]]
-        width = np.diff(b.indptr)[at]
-        row = np.repeat(np.repeat(np.arange(lo, hi), np.diff(a.indptr[lo:hi + 1])), width)
-        col = spans(b.indices, b.indptr, at)
-        val = spans(b.values, b.indptr, at) * np.repeat(a.values[a.indptr[lo]:a.indptr[hi]], width)
+        width = widths[at]
+        row, val = np.repeat(np.arange(lo, hi), np.diff(a.indptr[lo:hi + 1])), a.values[a.indptr[lo]:a.indptr[hi]]
+        if (width == 1).all():  # each term is one entry of B
+            only = b.indptr[at]
+            col, val = b.indices[only], val * b.values[only]
+        else:
+            row, col = np.repeat(row, width), spans(b.indices, b.indptr, at)
+            val = spans(b.values, b.indptr, at) * np.repeat(val, width)
         key = row * b.width + col
         if len(key) > 1 and (key[1:] < key[:-1]).any():
             order = np.argsort(key, kind="stable")
@@ -149,7 +156,8 @@ class Tokenizers:
             a.append(self.a.encode_to_numpy(line, disallowed_special=()).astype(np.int64))
             ids = self.b.encode(part, num_threads=1)
             line = line.encode("utf-8", "surrogatepass")
-            if b"".join(map(self.b_bytes.__getitem__, ids)) != line or self.a.decode_bytes(a[-1]) != line:
+            # A's tokens cut the bytes it was given, so their sizes tell; B's need not be those of the text.
+            if b"".join(map(self.b_bytes.__getitem__, ids)) != line or self.a_sizes[a[-1]].sum() != len(line):
                 return None
             b.append(np.array(ids, np.int64))
             start = stop + 1
@@ -166,7 +174,7 @@ def opened(*paths: str) -> Tokenizers:
     return _OPEN[paths]
 
 
-def sliced(batches, rows: int = 128):
+def sliced(batches, rows: int = 64):
     """Smaller batches: what is held per token is many times its text."""
     for batch in batches:
         for lo in range(0, batch.num_rows, rows):
@@ -271,11 +279,21 @@ def most_pairs(a_path: str, b_path: str, pattern: str) -> int:
     return int(both.a_sizes.sum() + both.b_sizes.sum())
 
 
-def written_groups(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray) -> str:
-    """``a1,a2|b1;a3|b2,b3``: decimal ids of each group."""
-    a, b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-    ends_a, ends_b = np.cumsum(group_a).tolist(), np.cumsum(group_b).tolist()
-    return ";".join([f"{','.join(a[i:j])}|{','.join(b[k:m])}" for i, j, k, m in zip([0, *ends_a], ends_a, [0, *ends_b], ends_b)])
+def written_groups(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray) -> np.ndarray:
+    """Order in which ``a1,a2|b1;a3|b2,b3`` names the tokens: 4 * id for a token of A and 4 * id + 2 for one of B, one more for the last of its group."""
+    out = np.empty(len(a) + len(b), np.int64)
+    end_a, end_b = np.cumsum(group_a), np.cumsum(group_b)
+    place_a = np.arange(len(a)) + np.repeat(end_b - group_b, group_a)
+    place_b = np.arange(len(b)) + np.repeat(end_a, group_b)
+    out[place_a], out[place_b] = 4 * a, 4 * b + 2
+    out[place_a[end_a - 1]] += 1
+    out[place_b[end_b - 1]] += 1
+    return out
+
+
+def group_words(n: int) -> list[str]:
+    """Text of each number of :func:`written_groups`."""
+    return [f"{k}{sign}" for k in range(n) for sign in ",|,;"]
 
 
 def alignment_digests(docs: DataFrame, a_path: str, b_path: str, pattern: str) -> DataFrame:
@@ -286,8 +304,10 @@ def alignment_digests(docs: DataFrame, a_path: str, b_path: str, pattern: str) -
     have zeros and an empty digest.  Null and repeated ids stay rows of their own; repeated texts
     count once per row; other columns are left alone; an empty table gives no row.
     """
-    aligned = stored(alignments(docs, a_path, b_path, pattern), "aligned", compression="zstd")
+    aligned = stored(alignments(docs, a_path, b_path, pattern), "aligned", **{"compression": "zstd", "parquet.block.size": str(16 << 20)})
     counts = stored(pair_counts(aligned), "pairs")
+    both = opened(a_path, b_path, pattern)
+    tokens = max(len(both.a_bytes), len(both.b_bytes))
     # The vocabularies bound the table that is sent to every task (about 0.5 million rows for 50,000 and 32,000 tokens).
     bound, held = most_pairs(a_path, b_path, pattern), counts.toArrow()
     if held.num_rows > bound:
@@ -301,6 +321,7 @@ def alignment_digests(docs: DataFrame, a_path: str, b_path: str, pattern: str) -
 
     def digest(batches):
         pair, n, best = shared.value
+        words = group_words(tokens)
         for batch in sliced(batches):
             links, starts = linked_pairs(batch)
             at = np.searchsorted(pair, links)
@@ -308,10 +329,10 @@ def alignment_digests(docs: DataFrame, a_path: str, b_path: str, pattern: str) -
             names = ["a_ids", "b_ids", "group_a", "group_b"]
             values = [flat(batch.column(c)) for c in names]
             sizes = [np.diff(s) for _, s in values]
-            sha = []
-            for k in range(batch.num_rows):
-                row = [v[s[k]:s[k + 1]] for v, s in values]
-                sha.append(hashlib.sha256(written_groups(*row).encode()).hexdigest() if len(row[0]) else "")
+            order = written_groups(*[v for v, _ in values]).tolist()
+            cuts = (values[0][1] + values[1][1]).tolist()
+            sha = [hashlib.sha256("".join(map(words.__getitem__, order[i:j]))[:-1].encode()).hexdigest() if j > i else ""
+                   for i, j in zip(cuts, cuts[1:])]
             longs = [sizes[0], sizes[1], sizes[2], np.diff(starts), np.diff(bests[starts]), np.diff(sums[starts])]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *[pa.array(x.astype(np.int64)) for x in longs], pa.array(sha, pa.string()), batch.column("n_overlaps"), batch.column("n_shared")],
