@@ -75,10 +75,12 @@ class Hot:
 
     SALTS = 32
 
-    def __init__(self, rows: DataFrame, key: str, share: int = 1000, least: int = 1000):
-        counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-        total = F.lit(rows.count())
-        found = counts.where((F.col("n") >= least) & (F.col("n") * share > total)).select(key).collect()
+    def __init__(self, rows: DataFrame, key: str, share: int = 1000, least: int = 1000, counts: DataFrame | None = None):
+        """``counts`` (key, n), where known, saves counting ``rows``."""
+        if counts is None:
+            counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+        often = counts.where(F.col("n") >= least)
+        found = [] if often.isEmpty() else often.where(F.col("n") * share > F.lit(rows.count())).select(key).collect()
         self.key, self.values = key, [r[0] for r in found]
 
     def join(self, many: DataFrame, few: DataFrame, by: str | Column, how: str = "inner") -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuelake.llm.common import claim_cache, fresh, stored
+from cuelake.llm.common import Hot, claim_cache, fresh, stored
 
 SEED = 42
 LANES = np.uint64(0x0101010101010101)
@@ -193,7 +193,7 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     for _ in range(most_rounds):
         both = state.select("v", "u").union(state.select(F.col("u").alias("v"), F.col("v").alias("u")))
         lowest = both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"))
-        large = both.join(lowest, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("u != v").distinct()
+        large = Hot(both, "v").join(both, lowest, "u").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("u != v").distinct()
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = (large.join(least, "v").select(F.explode(F.array(
             F.struct(F.col("u").alias("v"), F.col("m").alias("u")), F.struct("v", F.col("m").alias("u")))).alias("e"))
@@ -217,13 +217,13 @@ def near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
     null id).  Null and empty texts have fingerprint zero and are linked like others.
     """
     rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint_column("text").alias("fp")), "prints")
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "nodes")
     labels = stored(components(links(nodes.select("fp"), radius)), "labels")
-    grouped = nodes.join(labels, nodes.fp == labels.node, "left").select(
-        "fp", "first_id", F.coalesce("label", "fp").alias("label"))
+    grouped = stored(nodes.join(labels, nodes.fp == labels.node, "left").select(
+        "fp", "first_id", F.coalesce("label", "fp").alias("label")), "grouped")
     smallest = grouped.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    of_print = grouped.join(smallest, "label").select("fp", "component_id")
-    return rows.join(of_print, "fp").select(
+    of_print = Hot(grouped, "label").join(grouped, smallest, "fp").select("fp", "component_id")
+    return Hot(rows, "fp", counts=nodes.select("fp", "n")).join(rows, of_print, F.coalesce("doc_id", "fp")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

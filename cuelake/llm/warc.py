@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import file_name, file_system, read_file, spread, stored, write_file
+from cuelake.llm.common import Hot, file_name, file_system, read_file, spread, stored, write_file
 from cuelake.session import new_shared_path
 
 # Fixed values of the seekable format.
@@ -129,14 +129,17 @@ def with_heads(pages: DataFrame, least: int = 1000) -> DataFrame:
     Of equal payloads of at least ``least`` bytes the one of the largest page_id is the
     response (rows that share it are all responses; null ids come last).  Equal means an equal
     SHA-256.  Only groups of two or more are joined back, and counts are taken before any shuffle.
+    Smaller payloads take no part in the join, and the copies of one that is very common are dealt over tasks.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
     key = F.sha2("payload", 256)
-    heads = (rows.where(F.octet_length("payload") >= least).select("page_id", key.alias("same"))
-             .groupBy("same").agg(F.max("page_id").alias("head_id"), F.count("*").alias("copies"))
-             .where("copies > 1 AND head_id IS NOT NULL").select("same", "head_id"))
-    joined = rows.withColumn("same", F.when(F.octet_length("payload") >= least, key)).join(heads, "same", "left")
+    keyed = rows.withColumn("same", F.when(F.octet_length("payload") >= least, key))
+    large = keyed.where("same IS NOT NULL")
+    heads = stored(large.groupBy("same").agg(F.max("page_id").alias("head_id"), F.count("*").alias("n")).where("n > 1"), "warc-heads")
+    wanted = heads.where("head_id IS NOT NULL").select("same", "head_id")
+    joined = Hot(rows, "same", counts=heads).join(large, wanted, F.coalesce("page_id", F.length("url")), "left").unionByName(
+        keyed.where("same IS NULL").withColumn("head_id", F.lit(None).cast("long")))
     refers = F.col("head_id").isNotNull() & ~F.col("head_id").eqNullSafe(F.col("page_id"))
     return joined.select("page_id", "url", "payload", F.sha1("payload").alias("digest"), refers.alias("refers"), "head_id")
 
