@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 from re import _parser as regex_parser
 
 from pyspark.sql import Column, functions as F
@@ -35,6 +35,61 @@ def required_literal(pattern: str) -> str:
     return max(best, run, key=len)
 
 
+def required_tokens(pattern: str, least: int = 2) -> list[frozenset[str]]:
+    """What every match of ``pattern`` must contain: of each set, one of its lower-case literals.
+
+    No literal has a blank, so where texts are joined by blanks, each lies in one of them.
+    Literals of fewer than ``least`` characters are left out.
+    """
+
+    def of_sequence(items) -> list[frozenset[str]]:
+        found, run = [], ""
+        for op, arg in [*items, (None, None)]:
+            if str(op) == "LITERAL" and chr(arg).isascii() and not chr(arg).isspace():
+                run += chr(arg).lower()
+                continue
+            if len(run) >= least:
+                found.append(frozenset([run]))
+            run = ""
+            if str(op) == "SUBPATTERN":
+                found += of_sequence(arg[3])
+            elif str(op) == "MAX_REPEAT" and arg[0] > 0:
+                found += of_sequence(arg[2])
+            elif str(op) == "BRANCH":
+                ways = [of_sequence(way) for way in arg[1]]
+                if all(ways):  # one set of each way: the one that is hardest to meet
+                    found.append(frozenset().union(*(max(way, key=lambda c: min(map(len, c))) for way in ways)))
+        return found
+
+    return of_sequence(regex_parser.parse(pattern))
+
+
+class TokenFilter:
+    """Bit masks of the literals that matches of some patterns need, to rule texts out before they are scanned.
+
+    Masks of texts that are joined by blanks may be combined by ``bit_or``.
+    """
+
+    def __init__(self, patterns: Sequence[str]):
+        self.clauses = [required_tokens(p) for p in patterns]
+        self.tokens = sorted({t for clauses in self.clauses for c in clauses for t in c})
+        if len(self.tokens) > 63:
+            raise ValueError(f"{len(self.tokens)} literals do not fit a mask")
+
+    def mask(self, text: Column) -> Column:
+        """Which literals the text has."""
+        bits = lambda low: reduce(
+            lambda a, b: a.bitwiseOR(b),
+            [F.when(F.contains(low, F.lit(t)), F.lit(1 << k)).otherwise(F.lit(0)).cast("bigint") for k, t in enumerate(self.tokens)])
+        return _with_lowered(F.coalesce(text, F.lit("")), lambda _, low: bits(low))
+
+    def possible(self, mask: Column) -> Column:
+        """Whether a text with this mask can match one of the patterns."""
+        bit = {t: 1 << k for k, t in enumerate(self.tokens)}
+        has = lambda clause: mask.bitwiseAND(F.lit(sum(bit[t] for t in clause)).cast("bigint")) != 0
+        return reduce(or_, [reduce(and_, map(has, clauses), F.lit(True)) for clauses in self.clauses])
+
+
 def fold(text: Column) -> Column:
     """``text`` for ASCII patterns with Unicode rules.
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cuelake import vocab
 from cuelake.functions.let import bound
 from cuelake.functions.text import (
-    clean_caption, keyword_vector, masks_to_vector, matches_any, one_line, score_cue, score_text,
+    TokenFilter, clean_caption, keyword_vector, masks_to_vector, matches_any, one_line, score_cue, score_text,
     strip_tags, vector_to_masks,
 )
 from cuelake.operators.windows import cluster_hits
@@ -293,12 +293,16 @@ def context_score(
     reach = max(half, walk_ms)
     spread = halo(cue_breaks(cues, silence_ms), "start_ms", TIME_CHUNK_MS, before=reach, after=half)
     w = Window.partitionBy("video_id", CHUNK).orderBy("start_ms")
-    around = F.collect_list(F.struct("cue_idx", "text")).over(w.rangeBetween(-half, half))
+    near = w.rangeBetween(-half, half)
     stop = F.when(F.col("stop_back"), F.struct("cue_idx", "start_ms"))
     behind = F.max(stop).over(w.rangeBetween(-walk_ms, Window.currentRow))
-    local = own_rows(
-        spread.withColumn("_around", around).withColumn("_stop", behind)
-    )
+    # The gate's literals, combined over the window, tell where it can match; only there are texts joined.
+    gate = TokenFilter(vocab.GATE_PHRASES)
+    seen = spread.withColumn("_tokens", gate.mask(F.col("text"))).withColumn("_tokens", F.bit_or("_tokens").over(near)).withColumn("_stop", behind)
+    marked = seen.withColumn("_may", gate.possible(F.col("_tokens")))
+    wanted = marked.withColumn("_wanted", F.max("_may").over(near))
+    around = F.collect_list(F.when(F.col("_wanted"), F.struct("cue_idx", "text"))).over(near)
+    local = own_rows(wanted.withColumn("_around", around)).filter("_may")
     joined = F.array_join(F.transform(F.array_sort("_around"), lambda x: x["text"]), " ")
     # Scoring and filtering in one generator: a plain filter on the score would make
     # the optimizer score every text twice.

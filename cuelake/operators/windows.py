@@ -136,11 +136,17 @@ ANCHOR_COLUMNS = T.StructType([
 
 
 def greedy_anchors(df: DataFrame, time: str, order: list[str], width_ms: int) -> DataFrame:
-    """Adds ``anchor_ms`` (open window's start), ``before_ms`` (the one before) and ``opens``."""
-    return chunk_fold(
-        df, ["video_id"], order, chunk_of(F.col(time), FOLD_CHUNK_MS),
-        GreedyAnchors(time, width_ms), [time], ANCHOR_COLUMNS,
-    )
+    """Adds ``anchor_ms`` (open window's start), ``before_ms`` (the one before) and ``opens``.
+
+    Where windows start depends on the distinct times of a video alone, so only those are folded; the
+    rows, with whatever texts and arrays they carry, are joined by video and time.  Of rows of one time the first opens.
+    """
+    times = df.select("video_id", time).distinct()
+    placed = chunk_fold(times, ["video_id"], [time], chunk_of(F.col(time), FOLD_CHUNK_MS), GreedyAnchors(time, width_ms), [time], ANCHOR_COLUMNS)
+    # Partitioned as the join leaves it: no further exchange.
+    nth = F.row_number().over(Window.partitionBy("video_id", time).orderBy(*order))
+    joined = df.join(placed, ["video_id", time])
+    return joined.withColumn("opens", F.col("opens") & (nth == 1)).select(*df.columns, *ANCHOR_COLUMNS.names)
 
 
 def anchored_windows(

@@ -1,5 +1,8 @@
 """Phrase scores, vectors, caption formats."""
 
+import random
+import re
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -198,3 +201,24 @@ def test_patterns_follow_unicode_words(spark):
 
     want = {t: int(any(re.search(p, t, re.I) for p in (r"\bsponsored\s+by\b", r"\bmy\s+code\s+\w+", r"\bpromo\s+code\b"))) for t in cases}
     assert got == want == cases
+
+
+def test_required_tokens():
+    assert X.required_tokens(r"brought\s+to\s+you") == [{"brought"}, {"to"}, {"you"}]
+    assert X.required_tokens(r"use\s+(?:my\s+)?(?:code|link)") == [{"use"}, {"code", "link"}]
+    assert X.required_tokens(r"a.b|c") == [] and X.required_tokens("thanks?") == [{"thank"}]
+
+
+def test_token_masks_rule_out_no_match(spark):
+    """Where the gate matches texts that are joined by blanks, their combined masks say that it can."""
+    rng = random.Random(12)
+    parts = [w for p in vocab.GATE_PHRASES for w in re.sub(r"\\s\+|[?:().|{},\\+]", " ", p).split()] + ["the", "Sponsor", "OFF", "50%", "x.com", "ſponsor", "today's", "50% off", "for free"]
+    rows = [(k, i, " ".join(rng.choices(parts, k=rng.randint(0, 4)))) for k in range(400) for i in range(3)] + [(-1, 0, None), (-2, 0, "brought"), (-2, 1, "to you"), (-3, 0, "sign"), (-3, 1, "off")]
+    df = spark.createDataFrame(rows, "k INT, i INT, text STRING")
+    gate = X.TokenFilter(vocab.GATE_PHRASES)
+    joined = df.withColumn("m", gate.mask(F.col("text"))).groupBy("k").agg(
+        F.bit_or("m").alias("m"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]), " ").alias("text"))
+    got = joined.select("k", gate.possible(F.col("m")).alias("may"), X.matches_any(F.col("text"), vocab.GATE_PHRASES).alias("does")).collect()
+    assert all(r.may for r in got if r.does) and any(r.does for r in got) and not all(r.may for r in got)
+    may = {r.k: r.may for r in got}
+    assert may[-2] and not may[-1]
