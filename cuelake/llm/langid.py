@@ -128,6 +128,7 @@ def counted(rows: DataFrame, names: list[str], count) -> DataFrame:
     """(name, lang, n): what ``count`` adds to a Counter of (name, lang) for each row, summed up."""
 
     def add(batches):
+        claim_cache("langid", lambda: None)
         held: Counter = Counter()
 
         def flush():
@@ -140,7 +141,7 @@ def counted(rows: DataFrame, names: list[str], count) -> DataFrame:
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in names)):
                 count(held, *row)
-                if len(held) > 200_000:
+                if len(held) > 100_000:
                     yield flush()
         if held:
             yield flush()
