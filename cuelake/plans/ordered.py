@@ -326,20 +326,26 @@ class ChunkFold:
 def whole_groups(batches: Iterator[pd.DataFrame], by: Sequence[str]) -> Iterator[list[pd.DataFrame]]:
     """Complete groups of sorted batches, a list per batch.
 
-    Only the group that a batch breaks off in is kept for the next one.
+    Only the group that a batch breaks off in is kept for the next one, in parts that are put
+    together once, when it ends.
     """
-    rest: pd.DataFrame | None = None
+    rest: list[pd.DataFrame] = []
     for pdf in batches:
-        if rest is not None:
-            pdf = pd.concat([rest, pdf], ignore_index=True)
         if len(pdf) == 0:
             continue
-        changed = (pdf[by] != pdf[by].shift()).any(axis=1).to_numpy()
-        starts = np.flatnonzero(changed)
-        rest = pdf.iloc[starts[-1]:]
-        yield [pdf.iloc[i:j] for i, j in zip(starts[:-1], starts[1:])]
-    if rest is not None:
-        yield [rest]
+        starts = np.flatnonzero((pdf[by] != pdf[by].shift()).any(axis=1).to_numpy())
+        parts = [pdf.iloc[i:j] for i, j in zip(starts, [*starts[1:], len(pdf)])]
+        done = []
+        if rest:
+            if tuple(rest[-1][by].iloc[-1]) == tuple(parts[0][by].iloc[0]):
+                rest.append(parts.pop(0))
+            if parts:
+                done.append(pd.concat(rest, ignore_index=True))
+        if parts:
+            rest = [parts.pop()]
+        yield [*done, *parts]
+    if rest:
+        yield [pd.concat(rest, ignore_index=True)]
 
 
 def chunk_fold(

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from cuelake.operators.intervals import first_match_pieces, point_in_segments
-from cuelake.operators.signal import N_COEFFS, DeltaHistory
+from cuelake.operators.signal import DeltaHistory
 from cuelake.plans.ordered import ChunkFold, Scan, carry_scan, chunk_fold
 from cuelake.plans.spans import BUCKET, level_width, over_levelled_buckets
 

@@ -8,7 +8,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from cuelake.operators import intervals as I, signal as S, windows as W
-from cuelake.plans.ordered import Scan, carry_scan, chunk_of, merge_runs, ordered_index
+from cuelake.plans.ordered import Scan, carry_scan, chunk_of, merge_runs, ordered_index, whole_groups
 from cuelake.streaming import states
 
 
@@ -192,3 +192,13 @@ def test_mfcc_matches_matrices(spark):
     want = np.log(np.maximum(10 ** (spectra / 10) @ bank.T, 1e-10)) @ dct.T
     for r in S.mfcc_from_spectrum(df, 256).collect():
         assert np.allclose(r["mfcc"], want[r["frame_idx"]])
+
+
+def test_groups_over_many_batches_come_whole():
+    rows = pd.DataFrame({"k": [0] * 7 + [1] + [2] * 5 + [3] * 2, "x": range(15)})
+    want = [list(g["x"]) for _, g in rows.groupby("k")]
+    for size in (1, 2, 3, 7, 100):
+        batches = [rows.iloc[i:i + size] for i in range(0, len(rows), size)] + [rows.iloc[:0]]
+        got = [list(g["x"]) for groups in whole_groups(iter(batches), ["k"]) for g in groups]
+        assert got == want
+    assert list(whole_groups(iter([]), ["k"])) == []
