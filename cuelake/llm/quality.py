@@ -210,25 +210,29 @@ def fit(measured: DataFrame, labels: DataFrame, most_labels: int = 10_000, **opt
     return grow(x[order], y[order], list(FEATURES.values()), **options)
 
 
-def judged(docs: DataFrame, labels: DataFrame, least_chance: float = 0.5, **options) -> tuple[DataFrame, str, str, str]:
-    """``docs`` with statistics, base rule and verdict added; also the three names of those columns.
-
-    A document is kept if it passes the base rules and the trees give it at least
-    ``least_chance`` of good quality (where no trees can be fitted: the base rules alone).
-    """
-    stats, failed, kept = (fresh(docs.columns, n) for n in ("stats", "base_failed", "kept"))
+def verdicts(docs: DataFrame, labels: DataFrame, least_chance: float = 0.5, **options):
+    """Function of the statistics' ``x``: whether the trees give at least ``least_chance`` of good quality (true where none can be fitted)."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sample = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
     chosen = hash_share("doc_id", options.get("most_labels", 10_000), sample.count())
     trees = fit(known.where(chosen).select("doc_id", statistics_column("text").alias("stats")), labels, **options)
     limit = float(np.log(least_chance / (1 - least_chance)))
 
-    @F.arrow_udf("boolean")
     def good(x: pa.Array) -> pa.Array:
         if trees is None:
             return pa.array(np.ones(len(x), bool))
         return pa.array(trees.score(x.flatten().to_numpy().reshape(len(x), len(FEATURES))) >= limit)
 
+    return good
+
+
+def judged(docs: DataFrame, labels: DataFrame, **options) -> tuple[DataFrame, str, str, str]:
+    """``docs`` with statistics, base rule and verdict added; also the three names of those columns.
+
+    A document is kept if it passes the base rules and the trees call it good (:func:`verdicts`).
+    """
+    stats, failed, kept = (fresh(docs.columns, n) for n in ("stats", "base_failed", "kept"))
+    good = F.arrow_udf(verdicts(docs, labels, **options), "boolean")
     out = docs.withColumn(stats, statistics_column("text"))
     out = out.withColumn(failed, base_failed(F.col(stats)["n_words"], F.col(stats)["n_repeat_words"]))
     return out.withColumn(kept, ~F.col(failed) & good(F.col(stats)["x"])), stats, failed, kept
@@ -246,6 +250,17 @@ def quality_rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """Rows of ``docs`` that are kept, with their columns as they are."""
-    out, _, _, kept = judged(docs, labels, **options)
-    return out.where(F.col(kept)).select(*docs.columns)
+    """Rows of ``docs`` that are kept, with their columns as they are.
+
+    Statistics and verdict are one call, so that a task has one Python worker.
+    """
+    good = verdicts(docs, labels, **options)
+
+    @F.arrow_udf("boolean")
+    def keeps(texts: pa.Array) -> pa.Array:
+        found = all_statistics(texts)
+        n, repeated = (found.field(c).to_numpy() for c in ("n_words", "n_repeat_words"))
+        failed = (n < 20) | (100 * repeated > 30 * n)
+        return pa.array(~failed & good(found.field("x")).to_numpy(zero_copy_only=False))
+
+    return docs.where(keeps("text"))
