@@ -21,8 +21,8 @@ DAMPING = 0.85
 #: Scores are final when none changes by more than this share of itself; more rounds than the bound are an error.
 TOLERANCE = 1e-6
 MOST_ROUNDS = 2000
-#: Steps between two written tables.
-CHAIN = 6
+#: Steps between two written tables, and edges that are worth a task.
+CHAIN, TASK_EDGES = 6, 500_000
 #: Distrust must exceed trust by this share: far more than what is left open, so that equal scores are equal.
 MARGIN = 1e-4
 #: As many rules become one expression; more are joined as a table.
@@ -118,17 +118,19 @@ def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     start = stored(seeds.select(F.explode(F.array(F.struct(node("trust", "host").alias("node"), F.col("trust").alias("seed")),
                                                   F.struct(node("distrust", "host").alias("node"), F.col("distrust").alias("seed")))).alias("s"))
                    .select("s.*").where("seed > 0"), "host-seeds")
+    # Tasks by the size of the graph: a step over few edges is not worth the cluster's number of partitions.
+    tasks = 1 + ways.count() // TASK_EDGES
     scores = start.select("node", F.col("seed").alias("score"))
     for _ in range(0, MOST_ROUNDS, CHAIN):
         before = None
         for _ in range(CHAIN):
             before = scores
-            passed = hot.join(ways, scores, "dst").select(F.col("dst").alias("node"), (DAMPING * F.col("score") / F.col("fan")).alias("score"), F.lit(0.0).alias("last"))
-            back = start.select("node", ((1 - DAMPING) * F.col("seed")).alias("score"), F.lit(0.0).alias("last"))
-            scores = passed.union(back).groupBy("node").agg(F.sum("score").alias("score"))
+            passed = hot.join(ways, scores, "dst").select(F.col("dst").alias("node"), (DAMPING * F.col("score") / F.col("fan")).alias("score"))
+            back = start.select("node", ((1 - DAMPING) * F.col("seed")).alias("score"))
+            scores = passed.union(back).groupBy("node").agg(F.sum("score").alias("score")).coalesce(tasks)
         # The last step next to the one before it; a host that is reached anew had nothing.
         change = F.abs(F.col("score") - F.coalesce("was", F.lit(0.0))) / F.col("score")
-        held = stored(scores.join(before.select("node", F.col("score").alias("was")), "node", "left").select("node", "score", change.alias("change")), "host-scores")
+        held = stored(scores.join(before.select("node", F.col("score").alias("was")), "node", "left").select("node", "score", change.alias("change")).coalesce(tasks), "host-scores")
         scores = held.select("node", "score")
         if held.where(F.col("change") > TOLERANCE).isEmpty():
             break
