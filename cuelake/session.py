@@ -6,10 +6,17 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+_PROVIDERS = "org.apache.spark.sql.execution.streaming.state."
+ROCKS, SPARKS_OWN = f"{_PROVIDERS}RocksDBStateStoreProvider", f"{_PROVIDERS}HDFSBackedStateStoreProvider"
+
+
 def local_session(cores: str = "8", app: str = "cuelake", **conf: str) -> SparkSession:
     """Session for one machine (tests, bench).  On a cluster pass your own session."""
     builder = (
@@ -25,14 +32,30 @@ def local_session(cores: str = "8", app: str = "cuelake", **conf: str) -> SparkS
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.streaming.stateStore.providerClass",
-                "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        .config(STATE_STORE, ROCKS)
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
+@contextmanager
+def rocks_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started in here keep their state in RocksDB, unless the session names a store other than Spark's own.
+
+    ``transformWithState`` needs several column families, which Spark's own store has not.
+    """
+    before = spark.conf.get(STATE_STORE)
+    if before != SPARKS_OWN:
+        yield
+        return
+    spark.conf.set(STATE_STORE, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(STATE_STORE, before)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 

@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cuelake.operators.text import tag_cues
-from cuelake.session import new_shared_path
+from cuelake.session import new_shared_path, rocks_state
 
 
 def stream_av_windows(
@@ -74,12 +74,13 @@ def run_append(stream: DataFrame, path: str | None = None, checkpoint: str | Non
     """
     spark = stream.sparkSession
     out = path or new_shared_path(spark, "stream")
-    query = (
-        stream.writeStream.format("parquet").option("path", out)
-        .option("checkpointLocation", checkpoint or new_shared_path(spark, "stream-state"))
-        .outputMode("append").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    with rocks_state(spark):
+        query = (
+            stream.writeStream.format("parquet").option("path", out)
+            .option("checkpointLocation", checkpoint or new_shared_path(spark, "stream-state"))
+            .outputMode("append").trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 

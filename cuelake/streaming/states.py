@@ -115,6 +115,7 @@ def in_order(rows: DataFrame, fold: KeyFold, clock: str, late: str, wait_ms: int
     """``fold`` per ``video_id`` of a stream, by its event time ``clock``; rows behind the watermark are dropped.
 
     Rows of one time go by the first column the fold needs.  Results come when the watermark has passed.
+    Start such a stream by :func:`online.run_append` or within :func:`session.rocks_state`.
     """
     return (
         rows.withWatermark(clock, late)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cuelake.operators import signal as S
 from cuelake.plans.ordered import chunk_of
+from cuelake.session import SPARKS_OWN, STATE_STORE
 from cuelake.streaming import online, states
 
 
@@ -229,3 +230,17 @@ def test_repeated_rows_are_stored_once(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
     online.stream_feature_upsert(stream, store, unique=["video_id", "window_idx"], clock="ts")
     assert stored_windows(spark, store) == [("a", 0), ("a", 1), ("b", 0)]
+
+
+def test_keyed_streams_in_a_session_with_sparks_own_state_store(spark, ticks):
+    batch, stream = ticks
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, SPARKS_OWN)
+    try:
+        got = rows(online.run_append(states.stream_count_since_reset(stream(), "click", ["error"])))
+        assert spark.conf.get(STATE_STORE) == SPARKS_OWN
+    finally:
+        spark.conf.set(STATE_STORE, before)
+    kind = F.col("event_type")
+    want = states.count_since_reset(batch, ["ts", "event_id"], by_time(), kind == "click", kind == "error")
+    assert got == rows(want.select("video_id", "event_id", "since_reset"))
