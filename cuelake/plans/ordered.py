@@ -408,5 +408,11 @@ def chunk_fold(
 
 
 def _sorted_runs(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """Rows of each group together in one partition and in order."""
-    return df.repartition(*by).sortWithinPartitions(*dict.fromkeys([*by, *order]))
+    """Rows of each group together in one partition and in order, numbered in ``_nth``.
+
+    Spark drops the exchange where a join has already dealt rows by these columns, and adaptive
+    execution then reads that join's input by mapper or in splits, as no function over batches asks for whole
+    groups.  A window does ask for them.
+    """
+    along = [c for c in dict.fromkeys(order) if c not in by] or by
+    return by_chunk(df, *by).withColumn("_nth", F.row_number().over(Window.partitionBy(*by).orderBy(*along)))

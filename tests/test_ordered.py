@@ -202,3 +202,17 @@ def test_groups_over_many_batches_come_whole():
         got = [list(g["x"]) for groups in whole_groups(iter(batches), ["k"]) for g in groups]
         assert got == want
     assert list(whole_groups(iter([]), ["k"])) == []
+
+
+def test_folds_keep_chunks_whole_where_a_join_is_broadcast_late(spark):
+    """A join that adaptive execution turns into a broadcast reads its input by mapper; chunks must stay together."""
+    setting = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(setting)
+    # Too large to be broadcast as planned, not as met.
+    df = spark.range(0, 100_000, 1, 8).select(F.concat(F.lit("v"), F.expr("CAST(id % 50 AS STRING)")).alias("video_id"), (F.expr("id div 50") * 4000).alias("t"))
+    spark.conf.set(setting, "64k")
+    try:
+        wrong = W.greedy_anchors(df, "t", ["t"], 5000).filter("opens <> (t % 8000 = 0)").count()
+    finally:
+        spark.conf.set(setting, before)
+    assert wrong == 0
