@@ -274,7 +274,7 @@ def gt_coverage(gt: DataFrame, det: DataFrame, half: float = 0.5) -> DataFrame:
         "video_id", "t", F.lit(0).cast("bigint").alias("n")
     )
     times = (
-        edges.unionByName(asked).groupBy("video_id", "t").agg(F.sum("n").alias("n"))
+        by_chunk(edges.unionByName(asked), "video_id", "t").groupBy("video_id", "t").agg(F.sum("n").alias("n"))
         .withColumn("nt", F.col("n") * F.col("t"))
     )
     running = carry_scan(

@@ -33,6 +33,7 @@ def local_session(cores: str = "8", app: str = "cuelake", **conf: str) -> SparkS
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config(STATE_STORE, ROCKS)
+        .config("spark.sql.unionOutputPartitioning", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -75,12 +76,22 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+def plain_unions(spark: SparkSession) -> None:
+    """Let groupings over a union always have an exchange of their own.
+
+    Spark takes sides that are dealt by the same key for one table dealt by it, also after adaptive
+    execution has read one of them differently; a group is then in several tasks, and counted in each.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def ship_code(spark: SparkSession) -> None:
     """Send this package to the executors, once per Spark context.
 
     Functions that run in Python workers are pickled by module name, so the workers
     must be able to import the package wherever the driver was started.
     """
+    plain_unions(spark)
     context = spark.sparkContext
     if getattr(context, "_cuelake_shipped", False):
         return

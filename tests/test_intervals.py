@@ -4,6 +4,7 @@ import random
 
 import pytest
 from conftest import cue_table, rows
+from pyspark.sql import functions as F
 
 from cuelake.operators import intervals as I, windows as W
 
@@ -179,3 +180,23 @@ def test_attach_segments_keeps_videos_without_any(spark):
     videos = spark.createDataFrame([("a",), ("b",)], "video_id STRING")
     segs = spark.createDataFrame([("a", 0, 1, 2), ("c", 0, 1, 2)], SEG)
     assert rows(I.attach_segments(videos, segs), "video_id") == [("a", 0, 1, 2, False), ("b", None, None, None, True)]
+
+
+def test_coverage_of_sides_dealt_by_video(spark, tmp_path):
+    """Spark may take a union of sides joined by video as dealt by video; times must not fall apart."""
+    changed = {"spark.sql.autoBroadcastJoinThreshold": "4k", "spark.sql.unionOutputPartitioning": "true"}
+    before = {k: spark.conf.get(k) for k in changed}
+    video = lambda x: F.concat(F.lit("v"), x.cast("string")).alias("video_id")
+    gt = spark.range(0, 25_000, 1, 6).select(video(F.col("id") % 2500), (F.expr("id div 2500") * 90_000).alias("start_ms")).withColumn("end_ms", F.col("start_ms") + 20_000)
+    det = gt.filter("start_ms % 180000 = 0").withColumn("end_ms", F.col("start_ms") + 15_000)
+    for name, df in {"gt": gt, "det": det, "scope": spark.range(0, 2500, 1, 4).select(video(F.col("id")))}.items():
+        df.write.parquet(f"{tmp_path}/{name}")
+    gt, det, scope = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("gt", "det", "scope"))
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    try:
+        got = I.gt_coverage(gt.join(scope, "video_id", "left_semi"), det.join(scope, "video_id", "left_semi"))
+        assert tuple(got.agg(F.count("*"), F.count_if("covered")).first()) == (25_000, 12_500)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
