@@ -209,8 +209,7 @@ def interval_intersection(gt: DataFrame, det: DataFrame) -> DataFrame:
 def _common_ms(gt: DataFrame, det: DataFrame) -> DataFrame:
     """The measure for videos present on both sides, by a sweep inside time chunks.
 
-    Intervals are cut at chunk borders, so each (video, chunk) sweep stands alone,
-    and equal event times collapse before the shuffle.
+    Intervals are cut at chunk borders, so each (video, chunk) sweep stands alone.
     """
 
     def events(df: DataFrame, side: str) -> DataFrame:
@@ -241,12 +240,11 @@ def _common_ms(gt: DataFrame, det: DataFrame) -> DataFrame:
             (F.col("e.d") if side == "d" else zero).alias("dd"),
         )
 
-    points = (
-        by_chunk(events(gt, "g").unionByName(events(det, "d")), "video_id", CHUNK)
-        .groupBy("video_id", CHUNK, "t").agg(F.sum("dg").alias("dg"), F.sum("dd").alias("dd"))
-    )
+    points = by_chunk(events(gt, "g").unionByName(events(det, "d")), "video_id", CHUNK)
+    # A range frame takes rows of one time together, of which only the last has a length: no table of
+    # times is held, sorting spills.
     w = Window.partitionBy("video_id", CHUNK).orderBy("t")
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
     both = (F.sum("dg").over(upto) > 0) & (F.sum("dd").over(upto) > 0)
     swept = points.withColumn("_len", F.lead("t").over(w) - F.col("t")).withColumn("_both", both)
     return (

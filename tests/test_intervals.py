@@ -200,3 +200,13 @@ def test_coverage_of_sides_dealt_by_video(spark, tmp_path):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_sweep_holds_no_table_of_times(spark):
+    sides = "video_id STRING, start_ms LONG, end_ms LONG"
+    gt = spark.createDataFrame([("a", 0, 10), ("a", 0, 10), ("a", 5, 20)], sides)
+    det = spark.createDataFrame([("a", 8, 12), ("a", 10, 30), ("b", 0, 5)], sides)
+    got = I.interval_intersection(gt, det)
+    assert rows(got) == [("a", 12), ("b", 0)]
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert not any("Aggregate" in line and ", t#" in line.split("functions=")[0] for line in plan.splitlines())
