@@ -19,11 +19,6 @@ def alternation(patterns: Sequence[str]) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
 
-def count_matches(text: Column, patterns: Sequence[str]) -> Column:
-    """Non-overlapping, leftmost-first matches of the alternation of ``patterns``."""
-    return F.regexp_count(text, F.lit(CASELESS + alternation(patterns)))
-
-
 def required_literal(pattern: str) -> str:
     """Longest lower-case text that every match of ``pattern`` must contain ('' if none)."""
     best = run = ""
@@ -76,12 +71,14 @@ class TokenFilter:
         if len(self.tokens) > 63:
             raise ValueError(f"{len(self.tokens)} literals do not fit a mask")
 
-    def mask(self, text: Column) -> Column:
-        """Which literals the text has."""
-        bits = lambda low: reduce(
+    def bits(self, lowered: Column) -> Column:
+        """Which literals the text has; null has none."""
+        return reduce(
             lambda a, b: a.bitwiseOR(b),
-            [F.when(F.contains(low, F.lit(t)), F.lit(1 << k)).otherwise(F.lit(0)).cast("bigint") for k, t in enumerate(self.tokens)])
-        return _with_lowered(F.coalesce(text, F.lit("")), lambda _, low: bits(low))
+            [F.when(F.contains(lowered, F.lit(t)), F.lit(1 << k)).otherwise(F.lit(0)).cast("bigint") for k, t in enumerate(self.tokens)])
+
+    def mask(self, text: Column) -> Column:
+        return found_in(text, mask=lambda _, low: self.bits(low))["mask"]
 
     def possible(self, mask: Column) -> Column:
         """Whether a text with this mask can match one of the patterns."""
@@ -106,23 +103,52 @@ def _with_lowered(text: Column, body: Callable[[Column, Column], Column]) -> Col
     return bound(pair, lambda p: body(p["t"], p["l"]))
 
 
-def guarded_match(text: Column, lowered: Column, pattern: str) -> Column:
-    """``text rlike pattern``, tried only where its mandatory literal occurs.
+def found_in(text: Column, **what: Callable[[Column, Column], Column]) -> Column:
+    """Struct of what functions of (folded text, lower-case text) find; the text is folded and lowered once for all of them."""
+    return _with_lowered(text, lambda t, low: F.struct(*[f(t, low).alias(name) for name, f in what.items()]))
+
 
-    The substring test runs over the bytes and is far cheaper than a caseless
-    regular expression, and most texts fail it.
+def can_match(lowered: Column, pattern: str) -> Column | None:
+    """Whether a text has all literals that a match of ``pattern`` needs (None if it needs none).
+
+    Substring tests run over the bytes and are far cheaper than a caseless regular expression,
+    and most texts fail the first.
     """
     literal = required_literal(pattern)
-    hit = text.rlike(CASELESS + pattern)
-    return F.contains(lowered, F.lit(literal)) & hit if literal else hit
+    clauses = [frozenset([literal])] if literal else []
+    clauses += [c for c in required_tokens(pattern) if not any(t in literal for t in c)]
+    clauses.sort(key=lambda c: -min(map(len, c)))
+    has = lambda clause: reduce(or_, [F.contains(lowered, F.lit(t)) for t in sorted(clause)])
+    return reduce(and_, map(has, clauses)) if clauses else None
+
+
+def guarded_match(text: Column, lowered: Column, pattern: str) -> Column:
+    """``text rlike pattern``, tried only where its mandatory literals occur."""
+    possible, hit = can_match(lowered, pattern), text.rlike(CASELESS + pattern)
+    return hit if possible is None else possible & hit
+
+
+def possible_alternation(lowered: Column, patterns: Sequence[str]) -> Column:
+    """The alternation of those ``patterns`` whose mandatory literals occur in a text, in their order ('' if none does).
+
+    The others match nowhere in the text, and each would be tried at all its places.
+    """
+    parts = [(can_match(lowered, p), F.lit(f"(?:{p})")) for p in patterns]
+    return F.concat_ws("|", *[part if possible is None else F.when(possible, part) for possible, part in parts])
+
+
+def count_matches(text: Column, lowered: Column, patterns: Sequence[str]) -> Column:
+    """Non-overlapping, leftmost-first matches of the alternation of ``patterns``."""
+    return bound(possible_alternation(lowered, patterns), lambda some: F.when(
+        some == "", F.when(text.isNotNull(), F.lit(0))).otherwise(F.regexp_count(text, F.concat(F.lit(CASELESS), some))))
 
 
-def _any(text: Column, lowered: Column, patterns: Sequence[str]) -> Column:
+def any_match(text: Column, lowered: Column, patterns: Sequence[str]) -> Column:
     return reduce(or_, [guarded_match(text, lowered, p) for p in patterns])
 
 
 def matches_any(text: Column, patterns: Sequence[str]) -> Column:
-    return _with_lowered(text, lambda t, low: _any(t, low, patterns))
+    return _with_lowered(text, lambda t, low: any_match(t, low, patterns))
 
 
 # ---------------------------------------------------------------------------
@@ -135,8 +161,8 @@ def score_text(text: Column) -> Column:
     return _with_lowered(
         text,
         lambda t, low: F.when(
-            _any(t, low, vocab.GATE_PHRASES),
-            count_matches(t, vocab.STRONG_PHRASES) * 3 + count_matches(t, vocab.WEAK_PHRASES),
+            any_match(t, low, vocab.GATE_PHRASES),
+            count_matches(t, low, vocab.STRONG_PHRASES) * 3 + count_matches(t, low, vocab.WEAK_PHRASES),
         ).otherwise(0),
     )
 

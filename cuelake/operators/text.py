@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cuelake import vocab
 from cuelake.functions.let import bound
 from cuelake.functions.text import (
-    TokenFilter, clean_caption, keyword_vector, masks_to_vector, matches_any, one_line, score_cue, score_text,
+    TokenFilter, any_match, clean_caption, found_in, keyword_vector, masks_to_vector, one_line, score_cue, score_text,
     strip_tags, vector_to_masks,
 )
 from cuelake.operators.windows import cluster_hits
@@ -254,8 +254,8 @@ def keyword_vector_pooled(
 # ---------------------------------------------------------------------------
 
 
-def cue_breaks(cues: DataFrame, silence_ms: int = 1500) -> DataFrame:
-    """Adds ``end_ms``, ``stop_back`` and ``stop_fwd``: natural breaks around each cue.
+def cue_breaks(cues: DataFrame, silence_ms: int = 1500, gate: TokenFilter | None = None) -> DataFrame:
+    """Adds ``end_ms``, ``stop_back`` and ``stop_fwd``: natural breaks around each cue; ``_tokens``: the mask of a ``gate``.
 
     Neighbours are the cues with the adjacent ``cue_idx``.
     """
@@ -265,19 +265,27 @@ def cue_breaks(cues: DataFrame, silence_ms: int = 1500) -> DataFrame:
     spread = halo(ended, "cue_idx", INDEX_CHUNK, before=1, after=1)
     w = Window.partitionBy("video_id", CHUNK).orderBy("cue_idx")
     no = F.lit(False)
+    tests = {
+        "opens": lambda t, low: any_match(t, low, vocab.INTRO_PHRASES),
+        "returns": lambda t, low: any_match(t, low, vocab.RETURN_PHRASES),
+    }
+    if gate is not None:
+        tests["tokens"] = lambda _, low: gate.bits(low)
     placed = own_rows(
-        spread.withColumn("_prev_end", F.lag("end_ms").over(w))
+        spread.withColumn("_found", found_in(F.col("text"), **tests))
+        .withColumn("_prev_end", F.lag("end_ms").over(w))
         .withColumn("_next_start", F.lead("start_ms").over(w))
-        .withColumn("_next_text", F.lead("text").over(w))
+        .withColumn("_next_returns", F.lead("_found.returns").over(w))
     )
     silent_before = F.coalesce(F.col("start_ms") - F.col("_prev_end") > silence_ms, no)
     silent_after = F.coalesce(F.col("_next_start") - F.col("end_ms") > silence_ms, no)
-    returns = F.coalesce(matches_any(F.col("_next_text"), vocab.RETURN_PHRASES), no)
-    return (
-        placed.withColumn("stop_back", silent_before | matches_any(F.col("text"), vocab.INTRO_PHRASES))
-        .withColumn("stop_fwd", silent_after | returns)
-        .drop("_prev_end", "_next_start", "_next_text")
+    broken = (
+        placed.withColumn("stop_back", silent_before | F.col("_found.opens"))
+        .withColumn("stop_fwd", silent_after | F.coalesce(F.col("_next_returns"), no))
     )
+    if gate is not None:
+        broken = broken.withColumn("_tokens", F.col("_found.tokens"))
+    return broken.drop("_found", "_prev_end", "_next_start", "_next_returns")
 
 
 def context_score(
@@ -291,14 +299,14 @@ def context_score(
     """
     half = window_ms // 2
     reach = max(half, walk_ms)
-    spread = halo(cue_breaks(cues, silence_ms), "start_ms", TIME_CHUNK_MS, before=reach, after=half)
+    # The gate's literals, combined over the window, tell where it can match; only there are texts joined.
+    gate = TokenFilter(vocab.GATE_PHRASES)
+    spread = halo(cue_breaks(cues, silence_ms, gate), "start_ms", TIME_CHUNK_MS, before=reach, after=half)
     w = Window.partitionBy("video_id", CHUNK).orderBy("start_ms")
     near = w.rangeBetween(-half, half)
     stop = F.when(F.col("stop_back"), F.struct("cue_idx", "start_ms"))
     behind = F.max(stop).over(w.rangeBetween(-walk_ms, Window.currentRow))
-    # The gate's literals, combined over the window, tell where it can match; only there are texts joined.
-    gate = TokenFilter(vocab.GATE_PHRASES)
-    seen = spread.withColumn("_tokens", gate.mask(F.col("text"))).withColumn("_tokens", F.bit_or("_tokens").over(near)).withColumn("_stop", behind)
+    seen = spread.withColumn("_tokens", F.bit_or("_tokens").over(near)).withColumn("_stop", behind)
     marked = seen.withColumn("_may", gate.possible(F.col("_tokens")))
     wanted = marked.withColumn("_wanted", F.max("_may").over(near))
     around = F.collect_list(F.when(F.col("_wanted"), F.struct("cue_idx", "text"))).over(near)

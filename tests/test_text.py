@@ -222,3 +222,19 @@ def test_token_masks_rule_out_no_match(spark):
     assert all(r.may for r in got if r.does) and any(r.does for r in got) and not all(r.may for r in got)
     may = {r.k: r.may for r in got}
     assert may[-2] and not may[-1]
+
+
+def test_only_possible_patterns_are_counted(spark):
+    """A text is held against the patterns it has the literals of, and the counts are those of all patterns."""
+    rng = random.Random(7)
+    pieces = [w for p in [*vocab.STRONG_PHRASES, *vocab.WEAK_PHRASES] for w in re.findall(r"[A-Za-z0-9'%.]+", p)]
+    pieces += ["sponsored by", "Use my code", "go to acme.com", "SIGN UP", "free trial", "no cost", "12", "İ", "été", "."]
+    texts = [" ".join(rng.choice(pieces) for _ in range(rng.randint(0, 30))) for _ in range(300)] + ["Go TO it", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i INT, t STRING")
+    for patterns in (vocab.STRONG_PHRASES, vocab.WEAK_PHRASES):
+        found = df.select("t", X.found_in(
+            F.col("t"), n=lambda t, low: X.count_matches(t, low, patterns), some=lambda _, low: X.possible_alternation(low, patterns),
+            every=lambda t, _: F.regexp_count(t, F.lit("(?i)" + X.alternation(patterns)))).alias("f")).select("t", "f.*").collect()
+        assert all(r.n == r.every for r in found) and sum(r.n or 0 for r in found) > 20
+        assert {r.some for r in found if r.t in ("Go TO it", "")} == {""}
+        assert any(0 < r.some.count("|(?:") < len(patterns) - 1 for r in found if r.t)
