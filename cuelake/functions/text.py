@@ -59,6 +59,45 @@ def required_tokens(pattern: str, least: int = 2) -> list[frozenset[str]]:
     return of_sequence(regex_parser.parse(pattern))
 
 
+LEAD = 3
+
+
+def leading_words(pattern: str) -> frozenset[str] | None:
+    """How the word begins that a match of ``pattern`` begins with: its first ``LEAD`` characters, or all of a shorter word.
+
+    None where that cannot be told, so also where a match need not begin at a word border.
+    """
+
+    def of_sequence(items: list, run: str) -> set[str] | None:
+        if len(run) == LEAD:
+            return {run}
+        if not items:
+            return None
+        (op, arg), rest = items[0], items[1:]
+        kind = str(op)
+        if kind == "LITERAL" and chr(arg).isascii() and (chr(arg).isalnum() or chr(arg) == "_"):
+            return of_sequence(rest, run + chr(arg).lower())
+        if kind == "SUBPATTERN":
+            return of_sequence([*arg[3], *rest], run)
+        if kind == "BRANCH":
+            ways = [of_sequence([*way, *rest], run) for way in arg[1]]
+            return set().union(*ways) if all(ways) else None
+        if kind == "MAX_REPEAT" and arg[0] == 0 and arg[1] == 1:
+            ways = [of_sequence(rest, run), of_sequence([*arg[2], *rest], run)]
+            return set().union(*ways) if all(ways) else None
+        ends = (
+            kind == "LITERAL" and chr(arg).isascii() or kind == "AT" and str(arg) == "AT_BOUNDARY"
+            or kind == "MAX_REPEAT" and arg[0] > 0 and str(arg[2][0]) == "(IN, [(CATEGORY, CATEGORY_SPACE)])"
+        )
+        return {run} if run and ends else None
+
+    items = list(regex_parser.parse(pattern))
+    if not items or str(items[0][1]) != "AT_BOUNDARY":
+        return None
+    found = of_sequence(items[1:], "")
+    return frozenset(found) if found else None
+
+
 class TokenFilter:
     """Bit masks of the literals that matches of some patterns need, to rule texts out before they are scanned.
 
@@ -186,11 +225,25 @@ def score_cue(text: Column) -> Column:
 
 
 def keyword_vector(text: Column, patterns: Sequence[str] = vocab.VOCAB_PIPELINE) -> Column:
-    """ARRAY<TINYINT>: 1 where the pattern of that dimension matches the text."""
-    return _with_lowered(
-        F.coalesce(text, F.lit("")),
-        lambda t, low: F.array(*[guarded_match(t, low, p).cast("tinyint") for p in patterns]),
-    )
+    """ARRAY<TINYINT>: 1 where the pattern of that dimension matches the text.
+
+    The beginnings of a text's words, as far as patterns begin with them, make a short string; it rules out most patterns.
+    """
+    leads = [leading_words(p) for p in patterns]
+    wanted = sorted(frozenset().union(*(lead for lead in leads if lead)))
+    if not wanted:
+        return _with_lowered(F.coalesce(text, F.lit("")), lambda t, low: F.array(*[guarded_match(t, low, p).cast("tinyint") for p in patterns]))
+
+    def begins(low: Column) -> Column:
+        words = F.regexp_extract_all(low, F.lit(rf"(\w{{1,{LEAD}}})\w*"), F.lit(1))
+        return F.concat(F.lit(" "), F.array_join(F.array_intersect(words, F.array(*map(F.lit, wanted))), " "), F.lit(" "))
+
+    def one(t: Column, low: Column, have: Column, pattern: str, lead: frozenset[str] | None) -> Column:
+        hit = guarded_match(t, low, pattern)
+        return hit if lead is None else reduce(or_, [F.contains(have, F.lit(f" {w} ")) for w in sorted(lead)]) & hit
+
+    return _with_lowered(F.coalesce(text, F.lit("")), lambda t, low: bound(begins(low), lambda have: F.array(
+        *[one(t, low, have, p, lead).cast("tinyint") for p, lead in zip(patterns, leads)])))
 
 
 def vector_to_masks(vec: Column) -> list[Column]:

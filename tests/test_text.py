@@ -238,3 +238,23 @@ def test_only_possible_patterns_are_counted(spark):
         assert all(r.n == r.every for r in found) and sum(r.n or 0 for r in found) > 20
         assert {r.some for r in found if r.t in ("Go TO it", "")} == {""}
         assert any(0 < r.some.count("|(?:") < len(patterns) - 1 for r in found if r.t)
+
+
+def test_leading_words():
+    assert X.leading_words(r"\b(?:go|download)\s+to\b") == {"go", "dow"} and X.leading_words(r"\bno\b") == {"no"}
+    assert X.leading_words(r"\bthe?\s+x") == {"th", "the"} and X.leading_words(r"\b(?:my )?code") == {"my", "cod"}
+    assert all(X.leading_words(p) is None for p in (r"\b\d+% off", r"sponsor", r"\bgo", r"\bab?\w+", r"\be.?commerce"))
+
+
+def test_vectors_are_those_of_the_patterns_alone(spark):
+    """Beginnings of words rule out no pattern that matches."""
+    rng = random.Random(8)
+    for patterns in (vocab.VOCAB_PIPELINE, vocab.VOCAB_EXTENSION):
+        pieces = [w for p in patterns for w in re.findall(r"[A-Za-z0-9'%.]+", re.sub(r"\\[a-z]", " ", p))]
+        pieces += ["go to", "Sponsored BY", "5 days", "50% off", "use code", "no risk", "_", "é", "İn", "e-commerce", "for just $5", "to.go", "-app-"]
+        texts = [rng.choice(["", " ", "“"]).join(" ".join(rng.choice(pieces) for _ in range(rng.randint(0, 8))) for _ in range(3)) for _ in range(400)]
+        texts += ["in the bio", "go to", "IN\tthe bio", "e\u0301sponsored by", "", None] + [" ".join(re.findall(r"[A-Za-z0-9']+", re.sub(r"\\[a-z]|\?|\{.*?\}", " ", p))) for p in patterns]
+        df = spark.createDataFrame([(t,) for t in texts], "t STRING")
+        plain = X.found_in(F.coalesce("t", F.lit("")), v=lambda t, _: F.array(*[t.rlike("(?i)" + p).cast("tinyint") for p in patterns]))["v"]
+        found = df.select("t", X.keyword_vector(F.col("t"), patterns).alias("got"), plain.alias("want")).collect()
+        assert all(r.got == r.want for r in found) and sum(sum(r.want) for r in found) > 100
