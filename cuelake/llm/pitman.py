@@ -20,6 +20,7 @@ sweeps; log probabilities of the pairs back to the blocks; sums over each docume
 from __future__ import annotations
 
 import math
+import random
 import uuid
 import zlib
 
@@ -39,6 +40,13 @@ BLOCK_TOKENS = 4 << 20
 #: Most tokens in a bucket, and as many as are worth a task of its own.
 BUCKET_TOKENS, TASK_TOKENS = 4 << 20, 1 << 20
 FIRST = 16
+#: Customers whose seats are held at a time; fewer dishes than this take their turns one after another.
+SLAB, FEW = 4 << 20, 64
+#: Dishes of at most so many customers, and mostly of fewer tables than ``WIDTH``, are drawn at once; others customer by customer.
+TOGETHER, WIDTH = 1 << 16, 512
+#: Beyond so many customers, seatings at up to ``NARROW`` tables are counted by a sum instead of step by step.
+STEPS, NARROW = 1 << 13, 32
+CELLS = 1 << 20
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 NAMES = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
@@ -304,25 +312,242 @@ class Seats:
         return Seats(customers, tables, sizes)
 
     def move(self, weight: np.ndarray, discount: float, rng: np.random.Generator) -> None:
-        """One customer of each dish, chosen at random, stands up and sits down again: a Gibbs step."""
-        n = len(self.customers)
-        if not n:
-            return
-        ends = np.cumsum(self.tables)
-        starts, sizes = ends - self.tables, self.sizes
-        total = np.cumsum(sizes)
-        seat = np.searchsorted(total, total[starts] - sizes[starts] + (rng.random(n) * self.customers).astype(np.int64), "right")
-        sizes[seat] -= 1
-        emptied = sizes[seat] == 0
-        old = self.customers - 1 - discount * (self.tables - emptied)
-        spot = rng.random(n) * (old + weight)
-        room = np.where(sizes > 0, sizes - discount, 0.0)
-        total = np.cumsum(room)
-        seat = np.clip(np.searchsorted(total, total[starts] - room[starts] + spot, "right"), starts, ends - 1)
-        new = (spot >= old) | (sizes[seat] == 0)
-        sizes[seat[~new]] += 1
-        sizes = np.insert(sizes, ends[new], 1)
-        self.sizes, self.tables = sizes[sizes > 0], self.tables - emptied + new
+        """Each customer of each dish, in random order, stands up and sits down again: a Gibbs sweep."""
+        self._in_turn(None, weight, discount, rng)
+
+    def change(self, customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> None:
+        """Customers of dishes that have fewer now leave, chosen at random; those of dishes that have more come in one by one."""
+        stay = np.minimum(customers, self.customers)
+        if (stay < self.customers).any():
+            dish = np.repeat(np.arange(len(stay)), self.customers)
+            order = np.lexsort((rng.random(len(dish)), dish))
+            rank = np.arange(len(dish)) - np.repeat(np.cumsum(self.customers) - self.customers, self.customers)
+            table = np.repeat(np.arange(len(self.sizes)), self.sizes)[order[rank < stay[dish]]]
+            sizes = np.bincount(table, minlength=len(self.sizes))
+            of_dish = np.repeat(np.arange(len(stay)), self.tables)
+            self.sizes, self.tables = sizes[sizes > 0], np.bincount(of_dish[sizes > 0], minlength=len(stay))
+        self.customers = customers
+        if (customers > stay).any():
+            self._in_turn(customers - stay, weight, discount, rng)
+
+    def _in_turn(self, come: np.ndarray | None, weight: np.ndarray, discount: float, rng: np.random.Generator) -> None:
+        """:func:`seat_in_turn` for runs of dishes, which bounds the memory."""
+        ends, table_ends = np.cumsum(self.customers), np.cumsum(self.tables)
+        done, lo = [], 0
+        while lo < len(ends):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLAB, "right")))
+            held = self.sizes[table_ends[lo] - self.tables[lo]:table_ends[hi - 1]]
+            done.append(seat_in_turn(self.customers[lo:hi], self.tables[lo:hi], held, None if come is None else come[lo:hi], weight[lo:hi], discount, rng))
+            lo = hi
+        if done:
+            self.tables, self.sizes = (np.concatenate(x) for x in zip(*done))
+
+
+def seat_in_turn(customers: np.ndarray, tables: np.ndarray, sizes: np.ndarray, come: np.ndarray | None,
+                 weight: np.ndarray, discount: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Tables and sizes after the last ``come`` customers of each dish came in, or, without it, after each stood up and sat down again.
+
+    Dishes are independent, so turns are taken side by side; when few dishes have customers left, dish by dish.
+    A customer sits with another one picked at random, if the table accepts (its size less the discount, over its
+    size), or at a new table, in proportion to ``weight``; else it picks again.
+    """
+    stands = come is None
+    turns = customers if stands else come
+    there, total = customers if stands else customers - come, int(customers.sum())
+    kind = np.int32 if 2 * total < 1 << 31 else np.int64
+    first = np.cumsum(customers) - customers
+    # Tables opened here are named after the place of their first customer, those that were there by numbers from ``total``.
+    names = (total + np.arange(len(sizes)) + np.repeat(first - (np.cumsum(tables) - tables), tables)).astype(kind)
+    size, seat = np.zeros(2 * total, kind), np.zeros(total, kind)
+    size[names] = sizes
+    seat[np.arange(int(there.sum())) + np.repeat(first - (np.cumsum(there) - there), there)] = np.repeat(names, sizes)
+
+    order = np.argsort(-turns, kind="stable")
+    starts, left, heavy = first[order] + (there - turns if stands else there)[order], turns[order], weight[order]
+    firsts, others = first[order], (customers - 1 if stands else there)[order]
+    rising, turn = left[::-1], 0
+    while (n := len(left) - int(np.searchsorted(rising, turn, "right"))) >= FEW:
+        own = starts[:n] + turn
+        if stands:
+            pick = own + (rng.random(n) * (left[:n] - turn)).astype(np.int64)
+            size[seat[pick]] -= 1
+            seat[pick] = seat[own]
+        seat[own] = own
+        table = own.copy()
+        present = others[:n] if stands else others[:n] + turn
+        asks = np.arange(n)
+        while len(asks):
+            here, mine = present[asks], own[asks]
+            spot = rng.random(len(asks)) * (here + heavy[asks])
+            other = firsts[asks] + spot.astype(np.int64)
+            other += other >= mine
+            other = np.where(spot < here, other, mine)
+            found = seat[other]
+            sits = (other == mine) | (rng.random(len(asks)) * size[found] >= discount)
+            table[asks[sits]] = found[sits]
+            asks = asks[~sits]
+        seat[own] = table
+        size[table] += 1
+        turn += 1
+    draw = random.Random(int(rng.integers(1 << 62))).random
+    for k in range(n):
+        _one_by_one(seat, size, int(firsts[k]), int(starts[k] - firsts[k]), turn, int(left[k]), stands, float(heavy[k]), discount, draw)
+
+    used = np.flatnonzero(size)
+    place = used % total
+    by_dish = np.argsort(place, kind="stable")
+    dish = np.searchsorted(first, place, "right") - 1
+    return np.bincount(dish, minlength=len(customers)), size[used[by_dish]].astype(np.int64)
+
+
+def _one_by_one(seat: np.ndarray, size: np.ndarray, first: int, start: int, turn: int, turns: int, stands: bool,
+                weight: float, discount: float, draw) -> None:
+    """The turns of one dish from ``turn`` on, as in :func:`seat_in_turn`."""
+    places = seat[first:first + start + turns].tolist()
+    names = np.unique(seat[first:first + start + (turns if stands else turn)])
+    held = dict(zip(names.tolist(), size[names].tolist()))
+    for own in range(start + turn, start + turns):
+        if stands:
+            pick = own + int(draw() * (turns - own))
+            table = places[pick]
+            places[pick] = places[own]
+            held[table] -= 1
+        present = turns - 1 if stands else own
+        while True:
+            spot = draw() * (present + weight)
+            if spot >= present:
+                table = first + own
+                break
+            other = int(spot)
+            table = places[other + (other >= own)]
+            if draw() * held[table] >= discount:
+                break
+        places[own] = table
+        held[table] = held.get(table, 0) + 1
+    size[np.fromiter(held, np.int64, len(held))] = np.fromiter(held.values(), np.int64, len(held))
+
+
+def log_seatings(customers: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithms of the ways to seat each of the rising numbers of customers at t = 1, 2, ... tables; whether one is too small to tell.
+
+    Ways are weighted by the tables' sizes (a generalised Stirling number S), and divided by what all t share and by
+    1 / (discount ** (t - 1) * (t - 1)!), which keeps them near one: S(c + 1, t) = S(c, t - 1) + (c - discount * t) * S(c, t).
+    """
+    width = min(WIDTH, int(customers.max(initial=1)))
+    t = np.arange(1, width + 1)
+    out, ways, k = np.empty((len(customers), width)), (t == 1).astype(float), 0
+    grows, stays = discount * (t[1:] - 1), discount * t
+    for c in range(1, int(customers.max(initial=0)) + 1):
+        if customers[k] == c:
+            out[k], k = ways, k + 1
+        more = grows / c * ways[:-1]
+        ways *= 1 - stays / c
+        ways[1:] += more
+    least, there = 1e-300, t <= customers[:, None]
+    return np.where(there, np.log(np.maximum(out, least)), -np.inf), there & (out < least)
+
+
+def log_seatings_of_many(customers: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`log_seatings` for up to ``NARROW`` tables, by the alternating sum for generalised Stirling numbers; second, where it cancels."""
+    width = range(1, NARROW + 1)
+    poles = [k * discount == int(k * discount) for k in width]
+    signed = [0.0 if pole else (-1) ** k / math.gamma(-k * discount) for k, pole in zip(width, poles)]
+    powers = np.exp([[math.lgamma(c - k * discount) - math.lgamma(c) for k in width] for c in customers.tolist()]).reshape(-1, NARROW) * signed
+    choose = np.array([[math.comb(t, k) for k in width] for t in width], float).T
+    ways, size = powers @ choose, np.abs(powers) @ choose
+    return np.log(np.maximum(ways, 1e-300) / (discount * np.arange(1, NARROW + 1))), ways < 1e-4 * size
+
+
+class Dishes:
+    """Tables of many dishes side by side.
+
+    Given the weight of a new table, all customers of a dish are seated anew at once: their tables are drawn from the exact
+    distribution over all seatings (a blocked Gibbs step, after which only the number of tables counts).  Dishes of which that
+    distribution is not at hand, with very many customers or tables, are ``swept`` instead, customer by customer.
+    """
+
+    def __init__(self, customers: np.ndarray, tables: np.ndarray, swept: np.ndarray | None = None, sizes: np.ndarray | None = None):
+        self.customers, self.tables = customers, tables
+        self.swept = np.zeros(0, np.int64) if swept is None else swept
+        self.seats = Seats(customers[self.swept], tables[self.swept], np.zeros(0, np.int64) if sizes is None else sizes)
+        #: Mean of the tables over the distribution that the last step drew them from.
+        self.expected = tables.astype(np.float64)
+        self._known: tuple | None = None
+
+    def packed(self) -> bytes:
+        return bundle(self.tables, self.swept, self.seats.sizes)
+
+    def change(self, customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> None:
+        """Other numbers of customers."""
+        if len(self.swept):
+            before = np.bincount(np.repeat(np.arange(len(self.swept)), self.seats.tables), self.seats.sizes, len(self.swept)).astype(np.int64)
+            self.seats.customers = before
+            self.seats.change(customers[self.swept], weight[self.swept], discount, rng)
+        self.customers, self.tables, self._known = customers, np.minimum(self.tables, customers), None
+        self.tables[self.swept] = self.seats.tables
+
+    def _sweep_too(self, more: np.ndarray) -> None:
+        """Hold seats of further dishes: all customers beside the first of each table share one."""
+        sizes = dict(zip(self.swept.tolist(), np.split(self.seats.sizes, np.cumsum(self.seats.tables)[:-1])))
+        for k in more.tolist():
+            sizes[k] = np.append(self.customers[k] - self.tables[k] + 1, np.ones(self.tables[k] - 1, np.int64))
+        self.swept = np.array(sorted(sizes), np.int64)
+        self.seats = Seats(self.customers[self.swept], self.tables[self.swept], np.concatenate([sizes[k] for k in self.swept.tolist()]))
+
+    def _draw(self, dishes: np.ndarray, widths: np.ndarray, known: tuple, rate: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """Draw the tables of the ``dishes`` out of up to ``widths``; those of which other numbers may count are left, and returned."""
+        kinds, logs, untold = known
+        drawn = dishes[np.argsort(widths[dishes], kind="stable")]
+        wide = np.minimum(widths[drawn], logs.shape[1])
+        t, falls = np.arange(1, logs.shape[1] + 1), np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, logs.shape[1])))])
+        left, lo = [drawn[:0]], 0
+        while lo < len(drawn):
+            hi = min(len(drawn), lo + max(1, CELLS // int(wide[lo])))
+            while (hi - lo) * int(wide[hi - 1]) > 2 * CELLS and hi > lo + 1:
+                hi = lo + max(1, 2 * CELLS // int(wide[hi - 1]))
+            part, w = drawn[lo:hi], int(wide[hi - 1])
+            row = np.searchsorted(kinds, self.customers[part])
+            x = np.log(rate[part])[:, None] * t[:w] - falls[:w] + logs[row, :w]
+            top = x.max(axis=1)
+            told = ~(untold[row, :w] & (x > top[:, None] - 70)).any(axis=1)
+            cut = self.customers[part] > w
+            if cut.any():
+                # Terms are log-concave in t: beyond a small and falling one all are smaller still.
+                told &= ~cut | ((x[:, -1] < top - 40) & (x[:, -1] < x[:, -2] - 0.7) if w > 1 else ~cut)
+            chances = np.exp(x - top[:, None])
+            expected = chances @ t[:w]
+            chances = np.cumsum(chances, axis=1)
+            picked = 1 + (chances <= (rng.random(len(part)) * chances[:, -1])[:, None]).sum(axis=1)
+            self.tables[part[told]] = np.minimum(picked, w)[told]
+            self.expected[part[told]] = (expected / chances[:, -1])[told]
+            left.append(part[~told])
+            lo = hi
+        return np.concatenate(left)
+
+    def move(self, weight: np.ndarray, discount: float, rng: np.random.Generator) -> None:
+        """Every customer of every dish is seated anew."""
+        rate, held = weight / discount, np.zeros(len(self.customers), bool)
+        held[self.swept] = True
+        # The tables' number is about Poisson or less; whether the rest can be left away is seen from the terms.
+        need = np.minimum(self.customers, np.minimum(WIDTH, 12 + 3 * rate).astype(np.int64))
+        if self._known is None or self._known[0] != discount:
+            steps = (self.customers <= min(STEPS, TOGETHER)) | (self.customers <= TOGETHER) & (need > NARROW)
+            by_steps, by_sum = np.unique(self.customers[steps]), np.unique(self.customers[(self.customers > STEPS) & (need <= NARROW)])
+            self._known = discount, (by_steps, *log_seatings(by_steps, discount)), (by_sum, *log_seatings_of_many(by_sum, discount))
+        _, steps, sums = self._known
+        narrow = (self.customers > STEPS) & (need <= NARROW) & np.isin(self.customers, sums[0]) & ~held
+        wide = np.isin(self.customers, steps[0]) & ~narrow & ~held
+        every = np.arange(len(held))
+        # Those that a first width does not settle are tried with all that is at hand.
+        rest = self._draw(every[wide], need, steps, rate, rng)
+        rest = self._draw(rest, np.minimum(self.customers, steps[1].shape[1]), steps, rate, rng)
+        open_ = [rest, self._draw(every[narrow], np.full(len(held), NARROW), sums, rate, rng), every[~wide & ~narrow & ~held]]
+        more = np.concatenate(open_)
+        if len(more):
+            self._sweep_too(more)
+        if len(self.swept):
+            self.seats.move(weight[self.swept], discount, rng)
+            self.tables[self.swept] = self.expected[self.swept] = self.seats.tables
 
 
 class Restaurants:
@@ -331,39 +556,39 @@ class Restaurants:
     def __init__(self, path: str):
         self.contexts, self.context_counts, self.words, self.context, self.word, self.counts = unbundle(read_file(path))
         self.many = np.flatnonzero(self.counts > 1)
-        self.seats: Seats | None = None
+        self.seats: Dishes | None = None
 
-    def tables(self) -> np.ndarray:
-        """Tables of each pair."""
-        out = np.minimum(self.counts, 1)
+    def tables(self, expected: bool = False) -> np.ndarray:
+        """Tables of each pair, or their means where the last step has them."""
+        out = np.minimum(self.counts, 1).astype(np.float64 if expected else np.int64)
         if self.seats is not None:
-            out[self.many] = self.seats.tables
+            out[self.many] = self.seats.expected if expected else self.seats.tables
         return out
 
     def per_context(self, tables: np.ndarray) -> np.ndarray:
         return np.bincount(self.context, tables, len(self.contexts))
 
     def sweep(self, parent: np.ndarray, totals: tuple[np.ndarray, np.ndarray], theta: float, discount: float, rng: np.random.Generator) -> None:
-        """Gibbs step for each pair, given the parent's probability of each word and the tables of contexts that other buckets share."""
+        """Gibbs sweep over the customers of each pair, given the parent's probability of each word and the tables of contexts that other buckets share."""
         drawn = rng.gamma(theta / discount + self.in_context(totals))
         weight = discount * drawn[self.context[self.many]] * parent[self.word[self.many]]
         if self.seats is None:
-            self.seats = Seats.start(self.counts[self.many], weight, discount, rng)
+            self.seats = Dishes(self.counts[self.many], Seats.start(self.counts[self.many], weight, discount, rng).tables)
         self.seats.move(weight, discount, rng)
 
-    def in_context(self, totals: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    def in_context(self, totals: tuple[np.ndarray, np.ndarray], expected: bool = False) -> np.ndarray:
         """Tables of each context, over all buckets."""
-        tables, (shared, held) = self.per_context(self.tables()), totals
+        tables, (shared, held) = self.per_context(self.tables(expected)), totals
         if len(shared):
             at = np.minimum(np.searchsorted(shared, self.contexts), len(shared) - 1)
             tables = np.where(shared[at] == self.contexts, held[at], tables)
         return tables
 
     def probabilities(self, parent: np.ndarray, totals: tuple[np.ndarray, np.ndarray], theta: float, discount: float) -> np.ndarray:
-        """Predictive probability of each pair's second word after its first."""
-        tables, seated = self.tables(), self.context_counts + theta
+        """Predictive probability of each pair's second word after its first; it is linear in the tables, so their means are put in."""
+        tables, seated = self.tables(expected=True), self.context_counts + theta
         own = np.where(self.counts > 0, self.counts - discount * tables, 0) / seated[self.context]
-        rest = np.where(self.context_counts > 0, (theta + discount * self.in_context(totals)) / seated, 1.0)
+        rest = np.where(self.context_counts > 0, (theta + discount * self.in_context(totals, expected=True)) / seated, 1.0)
         return own + rest[self.context] * parent[self.word]
 
 
@@ -422,11 +647,11 @@ def shard_places(words: np.ndarray, shards: int):
         yield int(shard[part[0]]), part
 
 
-def seat_root(sent: DataFrame, phase: int, shards: int, totals: dict, theta: float, discount: float, moves: int) -> DataFrame:
+def seat_root(sent: DataFrame, phase: int, folder: str, shards: int, totals: dict, theta: float, discount: float, moves: int) -> DataFrame:
     """Answers of the root to messages: per bucket and shard the discounted customers of each word asked for.
 
-    The root's customers are the tables of all contexts; they are seated anew in each phase, as their
-    number has changed.  Rows with shard -3 have the sums of customers and tables; other rows pass.
+    The root's customers are the tables of all contexts.  Those of tables that are gone leave the seating of the
+    phase before, those of new tables come in, then all are moved by Gibbs sweeps.  Rows with shard -3 have the sums of customers and tables; other rows pass.
     """
     base = 1 / (totals["words"] + 1)
     drawn = float(np.random.default_rng([phase, 0, 0]).gamma(theta / discount + totals["root_tables"]))
@@ -436,21 +661,27 @@ def seat_root(sent: DataFrame, phase: int, shards: int, totals: dict, theta: flo
             if shard < 0:
                 yield from (message(shard, b, p) for b, p in rows)
                 continue
-            words, tables = zip(*(unbundle(p) for _, p in rows))
-            sizes = [len(w) for w in words]
+            words, asked = zip(*(unbundle(p) for _, p in rows))
+            lengths = [len(w) for w in words]
             every, place = np.unique(np.concatenate(words), return_inverse=True)
-            customers = np.bincount(place, np.concatenate(tables), len(every)).astype(np.int64)
+            customers = np.bincount(place, np.concatenate(asked), len(every)).astype(np.int64)
             known = np.flatnonzero(customers)
             rng = np.random.default_rng([phase, 1, shard])
             weight = np.full(len(known), discount * drawn * base)
-            seats = Seats.start(customers[known], weight, discount, rng)
+            if phase == 1:
+                seats = Dishes(customers[known], Seats.start(customers[known], weight, discount, rng).tables)
+            else:
+                tables, swept, sizes = unbundle(read_file(f"{folder}/root{shard}.seats{phase - 1}"))
+                seats = Dishes(customers[known], tables, swept, sizes)
+                seats.change(customers[known], weight, discount, rng)
             mean = np.zeros(len(known))
             for turn in range(2 * moves):
                 seats.move(weight, discount, rng)
-                mean += seats.tables * (turn >= moves) / moves
+                mean += seats.expected * (turn >= moves) / moves
+            put(f"{folder}/root{shard}.seats{phase}", seats.packed())
             out = customers.astype(np.float64)
             out[known] -= discount * mean
-            for (bucket, _), answer in zip(rows, np.split(out[place], np.cumsum(sizes)[:-1])):
+            for (bucket, _), answer in zip(rows, np.split(out[place], np.cumsum(lengths)[:-1])):
                 yield message(shard, bucket, bundle(answer.astype("<f4")))
             yield message(-3, -1, bundle(np.array([float(customers.sum()), mean.sum()])))
 
@@ -491,7 +722,7 @@ def open_bucket(folder: str, bucket: int, phase: int) -> Restaurants:
     """A bucket's restaurants as the phase before left them."""
     found = Restaurants(f"{folder}/{bucket}.pairs")
     if phase > 1:
-        found.seats = Seats(found.counts[found.many], *unbundle(read_file(f"{folder}/{bucket}.seats{phase - 1}")))
+        found.seats = Dishes(found.counts[found.many], *unbundle(read_file(f"{folder}/{bucket}.seats{phase - 1}")))
     return found
 
 
@@ -505,7 +736,7 @@ def sweep_buckets(answers: DataFrame, root: Root, phase: int, folder: str, token
             parent = root.parent(found.words, rows, shards)
             for _ in range(sweeps):
                 found.sweep(parent, root.shared, theta, discount, rng)
-            put(f"{folder}/{bucket}.seats{phase}", bundle(found.seats.tables, found.seats.sizes))
+            put(f"{folder}/{bucket}.seats{phase}", found.seats.packed())
             yield from messages(bucket, found, tokens, buckets, shards)
 
     return answers_by_bucket(answers, buckets).mapInArrow(sweep, MESSAGE)
@@ -550,8 +781,8 @@ def score_texts(docs: DataFrame, held: Column, phases: int = 3, sweeps: int = 4,
     occur, a null ``held`` is false; other columns are left alone.  Without any training row all
     scores are zero; an empty table gives no row.  All pairs of words of all training rows are counted.
 
-    ``phases`` exchanges between root and contexts (the first before any seating), ``sweeps`` Gibbs steps of each pair
-    in a phase, ``samples`` averaged in the last.  Discounts are estimated from how many words and pairs occur once and twice.
+    ``phases`` exchanges between root and contexts (the first before any seating), ``sweeps`` Gibbs sweeps, each over every
+    customer, in a phase, ``samples`` averaged in the last.  Discounts are estimated from how many words and pairs occur once and twice.
     """
     shards = word_shards(docs)
     blocks = stored(block_table(docs, held, shards), "lm-blocks")
@@ -565,7 +796,7 @@ def score_texts(docs: DataFrame, held: Column, phases: int = 3, sweeps: int = 4,
 
     sent = merge_pairs(deal_pairs(blocks, folder, tokens, buckets), folder, tokens, buckets, shards)
     for phase in range(1, phases + 1):
-        answers = stored(seat_root(sent, phase, shards, totals, theta, root_discount, 2 * sweeps), "lm-root")
+        answers = stored(seat_root(sent, phase, folder, shards, totals, theta, root_discount, 2 * sweeps), "lm-root")
         root = Root(answers, totals, theta, root_discount)
         totals["root_tables"] = root.tables
         if phase == 1:

@@ -105,6 +105,74 @@ def test_moves_reach_the_exact_distribution(customers, weight, discount):
         assert found[t] / n == pytest.approx(p / total, abs=0.012)
 
 
+def test_a_sweep_moves_every_customer():
+    """Where a new table is all but certain, one sweep leaves nobody at the table that all shared."""
+    customers = np.array([2, 7, 300])
+    for dishes in (customers, np.tile(customers, 40)):
+        seats = pitman.Seats(dishes, np.ones(len(dishes), np.int64), dishes.copy())
+        seats.move(np.full(len(dishes), 1e12), 0.5, np.random.default_rng(3))
+        assert np.array_equal(seats.tables, dishes) and (seats.sizes == 1).all()
+
+
+@pytest.mark.parametrize("few", [1, 1 << 30])
+def test_moves_side_by_side_and_one_by_one_agree(few, monkeypatch):
+    """Runs of dishes, uneven sizes, customers who leave and come: the exact mean of tables after sweeps."""
+    monkeypatch.setattr(pitman, "FEW", few)
+    monkeypatch.setattr(pitman, "SLAB", 1000)
+    customers, discount, weight, rng = np.tile([2, 6, 4], 3000), 0.4, 0.7, np.random.default_rng(8)
+    seats = pitman.Seats.start(np.tile([5, 3, 4], 3000), np.full(9000, weight), discount, rng)
+    seats.change(customers, np.full(9000, weight), discount, rng)
+    for _ in range(20):
+        seats.move(np.full(9000, weight), discount, rng)
+    assert np.array_equal(np.add.reduceat(seats.sizes, np.cumsum(seats.tables) - seats.tables), customers)
+    for c in (2, 6, 4):
+        chances = [(len(s), weight ** len(s) * math.prod(math.prod(k - discount for k in range(1, n)) for n in s)) for s in set_partitions(c)]
+        exact = sum(t * p for t, p in chances) / sum(p for _, p in chances)
+        assert seats.tables[customers == c].mean() == pytest.approx(exact, abs=0.06)
+
+
+@pytest.mark.parametrize("at_once", [1 << 16, 3])
+def test_all_customers_of_a_dish_are_seated_anew(at_once, monkeypatch):
+    """One step from one table each: exact where dishes are drawn at once; dishes with more customers are swept until they are."""
+    monkeypatch.setattr(pitman, "TOGETHER", at_once)
+    customers, discount, rng = np.tile([2, 6, 4], 5000), 0.4, np.random.default_rng(8)
+    weight = np.tile([0.7, 3.0, 40.0], 5000)
+    dishes = pitman.Dishes(customers, np.ones(len(customers), np.int64))
+    for _ in range(1 if at_once > 6 else 12):
+        dishes.move(weight, discount, rng)
+    for c, w in ((2, 0.7), (6, 3.0), (4, 40.0)):
+        chances = [(len(s), w ** len(s) * math.prod(math.prod(k - discount for k in range(1, n)) for n in s)) for s in set_partitions(c)]
+        exact = sum(t * p for t, p in chances) / sum(p for _, p in chances)
+        assert dishes.tables[customers == c].mean() == pytest.approx(exact, abs=0.06)
+    again = pitman.Dishes(customers, *pitman.unbundle(dishes.packed()))
+    again.change(np.tile([3, 5, 9], 5000), weight, discount, rng)
+    again.move(weight, discount, rng)
+    assert (again.tables <= again.customers).all() and np.array_equal(again.seats.tables, again.tables[again.swept])
+
+
+def test_seatings_by_sum_and_by_steps_agree():
+    customers = np.array([900, 8000])
+    for discount in (0.3, 0.5, 0.8):
+        steps, sums = pitman.log_seatings(customers, discount)[0], pitman.log_seatings_of_many(customers, discount)
+        assert not sums[1][:, :4].any()
+        assert np.allclose(np.where(sums[1], 0, sums[0]), np.where(sums[1], 0, steps[:, :pitman.NARROW]), atol=1e-6)
+
+
+def test_wide_dishes_are_swept(monkeypatch):
+    """Tables beyond the width that is at hand are not cut off: equal means with little and much width."""
+    customers, weight = np.full(200, 90), np.full(200, 25.0)
+    means = []
+    for width in (512, 8):
+        monkeypatch.setattr(pitman, "WIDTH", width)
+        dishes, rng, tables = pitman.Dishes(customers, np.full(200, 20)), np.random.default_rng(4), []
+        for _ in range(25):
+            dishes.move(weight, 0.5, rng)
+            tables.append(dishes.tables.mean())
+        assert len(dishes.swept) == (200 if width == 8 else 0)
+        means.append(np.mean(tables[5:]))
+    assert means[0] == pytest.approx(means[1], rel=0.02)
+
+
 def test_start_seats_everyone():
     rng = np.random.default_rng(1)
     customers = np.array([2, 3, 16, 17, 1000, 100_000])
