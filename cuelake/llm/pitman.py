@@ -549,6 +549,22 @@ class Dishes:
             self.seats.move(weight[self.swept], discount, rng)
             self.tables[self.swept] = self.expected[self.swept] = self.seats.tables
 
+    def settled(self, weight: np.ndarray, discount: float, rng: np.random.Generator, moves: int) -> np.ndarray:
+        """Seat everyone anew under a weight that stands still; mean tables.
+
+        Dishes drawn at once have the same distribution in each further step, so one is enough; swept ones take ``moves`` sweeps
+        to settle and as many to average.
+        """
+        self.move(weight, discount, rng)
+        mean = self.expected.copy()
+        if len(self.swept):
+            mean[self.swept] = 0
+            for turn in range(1, 2 * moves):
+                self.seats.move(weight[self.swept], discount, rng)
+                mean[self.swept] += self.seats.tables * (turn >= moves) / moves
+            self.tables[self.swept] = self.seats.tables
+        return mean
+
 
 class Restaurants:
     """The context restaurants of a bucket, or the parts of them that were dealt there."""
@@ -674,10 +690,7 @@ def seat_root(sent: DataFrame, phase: int, folder: str, shards: int, totals: dic
                 tables, swept, sizes = unbundle(read_file(f"{folder}/root{shard}.seats{phase - 1}"))
                 seats = Dishes(customers[known], tables, swept, sizes)
                 seats.change(customers[known], weight, discount, rng)
-            mean = np.zeros(len(known))
-            for turn in range(2 * moves):
-                seats.move(weight, discount, rng)
-                mean += seats.expected * (turn >= moves) / moves
+            mean = seats.settled(weight, discount, rng, moves)
             put(f"{folder}/root{shard}.seats{phase}", seats.packed())
             out = customers.astype(np.float64)
             out[known] -= discount * mean
