@@ -1,6 +1,10 @@
-"""Near copies by the Jaccard similarity of word shingles, as an exact join (stage of the pipeline).
+"""Near copies by SimHash and the Jaccard similarity of word shingles (stage of the pipeline).
 
 Documents are linked where their sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+Operator 2 comes first: fingerprints within its radius give pairs, which are verified by their shingles, and
+groups that these links join throughout are done.  A SimHash misses some similar sets, mostly of short
+texts, so an exact join follows for what is not linked yet.
+
 In any one order of all shingles, the first fifth of two such sets (and one more) shares a
 shingle, so only documents that meet there are compared; no pair is missed, whatever the
 order.  Shingles that are common in a sample come last in it, which keeps the groups small.
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuelake.llm.common import Hot, claim_cache, fresh, stored
-from cuelake.llm.simhash import SEED, components
+from cuelake.llm.simhash import SEED, components, fingerprint, links
 
 WIDTH = 5
 SKETCH = 1024
@@ -88,23 +92,24 @@ def common_shingles(source: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def described(source: DataFrame, key: str) -> DataFrame:
-    """Per row of the source: id, row number k, the set's digest, its size, first fifth and sketch."""
+    """Per row of the source: id, row number k, the set's digest, its size, first fifth and sketch, and the text's fingerprint."""
     shared = source.sparkSession.sparkContext.broadcast(common_shingles(source))
 
-    @F.arrow_udf("struct<same:binary,n:long,fifth:array<long>,sketch:array<long>>")
+    @F.arrow_udf("struct<same:binary,n:long,fifth:array<long>,sketch:array<long>,fp:long>")
     def describe(texts: pa.Array) -> pa.Array:
         claim_cache("similar", lambda: None)
         common, times = shared.value
-        same, sizes, fifths, sketches = [], [], [], []
+        same, sizes, fifths, sketches, prints = [], [], [], [], []
         for text in texts.to_pylist():
             found = shingles(text)
             same.append(xxhash.xxh3_128_digest(found.tobytes()))
             sizes.append(len(found))
             fifths.append(first_fifth(found, common, times).view(np.int64))
             sketches.append(parity_sketch(found))
+            prints.append(fingerprint(text))
         longs = pa.list_(pa.int64())
-        return pa.StructArray.from_arrays([pa.array(same, pa.binary()), pa.array(sizes, pa.int64()), pa.array(fifths, longs), pa.array(sketches, longs)],
-                                          ["same", "n", "fifth", "sketch"])
+        return pa.StructArray.from_arrays([pa.array(same, pa.binary()), pa.array(sizes, pa.int64()), pa.array(fifths, longs), pa.array(sketches, longs),
+                                           pa.array(np.array(prints, np.uint64).view(np.int64))], ["same", "n", "fifth", "sketch", "fp"])
 
     return stored(source.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(key).alias("k"), describe("text").alias("s"))
                   .select("doc_id", "k", "s.*"), "sets")
@@ -142,18 +147,35 @@ def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("k_a", "k_b").alias("a"), F.greatest("k_a", "k_b").alias("b"))
 
 
+def print_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the ``nodes(k, fp)`` by fingerprints: a node and the first with its fingerprint, and the firsts of linked fingerprints.
+
+    A fingerprint goes with the nearest of those that the forest of links gives it, so pairs are no more than nodes.
+    """
+    firsts = stored(nodes.groupBy("fp").agg(F.min("k").alias("first"), F.count("*").alias("n")), "prints")
+    same = Hot(nodes, "fp", counts=firsts.select("fp", "n")).join(nodes.select("fp", "k"), firsts.select("fp", "first"), "k").where("k != first")
+    bits = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+    nearest = stored(links(firsts.select("fp")).groupBy("a").agg(F.min(F.struct(bits.alias("bits"), "b")).alias("to")).select("a", "to.b"), "linked")
+    first = lambda x: firsts.select(F.col("fp").alias(x), F.col("first").alias(f"k_{x}"))
+    across = Hot(nearest, "b").join(nearest, first("b"), "a").join(first("a"), "a")
+    return ordered(across).union(same.select(F.col("first").alias("a"), F.col("k").alias("b")))
+
+
 def similar_labels(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, label) of the ``nodes(k, n, fifth, sketch)`` that have a similar one: the smallest of the component."""
-    postings = nodes.select("k", "n", F.posexplode("fifth").alias("p", "h"))
-    # The smaller of two similar sets meets the other in its first ninth.
-    met = postings.groupBy("h").agg(F.count("*").alias("size"), F.max((9 * F.col("p") <= F.col("n")).cast("int")).alias("early")).where("size > 1 AND early = 1")
+    """(node, label) of the ``nodes(k, n, fifth, sketch, fp)`` that have a similar one: the smallest of the component."""
+    by_print = verified(print_pairs(nodes), nodes, texts)
+    known = stored(components(by_print), "print-labels").withColumnRenamed("node", "k")
+    postings = nodes.join(known, "k", "left").select("k", "n", F.coalesce("label", "k").alias("known"), F.posexplode("fifth").alias("p", "h"))
+    # The smaller of two similar sets meets the other in its first ninth; what fingerprints have linked throughout is done.
+    met = (postings.groupBy("h").agg(F.count("*").alias("size"), F.max((9 * F.col("p") <= F.col("n")).cast("int")).alias("early"),
+                                     F.min("known").alias("low"), F.max("known").alias("high")).where("size > 1 AND early = 1 AND low != high"))
     groups = stored(postings.join(met.select("h"), "h"), "groups")
     hot = Hot(groups, "h")
 
-    centres = groups.groupBy("h").agg(*[F.min(F.struct(F.xxhash64("k", F.lit(turn)), "k", "n", "p")).alias(f"c{turn}") for turn in range(CENTRES)])
-    centres = centres.select("h", F.explode(F.array_distinct(F.array(*[F.struct(*[f"c{turn}.{c}" for c in ("k", "n", "p")]) for turn in range(CENTRES)]))).alias("c"))
-    met = hot.join(named(groups, "b"), named(centres.select("h", "c.*"), "a"), "k_b").where((F.col("k_a") != F.col("k_b")) & possible("a", "b"))
-    edges = verified(ordered(met), nodes, texts)
+    centres = groups.groupBy("h").agg(*[F.min(F.struct(F.xxhash64("k", F.lit(turn)), "k", "n", "p", "known")).alias(f"c{turn}") for turn in range(CENTRES)])
+    centres = centres.select("h", F.explode(F.array_distinct(F.array(*[F.struct(*[f"c{turn}.{c}" for c in ("k", "n", "p", "known")]) for turn in range(CENTRES)]))).alias("c"))
+    met = hot.join(named(groups, "b"), named(centres.select("h", "c.*"), "a"), "k_b").where((F.col("known_a") != F.col("known_b")) & possible("a", "b"))
+    edges = by_print.union(verified(ordered(met), nodes, texts))
     labels = stored(components(edges), "labels")
 
     linked = Hot(groups, "k").join(groups, labels.withColumnRenamed("node", "k"), "h", "left")

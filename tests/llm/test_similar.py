@@ -131,3 +131,17 @@ def test_sketches_never_differ_in_more_bits_than_sets_in_shingles():
         b = np.unique(np.concatenate([a[n // 10:], rng.integers(0, 1 << 63, n // 10, np.uint64)]))
         bits = int(np.bitwise_count(similar.parity_sketch(a) ^ similar.parity_sketch(b)).sum())
         assert bits <= len(np.setxor1d(a, b))
+
+
+def test_fingerprints_give_pairs_before_the_exact_join(spark, monkeypatch):
+    """Without any shared first fifth, near copies are still found by their fingerprints, and verified by shingles."""
+    rng = random.Random(8)
+    monkeypatch.setattr(similar, "first_fifth", lambda found, common, times: found[:0])
+    rows = []
+    for i in range(30):
+        words = prose(rng, 900).split()
+        rows += [(2 * i, " ".join(words), "en", "s", 1), (2 * i + 1, " ".join([*words[:300], "changed", *words[301:]]), "en", "s", 1)]
+    kept, pairs = made_pairs(spark, monkeypatch, rows)
+    assert 0 < len(kept) <= 35 and set(range(0, 60, 2)) <= set(kept) and pairs < len(rows)
+    far = [(0, "a b c " * 50 + "e", "en", "s", 1), (1, "a b c " * 50 + "f g h i j k", "en", "s", 1)]
+    assert plain_kept(far) == Counter([0, 1]) and made_pairs(spark, monkeypatch, far) == (Counter([0, 1]), 1)
