@@ -229,6 +229,10 @@ def _xml(d: Inputs):
     return T.cues_from_xml(xml_payloads(d))
 
 
+#: Folders that the caption files of a run are dealt into.
+FILE_FOLDERS = 1024
+
+
 @query("read_captions", "doc_lines", DOC_CUES + r"""
     , n AS (SELECT *, CAST(substr(video_id, 2) AS BIGINT) % 4 AS kind FROM dc),
     c AS (SELECT video_id, kind, i, CASE WHEN kind = 0 THEN greatest(CASE WHEN i % 7 = 5 THEN 0 ELSE 3000 END, 1)
@@ -249,7 +253,7 @@ def _captions(d: Inputs):
         .unionByName(part(xml_payloads(d), 2, "en.xml")).unionByName(part(json3_payloads(d), 3, "ttml", odd))
     )
     path = new_shared_path(d.spark, "captions")
-    write_named_files(files, path)
+    write_named_files(files, path, folders=FILE_FOLDERS)
     return read_captions(d.spark, path).groupBy("video_id").agg(
         F.count(F.lit(1)).alias("n_cues"), F.sum("dur_ms").alias("total_ms"), F.max("start_ms").alias("last_ms")
     )
@@ -269,7 +273,7 @@ def _failures(d: Inputs):
     )
     name = F.concat(F.lit("d"), F.col("doc_id"), F.when(kind.isin(3, 4), ".vtt").otherwise(".ttml"))
     path = new_shared_path(d.spark, "captions")
-    write_named_files(d.table("documents").select(name.alias("name"), content.alias("content")), path)
+    write_named_files(d.table("documents").select(name.alias("name"), content.alias("content")), path, folders=FILE_FOLDERS)
     return caption_failures(d.spark, path)
 
 

@@ -6,18 +6,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cuelake.functions.let import bound
 from cuelake.operators.text import JSON3_SCHEMA, XML_SCHEMA, json3_cues, vtt_cues, xml_cues
+from cuelake.sources.files import read_named_files
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     """(video_id, ext, payload): the id is the file name up to its first dot."""
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    return (
-        spark.read.text(path, wholetext=True)
-        .select(
-            F.element_at(F.split(name, r"\."), 1).alias("video_id"),
-            F.lower(F.element_at(F.split(name, r"\."), -1)).alias("ext"),
-            F.col("value").alias("payload"),
-        )
+    parts = F.split("name", r"\.")
+    return read_named_files(spark, path).select(
+        F.element_at(parts, 1).alias("video_id"),
+        F.lower(F.element_at(parts, -1)).alias("ext"),
+        F.col("content").alias("payload"),
     )
 
 

@@ -258,3 +258,19 @@ def test_vectors_are_those_of_the_patterns_alone(spark):
         plain = X.found_in(F.coalesce("t", F.lit("")), v=lambda t, _: F.array(*[t.rlike("(?i)" + p).cast("tinyint") for p in patterns]))["v"]
         found = df.select("t", X.keyword_vector(F.col("t"), patterns).alias("got"), plain.alias("want")).collect()
         assert all(r.got == r.want for r in found) and sum(sum(r.want) for r in found) > 100
+
+
+def test_caption_files_are_not_a_task_each(spark, tmp_path):
+    """Many small files in folders are read by a bounded number of tasks, each once and whole, hidden and empty ones left out."""
+    from cuelake.sources.files import READERS, read_named_files, write_named_files
+
+    n = 40 * READERS
+    docs = spark.range(n).selectExpr("concat('d', id, '.ttml') AS name", "concat('text ü\n', id) AS content")
+    assert write_named_files(docs, str(tmp_path / "in"), folders=16) == n
+    (tmp_path / "in" / "0003" / ".part").write_text("hidden")
+    (tmp_path / "in" / "0003" / "empty.vtt").write_text("")
+    (tmp_path / "in" / "top.vtt").write_text("top")
+    got = read_named_files(spark, str(tmp_path / "in"))
+    assert got.rdd.getNumPartitions() <= READERS
+    assert sorted(map(tuple, got.collect())) == sorted([("top.vtt", "top"), *((f"d{i}.ttml", f"text ü\n{i}") for i in range(n))])
+    assert [tuple(r) for r in read_named_files(spark, str(tmp_path / "in" / "top.vtt")).collect()] == [("top.vtt", "top")]
