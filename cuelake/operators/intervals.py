@@ -260,35 +260,33 @@ def gt_coverage(gt: DataFrame, det: DataFrame, half: float = 0.5) -> DataFrame:
     detected length before ``t``, that sum is F(end) - F(start); F follows from
     running counts over the distinct times, so no truth x detection pairs arise.
     """
-    edges = (
-        det.filter("end_ms > start_ms")
-        .select("video_id", F.explode(F.array(
-            F.struct(F.col("start_ms").alias("t"), F.lit(1).cast("bigint").alias("n")),
-            F.struct(F.col("end_ms").alias("t"), F.lit(-1).cast("bigint").alias("n")),
-        )).alias("e"))
-        .select("video_id", "e.t", "e.n")
-    )
-    asked = gt.select("video_id", F.explode(F.array("start_ms", "end_ms")).alias("t")).select(
-        "video_id", "t", F.lit(0).cast("bigint").alias("n")
-    )
-    times = (
-        by_chunk(edges.unionByName(asked), "video_id", "t").groupBy("video_id", "t").agg(F.sum("n").alias("n"))
-        .withColumn("nt", F.col("n") * F.col("t"))
-    )
+    known = F.col("video_id").isNotNull() & F.col("start_ms").isNotNull() & F.col("end_ms").isNotNull()
+    row = F.struct(*gt.columns).alias("_row")
+    # A computed key: sides dealt by video are not taken for a union dealt by it, which adaptive execution may break.
+    key = F.concat(F.col("video_id").cast("string"), F.lit("")).alias("_key")
+    edges = det.filter("end_ms > start_ms AND video_id IS NOT NULL").select(key, F.explode(F.array(
+        F.struct(F.col("start_ms").alias("t"), F.lit(1).cast("bigint").alias("n")),
+        F.struct(F.col("end_ms").alias("t"), F.lit(-1).cast("bigint").alias("n")),
+    )).alias("e")).select("_key", "e.t", "e.n", F.lit(None).cast("boolean").alias("_end"), F.lit(None).cast(gt.select(row).schema[0].dataType).alias("_row"))
+    asked = gt.filter(known).select(key, row, F.explode(F.array(
+        F.struct(F.col("start_ms").alias("t"), F.lit(False).alias("end")), F.struct(F.col("end_ms").alias("t"), F.lit(True).alias("end")),
+    )).alias("e")).select("_key", "e.t", F.lit(0).cast("bigint").alias("n"), F.col("e.end").alias("_end"), "_row")
+    # An edge at t adds nothing to F(t), so the order of rows of one time is free, and truth travels with its own times.
     running = carry_scan(
-        times, ["video_id"], ["t"], chunk_of(F.col("t"), TIME_CHUNK_MS),
-        [Scan("_n", "sum", F.col("n")), Scan("_nt", "sum", F.col("nt"))],
-    )
-    total = running.select(
-        "video_id", F.col("t"), (F.col("t") * F.col("_n") - F.col("_nt")).alias("_f")
+        edges.unionByName(asked), ["_key"], ["t"], chunk_of(F.col("t"), TIME_CHUNK_MS),
+        [Scan("_n", "sum", F.col("n")), Scan("_nt", "sum", F.col("n") * F.col("t"))],
     )
-    at_start = total.select("video_id", F.col("t").alias("start_ms"), F.col("_f").alias("_f0"))
-    at_end = total.select("video_id", F.col("t").alias("end_ms"), F.col("_f").alias("_f1"))
+    total = F.col("t") * F.col("_n") - F.col("_nt")
+    # Equal rows of truth have equal values, and come back as often as they were.
+    found = running.filter("_end IS NOT NULL").groupBy("_row").agg(
+        F.max(F.when(~F.col("_end"), total)).alias("_f0"), F.max(F.when(F.col("_end"), total)).alias("_f1"),
+        F.count_if("_end").cast("int").alias("_times"),
+    ).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).select("_row.*", "_f0", "_f1")
+    nothing = F.lit(None).cast("bigint")
+    found = found.unionByName(gt.filter(~known).withColumn("_f0", nothing).withColumn("_f1", nothing))
     length = F.col("end_ms") - F.col("start_ms")
     out = (
-        gt.join(at_start, ["video_id", "start_ms"], "left")
-        .join(at_end, ["video_id", "end_ms"], "left")
-        .withColumn("overlap_ms", F.when(length > 0, F.col("_f1") - F.col("_f0")).otherwise(0))
+        found.withColumn("overlap_ms", F.when(length > 0, F.col("_f1") - F.col("_f0")).otherwise(0))
         .drop("_f0", "_f1")
         .withColumn(
             "coverage", F.when(length > 0, F.col("overlap_ms") / length).otherwise(F.lit(0.0))

@@ -210,3 +210,17 @@ def test_sweep_holds_no_table_of_times(spark):
     assert rows(got) == [("a", 12), ("b", 0)]
     plan = got._jdf.queryExecution().sparkPlan().toString()
     assert not any("Aggregate" in line and ", t#" in line.split("functions=")[0] for line in plan.splitlines())
+
+
+def test_coverage_sorts_once_and_keeps_equal_and_null_rows(spark):
+    """Truth travels with its times: the carried sums are the only join, and rows come back as often as they were."""
+    g = spark.createDataFrame([("a", 0, 10_000, 1), ("a", 0, 10_000, 1), ("a", 0, 10_000, None), ("a", 5000, 1_300_000, 2), ("b", 0, 5, 1),
+                               ("a", 7, 7, 1), ("a", None, 9, 1), (None, 0, 9, 1)], "video_id STRING, start_ms LONG, end_ms LONG, votes INT")
+    d = spark.createDataFrame([("a", 9000, 601_000), ("a", 9000, 10_000), ("a", 1_200_000, 9_000_000), (None, 0, 9)], "video_id STRING, start_ms LONG, end_ms LONG")
+    out = I.gt_coverage(g, d)
+    assert out.columns[:4] == g.columns
+    got = sorted(map(tuple, out.select("video_id", "start_ms", "end_ms", "votes", "overlap_ms").collect()), key=str)
+    assert got == sorted([("a", 0, 10_000, 1, 2000), ("a", 0, 10_000, 1, 2000), ("a", 0, 10_000, None, 2000), ("a", 5000, 1_300_000, 2, 693_000),
+                          ("b", 0, 5, 1, 0), ("a", 7, 7, 1, 0), ("a", None, 9, 1, 0), (None, 0, 9, 1, None)], key=str)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
