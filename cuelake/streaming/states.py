@@ -13,6 +13,7 @@ from cuelake.operators.intervals import first_match_pieces, point_in_segments
 from cuelake.operators.signal import DeltaHistory
 from cuelake.plans.ordered import ChunkFold, Scan, carry_scan, chunk_fold
 from cuelake.plans.spans import BUCKET, level_width, over_levelled_buckets
+from cuelake.session import materialize
 
 MAX_COUNT = 10
 
@@ -317,9 +318,10 @@ def stream_segment_membership(ticks: DataFrame, segments: DataFrame) -> DataFram
     one), which are asked for once when the stream is set up.
     """
     width = 10_000
-    pieces = over_levelled_buckets(
+    # Asked for levels, then read by each of them in each micro-batch: worked out once.
+    pieces = materialize(over_levelled_buckets(
         first_match_pieces(segments), F.col("piece_ms"), F.col("seg_end_ms"), width
-    ).withColumnsRenamed({"video_id": "_vid", BUCKET: "_pb", "_level": "_pl"})
+    ).withColumnsRenamed({"video_id": "_vid", BUCKET: "_pb", "_level": "_pl"}), "pieces")
     levels = sorted(r[0] for r in pieces.select("_pl").distinct().collect())
     found, ends = ticks, []
     for level in levels:

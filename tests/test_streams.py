@@ -244,3 +244,13 @@ def test_keyed_streams_in_a_session_with_sparks_own_state_store(spark, ticks):
     kind = F.col("event_type")
     want = states.count_since_reset(batch, ["ts", "event_id"], by_time(), kind == "click", kind == "error")
     assert got == rows(want.select("video_id", "event_id", "since_reset"))
+
+
+def test_membership_reads_its_static_side_from_a_stored_table(spark, tmp_path):
+    """Pieces are worked out once, not per level and micro-batch."""
+    spark.range(4).selectExpr("'a' AS video_id", "id AS event_id", "id * 1000 AS t_ms").write.parquet(str(tmp_path / "in"))
+    ticks = spark.readStream.schema("video_id STRING, event_id LONG, t_ms LONG").parquet(str(tmp_path / "in"))
+    segs = spark.createDataFrame([("a", 1000, 2000)], "video_id STRING, start_ms LONG, end_ms LONG")
+    out = states.stream_segment_membership(ticks, segs)
+    assert "Window" not in out._jdf.queryExecution().analyzed().toString()
+    assert sorted((r.event_id, r.in_segment) for r in online.run_append(out).collect()) == [(0, False), (1, True), (2, True), (3, False)]
