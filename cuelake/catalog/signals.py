@@ -286,17 +286,19 @@ class Streamed(Inputs):
         """
         whole = super().table(name)
         place = F.expr(self.ORDER[name])
+        closing = self.closing(name, whole)
+        # Streams without state have no late rows: as many files as there are cores, so that none idles in a micro-batch.
+        files = max(self.FILES, self.spark.sparkContext.defaultParallelism) if type(self).closing is Streamed.closing else self.FILES
         cuts = whole.agg(F.percentile_approx(place, [(i + 1) / self.SLICES for i in range(self.SLICES - 1)], 1000)).first()[0] or []
         edges = [None, *cuts, None]
         path = new_shared_path(self.spark, f"stream-{name}")
         for low, high in zip(edges, edges[1:]):
             part = whole if low is None else whole.filter(place > low)
             part = part if high is None else part.filter(place <= high)
-            part.repartition(self.FILES).write.mode("append").parquet(path)
-        closing = self.closing(name, whole)
+            part.repartition(files).write.mode("append").parquet(path)
         if closing is not None:
             closing.coalesce(1).write.mode("append").parquet(path)
-        return self.spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", self.FILES).parquet(path)
+        return self.spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", files).parquet(path)
 
     def closing(self, name: str, whole: DataFrame) -> DataFrame | None:
         return None

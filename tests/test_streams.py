@@ -254,3 +254,13 @@ def test_membership_reads_its_static_side_from_a_stored_table(spark, tmp_path):
     out = states.stream_segment_membership(ticks, segs)
     assert "Window" not in out._jdf.queryExecution().analyzed().toString()
     assert sorted((r.event_id, r.in_segment) for r in online.run_append(out).collect()) == [(0, False), (1, True), (2, True), (3, False)]
+
+
+def test_stateless_slices_have_a_file_for_each_core(spark, monkeypatch):
+    """A micro-batch of a stateless stream keeps all cores busy."""
+    from cuelake.catalog import signals
+
+    monkeypatch.setattr(signals.Streamed, "FILES", 1)
+    table = signals.Streamed(spark, "/root/testdata/sf0.001").table("documents")
+    files = online.run_append(table.selectExpr("doc_id", "_metadata.file_path AS f")).select("f").distinct().count()
+    assert files > signals.Streamed.SLICES and files >= spark.sparkContext.defaultParallelism
