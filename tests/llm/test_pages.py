@@ -56,6 +56,17 @@ def test_top_k_of_few_and_none(spark):
     assert topk.top_k(spark.createDataFrame([(0, [1.0])], schema), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_neither_shuffles_nor_broadcasts_tiles(spark, monkeypatch):
+    rows = vectors(2, 150)
+    df = spark.createDataFrame(rows, "vec_id LONG, embedding ARRAY<FLOAT>")
+    passes = []
+    monkeypatch.setattr(topk, "kept", lambda grid, *more, _kept=topk.kept: passes.append(grid) or _kept(grid, *more))
+    got = topk.top_k(df, F.col("vec_id") % 20 == 0, k=5, tile_rows=32, query_rows=4).collect()
+    assert Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == plain_top(rows, 5, lambda i: i % 20 == 0)
+    assert passes[0].count() == 7 * 5  # every query tile meets every candidate tile
+    assert {kind for _, kind in passes[0].dtypes} <= {"int", "string"}  # of which the rows hold names only
+
+
 # -- WARC ---------------------------------------------------------------------
 
 
