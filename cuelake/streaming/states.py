@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -26,27 +28,38 @@ MAX_COUNT = 10
 class KeyFold:
     """What a stream computes per key, row after row in order of time.
 
-    ``needs`` are the columns it is given (with their types), ``result`` what it returns, ``state`` the
-    type of the state's entries; a key's state is a short list of them.
+    ``needs`` are the columns it is given (with their types), ``result`` what it returns; a key's state
+    is a short list of tuples of plain values.
     """
 
     needs: dict[str, str]
     result: str
-    state: str
 
     def advance(self, rows: pd.DataFrame, state: list[tuple]) -> tuple[pd.DataFrame, list[tuple]]:
         """Results for ``rows``, and the state after them; the state of a new or ended key is empty."""
         raise NotImplementedError
 
+    def advance_all(self, rows: pd.DataFrame, starts: np.ndarray, before: list[list[tuple]]) -> tuple[pd.DataFrame, list[list[tuple]]]:
+        """The same for the rows of several keys, one key after the other; results carry ``video_id``."""
+        outs, after = [], []
+        for start, stop, state in zip(starts, [*starts[1:], len(rows)], before):
+            out, state = self.advance(rows.iloc[start:stop].reset_index(drop=True), state)
+            out.insert(0, "video_id", rows["video_id"].iat[start])
+            outs.append(out)
+            after.append(state)
+        return pd.concat(outs, ignore_index=True), after
 
-class InOrder(StatefulProcessor):
-    """Runs a :class:`KeyFold` over each key's rows in order of event time, in whatever order they arrive.
 
-    Rows wait in state, as the Arrow batches that brought them, in spans of ``wait_ms`` of event time.
-    When the watermark has passed a span, its timer fires: the span's rows are sorted and folded.  So no
-    more than one span of one key is ever held in memory.  A second timer ends the state of a key
-    that had no row in the ``idle_ms`` after its last span; a row that comes later starts afresh.
-    Timers fire in order of time, so results do not depend on micro-batches.
+class InOrder(StatefulProcessor):
+    """Runs a :class:`KeyFold` over each video's rows in order of event time, in whatever order they arrive.
+
+    Videos are dealt into groups by hash, and a group is what the stream is keyed by: each call into
+    Python and to the state store serves a group of videos, where a video's few rows would not pay for it.
+    Rows wait in state, as the batches that brought them, in spans of ``wait_ms`` of event time.
+    When the watermark has passed a span, its timer fires: the span's rows are sorted and folded, video by
+    video.  So no more than one span of one group is ever held in memory.  The state of a video that
+    had no row in the ``idle_ms`` after its last span is ended, at a second timer; a row that comes later
+    starts afresh.  Timers fire in order of time, so results do not depend on micro-batches.
     """
 
     def __init__(self, fold: KeyFold, wait_ms: int, idle_ms: int):
@@ -54,22 +67,20 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getListState("state", self.fold.state)
-        self.idle_at = handle.getValueState("idle_at", "ms long")
+        #: By video, the end of its last span and its state, pickled.
+        self.state = handle.getValueState("state", "held binary")
         self.batches = handle.getMapState("batches", "span_end long", "n long")
-        held = ", ".join(f"{c} array<{kind}>" for c, kind in {"at_ms": "long", **self.fold.needs}.items())
-        self.rows = handle.getMapState("rows", "span_end long, batch long", held)
+        self.rows = handle.getMapState("rows", "span_end long, batch long", "held binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        names = ["at_ms", *self.fold.needs]
+        names = ["video_id", "at_us", *self.fold.needs]
         for batch in rows:
-            ends = (batch["at_ms"] // self.wait_ms + 1) * self.wait_ms
-            for end, part in batch.groupby(ends):
+            ends = (batch["at_us"].to_numpy() // 1000 // self.wait_ms + 1) * self.wait_ms
+            for end, part in batch[names].groupby(ends):
                 end = int(end)
                 found = self.batches.getValue((end,))
                 n = found[0] if found else 0
-                # Lists, also of lists: state takes plain Python values.
-                self.rows.updateValue((end, n), tuple([plain(v) for v in part[c]] for c in names))
+                self.rows.updateValue((end, n), (packed(part),))
                 self.batches.updateValue((end,), (n + 1,))
                 if not n:
                     self.handle.registerTimer(end)
@@ -79,49 +90,77 @@ class InOrder(StatefulProcessor):
         now = expiredTimerInfo.getExpiryTimeInMs()
         found = self.batches.getValue((now,))
         if found:
-            yield self._fold_span(key, now, found[0])
-        elif self.idle_at.exists() and self.idle_at.get()[0] == now:
+            yield self._fold_span(now, found[0])
+        else:
+            held = self._held()
+            if any(end + self.idle_ms <= now for end, _ in held.values()):
+                self._hold(held, now)
+
+    def _held(self) -> dict[str, tuple[int, list[tuple]]]:
+        return pickle.loads(self.state.get()[0]) if self.state.exists() else {}
+
+    def _hold(self, held: dict[str, tuple[int, list[tuple]]], now: int) -> None:
+        live = {video: x for video, x in held.items() if x[0] + self.idle_ms > now}
+        if live:
+            self.state.update((pickle.dumps(live),))
+        else:
             self.state.clear()
-            self.idle_at.clear()
-
-    def _fold_span(self, key, end: int, n: int) -> pd.DataFrame:
-        names = ["at_ms", *self.fold.needs]
-        parts = [self.rows.getValue((end, k)) for k in range(n)]
-        rows = pd.DataFrame({c: [v for p in parts for v in p[i]] for i, c in enumerate(names)})
-        order = ["at_ms", *list(self.fold.needs)[:1]]
-        before = list(self.state.get()) if self.state.exists() else []
-        out, after = self.fold.advance(rows.sort_values(order, ignore_index=True), before)
+
+    def _fold_span(self, end: int, n: int) -> pd.DataFrame:
+        parts = [unpacked(self.rows.getValue((end, k))[0]) for k in range(n)]
+        order = ["video_id", "at_us", *list(self.fold.needs)[:1]]
+        rows = pa.concat_tables(parts, promote_options="permissive").to_pandas().sort_values(order, ignore_index=True)
+        videos = rows["video_id"].to_numpy(dtype=object)
+        starts = np.flatnonzero(np.concatenate([[True], videos[1:] != videos[:-1]]))
+        held = self._held()
+        # A video whose last span is longer ago than ``idle_ms`` has ended, whether or not its timer has swept it yet.
+        known = [held.get(video, (end, [])) for video in videos[starts]]
+        out, after = self.fold.advance_all(rows, starts, [state if end <= last + self.idle_ms else [] for last, state in known])
+        for video, state in zip(videos[starts], after):
+            if state:
+                held[video] = (end, state)
+            else:
+                held.pop(video, None)
         for k in range(n):
             self.rows.removeKey((end, k))
         self.batches.removeKey((end,))
-        if after:
-            self.state.put(after)
-            self.idle_at.update((end + self.idle_ms,))
+        self._hold(held, end)
+        if any(after):
             self.handle.registerTimer(end + self.idle_ms)
-        else:
-            self.state.clear()
-            self.idle_at.clear()
-        out.insert(0, "video_id", key[0])
         return out
 
     def close(self) -> None:
         pass
 
 
-def plain(value):
-    return value.tolist() if isinstance(value, (np.ndarray, np.generic)) else value
+def packed(rows: pd.DataFrame) -> bytes:
+    table = pa.Table.from_pandas(rows, preserve_index=False).replace_schema_metadata()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(held: bytes) -> pa.Table:
+    return pa.ipc.open_stream(held).read_all()
+
 
+#: Into how many groups a stream's videos are dealt, which is also how many tasks can share them.
+GROUPS = 1024
 
-def in_order(rows: DataFrame, fold: KeyFold, clock: str, late: str, wait_ms: int, idle_ms: int) -> DataFrame:
+
+def in_order(rows: DataFrame, fold: KeyFold, clock: str, late: str, wait_ms: int, idle_ms: int, groups: int = GROUPS) -> DataFrame:
     """``fold`` per ``video_id`` of a stream, by its event time ``clock``; rows behind the watermark are dropped.
 
     Rows of one time go by the first column the fold needs.  Results come when the watermark has passed.
     Start such a stream by :func:`online.run_append` or within :func:`session.rocks_state`.
     """
+    group = F.pmod(F.xxhash64("video_id"), F.lit(groups)).cast("int")
     return (
         rows.withWatermark(clock, late)
-        .select("video_id", clock, F.unix_millis(clock).alias("at_ms"), *[F.col(c).cast(kind).alias(c) for c, kind in fold.needs.items()])
-        .groupBy("video_id")
+        .select(group.alias("video_group"), "video_id", clock, F.unix_micros(clock).alias("at_us"),
+                *[F.col(c).cast(kind).alias(c) for c, kind in fold.needs.items()])
+        .groupBy("video_group")
         .transformWithStateInPandas(InOrder(fold, wait_ms, idle_ms), f"video_id STRING, {fold.result}", "append", "eventTime")
     )
 
@@ -181,13 +220,19 @@ class CounterFold(ChunkFold):
         return [summary[state[0]]]
 
     def replay(self, rows: pd.DataFrame, state: list[int]) -> pd.DataFrame:
-        tables, code, codes = self.tables.tolist(), state[0], []
-        for kind in self._kinds(rows).tolist():
-            code = tables[kind][code]
-            codes.append(code)
-        codes = np.array(codes, dtype=np.int32)
+        codes, _ = self.codes(rows, [0], state)
         return rows.assign(consecutive=codes // 2, inside=codes % 2 == 1)
 
+    def codes(self, rows: pd.DataFrame, starts: list[int], before: list[int]) -> tuple[np.ndarray, list[int]]:
+        """The code after each tick of keys that follow one another from ``starts`` on, and each key's last."""
+        tables, kinds, codes, after = self.tables.tolist(), self._kinds(rows).tolist(), [], []
+        for start, stop, code in zip(starts, [*starts[1:], len(kinds)], before):
+            for kind in kinds[start:stop]:
+                code = tables[kind][code]
+                codes.append(code)
+            after.append(code)
+        return np.array(codes, dtype=np.int32), after
+
 
 COUNTER_COLUMNS = T.StructType([
     T.StructField("consecutive", T.IntegerType()), T.StructField("inside", T.BooleanType()),
@@ -211,15 +256,14 @@ def hysteresis_segments(
 class Hysteresis(KeyFold):
     needs = {"event_id": "long", "score": "double", "enter_at": "double"}
     result = "event_id LONG, score DOUBLE, consecutive INT, inside BOOLEAN"
-    state = "code int"
 
     def __init__(self, exit_below: float, min_consec: int):
         self.fold = CounterFold(exit_below, min_consec)
 
-    def advance(self, rows: pd.DataFrame, state: list[tuple]) -> tuple[pd.DataFrame, list[tuple]]:
-        out = self.fold.replay(rows, list(state[0]) if state else [0])
-        last = out.iloc[-1]
-        return out[["event_id", "score", "consecutive", "inside"]], [(int(2 * last["consecutive"] + int(last["inside"])),)]
+    def advance_all(self, rows: pd.DataFrame, starts: np.ndarray, before: list[list[tuple]]) -> tuple[pd.DataFrame, list[list[tuple]]]:
+        codes, after = self.fold.codes(rows, starts.tolist(), [state[0][0] if state else 0 for state in before])
+        out = rows[["video_id", "event_id", "score"]].assign(consecutive=codes // 2, inside=codes % 2 == 1)
+        return out, [[(code,)] for code in after]
 
 
 def stream_hysteresis(
@@ -239,7 +283,6 @@ class Deltas(KeyFold):
 
     needs = {"frame_idx": "int", "coeffs": "array<double>"}
     result = "frame_idx INT, delta ARRAY<DOUBLE>, anomaly DOUBLE"
-    state = "delta array<double>"
 
     def advance(self, rows: pd.DataFrame, state: list[tuple]) -> tuple[pd.DataFrame, list[tuple]]:
         history = DeltaHistory(np.array([d for d, in state], dtype=np.float64) if state else None)
@@ -273,7 +316,6 @@ def hysteresis_two_level(
 class TwoLevel(KeyFold):
     needs = {"event_id": "long", "score": "double"}
     result = "event_id LONG, score DOUBLE, inside BOOLEAN"
-    state = "inside int"
 
     def __init__(self, high: float, low: float):
         self.high, self.low = high, low
@@ -369,7 +411,6 @@ def count_since_reset(
 class SinceReset(KeyFold):
     needs = {"event_id": "long", "event_type": "string"}
     result = "event_id LONG, since_reset LONG"
-    state = "n long"
 
     def __init__(self, counted: str, resets: list[str], ends: list[str]):
         self.counted, self.resets, self.ends = counted, [*resets, *ends], ends

@@ -1,7 +1,9 @@
 """Streaming twins against their batch operators, with several micro-batches."""
 
 import random
+from collections import Counter
 
+import pandas as pd
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -124,6 +126,75 @@ def test_an_idle_key_starts_afresh(spark, tmp_path, cut):
     assert rows(own(online.run_append(out))) == [("a", 0, 1), ("a", 2, 2), ("a", 4, 1), ("a", 6, 2), ("b", 1, 1), ("b", 3, 2), ("b", 5, 3)]
 
 
+def test_videos_of_one_group_are_idle_each_for_itself(spark, tmp_path):
+    data = [("a", 0, 0, "click"), ("b", 1, 10, "click"), ("b", 3, 400, "click"), (None, 8, 890, "click"), ("a", 4, 900, "click"), ("b", 5, 901, "click"),
+            (None, 9, 905, "click")]
+    stream = events_in_files(spark, str(tmp_path / "in"), data[:3], data[3:], [END])
+    fold = states.SinceReset("click", [], [])
+    out = states.in_order(stream, fold, "ts", "30 seconds", 10_000, 600_000, groups=1)
+    assert rows(own(online.run_append(out).na.fill("null"))) == [("a", 0, 1), ("a", 4, 1), ("b", 1, 1), ("b", 3, 2), ("b", 5, 3), ("null", 8, 1), ("null", 9, 2)]
+
+
+class FakeStore:
+    """A handle whose states are in memory; counts the calls that would go to the state store."""
+
+    def __init__(self):
+        self.calls, self.timers = Counter(), set()
+
+    def _state(self, name, *_):
+        held = {}
+
+        class State:
+            def __getattr__(_, call):
+                def run(*args):
+                    self.calls[name, call] += 1
+                    key = args[0] if len(args) > 1 or call in ("getValue", "removeKey") else "value"
+                    if call in ("updateValue", "update"):
+                        held[key] = args[-1]
+                    elif call in ("removeKey", "clear"):
+                        held.pop(key, None)
+                    else:
+                        return key in held if call == "exists" else held.get(key)
+                return run
+        return State()
+
+    getValueState = getMapState = getListState = _state
+
+    def registerTimer(self, at):
+        self.calls["timer", "register"] += 1
+        self.timers.add(at)
+
+
+class Expired:
+    def __init__(self, at):
+        self.getExpiryTimeInMs = lambda: at
+
+
+def test_the_state_store_is_called_per_group_not_per_video():
+    def run(videos):
+        store, processor = FakeStore(), states.InOrder(states.Hysteresis(0.5, 2), 60_000, 10**9)
+        processor.init(store)
+        for batch in range(2):
+            frame = pd.DataFrame({"video_id": [f"v{v}" for v in range(videos)], "at_us": [70_000_000 * batch + 1] * videos,
+                                  "event_id": range(videos), "score": 0.9, "enter_at": 0.6})
+            list(processor.handleInputRows((0,), iter([frame]), None))
+        out = pd.concat([x for at in (60_000, 120_000) for x in processor.handleExpiredTimer((0,), None, Expired(at))])
+        assert sorted(zip(out["video_id"], out["consecutive"], out["inside"])) == sorted(
+            (f"v{v}", n, n == 2) for v in range(videos) for n in (1, 2))
+        return store.calls
+
+    assert run(1) == run(100)
+
+
+def test_ticks_of_one_millisecond_go_by_their_microseconds():
+    store, processor = FakeStore(), states.InOrder(states.TwoLevel(0.45, 0.3), 60_000, 10**9)
+    processor.init(store)
+    frame = pd.DataFrame({"video_id": ["a", "a"], "at_us": [1_900, 1_100], "event_id": [1, 2], "score": [0.1, 0.9]})
+    list(processor.handleInputRows((0,), iter([frame]), None))
+    out = next(processor.handleExpiredTimer((0,), None, Expired(60_000)))
+    assert dict(zip(out["event_id"], out["inside"])) == {2: True, 1: False}
+
+
 def test_late_rows_are_dropped_and_early_ones_wait(spark, tmp_path):
     stream = events_in_files(spark, str(tmp_path / "in"), [("a", 2, 50, "click"), ("a", 1, 40, "click")], [("a", 0, 30, "click"), ("a", 4, 1000, "click")],
                              [("b", 9, 1000, "click")], [("a", 3, 100, "click"), ("a", 5, 1001, "click")], [END])
