@@ -495,10 +495,12 @@ SUMMARY = BENCH.rstrip().replace("    SELECT video_id, gt.n AS n_gt", "    , met
 # Every video has captions and truth here, so the status counts are known.
 @query("detection_benchmark_summary", "cues cue_segments", SUMMARY)
 def _benchmark_summary(d: Inputs):
-    cues = d.cues()
-    truth = materialize(intervals.merge_intervals(d.cue_segments()), "truth")
+    # Each use of the cues would shuffle all texts again.  Videos are not stored: by so small a file, Spark would
+    # take the truth that is made of them for small too, and broadcast it.
+    cues = materialize(d.cues(), "cues", compression="zstd")
+    videos = d.videos(cues)
+    truth = materialize(intervals.merge_intervals(d.cue_segments(videos)), "truth")
     found = materialize(T.detect_segments(cues), "detections")
-    videos = d.videos().select("video_id")
     both = truth.select("video_id").union(found.select("video_id"))
     status = cleaning.detection_status(videos, cues, both)
     return rounded(evaluate.detection_summary(status, found, truth), 5)

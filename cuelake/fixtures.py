@@ -86,13 +86,14 @@ class Inputs:
             F.col("line.text").alias("text"),
         )
 
-    def videos(self) -> DataFrame:
-        return self.cues().groupBy("video_id").agg(
+    def videos(self, cues: DataFrame | None = None) -> DataFrame:
+        """``cues``, where they are stored already, are not made again."""
+        return (self.cues() if cues is None else cues).groupBy("video_id").agg(
             (F.max(F.col("start_ms") + F.col("dur_ms")) + 5000).alias("dur_ms")
         )
 
-    def cue_segments(self) -> DataFrame:
-        return self.videos().select(
+    def cue_segments(self, videos: DataFrame | None = None) -> DataFrame:
+        return (self.videos() if videos is None else videos).select(
             "video_id", F.explode(F.expr("sequence(0, dur_ms div 90000)")).alias("k")
         ).select(
             "video_id",

@@ -14,6 +14,7 @@ from cuelake.operators.windows import cluster_hits
 from cuelake.plans.ordered import CHUNK, INDEX_CHUNK, TIME_CHUNK_MS, halo, own_rows
 from cuelake.plans.spans import BUCKET, over_buckets
 from cuelake.schema import to_ms
+from cuelake.session import materialize
 
 
 # ---------------------------------------------------------------------------
@@ -259,10 +260,7 @@ def cue_breaks(cues: DataFrame, silence_ms: int = 1500, gate: TokenFilter | None
 
     Neighbours are the cues with the adjacent ``cue_idx``.
     """
-    # The phrase tests come after the exchange: the detector needs the start breaks in
-    # one branch and the end breaks in another, and both then read the same exchange.
-    ended = cues.withColumn("end_ms", F.col("start_ms") + F.col("dur_ms"))
-    spread = halo(ended, "cue_idx", INDEX_CHUNK, before=1, after=1)
+    # The phrase tests come before the exchange, which then carries texts only where they are asked for.
     w = Window.partitionBy("video_id", CHUNK).orderBy("cue_idx")
     no = F.lit(False)
     tests = {
@@ -271,8 +269,11 @@ def cue_breaks(cues: DataFrame, silence_ms: int = 1500, gate: TokenFilter | None
     }
     if gate is not None:
         tests["tokens"] = lambda _, low: gate.bits(low)
+    # Made by a generator: the optimizer would put a copy of the tests into each use of their results.
+    ended = cues.withColumn("end_ms", F.col("start_ms") + F.col("dur_ms")).withColumn(
+        "_found", F.explode(F.array(found_in(F.col("text"), **tests))))
     placed = own_rows(
-        spread.withColumn("_found", found_in(F.col("text"), **tests))
+        halo(ended, "cue_idx", INDEX_CHUNK, before=1, after=1)
         .withColumn("_prev_end", F.lag("end_ms").over(w))
         .withColumn("_next_start", F.lead("start_ms").over(w))
         .withColumn("_next_returns", F.lead("_found.returns").over(w))
@@ -359,7 +360,8 @@ def detect_segments(
     min_len_ms: int = 45_000, walk_ms: int = 25_000, silence_ms: int = 1500,
 ) -> DataFrame:
     """Context hits -> clusters -> natural boundaries -> minimum length."""
-    hits = context_score(cues, window_ms, min_score, walk_ms, silence_ms)
+    # Clusters read the hits twice; made twice, all texts would be shuffled and scored twice.
+    hits = materialize(context_score(cues, window_ms, min_score, walk_ms, silence_ms), "hits")
     snapped = snap_boundaries(cluster_hits(hits, gap_ms), cue_breaks(cues, silence_ms), walk_ms)
     start = F.greatest(F.lit(0), F.col("start_ms"))
     missing = F.greatest(F.lit(0), F.lit(min_len_ms) - (F.col("end_ms") - start))

@@ -12,6 +12,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Remove a statement's shuffle files when it has ended, not when the driver happens to collect its garbage.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 _PROVIDERS = "org.apache.spark.sql.execution.streaming.state."
 ROCKS, SPARKS_OWN = f"{_PROVIDERS}RocksDBStateStoreProvider", f"{_PROVIDERS}HDFSBackedStateStoreProvider"
@@ -111,12 +113,19 @@ def new_shared_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write an intermediate result once to the shared folder and read it back.
 
     For results that several branches use and that are costly to compute but small,
-    such as detections; the written table survives the loss of executors.
+    such as detections; the written table survives the loss of executors.  What was shuffled for it is gone
+    once it is written.
     """
-    path = new_shared_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = new_shared_path(spark, label)
+    before = spark.conf.get(DROP_SHUFFLES, None)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.unset(DROP_SHUFFLES) if before is None else spark.conf.set(DROP_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)

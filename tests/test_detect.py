@@ -1,11 +1,16 @@
 """Context detector: hits, clusters, boundaries, floor."""
 
 import random
+import time
 
 import pytest
 from conftest import cue_table, rows
+from pyspark.sql import functions as F
 
+from cuelake import fixtures
+from cuelake.catalog import QUERIES
 from cuelake.operators import text as T, windows as W
+from cuelake.session import materialize
 
 SAVE = "Brought to you by Acme, use my code SAVE for percent off"
 TRIAL = "Visit acme.com for a free trial today"
@@ -125,6 +130,27 @@ def test_long_videos_equal_the_sequential_detector(spark, monkeypatch):
     assert got == want and len(got) > 10
 
 
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before = disk.getAllFiles().size()
+    counts = materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    for _ in range(50):  # files go a moment later
+        if (left := disk.getAllFiles().size()) <= before:
+            break
+        time.sleep(0.1)
+    assert left <= before
+    assert rows(counts) == [(k, 143 if k < 6 else 142) for k in range(7)]
+
+
+def test_the_summary_makes_and_scores_its_cues_once(spark, monkeypatch):
+    made, scored = [], []
+    monkeypatch.setattr(fixtures.Inputs, "cues", lambda self, _cues=fixtures.Inputs.cues: made.append(1) or _cues(self))
+    monkeypatch.setattr(T, "materialize", lambda df, label, _m=T.materialize: scored.append(label) or _m(df, label))
+    [row] = QUERIES["detection_benchmark_summary"](spark, "/root/testdata/sf0.001").collect()
+    assert len(made) == 1 and scored == ["hits"]
+    assert row["n_total"] == row["n_with_segments"] == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.expr("doc_id div 20")).distinct().count()
+
+
 def test_simple_detector(spark):
     cues = {"a": [(10, 2, "use my code"), (15, 2, "free trial"), (40, 2, "sign up")], "b": [(0.5, 1, "promo code and coupon code")]}
     assert rows(W.detect_segments_simple(cue_table(spark, cues))) == [
